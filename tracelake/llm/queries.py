@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracelake.llm import bpe, language_id
+from tracelake.llm import bpe, language_id, quality_classifier
 from tracelake.llm.tables import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -25,17 +25,24 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold(modulus: int) -> Column:
     """crc32 of the doc_id's text, modulo: tells held-out documents from those to learn from."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(-1))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(fold(5) > 0)
+    scored = quality_classifier.classify(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = language_id.fit(docs.where(fold(5) != 0))
+    model = language_id.fit(docs.where(fold(5) > 0))
     return language_id.predict(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op8_quality_classifier": op8_quality_classifier,
     "op10_language_id": op10_language_id,
 }
 
