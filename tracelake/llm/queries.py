@@ -7,12 +7,52 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracelake.llm import bpe, language_id, quality_classifier, toxicity
+from tracelake.llm import bpe, language_id, quality_classifier, quality_rules, toxicity
 from tracelake.llm.tables import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP2_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents
+), split AS (
+  SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM texts
+), windows AS (
+  SELECT r, i, array_to_string(words[i:i + 7], ' ') AS w
+  FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM split)
+), twice AS (
+  SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM twice, range(8) AS t(k) GROUP BY r
+), figures AS (
+  SELECT doc_id, body, len(words) AS n_words,
+    length(regexp_replace(body, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    len(regexp_extract_all(body, '[#*$%&|<>]')) AS n_symbols,
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words,
+    len(regexp_extract_all(body, '\p{L}')) AS letters,
+    len(regexp_extract_all(body, '\p{Lu}')) AS capitals,
+    len(regexp_extract_all(body, '!!')) AS shouts
+  FROM split LEFT JOIN covered USING (r)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM figures
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+    OR (n_dup_lines > 2 AND n_dup_lines * 10 > n_lines * 3) OR capitals * 2 > letters
+    OR letters * 2 < word_chars OR shouts * 5 > n_words) AS kept
+FROM judged
+"""
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, decode=True)
     return coded.select(
@@ -48,10 +88,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_quality_rules": OP2_SQL,
+}
