@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracelake.llm import ann, bpe, language_id, quality_classifier, quality_rules, toxicity, warc
+from tracelake.llm import ann, bpe, language_id, near_dedup, packing, quality_classifier, quality_rules, toxicity, warc
 from tracelake.llm.tables import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -100,6 +100,40 @@ FROM scored QUALIFY rank <= 20
 """
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
+  FROM split
+), sizes AS (
+  SELECT doc_id, count(s) AS n FROM documents LEFT JOIN shingles USING (doc_id) GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM sizes
+  UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node
+), components AS (
+  SELECT node AS doc_id, min(root) AS component_id FROM reach GROUP BY node
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN components USING (doc_id)
+"""
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, room=4096, end_id=1)
+
+
 def fold(modulus: int) -> Column:
     """crc32 of the doc_id's text, modulo: tells held-out documents from those to learn from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(-1))
@@ -129,6 +163,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
@@ -138,4 +174,5 @@ SQL: dict[str, str] = {
     "op1_warc_normaliser": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
     "op5_nearest_neighbours": OP5_SQL,
+    "op6_minhash_near_dedup": OP6_SQL,
 }
