@@ -14,7 +14,7 @@ members of different components are paired. So no link between different compone
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +130,31 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, matches: int
     return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def grouped(postings: DataFrame, confirmed: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Components (``node``, ``component``) of the confirmed pairs among those that share a key.
+
+    postings: ``key``, ``id`` and ``n`` (set size). confirmed: gives those of pairs (``a``, ``b``) that are links.
+    First every member of a list is paired with the smallest; lists that then lie in one component
+    are done, and in the others members of different components are paired.
+    """
+    first = postings.groupBy("key").agg(F.min(F.struct("id", "n")).alias("f"))
+    star = postings.join(first, "key").where((F.col("id") != F.col("f.id")) & _alike(F.col("n"), F.col("f.n"), percent))
+    star = stored(star.select(F.col("id").alias("a"), F.col("f.id").alias("b")).distinct(), "star-pairs")
+    links = stored(confirmed(star), "links")
+    groups = stored(connected(links), "components")
+
+    placed = postings.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    left = stored(placed.join(split, "key"), "split-postings")
+    x, y = left.alias("x"), left.alias("y")
+    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _alike(F.col("x.n"), F.col("y.n"), percent))
+    apart = stored(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "other-pairs")
+    if apart.isEmpty():
+        return groups
+    more = stored(confirmed(apart), "links")
+    return groups if more.isEmpty() else stored(connected(links.unionByName(more)), "components")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -158,21 +183,7 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
     postings = stored(_postings(sets, matches), "postings")
 
-    first = postings.groupBy("key").agg(F.min(F.struct("id", "n")).alias("f"))
-    star = postings.join(first, "key").where((F.col("id") != F.col("f.id")) & _alike(F.col("n"), F.col("f.n"), percent))
-    star = stored(star.select(F.col("id").alias("a"), F.col("f.id").alias("b")).distinct(), "star-pairs")
-    links = stored(_confirmed(star, sets, texts, matches, shingle_words, percent), "links")
-    groups = stored(connected(links), "components")
-
-    placed = postings.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    left = stored(placed.join(split, "key"), "split-postings")
-    x, y = left.alias("x"), left.alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _alike(F.col("x.n"), F.col("y.n"), percent))
-    apart = apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(_confirmed(apart, sets, texts, matches, shingle_words, percent), "links")
-    if not more.isEmpty():
-        groups = stored(connected(links.unionByName(more)), "components")
+    groups = grouped(postings, lambda pairs: _confirmed(pairs, sets, texts, matches, shingle_words, percent), percent)
 
     known = sets.select("same", F.col("id").alias("node")).join(groups, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
     found = rows.select("id", "n", "same").join(known, "same", "left")

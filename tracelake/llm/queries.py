@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracelake.llm import ann, bpe, language_id, near_dedup, packing, quality_classifier, quality_rules, toxicity, warc
+from tracelake.llm import ann, bpe, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, toxicity, warc
 from tracelake.llm.tables import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -71,6 +71,15 @@ FROM judged
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, and which of them repeat a line that stays elsewhere (numbers from 0)."""
+    docs = table(spark, sf_dir, "documents")
+    counts = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    removed = line_dedup.removed_lines(docs)
+    none = F.array().cast("array<int>")
+    return counts.join(removed, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed_lines"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, decode=True)
     return coded.select(
@@ -161,6 +170,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_normaliser": op1_warc_normaliser,
     "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
