@@ -156,8 +156,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").where((fold(3) >= 0) & (fold(3) != 1)).select("doc_id", "toxic")
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"), F.col("toxic"))
+    labels = table(spark, sf_dir, "labels").where((fold(3) >= 0) & (fold(3) != 1))
+    model = toxicity.fit(docs, labels)
     return toxicity.score(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
