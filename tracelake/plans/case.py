@@ -87,6 +87,7 @@ def run_case(
     chain.append(case_id, "ocsf_normalize", f"normalize:{evidence.kind}", before, held, f"{n} events")
     on_step("ocsf_normalize", {"label": "Normalise", "detail": f"{n} events"})
     if not n:
+        events.unpersist()
         report = CaseReport(case_id, source, None, chain.verify(case_id))
         on_step("done", {"label": "Done", "detail": "no events"})
         return report
@@ -96,9 +97,10 @@ def run_case(
         ("feature_extract", lambda x: feature_matrix(x, classifier.features)),
         ("classify", lambda x: classifier.explain(classifier.predict(x))),
     ]
-    rows = events
+    rows, kept = events, [events]
     for name, step in steps:
         rows = step(rows).persist()
+        kept.append(rows)
         before, (held, n) = held, table_digest(rows)
         chain.append(case_id, name, f"step:{name}", before, held, f"{n} rows")
         on_step(name, {"label": name, "detail": f"{n} rows"})
@@ -111,6 +113,9 @@ def run_case(
         F.col("prediction.probability").alias("probability"),
         "top_features",
     )
+    # a later case may read other content at the same path
+    for held_rows in kept:
+        held_rows.unpersist()
     verification = chain.verify(case_id)
     on_step("verify", {"label": "Verify", "detail": str(verification["valid"])})
     return CaseReport(case_id, source, findings, verification)
