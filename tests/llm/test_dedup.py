@@ -117,7 +117,6 @@ def test_lines(spark):
 def test_families_of_almost_similar_texts(spark, monkeypatch):
     """Copies whose mutual similarity lies about the threshold: all links count, by blocks too."""
     monkeypatch.setattr(near_dedup, "BLOCK_SETS", 40)
-    monkeypatch.setattr(near_dedup, "STARS", 1)
     rng = random.Random(8)
     base = [f"word{k}" for k in range(120)]
     texts = []

@@ -12,19 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tracelake.llm.near_dedup import grouped
-from tracelake.llm.tables import stored
+from tracelake.llm.near_dedup import grouped, set_codes
+from tracelake.llm.tables import only, stored
 
 SHINGLE = 8
 BANDS = 12
 BAND = 4
 #: Lines whose signatures are made at a time, by their characters.
 CHARACTERS = 1 << 19
-#: 64-bit words of the filter that spares lines outside all pairs the way to the others: 4 MB, however many lines.
-FILTER = 1 << 19
-
 BLANKS = " \t\n\x0b\x0c\r"
 
 _RANDOM = np.random.default_rng(7)
@@ -96,20 +94,7 @@ def _keys(lines: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of line codes whose shingle sets are similar."""
     named = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "paired-lines")
-    words = named.select(F.pmod(F.xxhash64("id"), F.lit(FILTER * 64)).alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word"))
-    bits = np.zeros(FILTER, np.int64)
-    for row in words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toLocalIterator():
-        bits[row.word] = row.mask
-    shared = pairs.sparkSession.sparkContext.broadcast(bits)
-
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            hit = (shared.value[at >> 6] >> (at & 63)) & 1
-            yield batch.filter(pa.array(hit == 1)).select([0, 1])
-
-    near = lines.select("id", "line", F.pmod(F.xxhash64("id"), F.lit(FILTER * 64)).alias("bit")).mapInArrow(maybe, "id long, line string")
-    needed = stored(near.join(named, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "line-texts")
+    needed = stored(only(lines.select("id", "line"), named).groupBy("id").agg(F.first("line").alias("line")), "line-texts")
     both = pairs.join(needed.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(needed.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +128,12 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shared = postings.join(often, "key").select("key", "id", "n")
     held = stored(shared.distinct(), "line-postings")
     # the sizes of shingle sets are at most n, and less where shingles repeat: no pair is left out by size
-    groups = grouped(held.withColumn("n", F.lit(1)), lambda pairs: _confirmed(pairs, lines, percent), percent)
+
+    def codes(ids: DataFrame) -> DataFrame:
+        texts = only(lines.select("id", F.col("line").alias("body")), ids).groupBy("id").agg(F.first("body").alias("body"))
+        return set_codes(texts, lambda line: np.array(sorted({xxhash.xxh3_64_intdigest(x) for x in shingles(line)}), np.uint64))
+
+    groups = grouped(held.withColumn("n", F.lit(1)), lambda pairs: _confirmed(pairs, lines, percent), percent, codes)
     placed = places.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     stays = placed.groupBy("component").agg(F.min("first").alias("stays"), F.sum("n").alias("lines")).where("lines > 1")
     kept = placed.select("id", "component").join(stays, "component").select("id", "stays")

@@ -7,9 +7,10 @@ is posted: keys that nobody else has use up most of it, and frequent keys are sk
 meet have their agreements counted over the whole signatures, and those at the threshold are confirmed
 on the texts themselves.
 
-A posting list is never expanded to all its pairs. First every member is paired with the smallest one;
-confirmed pairs give components, and lists that lie in one component are done. In the few others,
-members of different components are paired. So no link between different components is lost.
+A posting list is never expanded to all its pairs. First every member is paired with the smallest
+one; confirmed pairs give components, and lists that lie in one component are done. Documents of the few other lists get a second, longer signature, whose threshold is closer to
+the similarity; where they still meet, bounded blocks of them are compared by matrix products, and
+only links between different components become rows. So none of these is lost.
 """
 
 from __future__ import annotations
@@ -22,15 +23,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelake.llm.components import connected
-from tracelake.llm.tables import stored
+from tracelake.llm.tables import only, stored
 
 COORDINATES = 64
+#: Coordinates of the second signature, for documents of lists that lie in several components.
+SHARPER = 256
+#: Sets, and codes of all sets together, of a block of a family, about; and columns of a matrix at a time.
+BLOCK_SETS = 1000
+BLOCK_CODES = 250_000
+COLUMNS = 8192
 ROWS = 512
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RANDOM = np.random.default_rng(20240229)
-_FACTORS = _RANDOM.integers(0, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RANDOM.integers(0, 1 << 63, COORDINATES, np.uint64)
+_FACTORS = _RANDOM.integers(0, 1 << 63, COORDINATES + SHARPER, np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _RANDOM.integers(0, 1 << 63, COORDINATES + SHARPER, np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,11 +65,18 @@ def _shingle_codes(text: str | None, size: int) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
-def signatures(docs: DataFrame, size: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def threshold(coordinates: int, percent: int) -> int:
+    """Agreements that a pair of this similarity reaches but for about three times in a million."""
+    share = percent / 100
+    return max(1, int(coordinates * share - 4.6 * (coordinates * share * (1 - share)) ** 0.5))
+
+
+def signatures(docs: DataFrame, size: int, *, id_col: str = "doc_id", text_col: str = "text", sharper: bool = False) -> DataFrame:
     """``id``, ``n`` (set size), ``same`` (a 128-bit code of the set) and ``signature`` of every row; no shuffle.
 
-    An empty set has a null code and signature.
+    An empty set has a null code and signature. The sharper signature is longer and of other coordinates.
     """
+    first, wide = (COORDINATES, SHARPER) if sharper else (0, COORDINATES)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,13 +86,13 @@ def signatures(docs: DataFrame, size: int, *, id_col: str = "doc_id", text_col:
                 sets = [_shingle_codes(t, size) for t in part.column(1).to_pylist()]
                 sizes = np.array([len(s) for s in sets])
                 full = np.flatnonzero(sizes)
-                least = np.zeros((len(full), COORDINATES), np.uint32)
+                least = np.zeros((len(full), wide), np.uint32)
                 if len(full):
                     codes = np.concatenate([sets[k] for k in full])
                     starts = np.cumsum(sizes[full]) - sizes[full]
-                    for c in range(COORDINATES):
-                        least[:, c] = np.minimum.reduceat((codes * _FACTORS[c] + _SHIFTS[c]) >> np.uint64(32), starts)
-                ends = np.concatenate(([0], np.cumsum((sizes > 0) * COORDINATES))).astype(np.int32)
+                    for c in range(wide):
+                        least[:, c] = np.minimum.reduceat((codes * _FACTORS[first + c] + _SHIFTS[first + c]) >> np.uint64(32), starts)
+                ends = np.concatenate(([0], np.cumsum((sizes > 0) * wide))).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(least.view(np.int32).ravel()), mask=pa.array(sizes == 0))
                 same = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), listed], names=["id", "n", "same", "signature"])
@@ -87,14 +101,25 @@ def signatures(docs: DataFrame, size: int, *, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, f"id {kind}, n long, same binary, signature array<int>")
 
 
-def _postings(sets: DataFrame, matches: int) -> DataFrame:
+def set_codes(texts: DataFrame, code: Callable[[str], np.ndarray]) -> DataFrame:
+    """``id`` and ``codes`` of every row of ``id`` and ``body``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [code(t).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "codes"])
+
+    return texts.select("id", "body").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, codes binary")
+
+
+def _postings(sets: DataFrame, coordinates: int, percent: int) -> DataFrame:
     """``key``, ``id`` and ``n``: each set under the keys of its prefix that others have too."""
     keys = sets.select("id", "n", F.posexplode("signature").alias("c", "v"))
     keys = keys.select("id", "n", F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
     often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     shared = keys.join(often, "key").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "key"))).alias("keys"))
     # keys that nobody else has come first in the order and take up places of the prefix
-    places = F.lit(COORDINATES - matches + 1 - COORDINATES) + F.size("keys")
+    places = F.size("keys") - threshold(coordinates, percent) + 1
     return shared.where(places > 0).select("id", "n", F.explode(F.slice("keys", F.lit(1), places)).alias("k")).select("id", "n", F.col("k.key").alias("key"))
 
 
@@ -103,14 +128,16 @@ def _alike(n: Column, m: Column, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, matches: int, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose signatures agree often enough and whose whole shingle sets are similar."""
+def _agreeing(pairs: DataFrame, sets: DataFrame, coordinates: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose signatures agree often enough."""
     signed = pairs.join(sets.select(F.col("id").alias("a"), F.col("signature").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("signature").alias("t")), "b")
     agreed = F.size(F.filter(F.zip_with("s", "t", lambda x, y: x == y), lambda same: same))
-    close = stored(signed.where(agreed >= matches).select("a", "b"), "candidate-pairs")
-    named = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
-    needed = stored(texts.join(named, "id", "left_semi"), "candidate-texts")
-    both = close.join(needed.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(needed.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
+    return stored(signed.where(agreed >= threshold(coordinates, percent)).select("a", "b"), "candidate-pairs")
+
+
+def _confirmed(close: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole shingle sets are similar."""
+    both = close.join(texts.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, set()
@@ -130,31 +157,137 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, matches: int
     return both.select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def grouped(postings: DataFrame, confirmed: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def grouped(
+    postings: DataFrame,
+    confirmed: Callable[[DataFrame], DataFrame],
+    percent: int,
+    codes: Callable[[DataFrame], DataFrame],
+    sharper: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Components (``node``, ``component``) of the confirmed pairs among those that share a key.
 
-    postings: ``key``, ``id`` and ``n`` (set size). confirmed: gives those of pairs (``a``, ``b``) that are links.
-    First every member of a list is paired with the smallest; lists that then lie in one component
-    are done, and in the others members of different components are paired.
+    postings: ``key``, ``id`` and ``n`` (set size). confirmed: gives those of pairs (``a``, ``b``) that
+    are links. codes: gives ``id`` and ``codes`` (sorted 64-bit codes of the set, binary) of ids.
+    sharper: gives postings of ids under keys that fewer pairs share.
     """
-    first = postings.groupBy("key").agg(F.min(F.struct("id", "n")).alias("f"))
-    star = postings.join(first, "key").where((F.col("id") != F.col("f.id")) & _alike(F.col("n"), F.col("f.n"), percent))
+    leader = postings.groupBy("key").agg(F.min(F.struct("id", "n")).alias("f"))
+    star = postings.join(leader, "key").where((F.col("id") != F.col("f.id")) & _alike(F.col("n"), F.col("f.n"), percent))
     star = stored(star.select(F.col("id").alias("a"), F.col("f.id").alias("b")).distinct(), "star-pairs")
     links = stored(confirmed(star), "links")
     groups = stored(connected(links), "components")
-
-    placed = postings.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    left = stored(placed.join(split, "key"), "split-postings")
-    x, y = left.alias("x"), left.alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _alike(F.col("x.n"), F.col("y.n"), percent))
-    apart = stored(apart.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "other-pairs")
-    if apart.isEmpty():
+    left = _split(postings, groups)
+    if sharper and not left.isEmpty():
+        left = _split(sharper(left.select("id").distinct()), groups)
+    if left.isEmpty():
         return groups
-    more = stored(confirmed(apart), "links")
+    more = stored(_between(left, codes, percent), "links")
     return groups if more.isEmpty() else stored(connected(links.unionByName(more)), "components")
 
 
+def _between(left: DataFrame, codes: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Pairs of similar sets in different components, among ids that a chain of lists joins.
+
+    Such a family is dealt into blocks: by set size in steps as wide as the similarity allows, and each
+    step by a hash. A task compares two blocks of the same or adjoining steps by one matrix product
+    that gives the sizes of all intersections; only links that still join something within the two
+    blocks become rows, fewer than there are members.
+    """
+    leader = left.groupBy("key").agg(F.min("id").alias("b"))
+    family = stored(connected(left.join(leader, "key").select(F.col("id").alias("a"), "b")), "families")
+    step = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
+    some = left.select("id", "n", "component").distinct().join(family.withColumnRenamed("node", "id").withColumnRenamed("component", "family"), "id").withColumn("step", step)
+    blocks = some.groupBy("family", "step").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_CODES, F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("m"))
+    above = blocks.select("family", (F.col("step") - 1).alias("step"), F.col("m").alias("up"))
+    below = blocks.select("family", (F.col("step") + 1).alias("step"), F.col("m").alias("down"))
+    dealt = some.join(blocks.join(above, ["family", "step"], "left").join(below, ["family", "step"], "left").na.fill(0), ["family", "step"])
+    dealt = dealt.withColumn("h", F.pmod(F.xxhash64("id", F.lit("block")), F.col("m")).cast("int"))
+
+    def units(m: Column, make: Callable[[Column], Column]) -> Column:
+        return F.when(m > 0, F.transform(F.sequence(F.lit(0), m - 1), make)).otherwise(F.array().cast("array<struct<s:int,x:int,t:int,y:int>>"))
+
+    def unit(s: Column, x: Column, t: Column, y: Column) -> Column:
+        return F.struct(s.cast("int").alias("s"), x.cast("int").alias("x"), t.cast("int").alias("t"), y.cast("int").alias("y"))
+
+    own, h = F.col("step"), F.col("h")
+    everywhere = F.concat(
+        units(F.col("m"), lambda o: unit(own, F.least(h, o), own, F.greatest(h, o))),
+        units(F.col("up"), lambda o: unit(own, h, own + 1, o)),
+        units(F.col("down"), lambda o: unit(own - 1, o, own, h)),
+    )
+    held = stored(codes(some.select("id")), "set-codes")
+    rows = dealt.select("id", "component", "family", "step", "h", F.explode(everywhere).alias("u")).join(held, "id")
+    first = (F.col("step") == F.col("u.s")) & (h == F.col("u.x"))
+    rows = rows.select("id", "component", F.struct("family", "u").alias("unit"), first.alias("first"), "codes").repartition("unit").sortWithinPartitions("unit")
+    rows = rows.select(F.to_json("unit").alias("unit"), "id", "component", "first", "codes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting = None, []
+        for batch in batches:
+            for row in zip(*[batch.column(k).to_pylist() for k in range(5)]):
+                if row[0] != now:
+                    yield from _links(waiting, percent)
+                    now, waiting = row[0], []
+                waiting.append(row[1:])
+        yield from _links(waiting, percent)
+
+    kind = left.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _links(members: list[tuple], percent: int) -> Iterator[pa.RecordBatch]:
+    """Similar pairs of different components between the first block and the second (or within the only one)."""
+    one = [m for m in members if m[2]]
+    other = [m for m in members if not m[2]] or one
+    if not one:
+        return
+    sets = [[np.frombuffer(m[3], "<u8") for m in side] for side in (one, other)]
+    size = [np.array([len(x) for x in side]) for side in sets]
+    flat = [np.concatenate(side) for side in sets]
+    common = np.intersect1d(np.unique(flat[0]), np.unique(flat[1])) if one is not other else np.unique(flat[0])
+    row, column = [], []
+    for k in (0, 1):
+        at = np.minimum(np.searchsorted(common, flat[k]), max(len(common) - 1, 0))
+        inside = common[at] == flat[k] if len(common) else np.zeros(len(flat[k]), bool)
+        row.append(np.repeat(np.arange(len(size[k])), size[k])[inside])
+        column.append(at[inside])
+    shared = np.zeros((len(one), len(other)), np.float32)
+    for start in range(0, len(common), COLUMNS):
+        tiles = []
+        for k in (0, 1):
+            own = (column[k] >= start) & (column[k] < start + COLUMNS)
+            tile = np.zeros((len(size[k]), min(COLUMNS, len(common) - start)), np.float32)
+            tile[row[k][own], column[k][own] - start] = 1
+            tiles.append(tile)
+        shared += tiles[0] @ tiles[1].T
+    inside = shared.astype(np.int64)
+    alike = 100 * inside >= percent * (size[0][:, None] + size[1][None, :] - inside)
+    number = {c: k for k, c in enumerate({m[1] for m in members})}
+    alike &= np.array([number[m[1]] for m in one])[:, None] != np.array([number[m[1]] for m in other])[None, :]
+    # a spanning forest is enough: a link whose ends hang together already is left out
+    up = list(range(len(number)))
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    pairs = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(alike))):
+        x, y = root(number[one[i][1]]), root(number[other[j][1]])
+        if x != y:
+            up[x] = y
+            pairs.append((one[i][0], other[j][0]))
+    if pairs:
+        yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs]), pa.array([min(p) for p in pairs])], names=["a", "b"])
+
+
+def _split(postings: DataFrame, groups: DataFrame) -> DataFrame:
+    """Postings, with their components, of the lists that lie in several."""
+    placed = postings.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    return stored(placed.join(several, "key"), "split-postings")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -175,15 +308,24 @@ def near_duplicates(
     A link of similarity exactly 0.8 is missed if its signatures agree in fewer than 36 of 64
     coordinates, which happens about three times in a million.
     """
-    share = percent / 100
-    matches = max(1, int(COORDINATES * share - 4.6 * (COORDINATES * share * (1 - share)) ** 0.5))
     rows = stored(signatures(docs, shingle_words, id_col=id_col, text_col=text_col), "signatures")
     # equal sets become one node: the smallest id
     sets = stored(rows.where("n > 0 AND id IS NOT NULL").groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "distinct-sets")
+    postings = stored(_postings(sets, COORDINATES, percent), "postings")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
-    postings = stored(_postings(sets, matches), "postings")
+    texts = stored(only(texts, postings.select("id").distinct()), "candidate-texts")
+
+    def sharper(ids: DataFrame) -> DataFrame:
+        held = signatures(texts.join(ids, "id", "left_semi"), shingle_words, id_col="id", text_col="body", sharper=True)
+        return stored(_postings(stored(held, "sharper-signatures"), SHARPER, percent), "sharper-postings")
+
+    def codes(ids: DataFrame) -> DataFrame:
+        return set_codes(texts.join(ids, "id", "left_semi"), lambda text: _shingle_codes(text, shingle_words))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return _confirmed(_agreeing(pairs, sets, COORDINATES, percent), texts, shingle_words, percent)
 
-    groups = grouped(postings, lambda pairs: _confirmed(pairs, sets, texts, matches, shingle_words, percent), percent)
+    groups = grouped(postings, confirmed, percent, codes, sharper)
 
     known = sets.select("same", F.col("id").alias("node")).join(groups, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
     found = rows.select("id", "n", "same").join(known, "same", "left")

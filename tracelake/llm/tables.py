@@ -5,7 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: 64-bit words of the filter in ``only``: 4 MB, however many ids it is made from.
+FILTER = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +43,24 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def only(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """The rows whose ``column`` is in ``ids``, of which few are expected: a semi join behind a bit filter.
+
+    The filter has a fixed size and is broadcast; rows that it rejects are never dealt out. If the ids
+    are so many that it lets everything pass, the join alone does the work.
+    """
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER * 64))
+    words = ids.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
+    bits = np.zeros(FILTER, np.int64)
+    for row in words.toLocalIterator():
+        bits[row.word] = row.mask
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def maybe(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return df.where(maybe(bit)).join(ids.select(column), column, "left_semi")
