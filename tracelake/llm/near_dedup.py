@@ -175,9 +175,10 @@ def grouped(
     star = stored(star.select(F.col("id").alias("a"), F.col("f.id").alias("b")).distinct(), "star-pairs")
     links = stored(confirmed(star), "links")
     groups = stored(connected(links), "components")
-    left = _split(postings, groups)
+    # the only pair of a list of two has been tried
+    left = _split(postings, groups, 3)
     if sharper and not left.isEmpty():
-        left = _split(sharper(left.select("id").distinct()), groups)
+        left = _split(sharper(left.select("id").distinct()), groups, 2)
     if left.isEmpty():
         return groups
     more = stored(_between(left, codes, percent), "links")
@@ -281,10 +282,10 @@ def _links(members: list[tuple], percent: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs]), pa.array([min(p) for p in pairs])], names=["a", "b"])
 
 
-def _split(postings: DataFrame, groups: DataFrame) -> DataFrame:
-    """Postings, with their components, of the lists that lie in several."""
+def _split(postings: DataFrame, groups: DataFrame, least: int) -> DataFrame:
+    """Postings, with their components, of the lists that have ``least`` members and lie in several components."""
     placed = postings.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where(f"low != high AND members >= {least}").select("key")
     return stored(placed.join(several, "key"), "split-postings")
 
 
