@@ -27,7 +27,7 @@ from tracelake.llm.tables import only, stored
 
 COORDINATES = 64
 #: Coordinates of the second signature, for documents of lists that lie in several components.
-SHARPER = 256
+SHARPER = 128
 #: Sets, and codes of all sets together, of a block of a family, about; and columns of a matrix at a time.
 BLOCK_SETS = 1000
 BLOCK_CODES = 250_000
