@@ -130,3 +130,16 @@ def test_families_of_almost_similar_texts(spark, monkeypatch):
     assert 1 < len(set(want)) < 150
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.component_id for r in sorted(near_dedup.near_duplicates(df, shingle_words=2).collect())] == want
+
+
+def test_short_lines_take_part_in_the_query_and_the_stage(spark, tmp_path):
+    import corpus_pipeline
+    from tracelake.llm.queries import QUERIES
+
+    rows = [(1, "Share\nfirst text of its own\n\nok"), (2, "Share \nanother one altogether, not alike\n\nok"), (3, "x\n\nShare"), (4, "x\ny")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.removed_lines for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    assert found == {1: [], 2: [0, 3], 3: [2], 4: [0]}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
+    assert left == {1: rows[0][1], 2: "another one altogether, not alike\n", 3: "x\n", 4: "y"}

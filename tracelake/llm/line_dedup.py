@@ -64,7 +64,7 @@ def band_keys(lines: list[str]) -> np.ndarray:
 def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """``doc``, ``at``, ``id`` (a 64-bit code of the trimmed line) and ``line`` of every line that counts."""
     rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("at", "line")).where("doc IS NOT NULL")
-    rows = rows.withColumn("line", F.btrim("line", F.lit(BLANKS))).where(F.length("line") >= least)
+    rows = rows.withColumn("line", F.btrim("line", F.lit(BLANKS))).where(F.length("line") >= max(least, 1))
     return rows.select("doc", "at", F.xxhash64("line").alias("id"), "line")
 
 
@@ -117,8 +117,8 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Lines end at a newline and are compared without surrounding blanks. Two are alike if the Jaccard
     similarity of their sets of 8-character shingles is at least ``percent`` / 100, and repeats if a
-    chain of alike lines joins them. Lines under ``least_chars`` characters, whose equality says
-    little, always stay. Rows with equal ids are one document; rows without an id take no part.
+    chain of alike lines joins them. Empty lines, and ones under ``least_chars`` characters, always
+    stay; a line shorter than a shingle is one shingle. Rows with equal ids are one document; rows without an id take no part.
     """
     lines = _lines(docs, id_col, text_col, least_chars)
     places = stored(lines.groupBy("id").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-lines")
