@@ -144,3 +144,19 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     q.stop()
     found = {r.event_id: r.agg_events_in_window for r in spark.sql("SELECT * FROM w1 WHERE source = 'a'").collect()}
     assert found == {i: min(i + 1, 4) for i in range(12)}
+
+
+def test_every_vector_and_component_is_trained_on_and_scored(spark, tmp_path, monkeypatch):
+    from tracelake.plans.catalog import QUERIES
+
+    rng = np.random.default_rng(5)
+    # only the last of eight components tells the ten labels apart; two vectors lack a label or components
+    rows = [(i, [*rng.normal(0, 1, 7).tolist(), 10.0 * (i % 10)], i % 10) for i in range(200)] + [(200, [0.0] * 7 + [50.0], None), (201, [1.0], 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    trained = []
+    train = model.train
+    monkeypatch.setattr(model, "train", lambda rows, features, *a, **k: trained.append((rows.count(), features)) or train(rows, features, *a, **k))
+    found = {r.vec_id: r for r in QUERIES["m6_m9_train_and_score"](spark, str(tmp_path)).collect()}
+    assert trained == [(201, [f"x{i}" for i in range(8)])]
+    assert found.keys() == set(range(202)) and {r.attack_cat for r in found.values()} == {f"c{k}" for k in range(10)}
+    assert sum(found[i].attack_cat == f"c{i % 10}" for i in range(200)) > 180

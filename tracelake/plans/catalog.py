@@ -410,13 +410,19 @@ def c3_digest(spark, sf_dir):
 
 @query()
 def m6_m9_train_and_score(spark, sf_dir):
-    """Trains a forest on two components of the vectors and scores them: label and probability per vector."""
+    """Trains a forest on all components of four fifths of the labelled vectors and scores every vector: label, probability and explained features.
+
+    Components that are missing or not finite count as zero.
+    """
     import tempfile
 
     from tracelake.operators import model
 
-    rows = _t(spark, sf_dir, "embeddings").where("label < 3").select("vec_id", F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(6)])
-    trained = model.train(rows, [f"x{i}" for i in range(6)], "category", "vec_id", trees=10, depth=4)
+    vectors = _t(spark, sf_dir, "embeddings")
+    names = [f"x{i}" for i in range(vectors.agg(F.max(F.size("embedding"))).first()[0])]
+    components = [F.coalesce(finite(F.get("embedding", F.lit(i)).cast("double")), F.lit(0.0)).alias(n) for i, n in enumerate(names)]
+    rows = vectors.select("vec_id", F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"), *components)
+    trained = model.train(rows.where("category IS NOT NULL"), names, "category", "vec_id", trees=10, depth=4)
     folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/models-{spark.sparkContext.applicationId}"
     model.certify(spark, trained, folder, "v1")
     found = model.FrozenClassifier(spark, folder, "v1")
