@@ -143,3 +143,29 @@ def test_short_lines_take_part_in_the_query_and_the_stage(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     left = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
     assert left == {1: rows[0][1], 2: "another one altogether, not alike\n", 3: "x\n", 4: "y"}
+
+
+def test_one_character_variants_of_30_50_and_70_characters(spark):
+    """An edit in the middle of a line, and shingle sets about the border of short and long lines, against all pairs."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for size in (30, 50, 70, 85, 98, 105, 130):
+        for _ in range(20):
+            base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size - 2))
+            base = f"<{base}>"
+            middle = size // 2
+            rows += [(len(rows), base), (len(rows) + 1, base[:middle] + "#" + base[middle + 1 :])]
+            want[rows[-1][0]] = size
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.removed for r in line_dedup.removed_lines(df, least_chars=1).collect()}
+    assert found.keys() <= want.keys()
+    for size in sorted({*want.values()}):
+        assert sum(want[d] == size for d in found) >= 19, size
+    ruler = spark.createDataFrame([(1, "=" * 30), (2, "=" * 300), (3, "ab")], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.removed_lines(ruler, least_chars=1).collect()} == {2}
+
+
+def test_set_sizes():
+    lines = ["a", "abcabcabc", "xy", "the the the", "=" * 40]
+    for size in (3, 5):
+        assert line_dedup.set_sizes(*line_dedup._shingle_codes(lines, size)).tolist() == [len(line_dedup.shingles(x, size)) for x in lines]

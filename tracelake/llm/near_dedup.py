@@ -16,6 +16,7 @@ only links between different components become rows. So none of these is lost.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -161,13 +162,14 @@ def grouped(
     postings: DataFrame,
     confirmed: Callable[[DataFrame], DataFrame],
     percent: int,
-    codes: Callable[[DataFrame], DataFrame],
+    codes: list[tuple[Column, Callable[[DataFrame], DataFrame]]],
     sharper: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components (``node``, ``component``) of the confirmed pairs among those that share a key.
 
     postings: ``key``, ``id`` and ``n`` (set size). confirmed: gives those of pairs (``a``, ``b``) that
-    are links. codes: gives ``id`` and ``codes`` (sorted 64-bit codes of the set, binary) of ids.
+    are links. codes: for each kind of postings, which they are and what gives ``id`` and ``codes`` (sorted
+    64-bit codes of the set, binary) of ids; a key is of one kind, and so is n.
     sharper: gives postings of ids under keys that fewer pairs share.
     """
     leader = postings.groupBy("key").agg(F.min(F.struct("id", "n")).alias("f"))
@@ -181,7 +183,7 @@ def grouped(
         left = _split(sharper(left.select("id").distinct()), groups, 2)
     if left.isEmpty():
         return groups
-    more = stored(_between(left, codes, percent), "links")
+    more = stored(reduce(DataFrame.unionByName, [_between(left.where(kind), of, percent) for kind, of in codes]), "links")
     return groups if more.isEmpty() else stored(connected(links.unionByName(more)), "components")
 
 
@@ -326,7 +328,7 @@ def near_duplicates(
     def confirmed(pairs: DataFrame) -> DataFrame:
         return _confirmed(_agreeing(pairs, sets, COORDINATES, percent), texts, shingle_words, percent)
 
-    groups = grouped(postings, confirmed, percent, codes, sharper)
+    groups = grouped(postings, confirmed, percent, [(F.lit(True), codes)], sharper)
 
     known = sets.select("same", F.col("id").alias("node")).join(groups, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
     found = rows.select("id", "n", "same").join(known, "same", "left")
