@@ -64,3 +64,24 @@ def test_small_training_set(spark):
     model = toxicity.fit(df, labels)
     scores = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
     assert min(scores[100 + i] for i in range(20)) > max(scores[i] for i in range(20))
+
+
+@here
+def test_a_held_out_language_of_the_same_script_is_rejected(spark):
+    """One odd text among the learned ones does not open the door; clean texts stay, short ones too."""
+    from tracelake.llm.queries import fold
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").withColumn("text", F.substring("text", 1, 1500))
+    odd = spark.createDataFrame([(-1, "zqxj wvkq xzzq jjqw", "en"), (-2, "qqxz kjwv", "fr")], docs.schema)
+    model = language_id.fit(docs.where((F.col("lang") != "de") & (fold(5) > 0)).unionByName(odd))
+    test = docs.where((F.col("lang") == "de") | (fold(5) == 0)).withColumn("size", F.length("text"))
+    # of a whole text and of its first 60 characters, by ids
+    short = test.withColumns({"doc_id": F.col("doc_id") + 1_000_000, "text": F.left(F.col("text"), F.lit(60))})
+    rows = test.unionByName(short)
+    judged = language_id.predict(rows, model).join(rows.select("doc_id", "lang", "size"), "doc_id").collect()
+    for least, most in ((0, 1_000_000), (1_000_000, 2_000_000)):
+        own = [r.rejected for r in judged if r.lang != "de" and least <= r.doc_id < most]
+        foreign = [r.rejected for r in judged if r.lang == "de" and r.size >= 60 and least <= r.doc_id < most]
+        assert len(own) > 100 and len(foreign) > 100
+        assert sum(own) <= 0.03 * len(own)
+        assert sum(foreign) >= 0.8 * len(foreign)
