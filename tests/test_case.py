@@ -160,3 +160,24 @@ def test_every_vector_and_component_is_trained_on_and_scored(spark, tmp_path, mo
     assert trained == [(201, [f"x{i}" for i in range(8)])]
     assert found.keys() == set(range(202)) and {r.attack_cat for r in found.values()} == {f"c{k}" for k in range(10)}
     assert sum(found[i].attack_cat == f"c{i % 10}" for i in range(200)) > 180
+
+
+def test_every_file_of_the_evidence_is_hashed(spark, tmp_path):
+    import hashlib
+
+    folder = tmp_path / "some evidence"
+    folder.mkdir()
+    for name, text in (("a.csv", "x,y\n1,2\n"), ("b.csv", "x,y\n3,4\n"), ("c%20d.csv", "x,y\n5,6\n")):
+        (folder / name).write_text(text)
+    one = custody.file_digest(spark, f"{folder}/a.csv")
+    assert one == hashlib.sha256(b"x,y\n1,2\n").hexdigest()
+    whole, glob = custody.file_digest(spark, str(folder)), custody.file_digest(spark, f"{folder}/*.csv")
+    assert whole == glob != one
+    for name in ("a.csv", "b.csv", "c%20d.csv"):
+        held = (folder / name).read_text()
+        (folder / name).write_text(held.replace("x", "z"))
+        assert custody.file_digest(spark, str(folder)) != whole
+        (folder / name).write_text(held)
+    assert custody.file_digest(spark, str(folder)) == whole
+    (folder / "b.csv").rename(folder / "e.csv")
+    assert custody.file_digest(spark, str(folder)) != whole

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tracelake.sources.streams import listed
+
+#: Bytes of a file that are read at a time.
+PIECE = 1 << 20
 GENESIS = "0" * 64
 CHAIN = "case_id string, idx int, ts string, operation string, component string, input_hash string, output_hash string, prev_hash string, record_hash string, notes string"
 _HASHED = ("case_id", "idx", "ts", "operation", "component", "input_hash", "output_hash", "prev_hash", "notes")
@@ -115,5 +122,26 @@ def table_digest(df: DataFrame, seq: str = "seq", *, block: int = 4096) -> tuple
 
 
 def file_digest(spark: SparkSession, path: str) -> str:
-    """SHA-256 of a file's bytes, computed where Spark reads it."""
-    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+    """SHA-256 of a file's bytes, computed where Spark reads it.
+
+    Of a folder or a glob with several files: over the sorted paths (from the folder that all are in) and
+    digests of all of them. Tasks read files in pieces.
+    """
+    files, opened = listed(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                digest = hashlib.sha256()
+                with opened(name, content) as source:
+                    while piece := source.read(PIECE):
+                        digest.update(piece)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([digest.hexdigest()])], names=["path", "h"])
+
+    found = sorted((r.path, r.h) for r in files.mapInArrow(run, "path string, h string").collect())
+    if not found:
+        raise FileNotFoundError(f"no file of evidence in {path}")
+    if len(found) == 1:
+        return found[0][1]
+    above = os.path.commonpath([os.path.dirname(p) for p, _ in found])
+    return hashlib.sha256(json.dumps([(os.path.relpath(p, above), h) for p, h in found]).encode()).hexdigest()

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import io
 import socket
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from tracelake.sources.streams import listed
 
 PACKET = "path string, ordinal long, ts double, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, length int"
 
 
-def _frames(data: bytes) -> Iterator[tuple[float, bytes, int, int]]:
+def _frames(source: BinaryIO) -> Iterator[tuple[float, bytes, int, int]]:
     """Time, captured bytes, length on the wire and link type of every packet."""
-    source = io.BytesIO(data)
     magic = source.read(4)
     if magic == b"\x0a\x0d\x0d\x0a":
-        yield from _pcapng(data)
+        yield from _pcapng(source)
         return
     order = {b"\xd4\xc3\xb2\xa1": ("<", 1e-6), b"\xa1\xb2\xc3\xd4": (">", 1e-6), b"\x4d\x3c\xb2\xa1": ("<", 1e-9), b"\xa1\xb2\x3c\x4d": (">", 1e-9)}.get(magic)
     if order is None:
@@ -30,13 +31,18 @@ def _frames(data: bytes) -> Iterator[tuple[float, bytes, int, int]]:
         yield seconds + part * unit, source.read(kept), length, link
 
 
-def _pcapng(data: bytes) -> Iterator[tuple[float, bytes, int, int]]:
-    at, end, links, units = 0, "<", [], []
-    while at + 12 <= len(data):
-        if data[at : at + 4] == b"\x0a\x0d\x0d\x0a":
-            end, links, units = "<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">", [], []
-        kind, size = struct.unpack_from(end + "II", data, at)
-        body = data[at + 8 : at + size - 4]
+def _pcapng(source: BinaryIO) -> Iterator[tuple[float, bytes, int, int]]:
+    """Packets of a stream whose first four bytes, a section's, are read already."""
+    start, end, links, units = b"\x0a\x0d\x0d\x0a", "<", [], []
+    while len(start) == 4 and len(raw := source.read(4)) == 4:
+        body = b""
+        if start == b"\x0a\x0d\x0d\x0a":
+            body = source.read(4)
+            end, links, units = "<" if body == b"\x4d\x3c\x2b\x1a" else ">", [], []
+        kind, size = struct.unpack(end + "II", start + raw)
+        if size < 12:
+            return
+        body = (body + source.read(size - 8 - len(body)))[: size - 12]
         if kind == 1:
             links.append(struct.unpack_from(end + "H", body)[0])
             unit, o = 1e-6, 8
@@ -51,9 +57,7 @@ def _pcapng(data: bytes) -> Iterator[tuple[float, bytes, int, int]]:
         elif kind == 6:
             port, high, low, kept, length = struct.unpack_from(end + "IIIII", body)
             yield ((high << 32) | low) * units[port], body[20 : 20 + kept], length, links[port]
-        if size < 12:
-            return
-        at += size
+        start = source.read(4)
 
 
 def decode(frame: bytes, link: int) -> tuple[str, str, int, int, str] | None:
@@ -81,22 +85,25 @@ def decode(frame: bytes, link: int) -> tuple[str, str, int, int, str] | None:
 def read_packets(spark: SparkSession, path: str, *, max_packets: int | None = None) -> DataFrame:
     """All packets of one or many captures, in order of ``ordinal`` within each; those that are not TCP or UDP over IPv4 have no addresses.
 
-    A capture is one task, as its records can only be found from its start.
+    A capture is one task, as its records can only be found from its start; the task reads it in pieces.
     """
 
+    files, opened = listed(spark, path)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in PACKET.split(", ")]
         for batch in batches:
-            for name, data in zip(batch["path"], batch["content"]):
+            for name, content in zip(batch["path"], batch["content"]):
                 rows = []
-                for n, (ts, frame, length, link) in enumerate(_frames(bytes(data))):
-                    if max_packets is not None and n >= max_packets:
-                        break
-                    src, dst, sport, dport, protocol = decode(frame, link) or (None, None, None, None, None)
-                    rows.append((name, n, ts, src, dst, sport, dport, protocol, length))
-                    if len(rows) == 20_000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
+                with opened(name, content) as source:
+                    for n, (ts, frame, length, link) in enumerate(_frames(source)):
+                        if max_packets is not None and n >= max_packets:
+                            break
+                        src, dst, sport, dport, protocol = decode(frame, link) or (None, None, None, None, None)
+                        rows.append((name, n, ts, src, dst, sport, dport, protocol, length))
+                        if len(rows) == 20_000:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
                 yield pd.DataFrame(rows, columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", F.col("content")).mapInPandas(run, PACKET)
+    return files.mapInPandas(run, PACKET)
