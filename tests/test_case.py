@@ -90,6 +90,17 @@ def test_whole_case(spark, trained, tmp_path):
     assert rows[0].category == "Normal" and rows[-1].category == "PortScan"
     text = report.markdown("c1", found.findings, found.verification)
     assert "PortScan" in text and "## Recommendation" in text
+    report.write_case(spark, "c1", found.findings, chain.report("c1"), str(tmp_path / "report"))
+    head = json.loads(spark.read.text(str(tmp_path / "report/case")).first()[0])
+    assert head["case_id"] == "c1" and head["findings"] == 9 and head["verification"]["valid"] and len(head["custody"]) == 5
+    annex = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "report/annex")).collect())
+    bad = [r for r in rows if r.category != "Normal"]
+    assert annex.count("### Event") == len(bad) and "- contributions: " in annex and "- probabilities: " in annex
+    assert spark.read.json(str(tmp_path / "report/findings")).count() == 9
+    # the evidence changes: what was returned does not
+    path.write_text(json.dumps(alerts[0]))
+    assert [r.seq for r in found.findings.orderBy("seq").collect()] == [r.seq for r in rows]
+    assert report.markdown("c1", found.findings, found.verification) == text
     path.write_text(json.dumps({"event_type": "flow"}))
     steps.clear()
     empty = run_case(spark, "c2", "suricata_eve", str(path), frozen, chain, on_step=lambda s, i: steps.append(s))
@@ -181,3 +192,69 @@ def test_every_file_of_the_evidence_is_hashed(spark, tmp_path):
     assert custody.file_digest(spark, str(folder)) == whole
     (folder / "b.csv").rename(folder / "e.csv")
     assert custody.file_digest(spark, str(folder)) != whole
+
+
+def test_a_link_has_one_writer(spark, tmp_path):
+    one = custody.CustodyChain(spark, str(tmp_path / "chain"))
+    other = custody.CustodyChain(spark, str(tmp_path / "chain"))
+    one.append("a", "x", "t", None, "1")
+    assert other._claimed("a", 2)
+    with pytest.raises(custody.CustodyConflict, match="link 2"):
+        one.append("a", "y", "t", "1", "2")
+    assert one.verify("a")["total_records"] == 1 and one.append("b", "x", "t", None, "1").idx == 1
+
+
+def test_manifests_are_read_as_they_are_written(spark, trained, tmp_path):
+    from tracelake.sources.files import read_manifests
+
+    with pytest.raises(FileNotFoundError):
+        read_manifests(spark, str(tmp_path))
+    for version in ("v2", "v1"):
+        model.certify(spark, trained, str(tmp_path), version)
+    found = read_manifests(spark, str(tmp_path)).collect()
+    assert [r.version for r in found] == ["v1", "v2"] and found[0].feature_names == FEATURES
+
+
+def test_digest_of_numbers_with_wide_gaps(spark):
+    """Numbers as monotonically_increasing_id gives them: the driver gets few hashes however many partitions there are."""
+    df = spark.range(500).select(((F.col("id") % 100) * (1 << 33) + F.col("id")).alias("seq"), F.col("id").alias("v"))
+    one = custody.table_digest(df)
+    assert one[1] == 500 and custody.table_digest(df.repartition(5)) == one
+    assert custody.table_digest(df.withColumn("v", F.col("v") + 1))[0] != one[0]
+
+
+def test_exact_quantiles(spark):
+    from tracelake.operators import quantiles as q
+
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.normal(0, 5, 4000), np.full(3000, 2.0), [1e9, -1e9]])
+    rng.shuffle(values)
+    df = spark.createDataFrame([(float(v), "a" if k % 3 else "b") for k, v in enumerate(values)] + [(None, "a"), (None, "c")], "v double, g string")
+    wanted = {str(s): (F.col("v"), s) for s in (0.0, 0.001, 0.25, 0.5, 0.6, 0.999, 1.0)}
+    found = q.quantiles(df, wanted)
+    assert all(abs(found[k] - np.quantile(values, s)) < 1e-9 for k, (_, s) in wanted.items())
+    assert q.quantiles(df.where("g = 'c'"), {"x": (F.col("v"), 0.5)}) == {"x": None}
+    groups = {r.g: r.m for r in q.group_quantiles(df, "g", {"m": (F.col("v"), 0.5)}).collect()}
+    for g in "ab":
+        assert abs(groups[g] - np.median([v for k, v in enumerate(values) if ("a" if k % 3 else "b") == g])) < 1e-9
+    assert groups["c"] is None
+
+
+def test_quantiles_that_need_narrowing(spark, monkeypatch):
+    from tracelake.operators import quantiles as q
+
+    monkeypatch.setattr(q, "ACCURACY", 40)
+    monkeypatch.setattr(q, "INSIDE", 450)
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000).cast("double").alias("v"))
+    found = q.quantiles(df, {"m": (F.col("v"), 0.5), "low": (F.col("v"), 0.01)})
+    assert found == {"m": 9999.5, "low": pytest.approx(199.99)}
+
+
+def test_overview_of_addresses(spark):
+    rows = [(k, "DoS", f"10.0.0.{k % 12:02d}", "", 0.5) for k in range(40)] + [(99, "Normal", None, "x", 1.0)]
+    df = spark.createDataFrame(rows, "seq long, category string, src_ip string, dst_ip string, probability double")
+    found = {r.category: r for r in report.category_overview(df).collect()}
+    assert found["DoS"].n_src_ips == 12 and found["DoS"].src_ips == [f"10.0.0.{k:02d}" for k in range(5)] and found["DoS"].dst_ips == []
+    assert found["Normal"].n_src_ips == 0 and found["Normal"].n_dst_ips == 1
+    blocks = report.case_blocks(df).collect()
+    assert [b.category for b in blocks] == ["DoS"] and blocks[0].meaning == report.MEANINGS["DoS"] and blocks[0].advice is None

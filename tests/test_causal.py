@@ -35,11 +35,10 @@ def test_ties_see_each_other(spark):
 
 def test_sources_are_apart_and_missing_ones_count_nothing(spark):
     rows = [(0, "a", at(0), "h", "1"), (1, "b", at(0), "h", "1"), (2, None, at(0), "h", "1"), (3, "a", None, "h", "1"), (4, None, None, None, None)]
-    for split in (False, True):
-        found = run(spark, rows, split_hot=split)
-        assert len(found) == 5
-        assert found[0][2] == found[1][2] == 1
-        assert found[2] == found[3] == found[4] == (0, 0, 0, 0.0)
+    found = run(spark, rows)
+    assert len(found) == 5
+    assert found[0][2] == found[1][2] == 1
+    assert found[2] == found[3] == found[4] == (0, 0, 0, 0.0)
 
 
 def test_empty_table(spark):
@@ -50,8 +49,7 @@ def test_empty_table(spark):
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 200), st.sampled_from(["x", "y", None]), st.integers(0, 3)), max_size=25))
 def test_plans_agree_with_each_other_and_with_a_loop(spark, events):
     rows = [(i, s, at(t), h, str(p)) for i, (s, t, h, p) in enumerate(events)]
-    plain, split = run(spark, rows), run(spark, rows, split_hot=True)
-    assert plain == split
+    plain = run(spark, rows)
     for i, s, us, _, _ in rows:
         near = [r for r in rows if r[1] == s and us - at(60) <= r[2] <= us]
         span = max((us - min(r[2] for r in near)) / 1e6, 1.0)
@@ -66,3 +64,23 @@ def test_tie_ordered_variant_hides_later_ties(spark):
     df = spark.createDataFrame([(i, "a", at(1), "h", str(i)) for i in range(3)], SCHEMA)
     found = {r.id: (r.agg_events_in_window, r.agg_distinct_dst_ports) for r in tie_ordered_window(df, "src", "us", "id", "host", "port").collect()}
     assert found == {0: (1, 1), 1: (2, 2), 2: (3, 3)}
+
+
+def test_a_hot_source_in_one_window(spark):
+    """Thousands of events of one source within the window: the work must not grow with the window's size."""
+    rows = [(i, "hot", at(i / 1000), f"h{i % 7}", str(i % 5000)) for i in range(20_000)]
+    found = run(spark, rows)
+    assert found[19_999] == (5000, 7, 20_000, round(20_000 / 19.999, 6)) and found[100][:3] == (101, 7, 101)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 90), st.sampled_from(["x", "y", None]), st.integers(0, 3)), max_size=25))
+def test_tie_ordered_variant_agrees_with_a_loop(spark, events):
+    rows = [(i, s, at(t), h, str(p)) for i, (s, t, h, p) in enumerate(events)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {r.id: tuple(r[a] for a in AGGREGATES) for r in tie_ordered_window(df, "src", "us", "id", "host", "port", seconds=20).collect()}
+    assert found.keys() == {r[0] for r in rows}
+    for i, s, us, _, _ in rows:
+        near = [r for r in rows if r[1] == s and us - at(20) <= r[2] and (r[2], r[0]) <= (us, i)]
+        span = max((us - min(r[2] for r in near)) / 1e6, 1.0)
+        assert found[i][:3] == (len({r[4] for r in near}), len({r[3] for r in near if r[3]}), len(near)) and abs(found[i][3] - len(near) / span) < 1e-6

@@ -134,3 +134,32 @@ def test_union_of_files_and_headerless(spark, tmp_path):
     with pytest.raises(ValueError):
         files.read_headerless_csv(spark, str(tmp_path / "a" / "1.csv"), ["one"])
     assert df.where(F.col("source_path").endswith("1.csv")).count() == 1
+
+
+def test_sniffing_long_and_odd_lines(spark, write):
+    long = json.dumps({"event_type": "alert", "payload": "A" * 300_000}) + "\n"
+    assert files.sniff_type(spark, write("long.log", long * 3)) == "jsonl"
+    assert files.sniff_type(spark, write("odd.log", "{not json, but values\n1,2\n")) == "csv"
+    with pytest.raises(ValueError):
+        files.sniff_type(spark, write("empty.dat", ""))
+
+
+def test_several_captures_are_apart(spark, tmp_path):
+    a, b = ("10.0.0.1", 1000, "10.0.0.2", 80), ("10.0.0.2", 80, "10.0.0.1", 1000)
+    (tmp_path / "caps").mkdir()
+    (tmp_path / "caps/1.pcap").write_bytes(capture([(1, packet(*a)), (2, packet(*b))]))
+    (tmp_path / "caps/2.pcap").write_bytes(capture([(1000, packet(*a)), (1001, packet(*b))]))
+    raw = read_packets(spark, str(tmp_path / "caps"))
+    flows = packet_flows(raw).orderBy("seq").collect()
+    assert [(f.duration, f.packets_out, f.packets_in, f.first_seen[14:19]) for f in flows] == [(1.0, 1, 1, "00:01"), (1.0, 1, 1, "16:40")]
+    events = normalize.packet_flow_events(packet_flows(raw)).collect()
+    assert len({e.seq for e in events}) == 2 and [e.event_us for e in sorted(events)] == [1_000_000, 1_000_000_000]
+
+
+def test_encodings_and_provenance(spark, write):
+    path = write("latin.csv", "name,x\nañb – €,1\n".encode("windows-1252"))
+    assert files.read_csv_any_encoding(spark, path).first()["name"] == "añb – €"
+    assert files.read_csv_any_encoding(spark, path, ("UTF-8", "ISO-8859-1")).first()["name"].startswith("añb")
+    df = files.read_flow_csv(spark, path, encoding="windows-1252")
+    one, two = files.provenance(spark, path, df).first(), files.provenance(spark, path, df.withColumn("x", F.lit("2"))).first()
+    assert one.row_count == 1 and one.file_sha256 == two.file_sha256 and one.events_sha256 != two.events_sha256

@@ -1,48 +1,85 @@
-"""Causal window aggregates: what each source did in the seconds before and up to an event."""
+"""Causal window aggregates: what each source did in the seconds before and up to an event.
+
+An event counts from its own time until the window has passed, so what a window holds is a running sum over
+arrivals and expiries: the work grows with the number of events, however many a window holds. A host or port
+counts once: at an arrival if it was not seen within the window before, and it goes with an expiry if it is not
+seen again within the window after.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 AGGREGATES = ("agg_distinct_dst_ports", "agg_distinct_dst_hosts", "agg_events_in_window", "agg_events_per_second")
 
 
-def _over(frame: WindowSpec, us: Column, host: Column, port: Column, known: Column) -> dict[str, Column]:
-    count = F.count(F.lit(1)).over(frame)
-    oldest = F.min(us).over(frame)
-    span = F.greatest((us - oldest) / 1_000_000, F.lit(1.0))
+def _aggregated(df: DataFrame, source: Column, us: Column, host: Column, port: Column, tie: Column | None, seconds: float) -> DataFrame:
+    """All columns of df and the four aggregates. tie: of equal times only rows up to a row's own ``tie`` count; all do without.
+
+    A source's events are cut into buckets one window long, and every row also serves the next bucket. All
+    sorts are within the partitions of one shuffle by source and bucket.
+    """
+    width = int(seconds * 1_000_000)
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+        F.when(us.isNotNull(), source).alias("source"), us.cast("long").alias("us"), host.alias("host"), port.alias("port"),
+        (F.lit(0) if tie is None else tie).alias("tie"),
+        (source.isNotNull() & us.isNotNull()).alias("known"),
+    )
+    bucket = F.floor(F.col("us") / width)
+
+    def place(at: Column, own: bool) -> Column:
+        return F.struct(at.cast("long").alias("bucket"), F.lit(own).alias("own"))
+
+    # rows that count nothing are spread out instead of meeting in one partition
+    nowhere = F.array(place(F.pmod(F.monotonically_increasing_id(), F.lit(1024)), True))
+    placed = rows.withColumn("place", F.explode(F.when(F.col("known"), F.array(place(bucket, True), place(bucket + 1, False))).otherwise(nowhere)))
+    placed = placed.select(F.when(F.col("place.own"), F.col("row")).alias("row"), "place.*", "source", "us", "host", "port", "tie", "known").repartition("source", "bucket")
+
+    def seen(c: str) -> dict[str, Column]:
+        same = Window.partitionBy("source", "bucket", c).orderBy("us", "tie")
+        before, after = F.col("us") - F.lag("us").over(same), F.lead("us").over(same) - F.col("us")
+        return {f"{c}_comes": (F.col(c).isNotNull() & (F.coalesce(before, F.lit(width + 1)) > width)).cast("int"), f"{c}_goes": (F.col(c).isNotNull() & (F.coalesce(after, F.lit(width + 1)) > width)).cast("int")}
+
+    following = F.lead("us").over(Window.partitionBy("source", "bucket").orderBy("us", "tie"))
+    told = placed.withColumns(seen("host")).withColumns(seen("port")).withColumn("following", following)
+
+    def change(at: Column, phase: int, n: int, hosts: Column, ports: Column, rest: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(phase).alias("phase"), F.lit(n).alias("n"), hosts.alias("hosts"), ports.alias("ports"), rest.alias("rest"))
+
+    comes = change(F.col("us"), 1, 1, F.col("host_comes"), F.col("port_comes"), F.lit(None).cast("long"))
+    goes = change(F.col("us") + width + 1, 0, -1, -F.col("host_goes"), -F.col("port_goes"), F.col("following"))
+    # a bucket's own rows are all still counted at its end
+    changes = told.withColumn("e", F.explode(F.when(F.col("own"), F.array(comes)).otherwise(F.array(comes, goes))))
+    changes = changes.select("row", "source", "bucket", "own", "known", "us", "tie", "e.*")
+    within = Window.partitionBy("source", "bucket")
+    if tie is None:
+        frame = within.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    else:
+        frame = within.orderBy("at", "phase", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    count = F.sum("n").over(frame)
+    # the event after the last expired one is the oldest that still counts
+    oldest = F.coalesce(F.max("rest").over(frame), F.min("us").over(frame))
+    span = F.greatest((F.col("us") - oldest) / 1_000_000, F.lit(1.0))
     zero = F.lit(0).cast("long")
-    return {
-        "agg_distinct_dst_ports": F.when(known, F.size(F.collect_set(port).over(frame)).cast("long")).otherwise(zero),
-        "agg_distinct_dst_hosts": F.when(known, F.size(F.collect_set(host).over(frame)).cast("long")).otherwise(zero),
-        "agg_events_in_window": F.when(known, count).otherwise(zero),
-        "agg_events_per_second": F.when(known, F.round(count / span, 6)).otherwise(F.lit(0.0)),
-    }
+    out = changes.withColumns(
+        {
+            "agg_distinct_dst_ports": F.when(F.col("known"), F.sum("ports").over(frame)).otherwise(zero),
+            "agg_distinct_dst_hosts": F.when(F.col("known"), F.sum("hosts").over(frame)).otherwise(zero),
+            "agg_events_in_window": F.when(F.col("known"), count).otherwise(zero),
+            "agg_events_per_second": F.when(F.col("known"), F.round(count / span, 6)).otherwise(F.lit(0.0)),
+        }
+    )
+    return out.where("own").select("row.*", *AGGREGATES)
 
 
-def causal_window(df: DataFrame, source: Column, us: Column, host: Column, port: Column, *, seconds: float = 60.0, split_hot: bool = False) -> DataFrame:
+def causal_window(df: DataFrame, source: Column, us: Column, host: Column, port: Column, *, seconds: float = 60.0) -> DataFrame:
     """Adds the four aggregates over [time - seconds, time] of the same source, ties included.
 
-    us: event time in microseconds. Rows without source or time keep their place with zeros; null
-    hosts and ports are not counted. With ``split_hot`` a source's events are cut into buckets one
-    window long and every row also serves the next bucket: twice the rows, but no source larger than
-    two windows ends in one task. Both give the same rows.
+    us: event time in microseconds. Rows without source or time stay, with zeros; null hosts and ports are not
+    counted. No source larger than two windows ends in one task, and a task holds no window: it sorts and sums.
     """
-    width = int(seconds * 1_000_000)
-    known = source.isNotNull() & us.isNotNull()
-    named = df.withColumns({"__source": source, "__us": us, "__host": host, "__port": port, "__known": known})
-    if not split_hot:
-        # rows that count nothing are spread out instead of meeting in one partition
-        salt = F.when(F.col("__known"), F.lit(0)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("int"))
-        frame = Window.partitionBy("__source", "__salt").orderBy("__us").rangeBetween(-width, 0)
-        out = named.withColumn("__salt", salt).withColumns(_over(frame, F.col("__us"), F.col("__host"), F.col("__port"), F.col("__known")))
-        return out.drop("__source", "__us", "__host", "__port", "__known", "__salt")
-    bucket = F.floor(F.col("__us") / width)
-    places = F.when(F.col("__known"), F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("own"))))
-    places = places.otherwise(F.array(F.struct(F.pmod(F.monotonically_increasing_id(), F.lit(1024)).alias("bucket"), F.lit(True).alias("own"))))
-    frame = Window.partitionBy("__source", "__place.bucket").orderBy("__us").rangeBetween(-width, 0)
-    out = named.withColumn("__place", F.explode(places)).withColumns(_over(frame, F.col("__us"), F.col("__host"), F.col("__port"), F.col("__known")))
-    return out.where("__place.own").drop("__source", "__us", "__host", "__port", "__known", "__place")
+    return _aggregated(df, source, us, host, port, None, seconds)
 
 
 def tie_ordered_window(df: DataFrame, source: str, us: str, order: str, host: str, port: str, *, seconds: float = 60.0) -> DataFrame:
@@ -50,29 +87,8 @@ def tie_ordered_window(df: DataFrame, source: str, us: str, order: str, host: st
 
     Rows without source or time are left out, as in the offline tables.
     """
-    width = int(seconds * 1_000_000)
     rows = df.where(F.col(source).isNotNull() & F.col(us).isNotNull())
-    # rows of the range frame that ties later in the order add are cut off again by their number
-    at = F.row_number().over(Window.partitionBy(source).orderBy(us, order))
-    before = F.count(F.lit(1)).over(Window.partitionBy(source).orderBy(us).rangeBetween(Window.unboundedPreceding, -width - 1))
-    numbered = rows.withColumns({"__at": at, "__before": before})
-    held = F.collect_list(F.struct(F.col("__at").alias("at"), F.col(us).alias("us"), F.col(host).cast("string").alias("host"), F.col(port).cast("string").alias("port"))).over(Window.partitionBy(source).orderBy(us).rangeBetween(-width, 0))
-    seen = numbered.withColumn("__held", held).withColumn("__held", F.filter("__held", lambda x: x.at <= F.col("__at")))
-    count = (F.col("__at") - F.col("__before")).cast("long")
-    span = F.greatest((F.col(us) - F.array_min(F.transform("__held", lambda x: x.us))) / 1_000_000, F.lit(1.0))
-
-    def distinct(field: str) -> Column:
-        return F.size(F.array_compact(F.array_distinct(F.transform("__held", lambda x: x[field])))).cast("long")
-
-    out = seen.withColumns(
-        {
-            "agg_distinct_dst_ports": distinct("port"),
-            "agg_distinct_dst_hosts": distinct("host"),
-            "agg_events_in_window": count,
-            "agg_events_per_second": F.round(count / span, 6),
-        }
-    )
-    return out.drop("__at", "__before", "__held")
+    return _aggregated(rows, F.col(source), F.col(us), F.col(host), F.col(port), F.col(order), seconds)
 
 
 def range_self_join(df: DataFrame, key: str, source: str, us: str, host: str, port: str, *, seconds: float = 60.0) -> DataFrame:

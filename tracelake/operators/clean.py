@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelake import schema
 from tracelake.functions.scalars import clip, snake_case, title
+from tracelake.operators.quantiles import quantiles
 
 # Spellings of labels, by the category that they mean.
 _COMMON = {
@@ -57,6 +60,9 @@ def _exact(c: Column, table: dict[str, tuple[str, ...]]) -> Column:
     return F.when(F.lower(name) == "normal", "Normal").otherwise(name)
 
 
+# Marks in labels and file names, in the order in which they are tried.
+
+
 def label_cicids(c: Column) -> Column:
     """Known spellings, then patterns in order (normal, brute force, port scan, DDoS, DoS); others in title case."""
     name = F.trim(F.coalesce(c, F.lit("")))
@@ -108,6 +114,10 @@ def scenario_category(category: Column) -> Column:
     return F.when(category.isin(*schema.SCENARIO_CATEGORIES), category).otherwise("Generic")
 
 
+# Names of label columns, in the order in which they are looked for.
+LABEL_COLUMNS = ("attack_cat", "category", "label", "attack", "class", "target")
+
+
 def find_label_column(columns: list[str]) -> str | None:
     """``label``, else the first column whose name has class, attack or target in it."""
     names = [snake_case(c) for c in columns]
@@ -123,23 +133,36 @@ def _numeric(df: DataFrame, columns: list[str] | None) -> list[str]:
 
 
 def impute_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Missing and infinite values as the column's exact median, 0.0 if it has none. One aggregate for all columns."""
+    """Missing and infinite values as the column's exact median, 0.0 if it has none. Two aggregates for all columns."""
     columns = _numeric(df, columns)
-    medians = df.agg(*[F.coalesce(F.median(no_infinity(F.col(c))), F.lit(0.0)).alias(c) for c in columns]).first()
-    return df.withColumns({c: F.coalesce(no_infinity(F.col(c)), F.lit(medians[c])) for c in columns})
+    medians = quantiles(df, {c: (no_infinity(F.col(f"`{c}`")), 0.5) for c in columns})
+    return df.withColumns({c: F.coalesce(no_infinity(F.col(f"`{c}`")), F.lit(0.0 if medians[c] is None else medians[c])) for c in columns})
 
 
 def winsorize(df: DataFrame, columns: list[str] | None = None, *, low: float = 0.001, high: float = 0.999) -> DataFrame:
-    """Values moved to the column's quantiles. One aggregate for all columns, one pass to apply it."""
+    """Values moved to the column's quantiles. Two aggregates for all columns, one pass to apply them."""
     columns = _numeric(df, columns)
-    bounds = df.agg(*[F.percentile(c, [low, high]).alias(c) for c in columns]).first()
-    return df.withColumns({c: clip(F.col(c), F.lit(bounds[c][0]), F.lit(bounds[c][1])) for c in columns if bounds[c]})
+    bounds = quantiles(df, {f"{side}{c}": (F.col(f"`{c}`"), q) for c in columns for side, q in (("l", low), ("h", high))})
+    return df.withColumns({c: clip(F.col(f"`{c}`"), F.lit(bounds[f"l{c}"]), F.lit(bounds[f"h{c}"])) for c in columns if bounds[f"l{c}"] is not None})
 
 
 def constant_columns(df: DataFrame) -> list[str]:
-    """Columns with at most one value, null counted as a value."""
-    counts = df.agg(*[(F.count_distinct(F.col(f"`{c}`")) + F.max(F.col(f"`{c}`").isNull().cast("int"))).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
-    return [c for i, c in enumerate(df.columns) if (counts[i] or 0) <= 1]
+    """Columns with at most one value, null counted as a value: their least and largest are equal."""
+    aggregates = []
+    for i, (c, kind) in enumerate(df.dtypes):
+        value, nulls = F.col(f"`{c}`"), F.count_if(F.col(f"`{c}`").isNull())
+        if "map<" in kind or "variant" in kind:  # these have no order
+            value = F.to_json(F.struct(value))
+        same = F.coalesce(F.min(value) == F.max(value), F.lit(True))
+        aggregates.append((same & ((nulls == 0) | (nulls == F.count(F.lit(1))))).alias(f"c{i}"))
+    found = df.agg(*aggregates).first()
+    return [c for i, c in enumerate(df.columns) if found[i]]
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: how many values each column has, null counted as one. Columns are counted one after the other, without a copy of the rows for each."""
+    counts = [df.select(F.col(f"`{c}`").alias("v")).groupBy("v").agg(F.lit(1)).agg(F.lit(c).alias("c"), F.count(F.lit(1)).alias("n")) for c in columns]
+    return reduce(DataFrame.unionByName, counts).agg(*[F.max(F.when(F.col("c") == c, F.col("n"))).alias(c) for c in columns])
 
 
 def drop_constant(df: DataFrame) -> DataFrame:

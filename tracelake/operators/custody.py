@@ -45,8 +45,16 @@ def record_hash() -> Column:
     return F.sha2(F.to_json(F.parse_json(F.to_json(F.struct(*_HASHED)))), 256)
 
 
+class CustodyConflict(Exception):
+    """Another writer has taken the link's number."""
+
+
 class CustodyChain:
-    """An append-only table of links, one writer at a time; a case has a handful of them."""
+    """An append-only table of links; a case has a handful of them.
+
+    (case, number) is a key: a link is written only by the writer whose claim, a file that the store creates
+    for one of them alone, succeeded.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -55,10 +63,17 @@ class CustodyChain:
     def _all(self) -> DataFrame:
         return self.spark.read.schema(CHAIN).parquet(self.path)
 
+    def _claimed(self, case_id: str, idx: int) -> bool:
+        """Whether this writer may write a link; Spark's readers pass over names that begin with an underscore."""
+        claim = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims/{hashlib.sha256(case_id.encode()).hexdigest()}-{idx}")
+        return claim.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(claim)
+
     def append(self, case_id: str, operation: str, component: str, input_hash: str | None, output_hash: str | None, notes: str | None = None) -> Link:
-        """Adds a link after the case's last one."""
+        """Adds a link after the case's last one; CustodyConflict where another writer is adding it."""
         last = last_links(self._all().where(F.col("case_id") == case_id)).first()
         link = Link(case_id, last.idx + 1 if last else 1, datetime.now(timezone.utc).isoformat(), operation, component, input_hash, output_hash, last.record_hash if last else GENESIS, notes)
+        if not self._claimed(case_id, link.idx):
+            raise CustodyConflict(f"link {link.idx} of case {case_id} was taken by another writer")
         row = {**asdict(link), "record_hash": link.record_hash}
         self.spark.createDataFrame([tuple(row[f.split()[0]] for f in CHAIN.split(", "))], CHAIN).coalesce(1).write.mode("append").parquet(self.path)
         return link
@@ -107,17 +122,24 @@ def row_hash(*columns: Column) -> Column:
 
 
 def table_digest(df: DataFrame, seq: str = "seq", *, block: int = 4096) -> tuple[str, int]:
-    """SHA-256 over a table in order of ``seq`` and its row count, by blocks of consecutive rows and then over the blocks.
+    """SHA-256 over a table in order of ``seq`` and its row count, by blocks of ``seq`` and then over the blocks.
 
-    Blocks are ranges of ``seq``, so no task gathers more than one; the driver gets a hash per million rows.
+    Blocks are ranges of ``seq``, of about 4096 rows where it has few gaps; they are folded level by level until
+    at most 4096 are left for the driver. No task gathers more than the rows of one range.
     """
-    rows = df.select(F.col(seq).cast("long").alias("seq"), row_hash(*[F.col(f"`{c}`") for c in df.columns]).alias("h"))
+    rows = df.select(F.col(seq).cast("long").alias("seq"), row_hash(*[F.col(f"`{c}`") for c in df.columns]).alias("h"), F.lit(1).cast("long").alias("n"))
 
     def folded(x: DataFrame) -> DataFrame:
         inside = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "h"))), lambda r: r.h), "")
         return x.groupBy(F.floor(F.col("seq") / block).alias("b")).agg(F.sha2(inside, 256).alias("h"), F.sum("n").alias("n")).select(F.col("b").alias("seq"), "h", "n")
 
-    top = folded(folded(rows.withColumn("n", F.lit(1)))).orderBy("seq").collect()
+    # the widest range of seq tells how many levels leave at most one block of blocks
+    levels, width = 2, (df.agg(F.max(F.col(seq).cast("long"))).first()[0] or 0) // block**2
+    while width >= block:
+        levels, width = levels + 1, width // block
+    for _ in range(levels):
+        rows = folded(rows)
+    top = rows.orderBy("seq").collect()
     return hashlib.sha256("".join(r.h for r in top).encode()).hexdigest(), sum(r.n for r in top)
 
 

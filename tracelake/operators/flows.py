@@ -20,19 +20,22 @@ def gap_sessions(df: DataFrame, keys: list[str], us: str, ordinal: str, *, gap_s
 
 
 def packet_flows(packets: DataFrame, *, flow_timeout: float = 120.0, protocols: tuple[str, ...] = ("TCP", "UDP")) -> DataFrame:
-    """Flows of packets (ordinal, ts in seconds, src_ip, src_port, dst_ip, dst_port, protocol, length).
+    """Flows of packets (ordinal, ts in seconds, src_ip, src_port, dst_ip, dst_port, protocol, length, and path for several captures).
 
-    A flow is a direction-free 5-tuple between two silences of more than ``flow_timeout`` seconds, in
+    A flow is a direction-free 5-tuple of one capture between two silences of more than ``flow_timeout`` seconds, in
     order of capture. Its first packet is the initiator's; packets and bytes are counted from there and
     back. Returns src_ip, src_port, dst_ip, dst_port, protocol, duration (rounded to 6), packets_out,
-    packets_in, bytes_out, bytes_in, first_seen, and ``seq`` by first appearance of key, then flow.
+    packets_in, bytes_out, bytes_in, first_seen, and ``seq`` by capture, first appearance of key, then flow.
     """
     rows = packets.where(F.col("protocol").isin(*protocols)).withColumn("us", F.round(F.col("ts") * 1_000_000).cast("long"))
-    keyed = gap_sessions(canonical_key(rows, "src_ip", "src_port", "dst_ip", "dst_port"), ["low", "high", "protocol"], "us", "ordinal", gap_seconds=flow_timeout)
+    if "path" not in packets.columns:
+        rows = rows.withColumn("path", F.lit(""))
+    key = ["path", "low", "high", "protocol"]
+    keyed = gap_sessions(canonical_key(rows, "src_ip", "src_port", "dst_ip", "dst_port"), key, "us", "ordinal", gap_seconds=flow_timeout)
     first = F.min_by(F.struct("src_ip", "src_port", "dst_ip", "dst_port", "us"), "ordinal")
-    whole = Window.partitionBy("low", "high", "protocol", "flow_no").orderBy("ordinal")
+    whole = Window.partitionBy(*key, "flow_no").orderBy("ordinal")
     named = keyed.withColumn("out", (F.first("src_ip").over(whole) == F.col("src_ip")) & (F.first("src_port").over(whole) == F.col("src_port")))
-    flows = named.groupBy("low", "high", "protocol", "flow_no").agg(
+    flows = named.groupBy(*key, "flow_no").agg(
         first.alias("f"),
         F.max_by("us", "ordinal").alias("last"),
         F.count_if("out").alias("packets_out"),
@@ -41,8 +44,8 @@ def packet_flows(packets: DataFrame, *, flow_timeout: float = 120.0, protocols:
         F.sum(F.when(F.col("out"), F.lit(0)).otherwise(F.col("length"))).cast("long").alias("bytes_in"),
         F.min("ordinal").alias("at"),
     )
-    key_order = F.min("at").over(Window.partitionBy("low", "high", "protocol"))
-    return flows.withColumn("seq", F.struct(key_order.alias("key"), F.col("flow_no"))).select(
+    key_order = F.min("at").over(Window.partitionBy(*key))
+    return flows.withColumn("seq", F.struct("path", key_order.alias("key"), F.col("flow_no"))).select(
         "seq", "f.src_ip", "f.src_port", "f.dst_ip", "f.dst_port", "protocol",
         F.round((F.col("last") - F.col("f.us")) / 1_000_000, 6).alias("duration"),
         "packets_out", "packets_in", "bytes_out", "bytes_in",

@@ -9,10 +9,10 @@ from tracelake.operators.causal import AGGREGATES, causal_window
 from tracelake.schema import TIME_FEATURES, TRAFFIC
 
 
-def aggregate_events(events: DataFrame, *, seconds: float = 60.0, split_hot: bool = False) -> DataFrame:
+def aggregate_events(events: DataFrame, *, seconds: float = 60.0) -> DataFrame:
     """Adds the causal aggregates of each event's source (its address) to the events."""
     ip = F.nullif(F.col("src_endpoint.ip"), F.lit(""))
-    return causal_window(events, ip, F.col("event_us"), F.col("dst_endpoint.ip"), F.col("dst_endpoint.port"), seconds=seconds, split_hot=split_hot).withColumn("aggregation_window_seconds", F.lit(float(seconds)))
+    return causal_window(events, ip, F.col("event_us"), F.col("dst_endpoint.ip"), F.col("dst_endpoint.port"), seconds=seconds).withColumn("aggregation_window_seconds", F.lit(float(seconds)))
 
 
 def feature_map(events: DataFrame) -> Column:

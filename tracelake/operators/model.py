@@ -11,6 +11,7 @@ from datetime import datetime, timezone
 import numpy as np
 import pandas as pd
 import pyspark
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -90,7 +91,9 @@ class FrozenClassifier:
     def __init__(self, spark: SparkSession, folder: str, version: str):
         try:
             lines = spark.read.option("wholetext", True).text(f"{folder}/model_{version}.manifest.json").collect()
-        except Exception as error:
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in (error.getCondition() or ""):
+                raise
             raise FileNotFoundError(f"no manifest of model {version} in {folder}") from error
         self.manifest = json.loads("".join(r.value for r in lines))
         path = f"{folder}/model_{version}"
@@ -132,7 +135,7 @@ class FrozenClassifier:
 
         kinds = df.drop("prediction").schema.simpleString()[7:-1]
         flat = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "prediction"], F.col("prediction.label").alias("__label"), F.to_json("prediction").alias("__p"))
-        out = flat.mapInPandas(run, f"{kinds.replace(':', ' ', 0)}, __p: string, top_features: array<struct<feature: string, shap_value: double>>")
+        out = flat.mapInPandas(run, f"{kinds}, __p: string, top_features: array<struct<feature: string, shap_value: double>>")
         return out.withColumn("prediction", F.from_json("__p", df.schema["prediction"].dataType)).drop("__p")
 
 

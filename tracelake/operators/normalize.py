@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelake import schema
@@ -106,20 +108,35 @@ def eve_events(df: DataFrame, *, raw: str = "raw", seq: str = "seq") -> DataFram
     )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, wherever the optimiser may move the expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _extension(text: Column) -> Column:
+    """Key and value pairs as a map; the last of equal keys wins. The text is matched once."""
+
+    def mapped(pairs: Column) -> Column:
+        def last_ones(keys: Column) -> Column:
+            entries = F.transform(pairs, lambda p, i: F.struct(F.get(keys, i).alias("k"), F.trim(F.replace(F.substring(p, F.length(F.get(keys, i)) + 2, F.length(p)), F.lit("\\ "), F.lit(" "))).alias("v")))
+            return F.map_from_entries(F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys) + 1), e.k)))
+
+        return bound(F.transform(pairs, lambda p: F.substring_index(p, "=", 1)), last_ones)
+
+    return bound(F.regexp_extract_all(text, F.lit(_PAIR), 0), mapped)
+
+
 def parse_cef(line: Column) -> Column:
     """A struct of a CEF line's prefix, seven header fields and extension map (last of equal keys wins); null if it is none."""
-    at = F.locate("CEF:", line)
-    body = F.substring(line, at + 4, F.length(line))
-    parts = F.split(body, _HEADER, 8)
-    text = F.coalesce(F.get(parts, F.lit(7)), F.lit(""))
-    keys, values = F.regexp_extract_all(text, F.lit(_PAIR), 1), F.regexp_extract_all(text, F.lit(_PAIR), 2)
-    values = F.transform(values, lambda v: F.trim(F.replace(v, F.lit("\\ "), F.lit(" "))))
-    # the last of equal keys wins: later positions only
-    entries = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys) + 1), e.k))
     names = ("cef_version", "device_vendor", "device_product", "device_version", "signature_id", "name", "severity")
-    head = [F.trim(F.replace(F.get(parts, F.lit(i)), F.lit("\\|"), F.lit("|"))).alias(n) for i, n in enumerate(names)]
-    parsed = F.struct(F.trim(F.substring(line, 1, at - 1)).alias("syslog_prefix"), *head, F.map_from_entries(F.transform(entries, lambda e: F.struct(e.k, e.v))).alias("extension"))
-    return F.when((at > 0) & (F.size(parts) >= 7), parsed)
+    at = F.locate("CEF:", line)
+
+    def parsed(parts: Column) -> Column:
+        head = [F.trim(F.replace(F.get(parts, F.lit(i)), F.lit("\\|"), F.lit("|"))).alias(n) for i, n in enumerate(names)]
+        extension = _extension(F.coalesce(F.get(parts, F.lit(7)), F.lit("")))
+        return F.when(F.size(parts) >= 7, F.struct(F.trim(F.substring(line, F.lit(1), at - 1)).alias("syslog_prefix"), *head, extension.alias("extension")))
+
+    return F.when(at > 0, bound(F.split(F.substring(line, at + 4, F.length(line)), _HEADER, 8), parsed))
 
 
 def cef_events(df: DataFrame, *, line: str = "raw_line", seq: str = "seq", reference_year: int | None = None) -> DataFrame:
@@ -148,11 +165,11 @@ def cef_events(df: DataFrame, *, line: str = "raw_line", seq: str = "seq", refer
 
 
 def packet_flow_events(flows: DataFrame, *, keep_ports: bool = False) -> DataFrame:
-    """Flows from packets as network activity; without ``keep_ports`` the target's port is left out."""
+    """Flows from packets as network activity, numbered in order; without ``keep_ports`` the target's port is left out."""
     port = F.col("dst_port").cast("string") if keep_ports else F.lit(None).cast("string")
-    # a key's place and the flow's number within it, in one number that keeps their order
-    seq = (F.col("seq.key") * 1_000_000 + F.col("seq.flow_no")).cast("long")
-    return flows.select(
+    # numbers in the order of capture, key and flow, without gaps but between tasks
+    seq = F.monotonically_increasing_id()
+    return flows.orderBy("seq.path", "seq.key", "seq.flow_no", "src_ip", "src_port").select(
         *_event(
             seq=seq,
             class_uid=F.lit(4001),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tracelake.operators.quantiles import group_quantiles
 from tracelake.schema import NORMAL
 
 
@@ -22,7 +23,8 @@ def top_k(df: DataFrame, by: Column, k: int) -> DataFrame:
 
 
 def group_medians(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    return df.groupBy(by).agg(*[F.median(c).alias(f"median_{c}") for c in columns])
+    """Exact medians per group."""
+    return group_quantiles(df, by, {f"median_{c}": (F.col(c), 0.5) for c in columns})
 
 
 def label_consistency(df: DataFrame, label: Column, category: Column) -> DataFrame:

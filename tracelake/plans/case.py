@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -69,7 +70,11 @@ def run_case(
     seconds: float = 60.0,
     on_step: Callable[[str, dict], None] = lambda step, info: None,
 ) -> CaseReport:
-    """Ingests, normalises, aggregates, scores and explains; every step's table is hashed into the chain.
+    """Ingests, normalises, aggregates, scores and explains; every step's table is written, and hashed as written.
+
+    The tables lie beside the chain, in ``<chain>-steps``; each step reads what the one before wrote, and the
+    findings are read from the last of them: what is returned is what the chain vouches for, whatever
+    becomes of the evidence.
 
     on_step hears of ingest, ocsf_normalize, aggregate, feature_extract, classify and verify, or of
     done where the evidence has no event. ValueError for an unknown source.
@@ -78,16 +83,21 @@ def run_case(
         raise ValueError(f"unknown source {source!r}; known: {', '.join(sorted(SOURCES))}")
     evidence = normalize_any(spark, path, SOURCES[source])
     raw = evidence.raw.withColumn("raw", F.to_json("raw")) if "raw" in evidence.raw.columns else evidence.raw
-    held, n = table_digest(raw)
+    folder = f"{chain.path.rstrip('/')}-steps/{uuid.uuid4().hex}"
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    held, n = table_digest(written(raw, "ingest"))
     chain.append(case_id, "ingest", f"ingest:{evidence.kind}", file_digest(spark, path), held, f"{n} records as {evidence.kind}")
     on_step("ingest", {"label": "Ingest", "detail": f"{n} records"})
 
-    events = evidence.events.persist()
-    before, (held, n) = held, table_digest(events)
+    rows = written(evidence.events, "ocsf_normalize")
+    before, (held, n) = held, table_digest(rows)
     chain.append(case_id, "ocsf_normalize", f"normalize:{evidence.kind}", before, held, f"{n} events")
     on_step("ocsf_normalize", {"label": "Normalise", "detail": f"{n} events"})
     if not n:
-        events.unpersist()
         report = CaseReport(case_id, source, None, chain.verify(case_id))
         on_step("done", {"label": "Done", "detail": "no events"})
         return report
@@ -97,10 +107,8 @@ def run_case(
         ("feature_extract", lambda x: feature_matrix(x, classifier.features)),
         ("classify", lambda x: classifier.explain(classifier.predict(x))),
     ]
-    rows, kept = events, [events]
     for name, step in steps:
-        rows = step(rows).persist()
-        kept.append(rows)
+        rows = written(step(rows), name)
         before, (held, n) = held, table_digest(rows)
         chain.append(case_id, name, f"step:{name}", before, held, f"{n} rows")
         on_step(name, {"label": name, "detail": f"{n} rows"})
@@ -111,11 +119,9 @@ def run_case(
         finding_category(F.col("prediction.attack_cat"), F.col("prediction.label")).alias("category"),
         F.col("prediction.label").alias("label"),
         F.col("prediction.probability").alias("probability"),
+        F.col("prediction.class_probabilities").alias("class_probabilities"),
         "top_features",
     )
-    # a later case may read other content at the same path
-    for held_rows in kept:
-        held_rows.unpersist()
     verification = chain.verify(case_id)
     on_step("verify", {"label": "Verify", "detail": str(verification["valid"])})
     return CaseReport(case_id, source, findings, verification)

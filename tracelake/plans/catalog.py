@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tracelake.functions.scalars import cef_severity, eve_severity, finite, syslog_time
-from tracelake.operators import causal, clean, custody, flows, profile, report, sample
+from tracelake.functions.scalars import cef_severity, day_first_seconds, event_time, eve_severity, finite, in_order, syslog_time
+from tracelake.operators import causal, clean, custody, flows, matrix, normalize, profile, report, sample
 from tracelake.operators.normalize import parse_cef, taxonomy
+from tracelake.operators.quantiles import quantiles
+from tracelake.plans import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,6 +36,14 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; on one machine (local mode) a folder of its own where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or tempfile.mkdtemp(prefix="tracelake-")).rstrip("/")
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with time in microseconds and the port that their properties hold."""
     rows = _t(spark, sf_dir, "events")
@@ -63,9 +75,11 @@ def w1_causal_window(spark, sf_dir):
     return _window(_events(spark, sf_dir), ["event_id"], F.col("user_id"), F.col("us"), "event_type", "k", DAY)
 
 
-@query(_W1)
+@query(f"WITH {_EVENTS}, h AS (SELECT event_id, event_type, k, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS source, CASE WHEN event_id % 3 = 0 THEN us % {DAY * 1_000_000} ELSE us END AS us FROM e) " + _window_sql("h", "event_id", "source", "us", "event_type", "k", DAY * 1_000_000))
 def w1_skew_bucketed(spark, sf_dir):
-    return _window(_events(spark, sf_dir), ["event_id"], F.col("user_id"), F.col("us"), "event_type", "k", DAY, split_hot=True)
+    """A third of all events from one source within one day."""
+    hot = F.col("event_id") % 3 == 0
+    return _window(_events(spark, sf_dir), ["event_id"], F.when(hot, -1).otherwise(F.col("user_id")), F.when(hot, F.col("us") % (DAY * 1_000_000)).otherwise(F.col("us")), "event_type", "k", DAY)
 
 
 @query(
@@ -214,12 +228,14 @@ def a10_group_median(spark, sf_dir):
 
 @query("SELECT median(o_totalprice) AS median_price FROM orders")
 def a8_median(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").agg(F.median("o_totalprice").alias("median_price"))
+    found = quantiles(_t(spark, sf_dir, "orders"), {"median_price": (F.col("o_totalprice"), 0.5)})
+    return spark.createDataFrame([(found["median_price"],)], "median_price double")
 
 
 @query("SELECT round(quantile_cont(l_extendedprice, 0.001), 6) AS low, round(quantile_cont(l_extendedprice, 0.999), 6) AS high FROM lineitem")
 def a9_quantiles(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").agg(F.round(F.percentile("l_extendedprice", 0.001), 6).alias("low"), F.round(F.percentile("l_extendedprice", 0.999), 6).alias("high"))
+    found = quantiles(_t(spark, sf_dir, "lineitem"), {"low": (F.col("l_extendedprice"), 0.001), "high": (F.col("l_extendedprice"), 0.999)})
+    return spark.createDataFrame([(found["low"], found["high"])], "low double, high double").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 _DISTINCT = ("l_linenumber", "l_returnflag", "l_linestatus", "l_tax")
@@ -227,13 +243,14 @@ _DISTINCT = ("l_linenumber", "l_returnflag", "l_linestatus", "l_tax")
 
 @query("SELECT " + ", ".join(f"count(DISTINCT {c}) + max(CAST({c} IS NULL AS INTEGER)) AS {c}" for c in _DISTINCT) + " FROM lineitem")
 def a11_distinct_profile(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem")
-    return rows.agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in _DISTINCT])
+    return clean.distinct_counts(_t(spark, sf_dir, "lineitem"), list(_DISTINCT))
 
 
 @query("SELECT bool_or(contains(html, '<table')) AS has_table, bool_or(contains(html, 'Infinity')) AS has_infinity FROM pages")
 def a12_contains_any(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").agg(F.bool_or(F.contains("html", F.lit("<table"))).alias("has_table"), F.bool_or(F.contains("html", F.lit("Infinity"))).alias("has_infinity"))
+    pages = _t(spark, sf_dir, "pages").select("html")
+    found = [bool(clean.columns_containing(pages, mark)) for mark in ("<table", "Infinity")]
+    return spark.createDataFrame([tuple(found)], "has_table boolean, has_infinity boolean")
 
 
 @query(
@@ -392,10 +409,10 @@ def u1_union_by_name(spark, sf_dir):
     return one.unionByName(_t(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_suppkey").alias("id")), allowMissingColumns=True)
 
 
-@query("SELECT DISTINCT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT DISTINCT p_brand || '/' || p_size AS label FROM part EXCEPT SELECT 'Brand#1' || l_linenumber || '/' || CAST(l_quantity AS BIGINT) FROM lineitem")
 def u4_label_difference(spark, sf_dir):
-    have = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"))
-    return _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).distinct().join(have, "nation", "left_anti")
+    have = _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("Brand#1"), F.col("l_linenumber").cast("string"), F.lit("/"), F.col("l_quantity").cast("long").cast("string")).alias("label"))
+    return _t(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("label")).distinct().join(have, "label", "left_anti")
 
 
 @query(
@@ -408,14 +425,237 @@ def c3_digest(spark, sf_dir):
     return rows.groupBy("n_regionkey").agg(F.sha2(folded, 256).alias("digest"), F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    """SELECT upper(digest) AS digest, n FROM (SELECT sha256(sha256(sha256(string_agg(h, '' ORDER BY n_nationkey)))) AS digest, count(*) AS n
+FROM (SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}') AS h FROM nation))"""
+)
+def c3_table_digest(spark, sf_dir):
+    """The digest of a whole table: its rows are one block, folded twice and hashed for the driver."""
+    digest, n = custody.table_digest(_t(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    return spark.createDataFrame([(digest.upper(), n)], "digest string, n long")
+
+
+_FLOW_CSV = ["protocol", "flow_duration", "total_fwd_packets", "total_backward_packets", "total_length_of_fwd_packets", "total_length_of_bwd_packets"]
+
+
+def _flow_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as rows of a flow CSV: text columns, some of them empty."""
+    rows = _t(spark, sf_dir, "lineitem")
+    values = ["l_linenumber", "l_quantity", "l_suppkey", "l_partkey", "l_extendedprice", "l_orderkey"]
+    text = [F.when(F.col("l_orderkey") % (7 + i) != 0, F.col(v).cast("decimal(18,2)").cast("string")).alias(n) for i, (n, v) in enumerate(zip(_FLOW_CSV, values))]
+    category = F.when(F.col("l_returnflag") == "N", "Normal").when(F.col("l_returnflag") == "R", " DoS ").otherwise("PortScan")
+    seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return rows.select(seq.alias("seq"), category.alias("attack_cat"), F.when(category == "Normal", "0").otherwise("1").alias("label"), *text, F.col("l_tax").cast("decimal(5,2)").cast("string").alias("tax"), F.col("l_linestatus").alias("status"))
+
+
+_FLOW_SQL = """f AS (SELECT l_orderkey * 10 + l_linenumber AS seq, CASE l_returnflag WHEN 'N' THEN 'Normal' WHEN 'R' THEN 'DoS' ELSE 'PortScan' END AS category,
+  CASE WHEN l_orderkey % 7 <> 0 THEN CAST(CAST(l_linenumber AS DECIMAL(18,2)) AS VARCHAR) END AS protocol_raw, CASE WHEN l_orderkey % 8 <> 0 THEN round(l_quantity, 2) END AS duration,
+  CASE WHEN l_orderkey % 9 <> 0 THEN CAST(l_suppkey AS DOUBLE) END AS packets_out, CASE WHEN l_orderkey % 10 <> 0 THEN CAST(l_partkey AS DOUBLE) END AS packets_in,
+  CASE WHEN l_orderkey % 11 <> 0 THEN round(l_extendedprice, 2) END AS bytes_out, CASE WHEN l_orderkey % 12 <> 0 THEN CAST(l_orderkey AS DOUBLE) END AS bytes_in,
+  round(l_tax, 2) AS tax, l_linestatus AS status FROM lineitem)"""
+
+
+@query(f"WITH {_FLOW_SQL} SELECT seq, CASE WHEN category = 'Normal' THEN 1 ELSE 3 END AS severity_id, category, CAST(category <> 'Normal' AS INTEGER) AS label, protocol_raw, duration, packets_out, packets_in, bytes_out, bytes_in, tax, status FROM f")
+def p1_flow_events(spark, sf_dir):
+    events = normalize.flow_events(_flow_csv(spark, sf_dir), "cicids2017")
+    return events.select(
+        "seq", "severity_id", F.col("unmapped.attack_cat").alias("category"), "unmapped.label", "connection_info.protocol_raw", "connection_info.duration", "traffic.*",
+        F.try_element_at("unmapped.raw_flow_features", F.lit("tax")).alias("tax"), F.try_element_at("unmapped.raw_text_fields", F.lit("status")).alias("status"),
+    )
+
+
+_MATRIX = ("bytes_in", "bytes_out", "duration", "packets_in", "packets_out", "protocol_raw", "tax", "absent")
+
+
+@query(f"WITH {_FLOW_SQL} SELECT seq, " + ", ".join(f"coalesce(CAST({n} AS DOUBLE), 0.0) AS {n}" for n in _MATRIX[:-1]) + ", 0.0::DOUBLE AS absent FROM f")
+def p14_p15_operator_matrix(spark, sf_dir):
+    events = normalize.flow_events(_flow_csv(spark, sf_dir), "cicids2017")
+    return matrix.feature_matrix(events, list(_MATRIX)).select("seq", *_MATRIX)
+
+
+@query("SELECT unnest(['bytes_in', 'bytes_out', 'duration', 'packets_in', 'packets_out', 'protocol_raw', 'tax']) AS feature, unnest(range(7)) AS at")
+def o2_feature_names(spark, sf_dir):
+    names = matrix.feature_names(normalize.flow_events(_flow_csv(spark, sf_dir), "cicids2017"))
+    return spark.createDataFrame(list(zip(names, range(len(names)))), "feature string, at long")
+
+
+@query(f"WITH {_FLOW_SQL} SELECT seq, CAST(category <> 'Normal' AS INTEGER) AS label FROM f")
+def p16_label_of(spark, sf_dir):
+    return normalize.flow_events(_flow_csv(spark, sf_dir), "cicids2017").select("seq", matrix.label_of().alias("label"))
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON records of a detection system; purchases are flows, which are no alerts."""
+    rows = _t(spark, sf_dir, "events")
+    alert = F.struct(F.col("event_type").alias("signature"), F.col("event_id").alias("signature_id"), F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("cat "), "event_type")).otherwise("").alias("category"), (F.col("event_id") % 5).alias("severity"))
+    flow = F.struct((F.col("event_id") % 9).alias("pkts_toserver"), (F.col("event_id") % 1000).alias("bytes_toserver"))
+    record = F.struct(
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+0000'").alias("timestamp"), F.when(F.col("event_type") == "purchase", "flow").otherwise("alert").alias("event_type"),
+        F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("src_ip"), (F.col("event_id") % 65536).alias("src_port"), F.lit("10.1.1.1").alias("dest_ip"), F.lit(443).alias("dest_port"), F.lit("TCP").alias("proto"), alert.alias("alert"), flow.alias("flow"),
+    )
+    return rows.select(F.col("event_id").alias("seq"), F.try_parse_json(F.to_json(record)).alias("raw"))
+
+
+@query(
+    """SELECT event_id AS seq, CASE event_id % 5 WHEN 1 THEN 5 WHEN 2 THEN 4 WHEN 3 THEN 3 ELSE 1 END AS severity_id, epoch_us(ts) AS event_us, '10.0.0.' || user_id AS src_ip, CAST(event_id % 65536 AS VARCHAR) AS src_port,
+  '443' AS dst_port, event_type AS title, CAST(event_id AS VARCHAR) AS uid, CASE WHEN event_id % 4 <> 0 THEN 'cat ' || event_type ELSE '' END AS types, CAST(event_id % 9 AS DOUBLE) AS packets_out, CAST(NULL AS DOUBLE) AS packets_in
+FROM events WHERE event_type <> 'purchase'"""
+)
+def p5_p6_eve_events(spark, sf_dir):
+    events = normalize.eve_events(_alerts(spark, sf_dir))
+    return events.select("seq", "severity_id", "event_us", F.col("src_endpoint.ip").alias("src_ip"), F.col("src_endpoint.port").alias("src_port"), F.col("dst_endpoint.port").alias("dst_port"), "finding_info.title", "finding_info.uid", F.array_join("finding_info.types", ",").alias("types"), "traffic.packets_out", "traffic.packets_in")
+
+
+@query(
+    """SELECT event_id AS seq, CASE event_id % 11 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 3 WHEN 6 THEN 4 WHEN 7 THEN 4 WHEN 8 THEN 5 ELSE 6 END AS severity_id,
+  CAST(user_id AS VARCHAR) AS src_ip, CAST(event_id % 100 AS VARCHAR) AS src_port, event_type AS types, epoch_us(date_trunc('second', ts)) AS event_us FROM events WHERE event_id % 6 <> 0"""
+)
+def p11_p12_cef_events(spark, sf_dir):
+    """Lines that do not parse are left out."""
+    ts = F.col("ts").cast("timestamp")
+    line = F.concat(F.lit("<134>"), F.date_format(ts, "MMM dd yyyy HH:mm:ss"), F.lit(" fw CEF:0|v|p|1|7|name|"), (F.col("event_id") % 11).cast("string"), F.lit("|src="), F.col("user_id").cast("string"), F.lit(" spt="), (F.col("event_id") % 100).cast("string"), F.lit(" cat="), "event_type")
+    rows = _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 6 != 0, line).otherwise("no such line").alias("raw_line"))
+    events = normalize.cef_events(rows)
+    return events.select("seq", "severity_id", F.col("src_endpoint.ip").alias("src_ip"), F.col("src_endpoint.port").alias("src_port"), F.array_join("finding_info.types", ",").alias("types"), "event_us")
+
+
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as packets of two captures: a user's talk with one of five hosts, in both directions."""
+    rows = _events(spark, sf_dir)
+    out = F.col("event_id") % 3 != 0
+    user, host = F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")), F.concat(F.lit("9.9.9."), (F.col("user_id") % 5).cast("string"))
+    port, service = (F.col("user_id") + 1000).cast("int"), F.lit(53)
+    return rows.select(
+        F.when(F.col("event_id") % 2 == 0, "a.pcap").otherwise("b.pcap").alias("path"), F.col("event_id").alias("ordinal"), (F.col("us") / 1_000_000).alias("ts"),
+        F.when(out, user).otherwise(host).alias("src_ip"), F.when(out, host).otherwise(user).alias("dst_ip"), F.when(out, port).otherwise(service).alias("src_port"), F.when(out, service).otherwise(port).alias("dst_port"),
+        F.when(F.col("event_type") == "click", "UDP").otherwise("TCP").alias("protocol"), (F.col("event_id") % 1400 + 60).cast("int").alias("length"),
+    )
+
+
+@query(
+    f"""WITH {_EVENTS}, p AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'a.pcap' ELSE 'b.pcap' END AS path, event_id, us, user_id, event_id % 3 <> 0 AS away, CASE WHEN event_type = 'click' THEN 'UDP' ELSE 'TCP' END AS protocol, event_id % 1400 + 60 AS length FROM e),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER w > {21_600 * 1_000_000} THEN 1 ELSE 0 END AS late FROM p WINDOW w AS (PARTITION BY path, user_id, protocol ORDER BY event_id)),
+f AS (SELECT *, CAST(sum(late) OVER (PARTITION BY path, user_id, protocol ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS flow_no FROM g),
+s AS (SELECT *, first_value(away) OVER (PARTITION BY path, user_id, protocol, flow_no ORDER BY event_id) AS leads FROM f)
+SELECT path, CASE WHEN any_value(leads) THEN '10.0.0.' || user_id ELSE '9.9.9.' || (user_id % 5) END AS src_ip, protocol, flow_no, count(*) FILTER (away = leads) AS packets_out, count(*) FILTER (away <> leads) AS packets_in,
+  CAST(coalesce(sum(length) FILTER (away = leads), 0) AS BIGINT) AS bytes_out, CAST(coalesce(sum(length) FILTER (away <> leads), 0) AS BIGINT) AS bytes_in, round((arg_max(us, event_id) - arg_min(us, event_id)) / 1e6, 6) AS duration
+FROM s GROUP BY path, user_id, protocol, flow_no"""
+)
+def a1_packet_flows(spark, sf_dir):
+    found = flows.packet_flows(_packets(spark, sf_dir), flow_timeout=21_600)
+    return found.select("seq.path", "src_ip", "protocol", "seq.flow_no", "packets_out", "packets_in", "bytes_out", "bytes_in", "duration")
+
+
+@query(
+    f"""WITH {_EVENTS}, u AS (SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN 'a.pcap' ELSE 'b.pcap' END AS path, user_id, CASE WHEN event_type = 'click' THEN 'UDP' ELSE 'TCP' END AS protocol FROM e)
+SELECT protocol, count(*) AS n, 4001 AS class_uid FROM u GROUP BY 1"""
+)
+def p13_packet_flow_events(spark, sf_dir):
+    """With a timeout beyond all silences every key of a capture is one flow."""
+    events = normalize.packet_flow_events(flows.packet_flows(_packets(spark, sf_dir), flow_timeout=1e9))
+    return events.groupBy(F.col("connection_info.protocol_raw").alias("protocol")).agg(F.count_distinct("seq").alias("n"), F.max("class_uid").alias("class_uid"))
+
+
+@query("SELECT event_id, epoch_us(ts) AS iso, epoch_us(date_trunc('second', ts)) AS epoch, epoch_us(date_trunc('minute', ts)) // 1000000 AS day_first FROM events")
+def p17_f7_times(spark, sf_dir):
+    """One time in three spellings: ISO, epoch seconds, day first."""
+    ts = F.col("ts").cast("timestamp")
+    iso, day = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.date_format(ts, "d/M/yyyy H:mm")
+    return _t(spark, sf_dir, "events").select("event_id", event_time(F.lit(""), iso).alias("iso"), event_time(F.unix_seconds(ts).cast("string")).alias("epoch"), day_first_seconds(day).alias("day_first"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN 'Tráfico normal' WHEN 2 THEN 'Actividad potencialmente maliciosa' ELSE 'Desconocido' END AS category FROM events")
+def p19_finding_category(spark, sf_dir):
+    kind = F.col("event_id") % 4
+    named = F.when(kind == 0, F.col("event_type")).when(kind == 1, "")
+    return _t(spark, sf_dir, "events").select("event_id", report.finding_category(named, F.when(kind == 1, 0).when(kind == 2, 1).otherwise(F.when(kind == 0, 7))).alias("category"))
+
+
+@query(f"WITH {_NOISY_SQL} SELECT event_id, CASE WHEN trim(raw) IN ('Benign', '', 'normal') THEN 'Normal' WHEN trim(raw) = 'Port Scan' THEN 'PortScan' ELSE trim(raw) END AS category FROM n")
+def n2_label_normalize(spark, sf_dir):
+    return _noisy(spark, sf_dir).select("event_id", clean.label_kitsune(F.col("raw")).alias("category"))
+
+
+@query("SELECT doc_id, CASE WHEN toxic = 0 THEN 'Normal' ELSE 'Generic' END AS category FROM labels")
+def n11_fallback_category(spark, sf_dir):
+    return _t(spark, sf_dir, "labels").select("doc_id", clean.fallback_category(F.col("toxic")).alias("category"))
+
+
+@query("SELECT 'c_mktsegment' AS label_column, CAST(count(*) AS BIGINT) AS n, count(DISTINCT c_mktsegment) AS kept FROM customer")
+def n8_n9_n10_columns(spark, sf_dir):
+    """A column that holds Infinity and two constant ones are dropped; the label is found by its name."""
+    rows = _t(spark, sf_dir, "customer").withColumns({"rate": F.when(F.col("c_custkey") % 9 == 0, "Infinity").otherwise("1.5"), "zero": F.lit(0), "none": F.lit(None).cast("double")})
+    left = clean.drop_constant(clean.drop_containing(rows)).withColumnRenamed("c_mktsegment", "Attack Class")
+    found = {"attack_class": "c_mktsegment"}[clean.find_label_column(left.columns)]
+    gone = {"rate", "zero", "none"} - {*left.columns}
+    return left.agg(F.lit(found).alias("label_column"), (F.count(F.lit(1)) + len(gone) - 3).alias("n"), F.count_distinct("Attack Class").alias("kept"))
+
+
+@query("SELECT count(*) AS n, TRUE AS about_a_fifth, TRUE AS all_or_none FROM orders")
+def n12_inject_missing(spark, sf_dir):
+    """A fifth of the values goes; with a share of 0 or 1 none or all do."""
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    some, none, every = (clean.inject_missing(rows, ["o_totalprice"], f, "o_orderkey").withColumn("f", F.lit(f)) for f in (0.2, 0.0, 1.0))
+    shares = some.unionByName(none).unionByName(every).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("o_totalprice").isNull().cast("int")).alias("share"))
+    return shares.agg(F.min("n").alias("n"), F.max((F.col("f") == 0.2) & F.col("share").between(0.15, 0.25)).alias("about_a_fifth"), F.min((F.col("f") == 0.2) | (F.col("share") == F.col("f"))).alias("all_or_none"))
+
+
+@query("SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS at FROM supplier")
+def o1_sorted(spark, sf_dir):
+    """A stable sort: equal values keep the order of their keys. Places count on within and between the tasks of the sort."""
+    rows = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal").orderBy("s_acctbal", "s_suppkey").withColumn("i", F.monotonically_increasing_id())
+    sizes = rows.groupBy(F.shiftright("i", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
+    return rows.withColumn("part", F.shiftright("i", 33)).join(F.broadcast(before), "part").select("s_suppkey", "s_acctbal", (F.col("before") + F.col("i").bitwiseAND(F.lit((1 << 33) - 1))).alias("at"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > l_discount THEN 'tax' WHEN l_tax < l_discount THEN 'discount' ELSE 'discount' END AS top FROM lineitem")
+def o7_ranked_probabilities(spark, sf_dir):
+    held = F.create_map(F.lit("tax"), F.col("l_tax"), F.lit("discount"), F.col("l_discount"))
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.get(report.ranked(held), F.lit(0))["key"].alias("top"))
+
+
+@query("SELECT count(*) FILTER ((CAST(l_suppkey AS VARCHAR), l_linenumber) <= (CAST(l_partkey AS VARCHAR), 3)) AS n FROM lineitem")
+def f17_in_order(spark, sf_dir):
+    one = F.struct(F.col("l_suppkey").cast("string").alias("ip"), F.col("l_linenumber").cast("int").alias("port"))
+    other = F.struct(F.col("l_partkey").cast("string").alias("ip"), F.lit(3).alias("port"))
+    return _t(spark, sf_dir, "lineitem").agg(F.count_if(in_order(one, other)).alias("n"))
+
+
+@query(
+    """WITH s AS (SELECT event_type AS category, CAST(user_id AS VARCHAR) AS ip FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY ip) AS place, count(*) OVER (PARTITION BY category) AS n_src_ips FROM s)
+SELECT category, any_value(n_src_ips) AS n_src_ips, string_agg(ip, ',' ORDER BY ip) AS src_ips, (SELECT count(*) FROM events e WHERE e.event_type = category) AS n, (SELECT min(event_id) FROM events e WHERE e.event_type = category) AS first_seq FROM r WHERE place <= 5 GROUP BY category"""
+)
+def a5_k7_case_blocks(spark, sf_dir):
+    found = report.case_blocks(_findings(spark, sf_dir))
+    return found.select("category", "n_src_ips", F.array_join("src_ips", ",").alias("src_ips"), "n", "first_seq")
+
+
+_SCENARIO_SQL = f"""e AS (SELECT event_id, event_type, user_id, epoch_us(date_trunc('minute', ts)) AS us FROM events),
+a AS (SELECT a.event_id, any_value(a.event_type) AS category, count(DISTINCT b.event_id % 13) AS ports, count(DISTINCT b.event_type) AS hosts, count(*) AS n, round(count(*) / greatest((any_value(a.us) - min(b.us)) / 1e6, 1.0), 6) AS rate
+  FROM e a JOIN e b ON a.user_id = b.user_id AND b.us >= a.us - {DAY * 1_000_000} AND (b.us < a.us OR (b.us = a.us AND b.event_id <= a.event_id)) GROUP BY a.event_id)"""
+
+
+@query(
+    f"""WITH {_SCENARIO_SQL} SELECT event_id, CASE WHEN category = 'view' THEN 'Normal' ELSE 'DoS' END AS attack_cat, CASE WHEN category = 'view' THEN 0 ELSE 1 END AS label, 0.5 AS duration, CAST(event_id % 3 AS DOUBLE) AS packets_in, 0.0::DOUBLE AS packets_out,
+  hosts AS agg_distinct_dst_hosts, ports AS agg_distinct_dst_ports, n AS agg_events_in_window, rate AS agg_events_per_second FROM a"""
+)
+def p23_p25_scenario_features(spark, sf_dir):
+    """Events as rows of a flow data set with day-first times; a packet count that is no number counts as 0."""
+    view = F.col("event_type") == "view"
+    raw = _t(spark, sf_dir, "events").select(
+        "event_id", F.when(view, "Normal").otherwise("DoS").alias("attack_cat"), F.when(view, 0).otherwise(1).alias("label"), F.col("user_id").cast("string").alias("source_ip"), F.col("event_type").alias("destination_ip"),
+        (F.col("event_id") % 13).cast("string").alias("destination_port"), F.date_format(F.col("ts").cast("timestamp"), "d/M/yyyy H:mm").alias("timestamp"), F.lit("0.5").alias("flow_duration"), F.lit("n/a").alias("total_fwd_packets"), (F.col("event_id") % 3).cast("string").alias("total_backward_packets"),
+    )
+    return jobs.scenario_features(raw, jobs.SCENARIO_SOURCES["cicids"], "event_id", day_first=True, seconds=DAY)
+
+
 @query()
 def m6_m9_train_and_score(spark, sf_dir):
     """Trains a forest on all components of four fifths of the labelled vectors and scores every vector: label, probability and explained features.
 
     Components that are missing or not finite count as zero.
     """
-    import tempfile
-
     from tracelake.operators import model
 
     vectors = _t(spark, sf_dir, "embeddings")
@@ -423,7 +663,7 @@ def m6_m9_train_and_score(spark, sf_dir):
     components = [F.coalesce(finite(F.get("embedding", F.lit(i)).cast("double")), F.lit(0.0)).alias(n) for i, n in enumerate(names)]
     rows = vectors.select("vec_id", F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"), *components)
     trained = model.train(rows.where("category IS NOT NULL"), names, "category", "vec_id", trees=10, depth=4)
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/models-{spark.sparkContext.applicationId}"
+    folder = f"{_shared(spark)}/models-{uuid.uuid4().hex}"
     model.certify(spark, trained, folder, "v1")
     found = model.FrozenClassifier(spark, folder, "v1")
     scored = found.explain(found.predict(rows), 3)

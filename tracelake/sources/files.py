@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracelake.functions.scalars import snake_case
 from tracelake.schema import DIALECTS
+from tracelake.sources.streams import listed
+
+#: Bytes that are looked at, at most, to tell what a file is.
+MOST = 16 << 20
+
+
+#: Control characters that windows-1252 uses for other characters, and these.
+_CONTROLS = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+_LETTERS = _CONTROLS.encode("latin-1").decode("cp1252")
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -17,7 +28,10 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 def read_flow_csv(spark: SparkSession, path: str, *, limit: int | None = None, encoding: str = "UTF-8") -> DataFrame:
     """A CSV with a header as text columns in snake case."""
-    raw = spark.read.csv(path, header=True, encoding=encoding, multiLine=False)
+    windows = encoding.lower() in ("windows-1252", "cp1252")
+    raw = spark.read.csv(path, header=True, encoding="ISO-8859-1" if windows else encoding, multiLine=False)
+    if windows:  # Spark does not know this encoding; it is the other one, with letters for some control characters
+        raw = raw.select(*[F.translate(F.col(f"`{c}`"), _CONTROLS, _LETTERS).alias(c.translate(str.maketrans(_CONTROLS, _LETTERS))) for c in raw.columns])
     named = _numbered(raw.toDF(*[snake_case(c.lstrip("﻿")) for c in raw.columns]))
     return named.orderBy("seq").limit(limit) if limit is not None else named
 
@@ -90,8 +104,12 @@ def read_text_lines(spark: SparkSession, path: str, *, max_lines: int | None = N
 
 
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
-    """Model manifests below a folder, by version."""
-    return spark.read.option("pathGlobFilter", "*.manifest.json").json(folder, multiLine=True).orderBy("version")
+    """Manifests of models below a folder, by version, whether each is a file or a folder of text as ``certify`` writes it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path").where(F.col("path").rlike(r"\.manifest\.json(/part-[^/]*)?$"))
+    paths = [r[0] for r in files.orderBy("path").collect()]
+    if not paths:
+        raise FileNotFoundError(f"no manifest of a model below {folder}")
+    return spark.read.json(paths, multiLine=True).orderBy("version")
 
 
 # What file names and first bytes say about the kind.
@@ -99,15 +117,33 @@ EXTENSIONS = {"pcap": "pcap", "pcapng": "pcap", "cap": "pcap", "csv": "csv", "js
 MAGIC = (b"\xd4\xc3\xb2\xa1", b"\xa1\xb2\xc3\xd4", b"\x0a\x0d\x0d\x0a", b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d")
 
 
+def _beginning(spark: SparkSession, path: str) -> tuple[bytes, list[str]]:
+    """The first four bytes of the evidence and its first five lines, of 16 MB at most; read by one task."""
+    files, opened = listed(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with opened(name, content) as source:
+                    text = source.read(4)
+                    while text.count(b"\n") < 5 and len(text) < MOST and (piece := source.read(1 << 16)):
+                        text += piece
+                yield pa.RecordBatch.from_arrays([pa.array([text], pa.binary())], names=["text"])
+
+    first = files.orderBy("path").limit(1).mapInArrow(run, "text binary").first()
+    text = bytes(first.text) if first else b""
+    return text[:4], text.decode("utf-8", "replace").lstrip("\ufeff").splitlines()[:5]
+
+
 def sniff_type(spark: SparkSession, path: str) -> str:
     """csv, jsonl, cef_text or pcap, by extension, the first lines or the first bytes; ValueError for anything else."""
     kind = EXTENSIONS.get(path.rsplit("/", 1)[-1].rpartition(".")[2].lower())
     if kind:
         return kind
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 8192)).first()[0]
-    if bytes(head[:4]) in MAGIC:
+    head, lines = _beginning(spark, path)
+    if head in MAGIC:
         return "pcap"
-    for line in bytes(head).decode("utf-8", "replace").lstrip("﻿").splitlines()[:5]:
+    for line in lines:
         if "CEF:" in line:
             return "cef_text"
         if line.strip().startswith("{"):
@@ -115,7 +151,7 @@ def sniff_type(spark: SparkSession, path: str) -> str:
                 json.loads(line)
                 return "jsonl"
             except ValueError:
-                break
+                pass
         if "," in line:
             return "csv"
         if line.strip():
