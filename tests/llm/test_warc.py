@@ -56,3 +56,23 @@ def test_broken_archives_are_errors(spark):
         out.write(gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 100\r\n\r\nshort"))
     with pytest.raises(Exception, match="ends within a record"):
         warc.normalise_archives(spark.createDataFrame([("a.warc.gz",)], "archive string"), folder).collect()
+
+
+def test_headers_are_copied_and_cut_streams_refused(spark):
+    folder = f"{shared_dir(spark)}/warc-headers"
+    base = folder.removeprefix("file:")
+    os.makedirs(base, exist_ok=True)
+    record = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Concurrent-To: <urn:a>\r\nwarc-concurrent-to: <urn:b>\r\nX-Note: one\r\n\ttwo\r\nWARC-Record-ID: <urn:c>\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n"
+    whole = gzip.compress(record * 3)
+    with open(f"{base}/h.warc.gz", "wb") as out:
+        out.write(whole)
+    with open(f"{base}/cut.warc.gz", "wb") as out:
+        out.write(gzip.compress(os.urandom(0) + record * 200)[:-12])
+    index = warc.normalise_archives(spark.createDataFrame([("h.warc.gz",)], "archive string"), folder).collect()
+    assert len(index) == 3 and {r.record_id for r in index} == {"<urn:c>"}
+    for r in index:
+        with open(f"{base}/{r.archive}", "rb") as file:
+            file.seek(r.offset)
+            assert gzip.decompress(file.read(r.length)) == record
+    with pytest.raises(Exception, match="ValueError.*ends"):
+        warc.normalise_archives(spark.createDataFrame([("cut.warc.gz",)], "archive string"), folder).collect()

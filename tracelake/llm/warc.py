@@ -72,7 +72,7 @@ def write_archives(
     url_col: str = "url",
     html_col: str = "html",
     least_bytes: int = 1000,
-    archive_bytes: int = 32 << 20,
+    archive_bytes: int = 512 << 20,
     date: str = "2024-01-01T00:00:00Z",
 ) -> DataFrame:
     """Writes a record per row into archives of one gzip stream each, of about ``archive_bytes`` before compression.
@@ -117,8 +117,11 @@ def write_archives(
     return stored(written, "warc-archives")
 
 
-def _fields(source) -> dict[str, str] | None:
-    """The header of the next record of a stream; None at its end."""
+def _header_of(source: gzip.GzipFile) -> tuple[bytes, dict[str, str]] | None:
+    """The header of the next record of a stream as it stands, and its fields (of repeated ones the last); None at the end.
+
+    A line that begins with a blank goes on with the field before.
+    """
     line = source.readline()
     while line in (b"\r\n", b"\n"):
         line = source.readline()
@@ -126,13 +129,19 @@ def _fields(source) -> dict[str, str] | None:
         return None
     if not line.startswith(b"WARC/"):
         raise ValueError(f"not a WARC record: {line[:40]!r}")
-    fields = {"": line.decode("utf-8", "replace").strip()}
+    raw, fields, name = [line], {}, ""
     while (line := source.readline()).strip():
-        name, _, value = line.decode("utf-8", "replace").partition(":")
-        fields[name.strip().lower()] = value.strip()
+        raw.append(line)
+        text = line.decode("utf-8", "replace")
+        if text[0] in " \t" and name:
+            fields[name] += " " + text.strip()
+        else:
+            name, _, value = text.partition(":")
+            name = name.strip().lower()
+            fields[name] = value.strip()
     if not line:
         raise ValueError("a WARC header ends early")
-    return fields
+    return b"".join(raw) + line, fields
 
 
 def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
@@ -140,8 +149,9 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
 
     archives: ``archive``, names of gzip files (of one stream or several). Each is inflated once, in
     pieces of a megabyte. Beside each new archive lies its sidecar index, a line of JSON per record.
+    Headers are copied byte by byte, with fields that repeat or go on in further lines.
     Returns per record: archive (the new one), offset, length, record_id, record_type and target. An
-    archive that ends early or holds anything else raises ValueError.
+    archive that ends early, within a record or its gzip data, or holds anything else raises ValueError.
     """
     n = max(1, archives.count())
 
@@ -152,19 +162,22 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
                 entries = []
                 new = f"{uuid.uuid4().hex}.warc.gz"
                 with files.open_input_stream(f"{base}/{old}", compression=None) as raw, files.open_output_stream(f"{base}/{new}", compression=None) as out, gzip.GzipFile(fileobj=raw) as source:
-                    while (fields := _fields(source)) is not None:
-                        start, member = out.tell(), zlib.compressobj(6, wbits=31)
-                        head = fields[""] + "\r\n" + "".join(f"{_NAMES.get(k, k)}: {v}\r\n" for k, v in fields.items() if k) + "\r\n"
-                        out.write(member.compress(head.encode()))
-                        left = int(fields["content-length"])
-                        while left:
-                            piece = source.read(min(CHUNK, left))
-                            if not piece:
-                                raise ValueError(f"{old} ends within a record")
-                            left -= len(piece)
-                            out.write(member.compress(piece))
-                        out.write(member.compress(b"\r\n\r\n") + member.flush())
-                        entries.append((new, start, out.tell() - start, fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri")))
+                    try:
+                        while (found := _header_of(source)) is not None:
+                            head, fields = found
+                            start, member = out.tell(), zlib.compressobj(6, wbits=31)
+                            out.write(member.compress(head))
+                            left = int(fields["content-length"])
+                            while left:
+                                piece = source.read(min(CHUNK, left))
+                                if not piece:
+                                    raise ValueError(f"{old} ends within a record")
+                                left -= len(piece)
+                                out.write(member.compress(piece))
+                            out.write(member.compress(b"\r\n\r\n") + member.flush())
+                            entries.append((new, start, out.tell() - start, fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-target-uri")))
+                    except EOFError as early:
+                        raise ValueError(f"{old} ends within its gzip data") from early
                 with files.open_output_stream(f"{base}/{new}.index.jsonl", compression=None) as side:
                     for _, *entry in entries:
                         side.write(json.dumps(dict(zip(_INDEX_NAMES[1:], entry))).encode() + b"\n")
@@ -173,9 +186,6 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
     return stored(archives.select("archive").repartition(n).mapInArrow(run, _INDEX), "warc-index")
 
 
-_NAMES = {x.lower(): x for x in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Profile", "Page-ID", "Refers-To-Page-ID", "Payload-Length", "Content-Type", "Content-Length")}
-
-
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """Reads records by their index entries alone, each from its own gzip member.
 
