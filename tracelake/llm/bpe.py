@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, functions as F
 SHORT = 64
 #: Words that are merged together.
 BATCH = 20_000
-#: Pieces and words that the memos of one Python worker hold at most (about 100 MB).
-MEMO = 300_000
+#: Pieces and words that the memos of one Python worker hold at most (about 40 MB), and their longest.
+MEMO = 100_000
+LONGEST = 200
 #: Rows that leave a task in one Arrow batch.
 ROWS = 512
 
@@ -63,6 +64,13 @@ class WordBpe(dict):
         self.letter_ids, self.last_ids = np.zeros(512, np.int64), np.zeros(512, np.int64)
         for letter in self.letters:
             self.letter_ids[ord(letter)], self.last_ids[ord(letter)] = self.ids[letter], self.ids[letter + self.end]
+        self.words: dict[str, bytes] = {}
+        self.ranks: dict[int, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memos, so that an idle worker holds the vocabulary alone."""
+        self.clear()
         self.words = {t: array("I", [i]).tobytes() for t, i in self.special.items()}
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
@@ -154,8 +162,9 @@ class WordBpe(dict):
     def merge_long(self, letters: str) -> list[int]:
         """The same merges by a heap of pairs over linked parts."""
         parts: list[int | None] = [*map(self.ids.__getitem__, letters[:-1]), self.ids[letters[-1] + self.end]]
-        ranks = {k: r for k, r in zip(self.pairs.tolist(), self.pair_ranks.tolist())}
-        rank = ranks.get
+        if not self.ranks:
+            self.ranks = dict(zip(self.pairs.tolist(), self.pair_ranks.tolist()))
+        rank = self.ranks.get
         after, before = [*range(1, len(parts)), -1], [-1, *range(len(parts) - 1)]
         heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank(a << 20 | b)) is not None]
         heapq.heapify(heap)
@@ -191,16 +200,19 @@ def _pieces(text: str) -> list[str]:
 
 
 def _forget(memo: dict, new: dict) -> None:
-    """Takes the newest entries out again while the memo has too many."""
-    for key in list(new)[: max(0, len(memo) - MEMO)]:
-        del memo[key]
+    """Takes very long entries, and the newest while the memo has too many, out again."""
+    more = len(memo) - MEMO
+    for key in list(new):
+        if more > 0 or len(key) > LONGEST:
+            del memo[key]
+            more -= 1
 
 
 _LOADED: dict[str, WordBpe] = {}
 
 
 def word_bpe(path: str) -> WordBpe:
-    """One vocabulary, with its memo, for a Python worker and all tasks that it runs."""
+    """One vocabulary for a Python worker and all tasks that it runs; a task forgets its memo at its end."""
     if path not in _LOADED:
         _LOADED[path] = WordBpe(path)
     return _LOADED[path]
@@ -229,6 +241,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id"
                 if decode:
                     out.append(pa.array([bpe.decode(c) for c in coded], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=names)
+        bpe.forget()
 
     names = ["key", "n_tokens", "ids"] + ["decoded"] * decode
     kinds = f"key {rows.schema['key'].dataType.simpleString()}, n_tokens long, ids binary" + ", decoded string" * decode

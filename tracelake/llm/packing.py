@@ -2,9 +2,10 @@
 
 Pieces are dealt into shards of bounded size. Every shard is evolved on several islands: an individual
 is a whole packing, and a crossover injects well-filled bins of one parent into the other, removes the
-bins that now hold duplicates, and best-fits the documents that this displaced. Between rounds each
-island sends its elite to the next. The badly filled bins that remain in all shards are dealt anew into
-fewer shards, until one shard holds them all.
+bins that now hold duplicates, and best-fits the documents that this displaced. A child's emptiest bins
+are then relieved: their pieces are moved, or exchanged for slightly shorter ones of bins that have room
+for the difference, until a bin is empty. Between rounds each island sends its elite to the next. The
+emptiest bins of all shards are dealt anew into fewer shards, until one shard holds them all.
 """
 
 from __future__ import annotations
@@ -26,15 +27,18 @@ from tracelake.llm.tables import stored
 SHARD = 4000
 ISLANDS = 2
 ROUNDS = 2
-GENERATIONS = 6
+GENERATIONS = 12
 POPULATION = 4
+#: Bins of a child that are relieved, emptiest first, and pieces exchanged for it at most.
+RELIEVED = 12
+EXCHANGED = 1500
 
 Bins = list[list[int]]
 
 
 def _fit(bins: Bins, loose: list[int], size: list[int], room: int) -> Bins:
     """Puts loose pieces, longest first, each where it leaves the least room; opens bins for the rest."""
-    left = sorted((room - sum(size[i] for i in b), k) for k, b in enumerate(bins))
+    left = sorted((room - sum([size[i] for i in b]), k) for k, b in enumerate(bins))
     for i in sorted(loose, key=lambda i: -size[i]):
         at = bisect_left(left, (size[i], -1))
         if at == len(left):
@@ -49,12 +53,12 @@ def _fit(bins: Bins, loose: list[int], size: list[int], room: int) -> Bins:
 
 def _worth(bins: Bins, size: list[int], room: int) -> tuple[int, float]:
     """Fewer bins first, then bins that are fuller."""
-    return len(bins), -sum((sum(size[i] for i in b) / room) ** 2 for b in bins)
+    return len(bins), -sum([(sum([size[i] for i in b]) / room) ** 2 for b in bins])
 
 
 def _cross(one: Bins, other: Bins, size: list[int], room: int, rng: np.random.Generator) -> Bins:
     """Injects some of the fullest bins of ``other`` into ``one``."""
-    filled = sorted(other, key=lambda b: -sum(size[i] for i in b))
+    filled = sorted(other, key=lambda b: -sum([size[i] for i in b]))
     good = filled[: max(1, len(filled) * 2 // 3)]
     injected = [list(b) for b in good if rng.random() < 0.3] or [list(good[0])]
     taken = {i for b in injected for i in b}
@@ -65,28 +69,86 @@ def _cross(one: Bins, other: Bins, size: list[int], room: int, rng: np.random.Ge
 
 def _mutate(bins: Bins, size: list[int], room: int, rng: np.random.Generator) -> Bins:
     """Empties the worst bins and a few others and fits their pieces anew."""
-    order = sorted(range(len(bins)), key=lambda k: sum(size[i] for i in bins[k]))
+    order = sorted(range(len(bins)), key=lambda k: sum([size[i] for i in bins[k]]))
     gone = {*order[: max(1, len(bins) // 50)], *rng.integers(0, len(bins), max(1, len(bins) // 50)).tolist()}
     return _fit([list(b) for k, b in enumerate(bins) if k not in gone], [i for k in gone for i in bins[k]], size, room)
 
 
+def relieve(bins: Bins, size: np.ndarray, room: int, rng: np.random.Generator) -> Bins:
+    """Moves what the emptiest bins hold into the room that others have left, by moves and by exchanges of single pieces.
+
+    An exchange gives another bin a longer piece for a shorter one of its own, so the bin that is relieved holds less
+    after each. Bins are taken in turn, emptiest first; one that cannot be emptied keeps what is left.
+    """
+    of = np.zeros(len(size), np.int64)
+    for k, b in enumerate(bins):
+        of[b] = k
+    free = room - np.bincount(of, size, len(bins)).astype(np.int64)
+    done = np.zeros(len(bins), bool)
+    swaps = 0
+    for _ in range(min(RELIEVED, len(bins) - 1)):
+        k = int(np.where(done, -1, free).argmax())
+        done[k] = True
+        held = np.flatnonzero(of == k).tolist()
+        others = np.arange(len(free)) != k
+        while held and swaps < EXCHANGED:
+            # bins that were relieved before are emptier: nothing goes back to them but whole pieces
+            open_bins = np.where(done, -1, free)
+            best = None
+            for i in sorted(held, key=lambda i: -size[i]):
+                fits = np.flatnonzero(others & (free >= size[i]))
+                if len(fits):
+                    best = (i, None, int(fits[free[fits].argmin()]))
+                    break
+                more = size[i] - size
+                gain = np.where((more > 0) & (more <= open_bins[of]), more, 0)
+                j = int(gain.argmax())
+                if gain[j] > 0 and (best is None or gain[j] > best[3]):
+                    best = (i, j, int(of[j]), int(gain[j]))
+            if best is None:
+                break
+            i, j, to = best[:3]
+            swaps += 1
+            held.remove(i)
+            of[i] = to
+            free[to] -= size[i]
+            free[k] += size[i]
+            if j is not None:
+                of[j] = k
+                free[to] += size[j]
+                free[k] -= size[j]
+                held.append(j)
+    out: Bins = [[] for _ in bins]
+    for i, k in enumerate(of.tolist()):
+        out[k].append(i)
+    return [b for b in out if b]
+
+
 def evolve(size: list[int], room: int, guests: list[Bins], seed: int) -> Bins:
-    """The best packing of some generations that start from ``guests`` and best-fit packings."""
+    """The best packing of some generations that start from ``guests`` and best-fit packings.
+
+    It ends before only where no packing can have fewer bins.
+    """
     rng = np.random.default_rng(seed)
-    least = -(-sum(size) // room)
+    sizes = np.array(size, np.int64)
+    large = int((sizes * 2 > room).sum())
+    least = max(-(-int(sizes.sum()) // room), large)
     people = [g for g in guests if g]
     if not people:
         people = [_fit([], [*range(len(size))], size, room)]
+    if len(people[0]) <= least:
+        return people[0]
     while len(people) < POPULATION:
         some = rng.random(len(size)) < 0.5
         half = _fit([], np.flatnonzero(some).tolist(), size, room)
         people.append(_fit(half, np.flatnonzero(~some).tolist(), size, room))
-    people.sort(key=lambda p: _worth(p, size, room))
+    people = sorted([relieve(p, sizes, room, rng) for p in people], key=lambda p: _worth(p, size, room))
     for _ in range(GENERATIONS):
         if len(people[0]) <= least:
             break
         a, b = rng.permutation(len(people))[:2].tolist()
         children = [_cross(people[a], people[b], size, room, rng), _cross(people[b], people[a], size, room, rng), _mutate(people[0], size, room, rng)]
+        children = [relieve(c, sizes, room, rng) for c in children]
         people = sorted(people + children, key=lambda p: _worth(p, size, room))[:POPULATION]
     return people[0]
 
@@ -145,6 +207,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, *, room: int = 4096, end_id: int
                         made += 1
                 columns = [part.column(0).take(pa.array([x[1] for x in out], pa.int32())) if t is None else pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        bpe.forget()
 
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(run, f"uid long, key {kind}, piece int, start long, length int, ids_crc32 long")
@@ -168,15 +231,14 @@ def pack(docs: DataFrame, vocabulary: str, *, room: int = 4096, end_id: int = 1,
         if shards == 1:
             placed.append(found.select("uid", "sequence_id"))
             break
-        # what a shard could not fill well goes to the next level
-        filled = found.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
-        found = stored(found.join(filled, "sequence_id"), "packed")
-        placed.append(found.where(F.col("fill") * 200 >= room * 199).select("uid", "sequence_id"))
-        rest = found.where(F.col("fill") * 200 < room * 199).select("uid", "length")
-        last, open_pieces, level = open_pieces, rest, level + 1
-        if rest.count() * 2 > last.count():  # few bins fill well: keep them as they are
-            placed.append(found.where(F.col("fill") * 200 < room * 199).select("uid", "sequence_id"))
-            break
+        # the emptiest bins of each shard, half of them at most, go to the next level
+        bins = found.groupBy("shard", "sequence_id").agg(F.sum("length").alias("fill"))
+        place = F.row_number().over(Window.partitionBy("shard").orderBy("fill", "sequence_id"))
+        half = F.floor(F.count(F.lit(1)).over(Window.partitionBy("shard")) / 2)
+        bins = bins.withColumn("goes_on", (F.col("fill") * 200 < room * 199) & (place <= half))
+        found = stored(found.join(bins.select("sequence_id", "goes_on"), "sequence_id"), "packed")
+        placed.append(found.where(~F.col("goes_on")).select("uid", "sequence_id"))
+        open_pieces, level = found.where("goes_on").select("uid", "length"), level + 1
     sequences = placed[0]
     for more in placed[1:]:
         sequences = sequences.unionByName(more)
