@@ -637,7 +637,7 @@ a AS (SELECT a.event_id, any_value(a.event_type) AS category, count(DISTINCT b.e
 
 
 @query(
-    f"""WITH {_SCENARIO_SQL} SELECT event_id, CASE WHEN category = 'view' THEN 'Normal' ELSE 'DoS' END AS attack_cat, CASE WHEN category = 'view' THEN 0 ELSE 1 END AS label, 0.5 AS duration, CAST(event_id % 3 AS DOUBLE) AS packets_in, 0.0::DOUBLE AS packets_out,
+    f"""WITH {_SCENARIO_SQL} SELECT event_id, CASE WHEN category = 'view' THEN 'Normal' ELSE 'DoS' END AS attack_cat, CASE WHEN category = 'view' THEN 0 ELSE 1 END AS label, 0.5::DOUBLE AS duration, CAST(event_id % 3 AS DOUBLE) AS packets_in, 0.0::DOUBLE AS packets_out,
   hosts AS agg_distinct_dst_hosts, ports AS agg_distinct_dst_ports, n AS agg_events_in_window, rate AS agg_events_per_second FROM a"""
 )
 def p23_p25_scenario_features(spark, sf_dir):
