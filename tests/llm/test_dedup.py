@@ -94,9 +94,8 @@ def test_lines(spark):
         docs.append((i, "\n".join(lines)))
     docs += [(100, None), (101, ""), (102, "short\nshort\n\n"), (103, shared[2] + "\n" + shared[2]), (None, shared[2])]
     everything = [(d, k, x.strip(line_dedup.BLANKS)) for d, t in docs if d is not None for k, x in enumerate((t or "").split("\n"))]
-    kept = [e for e in everything if len(e[2]) >= 20]
-    sets = [line_dedup.shingles(e[2]) for e in kept]
-    group = roots(len(kept), [(i, j) for i in range(len(kept)) for j in range(i) if similar(sets[i], sets[j])])
+    kept = [e for e in everything if e[2]]
+    group = roots(len(kept), [(i, j) for i in range(len(kept)) for j in range(i) if line_dedup.alike(kept[i][2], kept[j][2], 80)])
     first = {}
     for e, g in zip(kept, group):
         first[g] = min(first.get(g, e[:2]), e[:2])
@@ -104,16 +103,68 @@ def test_lines(spark):
     for e, g in zip(kept, group):
         if e[:2] != first[g]:
             want.setdefault(e[0], []).append(e[1])
-    df = spark.createDataFrame([(*d, "s") for d in docs], "doc_id long, text string, removed string")
+    df = spark.createDataFrame([(*d, "s", "t") for d in docs], "doc_id long, text string, removed string, __removed string")
     assert {r.doc_id: r.removed for r in line_dedup.removed_lines(df).collect()} == want
-    out = {r.doc_id: (r.text, r.removed) for r in line_dedup.dedup_lines(df).collect()}
-    assert len(out) == len(docs) and all(v[1] == "s" for v in out.values())
+    out = {r.doc_id: (r.text, r.removed, r["__removed"]) for r in line_dedup.dedup_lines(df).collect()}
+    assert len(out) == len(docs) and all(v[1:] == ("s", "t") for v in out.values())
     for d, t in docs:
         gone = set(want.get(d, []))
         assert out[d][0] == (t if not gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_lines_of_rows_with_equal_ids(spark):
+    """Each text of an id is a document of its own; rows equal in id and text are one; names may clash with anything."""
+    rows = [(3, "line A of some length"), (5, "line A of some length"), (5, "line B, another one altogether"), (7, "own\nline B, another one altogether"), (7, "own\nline B, another one altogether"), (8, None)]
+    df = spark.createDataFrame([(*r, k, "d") for k, r in enumerate(rows)], "doc_id long, text string, mark int, doc string")
+    out = {r.mark: r for r in line_dedup.dedup_lines(df).collect()}
+    assert [out[k].text for k in range(6)] == ["line A of some length", "", "line B, another one altogether", "own", "own", None]
+    assert all(r.doc == "d" for r in out.values()) and line_dedup.dedup_lines(df).columns == df.columns
+
+
+def test_very_long_lines(spark):
+    """Lines longer than what is taken at a time, copies and near copies, among short ones."""
+    rng = random.Random(4)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=line_dedup.CHARACTERS + 100))
+    near = long[:4000] + "#" + long[4001:]
+    rows = [(1, f"short\n{long}"), (2, f"{near}\nshort"), (3, long[::-1]), (4, "x" * 5000), (5, "x" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.removed_lines(df).collect()} == {2: [0, 1], 5: [0]}
+
+
+def test_similar_pairs():
+    rng = random.Random(6)
+    xs = ["".join(rng.choice("abcde ") for _ in range(rng.choice([1, 2, 5, 30, 60, 120, 300]))) for _ in range(300)]
+    ys = ["".join(rng.choice("abcde#") if rng.random() < rng.choice([0.01, 0.03, 0.3]) else c for c in x) for x in xs]
+    found = line_dedup.similar_pairs(xs, ys, 80)
+    assert found.tolist() == [line_dedup.alike(x, y, 80) for x, y in zip(xs, ys)] and 50 < found.sum() < 290
+
+
+def test_long_lines_at_the_similarity_meet():
+    """The bands of long lines of about the least length: pairs at 0.8 to 0.85 share a key, but for a few in a thousand."""
+    rng = random.Random(9)
+    met = tried = 0
+    while tried < 1500:
+        size = rng.choice([85, 100, 150, 300])
+        x = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size))
+        y = list(x)
+        for _ in range(max(1, round(size * 0.022))):
+            y[rng.randrange(size)] = "#"
+        y = "".join(y)
+        a, b = line_dedup.shingles(x, 5), line_dedup.shingles(y, 5)
+        if 80 * len(a | b) <= 100 * len(a & b) <= 85 * len(a | b):
+            keys = line_dedup.band_keys(*line_dedup.line_sets([x, y], 5), 1)
+            met, tried = met + bool((keys[0] == keys[1]).any()), tried + 1
+    assert met >= tried * 0.995
+
+
+def test_common_keys_are_dealt_out_by_id(spark):
+    """Many near copies of a line over many partitions: every one is found."""
+    rows = [(k, f"this line is a template of a notice with the number {k:05d} in it, and nothing else of interest") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    assert {r.doc_id for r in line_dedup.removed_lines(df).collect()} == set(range(1, 3000))
+
+
 def test_families_of_almost_similar_texts(spark, monkeypatch):
     """Copies whose mutual similarity lies about the threshold: all links count, by blocks too."""
     monkeypatch.setattr(near_dedup, "BLOCK_SETS", 40)
@@ -165,7 +216,7 @@ def test_one_character_variants_of_30_50_and_70_characters(spark):
     assert {r.doc_id for r in line_dedup.removed_lines(ruler, least_chars=1).collect()} == {2}
 
 
-def test_set_sizes():
+def test_line_sets():
     lines = ["a", "abcabcabc", "xy", "the the the", "=" * 40]
     for size in (3, 5):
-        assert line_dedup.set_sizes(*line_dedup._shingle_codes(lines, size)).tolist() == [len(line_dedup.shingles(x, size)) for x in lines]
+        assert line_dedup.line_sets(lines, size)[1].tolist() == [len(line_dedup.shingles(x, size)) for x in lines]

@@ -19,16 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Where the session names none (tests on one machine), a temporary folder is made and set.
+    Where neither is set, a session on one machine (local mode) gets a folder of its own; on a cluster, where such
+    a folder would not do, RuntimeError.
     """
-    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tracelake-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
@@ -45,22 +48,34 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Bits:
+    """A filter of a fixed size, made from 64-bit hashes in ``column`` and broadcast: 4 MB, however many there are.
+
+    ``has`` is true for all of them, and for others the more often the more there are.
+    """
+
+    def __init__(self, hashes: DataFrame, column: str):
+        bit = F.shiftright(F.col(column), 1).bitwiseAND(F.lit(FILTER * 64 - 1))
+        words = hashes.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
+        found, bits = words.toArrow(), np.zeros(FILTER, np.int64)
+        bits[found["word"].to_numpy()] = found["mask"].to_numpy()
+        self.shared = hashes.sparkSession.sparkContext.broadcast(bits)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes >> 1) & (FILTER * 64 - 1)
+        return (self.shared.value[at >> 6] >> (at & 63)) & 1 == 1
+
+
 def only(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     """The rows whose ``column`` is in ``ids``, of which few are expected: a semi join behind a bit filter.
 
-    The filter has a fixed size and is broadcast; rows that it rejects are never dealt out. If the ids
-    are so many that it lets everything pass, the join alone does the work.
+    Rows that the filter rejects are never dealt out. If the ids are so many that it lets everything pass,
+    the join alone does the work.
     """
-    bit = F.pmod(F.xxhash64(column), F.lit(FILTER * 64))
-    words = ids.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
-    bits = np.zeros(FILTER, np.int64)
-    for row in words.toLocalIterator():
-        bits[row.word] = row.mask
-    shared = df.sparkSession.sparkContext.broadcast(bits)
+    bits = Bits(ids.select(F.xxhash64(column).alias("hash")), "hash")
 
     @F.pandas_udf("boolean")
-    def maybe(at: pd.Series) -> pd.Series:
-        at = at.to_numpy()
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+    def maybe(hashes: pd.Series) -> pd.Series:
+        return pd.Series(bits.has(hashes.to_numpy()))
 
-    return df.where(maybe(bit)).join(ids.select(column), column, "left_semi")
+    return df.where(maybe(F.xxhash64(column))).join(ids.select(column).hint("merge"), column, "left_semi")
