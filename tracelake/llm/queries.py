@@ -74,10 +74,13 @@ FROM judged
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, and which non-empty ones repeat a line that stays elsewhere (numbers from 0)."""
     docs = table(spark, sf_dir, "documents")
-    counts = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    removed = line_dedup.removed_lines(docs, least_chars=1)
+    text = F.col("text").cast("string")
+    lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    counts = docs.select("doc_id", F.xxhash64(text).alias("mark"), F.coalesce(lines, F.lit(1)).cast("long").alias("n_lines"))
+    removed = line_dedup.removed_lines(docs)
     none = F.array().cast("array<int>")
-    return counts.join(removed, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed_lines"))
+    found = counts.join(removed.hint("merge"), ["doc_id", "mark"], "left")
+    return found.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed_lines"))
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
