@@ -130,6 +130,23 @@ def score(stats: DataFrame, model: Discriminant, *, id_col: str = "doc_id") -> D
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, score double").withColumnRenamed("key", id_col)
 
 
+def accepted(text: Column, model: Discriminant, *, keep_at: float = 0.3) -> Column:
+    """Whether a text scores ``keep_at`` or more: for filters that keep all columns, without a shuffle."""
+
+    @F.arrow_udf("boolean")
+    def judge(texts: pa.Array) -> pa.Array:
+        x = np.array([statistics(t.as_py()) for t in texts]).reshape(len(texts), len(STATISTICS))
+        return pa.array(model.score(x) >= keep_at)
+
+    return judge(text.cast("string"))
+
+
+def learn(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality") -> Discriminant:
+    """``fit`` on rows of ``stats`` (see ``with_statistics``) whose id has a label of 0 or 1; rows without an id teach nothing."""
+    known = labels.select(F.col(id_col).alias("key"), F.col(label_col).alias("label"))
+    return fit(stats.alias("d").join(known, F.col(f"d.{id_col}") == F.col("key")), F.col("label"))
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
@@ -148,6 +165,5 @@ def classify(
     read once: their statistics go to a table in the shared folder.
     """
     stats = stored(with_statistics(docs, id_col=id_col, text_col=text_col), "quality-statistics")
-    known = stats.alias("d").join(labels.select(F.col(id_col).alias("key"), F.col(label_col).alias("label")), F.col(f"d.{id_col}") == F.col("key"))
-    model = fit(known, F.col("label"))
+    model = learn(stats, labels, id_col=id_col, label_col=label_col)
     return score(stats, model, id_col=id_col).withColumn("predicted", (F.col("score") >= keep_at).cast("int"))
