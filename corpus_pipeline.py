@@ -17,36 +17,49 @@ from tracelake.llm.tables import stored, table
 ORACLE_SQL = None
 
 
-def _keep(docs: DataFrame, judged: DataFrame, kept: str) -> DataFrame:
-    """The rows of docs whose id has a row with ``kept``; ids meet once, so no row is multiplied."""
-    good = judged.where(kept).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language identification does not reject; ``lang`` stays as it came."""
+    """Documents that language identification does not reject; ``lang`` stays as it came.
+
+    Every row is judged by its own text, whatever its id: null and empty texts, and ones without a letter, go; repeated rows
+    stay repeated. Of an empty table, or without a row to learn from, nothing stays.
+    """
     model = language_id.fit(docs.where(fold(5) > 0))
-    return _keep(docs, language_id.predict(docs, model), "NOT rejected")
+    return docs.where(language_id.accepted(F.col("text"), model))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learned from the labels of documents still here, predicts as good."""
+    """Documents that the quality classifier, learned from the labels of documents still here, predicts as good.
+
+    Every row is judged by its own text, whatever its id; null texts are judged as empty ones. Without a
+    label of one class the other class's label decides for all, without any label all stay.
+    """
     labels = table(spark, sf_dir, "labels").where(fold(5) > 0)
-    return _keep(docs, quality_classifier.classify(docs, labels), "predicted = 1")
+    model = quality_classifier.learn(quality_classifier.with_statistics(docs), labels)
+    return docs.where(quality_classifier.accepted(F.col("text"), model))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without non-empty lines of any length that repeat an earlier one; ``n_chars`` follows the text."""
-    return line_dedup.dedup_lines(docs, least_chars=1).withColumn("n_chars", F.length("text").cast("long"))
+    """All documents, without non-empty lines of any length that repeat an earlier one; ``n_chars`` follows the text.
+
+    Null texts stay null, with null characters; a text of which no line is left is empty. Rows without an id stay as they are.
+    """
+    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates: the one with the smallest id."""
-    return _keep(docs, near_dedup.near_duplicates(docs), "kept")
+    """One document of every group of near duplicates: the one with the smallest id.
+
+    Rows with equal ids are one document and stay or go together; null and empty texts, and rows without an id, stay.
+    """
+    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.alias("docs").join(gone.alias("gone").hint("merge"), F.col("docs.doc_id") == F.col("gone.doc_id"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left, placed in sequences of at most 4096 tokens."""
+    """The pieces of all documents that are left, placed in sequences of at most 4096 tokens.
+
+    Null and empty texts are one piece, their end token; every row is packed, with or without an id of its own.
+    """
     return packing.pack(docs, VOCABULARY, room=4096, end_id=1)
 
 
