@@ -47,6 +47,6 @@ def test_verdicts_do_not_depend_on_the_order(spark):
 
 def test_rules_are_put_by_rejection_per_cost(spark):
     good = " ".join(f"word{i}" for i in range(40))
-    figures = q.base_figures(spark.createDataFrame([(i, good) for i in range(50)], "doc_id long, text string"))
+    docs = spark.createDataFrame([(i, good) for i in range(50)], "doc_id long, text string")
     never, always = q.Rule("never", F.lit(False)), q.Rule("always", F.col("n_words") > 0)
-    assert [r.name for r in q.order_rules(figures, [never, always])] == ["always", "never"]
+    assert [r.name for r in q.order_rules(docs, [never, always])] == ["always", "never"]
