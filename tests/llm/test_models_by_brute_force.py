@@ -71,10 +71,11 @@ def test_kneser_ney_ratios(spark):
 
 
 def test_discounts():
-    assert toxicity.discounts({1: 100}) == [0.75] * 3
-    d = toxicity.discounts({1: 1000, 2: 300, 3: 140, 4: 90})
+    """Estimated, but at least RARE and at most the count."""
+    assert toxicity.discounts({1: 100}) == [1.0, 1.5, 1.5]
+    d = toxicity.discounts({1: 1000, 2: 300, 3: 60, 4: 10})
     y = 1000 / 1600
-    assert np.allclose(d, [1 - 2 * y * 0.3, 2 - 3 * y * 140 / 300, 3 - 4 * y * 90 / 140]) and d[0] < 1 < d[1] < 2
+    assert np.allclose(d, [1.0, 2 - 3 * y * 60 / 300, 3 - 4 * y * 10 / 60]) and all(x <= k for k, x in enumerate(d, 1))
 
 
 def test_chances_of_a_context_add_up_to_one():
@@ -96,17 +97,18 @@ def test_toxicity_scores(spark):
     assert len(model.codes) == len(want)
 
     def ratio(word):
-        return sum(want.get(x, want.get(x[:-1] + " ", 0.0)) for x in toxicity.expressions(word))
+        some = toxicity.expressions(word)
+        return sum(want.get(x, 0.0) for x in some), sum(want.get(x[:-1] + " ", 0.0) for x in some if x not in want)
 
     words = sorted({w for t, _ in texts for w in t.split()}) + ["grumboltest", "zzz", "snarf", "éa"]
     found = model.learned(words)
-    assert all(abs(found[w] - ratio(w)) < 1e-3 for w in words) and found["grumboltest"] > 1
+    assert all(np.allclose(found[w], ratio(w), atol=1e-3) for w in words) and found["grumboltest"][0] > 1 and found["grumboltest"][1] != 0
     x = model.features([t for t, _ in texts] + [None, ""], {})
     for row, (text, _) in zip(x, texts):
         own = [ratio(w) for w in text.split()]
-        excess = sum(max(v - toxicity.STRONG, 0) for v in own)
-        assert np.allclose(row, [1, 20 * sum(own) / len(own), 20 * excess / len(own), excess / len(own) ** 0.5], atol=1e-2)
-    assert x[-1].tolist() == x[-2].tolist() == [1, 0, 0, 0]
+        excess, n = sum(max(v - toxicity.STRONG, 0) for v, _ in own), len(own)
+        assert np.allclose(row, [1, 20 * sum(v for v, _ in own) / n, 20 * sum(v for _, v in own) / n, 20 * excess / n, excess / n**0.5], atol=1e-2)
+    assert x[-1].tolist() == x[-2].tolist() == [1, 0, 0, 0, 0]
     scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     assert min(scores[i] for i, (_, y) in enumerate(texts) if y) > max(scores[i] for i, (_, y) in enumerate(texts) if not y)
 
