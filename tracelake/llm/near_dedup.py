@@ -39,8 +39,8 @@ BLOCK_SETS = 1000
 PAIRS = 1 << 19
 #: Lists with more members are first compared with their medoids.
 FEW = 8
-#: Pairs of a unit whose whole sets are compared before those that hang together meanwhile are left out.
-CHECKED = 512
+#: Pairs whose whole sets are compared before those that hang together meanwhile are left out.
+CHECKED = 1024
 #: Codes of the pairs whose sets are merged at a time, about.
 MERGED = 1 << 18
 ROWS = 512
@@ -402,50 +402,53 @@ def _meetings(table: pa.Table, starts: np.ndarray, percent: int) -> Iterator[pa.
 
 
 def _forest(table: pa.Table, starts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """Links of each unit: pairs of ``_near`` whose whole sets are similar, those with most agreements first, but for
+    """Links of some units: pairs of ``_near`` whose whole sets are similar, those with most agreements first, but for
     pairs that hang together already."""
+    if not len(starts):
+        return
     table = table.combine_chunks()
-    sizes = np.diff(np.append(starts, table.num_rows))
-    for start, size in zip(starts.tolist(), sizes.tolist()):
-        unit = table.slice(start, size).combine_chunks()
-        found = [np.concatenate(x) for x in zip(*_near(unit, np.zeros(1, np.int64), percent))]
-        if not found:
-            continue
-        order = np.argsort(-found[2], kind="stable")
-        i, j = found[0][order], found[1][order]
-        sets = [np.frombuffer(x, "<u8") for x in unit["codes"].to_pylist()]
-        component = unit["component"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
-        a, b = [], []
-        while len(i):
-            x, y = i[:CHECKED], j[:CHECKED]
-            for p, q in zip(*(z[similar_sets(sets, x, y, percent)].tolist() for z in (x, y))):
-                if component[p] != component[q]:
-                    component[component == component[q]] = component[p]
-                    a.append(p)
-                    b.append(q)
-            i, j = i[CHECKED:], j[CHECKED:]
-            apart_still = component[i] != component[j]
-            i, j = i[apart_still], j[apart_still]
-        if a:
-            nodes = unit["node"].combine_chunks()
-            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b))], names=["a", "b"])
-
-
-def similar_sets(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the sets of each pair are similar; the sets' codes are distinct."""
-    size = np.array([len(x) for x in sets])
+    found = [np.concatenate(x) for x in zip(*_near(table, starts, percent))]
+    if not found:
+        return
+    order = np.argsort(-found[2], kind="stable")
+    i, j = found[0][order], found[1][order]
+    rows = np.unique(np.concatenate((i, j)))
+    sets = dict(zip(rows.tolist(), [np.frombuffer(x, "<u8") for x in table["codes"].take(pa.array(rows)).to_pylist()]))
+    component = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+    group = np.arange(component.max() + 1)
+    a, b = [], []
+    while len(i):
+        x, y = i[:CHECKED], j[:CHECKED]
+        alike = similar_sets(sets, x, y, percent)
+        for p, q in zip(x[alike].tolist(), y[alike].tolist()):
+            one, other = group[component[p]], group[component[q]]
+            if one != other:
+                group[group == other] = one
+                a.append(p)
+                b.append(q)
+        i, j = i[CHECKED:], j[CHECKED:]
+        still = group[component[i]] != group[component[j]]
+        i, j = i[still], j[still]
+    if a:
+        nodes = table["node"].combine_chunks()
+        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b))], names=["a", "b"])
+
+
+def similar_sets(sets: dict[int, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sets of each pair of rows are similar; the codes of a set are distinct."""
+    sizes = np.array([len(sets[p]) + len(sets[q]) for p, q in zip(i.tolist(), j.tolist())], np.int64)
     out, at = np.zeros(len(i), bool), 0
     while at < len(i):
         # as many pairs as have about MERGED codes; a bijection of its own for each keeps the pairs apart
-        ends = np.cumsum(size[i[at:]] + size[j[at:]])
+        ends = np.cumsum(sizes[at:])
         n = max(1, int(np.searchsorted(ends, MERGED)))
         some = [x for p, q in zip(i[at : at + n].tolist(), j[at : at + n].tolist()) for x in (sets[p], sets[q])]
-        pair = np.repeat(np.arange(n, dtype=np.uint64), [len(x) + len(y) for x, y in zip(some[::2], some[1::2])])
+        pair = np.repeat(np.arange(n, dtype=np.uint64), sizes[at : at + n])
         codes = (np.concatenate(some) + pair * _MIX) * _MIX
         order = np.argsort(codes)
         codes, pair = codes[order], pair[order]
         inside = np.bincount(pair[1:][(codes[1:] == codes[:-1]) & (pair[1:] == pair[:-1])].astype(np.int64), minlength=n)
-        out[at : at + n] = 100 * inside >= percent * (size[i[at : at + n]] + size[j[at : at + n]] - inside)
+        out[at : at + n] = 100 * inside >= percent * (sizes[at : at + n] - inside)
         at += n
     return out
 
