@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with production parameters, and their SQL where SQL can express them."""
+"""The queries of the operators, with production parameters, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracelake.llm import ann, bpe, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, toxicity, warc
+from tracelake.llm import ann, bpe, conversations, fill_in_middle, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filters, warc
 from tracelake.llm.tables import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -170,6 +170,90 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.repair(damaged, dropped="dropped")
+
+
+#: Host and start of path, as the contract gives them.
+SITES = (
+    url_filters.Rule("org/", "allow", True),
+    url_filters.Rule("example.org/es/", "block", True),
+    url_filters.Rule("example.org/en/1", "block", True),
+    url_filters.Rule("com/fr/", "allow", True),
+    url_filters.Rule("com/de/", "block", True),
+)
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_filters.rules_table(spark, (*SITES, *url_filters.DEFAULT_RULES))
+    return url_filters.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "pattern", "verdict")
+
+
+def _sites_sql() -> str:
+    """One row per site rule: its pattern, action, host and start of path."""
+    return ", ".join(f"('{r.pattern}', '{r.action}', '{r.pattern.partition('/')[0]}', '/{r.pattern.partition('/')[2]}')" for r in SITES)
+
+
+def _patterns_sql() -> str:
+    """One row per other rule: its pattern, action and a regular expression."""
+    rows = []
+    for rule in url_filters.DEFAULT_RULES:
+        inner = rule.pattern.removeprefix("||").removesuffix("*").replace(".", "[.]").replace("^*^", "([^A-Za-z0-9].*)?[^A-Za-z0-9]")
+        start = "^([^/]*[.])?" if rule.pattern.startswith("||") else ""
+        regex = inner.replace("^", "(^|[^A-Za-z0-9])", 1).removesuffix("^") + "([^A-Za-z0-9]|$)" if inner.startswith("^") else inner
+        rows.append(f"('{rule.pattern}', '{rule.action}', '{start}{regex}')")
+    return ", ".join(rows)
+
+
+OP12_SQL = f"""
+WITH sites(pattern, action, host, start) AS (VALUES {_sites_sql()}),
+patterns(pattern, action, regex) AS (VALUES {_patterns_sql()}),
+rests AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests
+), by_site AS (
+  SELECT r, max((length(s.pattern), s.action, s.pattern)) AS best FROM parts p JOIN sites s
+  ON (p.host = s.host OR ends_with(p.host, '.' || s.host)) AND starts_with(p.path, s.start) GROUP BY r
+), by_pattern AS (
+  SELECT r, max((length(s.pattern), s.action, s.pattern)) AS best FROM parts p JOIN patterns s
+  ON regexp_matches(p.host || p.path, s.regex, 's') GROUP BY r
+)
+SELECT page_id, host, path, s.best[3] AS rule, CASE WHEN s.best IS NULL THEN b.best[3] END AS pattern, coalesce(s.best[2], b.best[2], 'allow') AS verdict
+FROM parts LEFT JOIN by_site s USING (r) LEFT JOIN by_pattern b USING (r)
+"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formed = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    return formed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS body, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), cut AS (
+  SELECT *, regexp_extract_all(body, '[ 	-]*[^ 	-]+|[ 	-]+') AS units,
+    CAST('0x' || h[1:8] AS UBIGINT) AS h1, CAST('0x' || h[9:16] AS UBIGINT) AS h2, CAST('0x' || h[17:24] AS UBIGINT) AS h3, CAST('0x' || h[25:32] AS UBIGINT) AS h4
+  FROM texts
+), placed AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS low, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS high,
+    CASE WHEN body = '' OR regexp_matches(body, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut
+), parts AS (
+  SELECT *, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle, array_to_string(units[high + 1:], '') AS suffix FROM placed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(body) AS restored_sha256
+FROM parts
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_normaliser": op1_warc_normaliser,
     "op2_quality_rules": op2_quality_rules,
@@ -181,6 +265,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_url_filters": op12_url_filters,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
@@ -188,4 +275,6 @@ SQL: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
     "op5_nearest_neighbours": OP5_SQL,
     "op6_minhash_near_dedup": OP6_SQL,
+    "op12_url_filters": OP12_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
