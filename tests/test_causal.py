@@ -84,3 +84,32 @@ def test_tie_ordered_variant_agrees_with_a_loop(spark, events):
         near = [r for r in rows if r[1] == s and us - at(20) <= r[2] and (r[2], r[0]) <= (us, i)]
         span = max((us - min(r[2] for r in near)) / 1e6, 1.0)
         assert found[i][:3] == (len({r[4] for r in near}), len({r[3] for r in near if r[3]}), len(near)) and abs(found[i][3] - len(near) / span) < 1e-6
+
+
+def ranged(spark, rows, most, **options):
+    from tracelake.operators import causal
+
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = causal.causal_window(df, F.col("src"), F.col("us"), F.col("host"), F.col("port"), most=most, **options)
+    return {r.id: tuple(r[a] for a in AGGREGATES) for r in out.collect()}
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("aab"), st.integers(0, 90) | st.sampled_from([5, 5, 61]), st.sampled_from(["x", "y", None]), st.sampled_from([0, 1, None])), max_size=40), st.integers(2, 9))
+def test_ranges_of_a_large_source_agree_with_one_task(spark, events, most):
+    rows = [(i, s, at(t), h, None if p is None else str(p)) for i, (s, t, h, p) in enumerate(events)] + [(1000, None, 5, "x", "1"), (1001, "a", None, "x", "1")]
+    assert ranged(spark, rows, most) == run(spark, rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    both = [{tuple(r) for r in tie_ordered_window(df, "src", "us", "id", "host", "port", seconds=20, **o).collect()} for o in ({}, {"most": most})]
+    assert both[0] == both[1]
+
+
+def test_a_flood_is_spread_evenly(spark):
+    """A third of all rows from one source within one window, most of them at one time: no task has much more than the others."""
+    from tracelake.operators import scan
+
+    rows = spark.range(60_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 997) END AS src", "CASE WHEN id % 6 = 0 THEN 7 ELSE id END AS us", "id")
+    parts = scan.ranges(rows, ["src"], ["us", "id"], most=4000)
+    sizes = sorted(r["count"] for r in parts.groupBy("part").count().collect())
+    assert len(sizes) == 15 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    assert parts.where("src = 'hot'").select("part").distinct().count() >= 5

@@ -4,22 +4,26 @@ An event counts from its own time until the window has passed, so what a window
 arrivals and expiries: the work grows with the number of events, however many a window holds. A host or port
 counts once: at an arrival if it was not seen within the window before, and it goes with an expiry if it is not
 seen again within the window after.
+
+A source with very many events within one window (a flood) is cut into ranges of equal row count. Each range
+knows, for every host and port in it, when the ranges around it saw the same one; changes are added up by time
+before they are scanned, range by range, and each range starts from what those before it add up to.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-AGGREGATES = ("agg_distinct_dst_ports", "agg_distinct_dst_hosts", "agg_events_in_window", "agg_events_per_second")
+from tracelake.operators import scan
 
+AGGREGATES = ("agg_distinct_dst_ports", "agg_distinct_dst_hosts", "agg_events_in_window", "agg_events_per_second")
+_GROUP = ["source", "bucket"]
+#: Rows of a range and what its neighbours tell it, in their order.
+_BEFORE, _ROW, _AFTER = -1, 0, 1
 
-def _aggregated(df: DataFrame, source: Column, us: Column, host: Column, port: Column, tie: Column | None, seconds: float) -> DataFrame:
-    """All columns of df and the four aggregates. tie: of equal times only rows up to a row's own ``tie`` count; all do without.
 
-    A source's events are cut into buckets one window long, and every row also serves the next bucket. All
-    sorts are within the partitions of one shuffle by source and bucket.
-    """
-    width = int(seconds * 1_000_000)
+def _placed(df: DataFrame, source: Column, us: Column, host: Column, port: Column, tie: Column | None, width: int) -> DataFrame:
+    """Every row in its own bucket, one window long, and as a copy without its columns in the next one."""
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
         F.when(us.isNotNull(), source).alias("source"), us.cast("long").alias("us"), host.alias("host"), port.alias("port"),
@@ -34,15 +38,25 @@ def _aggregated(df: DataFrame, source: Column, us: Column, host: Column, port: C
     # rows that count nothing are spread out instead of meeting in one partition
     nowhere = F.array(place(F.pmod(F.monotonically_increasing_id(), F.lit(1024)), True))
     placed = rows.withColumn("place", F.explode(F.when(F.col("known"), F.array(place(bucket, True), place(bucket + 1, False))).otherwise(nowhere)))
-    placed = placed.select(F.when(F.col("place.own"), F.col("row")).alias("row"), "place.*", "source", "us", "host", "port", "tie", "known").repartition("source", "bucket")
+    return placed.select(F.when(F.col("place.own"), F.col("row")).alias("row"), "place.*", "source", "us", "host", "port", "tie", "known")
+
+
+def _large_groups(df: DataFrame, source: Column, us: Column, width: int, most: int) -> DataFrame | None:
+    """Sources and buckets in which more than ``most`` rows and copies can meet; None where there is none."""
+    known = df.where(source.isNotNull() & us.isNotNull()).select(source.alias("source"), F.floor(us.cast("long") / width).alias("bucket"))
+    large = scan.large_keys(known, _GROUP, most // 2)
+    return None if large is None else large.select("source", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket")).distinct()
 
-    def seen(c: str) -> dict[str, Column]:
-        same = Window.partitionBy("source", "bucket", c).orderBy("us", "tie")
-        before, after = F.col("us") - F.lag("us").over(same), F.lead("us").over(same) - F.col("us")
-        return {f"{c}_comes": (F.col(c).isNotNull() & (F.coalesce(before, F.lit(width + 1)) > width)).cast("int"), f"{c}_goes": (F.col(c).isNotNull() & (F.coalesce(after, F.lit(width + 1)) > width)).cast("int")}
 
-    following = F.lead("us").over(Window.partitionBy("source", "bucket").orderBy("us", "tie"))
-    told = placed.withColumns(seen("host")).withColumns(seen("port")).withColumn("following", following)
+def _seen(group: list[str], c: str, order: list[str], width: int) -> dict[str, Column]:
+    """Whether a host (port) comes with a row, and goes with its expiry."""
+    same = Window.partitionBy(*group, c).orderBy(*order)
+    before, after = F.col("us") - F.lag("us").over(same), F.lead("us").over(same) - F.col("us")
+    return {f"{c}_comes": (F.col(c).isNotNull() & (F.coalesce(before, F.lit(width + 1)) > width)).cast("int"), f"{c}_goes": (F.col(c).isNotNull() & (F.coalesce(after, F.lit(width + 1)) > width)).cast("int")}
+
+
+def _changes(told: DataFrame, width: int) -> DataFrame:
+    """Arrivals (phase 1) and expiries (phase 0) with what they add to the counts; ``rest`` is the time of the event after an expired one."""
 
     def change(at: Column, phase: int, n: int, hosts: Column, ports: Column, rest: Column) -> Column:
         return F.struct(at.alias("at"), F.lit(phase).alias("phase"), F.lit(n).alias("n"), hosts.alias("hosts"), ports.alias("ports"), rest.alias("rest"))
@@ -51,44 +65,98 @@ def _aggregated(df: DataFrame, source: Column, us: Column, host: Column, port: C
     goes = change(F.col("us") + width + 1, 0, -1, -F.col("host_goes"), -F.col("port_goes"), F.col("following"))
     # a bucket's own rows are all still counted at its end
     changes = told.withColumn("e", F.explode(F.when(F.col("own"), F.array(comes)).otherwise(F.array(comes, goes))))
-    changes = changes.select("row", "source", "bucket", "own", "known", "us", "tie", "e.*")
-    within = Window.partitionBy("source", "bucket")
-    if tie is None:
-        frame = within.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    else:
-        frame = within.orderBy("at", "phase", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    count = F.sum("n").over(frame)
+    return changes.select("row", *_GROUP, "own", "known", "us", "tie", "e.*")
+
+
+def _counted(out: DataFrame, n: Column, hosts: Column, ports: Column, rest: Column, least: Column) -> DataFrame:
+    """The rows with their four aggregates, from the sums up to each."""
     # the event after the last expired one is the oldest that still counts
-    oldest = F.coalesce(F.max("rest").over(frame), F.min("us").over(frame))
-    span = F.greatest((F.col("us") - oldest) / 1_000_000, F.lit(1.0))
+    span = F.greatest((F.col("us") - F.coalesce(rest, least)) / 1_000_000, F.lit(1.0))
     zero = F.lit(0).cast("long")
-    out = changes.withColumns(
-        {
-            "agg_distinct_dst_ports": F.when(F.col("known"), F.sum("ports").over(frame)).otherwise(zero),
-            "agg_distinct_dst_hosts": F.when(F.col("known"), F.sum("hosts").over(frame)).otherwise(zero),
-            "agg_events_in_window": F.when(F.col("known"), count).otherwise(zero),
-            "agg_events_per_second": F.when(F.col("known"), F.round(count / span, 6)).otherwise(F.lit(0.0)),
-        }
-    )
-    return out.where("own").select("row.*", *AGGREGATES)
+    values = {
+        "agg_distinct_dst_ports": F.when(F.col("known"), ports).otherwise(zero),
+        "agg_distinct_dst_hosts": F.when(F.col("known"), hosts).otherwise(zero),
+        "agg_events_in_window": F.when(F.col("known"), n).otherwise(zero),
+        "agg_events_per_second": F.when(F.col("known"), F.round(n / span, 6)).otherwise(F.lit(0.0)),
+    }
+    return out.withColumns(values).where("own").select("row.*", *AGGREGATES)
+
+
+def _by_group(placed: DataFrame, width: int, ties: bool) -> DataFrame:
+    """Groups that fit a task: all sorts are within the partitions of one shuffle by source and bucket."""
+    following = F.lead("us").over(Window.partitionBy(*_GROUP).orderBy("us", "tie"))
+    told = placed.repartition(*_GROUP).withColumns(_seen(_GROUP, "host", ["us", "tie"], width)).withColumns(_seen(_GROUP, "port", ["us", "tie"], width)).withColumn("following", following)
+    within = Window.partitionBy(*_GROUP)
+    frame = within.orderBy("at", "phase", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow) if ties else within.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = [F.sum(c).over(frame) for c in ("n", "hosts", "ports")]
+    return _counted(_changes(told, width), *sums, F.max("rest").over(frame), F.min("us").over(frame))
+
+
+def _neighbours(parts: DataFrame, c: str | None) -> DataFrame:
+    """What a range's neighbours tell it: of every host (port) in it the last time before and the first after; without one, the time that follows it."""
+    key = [*_GROUP] if c is None else [*_GROUP, c]
+    ends = (parts if c is None else parts.where(F.col(c).isNotNull())).groupBy(*key, "part").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    order = Window.partitionBy(*key).orderBy("part")
+    beside = ends.select(*key, "part", F.lag("last").over(order).alias("before"), F.lead("first").over(order).alias("after"))
+    told = [F.struct(F.lit(_BEFORE).alias("side"), F.col("before").alias("us")), F.struct(F.lit(_AFTER).alias("side"), F.col("after").alias("us"))]
+    rows = beside.select(*key, "part", F.explode(F.array(*(told[1:] if c is None else told))).alias("e")).where("e.us IS NOT NULL")
+    return rows.select(*key, "part", "e.*", F.lit(c or "time").alias("about"))
+
+
+def _by_range(placed: DataFrame, width: int, ties: bool, most: int) -> DataFrame:
+    """Groups of any size, by ranges of about ``most`` rows."""
+    # the salt lets a range end amid very many rows of one time
+    parts = scan.ranges(placed.withColumn("salt", F.monotonically_increasing_id()), _GROUP, ["us", "tie", "salt"], most=most).drop("salt")
+    both = parts.withColumns({"side": F.lit(_ROW), "about": F.lit("time")})
+    for c in ("host", "port", None):
+        both = both.unionByName(_neighbours(parts, c), allowMissingColumns=True)
+    # a neighbour's word about a host is in no port's order, nor in that of time
+    group, order = [*_GROUP, "part"], ["side", "us", "tie"]
+    about = {c: F.when(F.col("about") == c, F.col(c)).when(F.col("side") == _ROW, F.col(c)) for c in ("host", "port")}
+    told = both.repartition(*group).withColumns(about)
+    told = told.withColumns(_seen(group, "host", order, width)).withColumns(_seen(group, "port", order, width))
+    in_time = Window.partitionBy(*group, F.col("about") == "time").orderBy(*order)
+    told = told.withColumn("following", F.lead("us").over(in_time)).where(F.col("side") == _ROW)
+    changes = scan.stored(_changes(told, width), "changes")
+    place = ["at", "phase", "tie"] if ties else ["at"]
+    sums = [F.sum(c).alias(c) for c in ("n", "hosts", "ports")]
+    by_time = changes.groupBy(*_GROUP, *place).agg(*sums, F.max("rest").alias("rest"), F.min("us").alias("least"))
+    how = {c: ("sum", c[4:]) for c in ("all_n", "all_hosts", "all_ports")} | {"all_rest": ("max", "rest"), "all_least": ("min", "least")}
+    up_to = scan.running(scan.ranges(by_time, _GROUP, place, most=most), _GROUP, place, how).select(*_GROUP, *place, *how)
+    own = changes.where("own AND phase = 1").select("row", "own", "known", "us", *_GROUP, *place)
+    # dealt out by the join, so that a time with very many rows can be split
+    joined = own.join(up_to.coalesce(1 << 20).hint("merge"), [*_GROUP, *place])
+    return _counted(joined, *[F.col(c) for c in how])
+
+
+def _aggregated(df: DataFrame, source: Column, us: Column, host: Column, port: Column, tie: Column | None, seconds: float, most: int) -> DataFrame:
+    """All columns of df and the four aggregates. tie: of equal times only rows up to a row's own ``tie`` count; all do without."""
+    width = int(seconds * 1_000_000)
+    placed = _placed(df, source, us, host, port, tie, width)
+    large = _large_groups(df, source, us, width, most)
+    if large is None:
+        return _by_group(placed, width, tie is not None)
+    rest, flooded = scan.split(placed, _GROUP, large)
+    return _by_group(rest, width, tie is not None).unionByName(_by_range(flooded, width, tie is not None, most))
 
 
-def causal_window(df: DataFrame, source: Column, us: Column, host: Column, port: Column, *, seconds: float = 60.0) -> DataFrame:
+def causal_window(df: DataFrame, source: Column, us: Column, host: Column, port: Column, *, seconds: float = 60.0, most: int = scan.MOST) -> DataFrame:
     """Adds the four aggregates over [time - seconds, time] of the same source, ties included.
 
     us: event time in microseconds. Rows without source or time stay, with zeros; null hosts and ports are not
-    counted. No source larger than two windows ends in one task, and a task holds no window: it sorts and sums.
+    counted. A task holds no window: it sorts and sums, at most what a source has in two windows; where
+    that may be more than ``most`` rows, the source's rows are cut into ranges.
     """
-    return _aggregated(df, source, us, host, port, None, seconds)
+    return _aggregated(df, source, us, host, port, None, seconds, most)
 
 
-def tie_ordered_window(df: DataFrame, source: str, us: str, order: str, host: str, port: str, *, seconds: float = 60.0) -> DataFrame:
+def tie_ordered_window(df: DataFrame, source: str, us: str, order: str, host: str, port: str, *, seconds: float = 60.0, most: int = scan.MOST) -> DataFrame:
     """The offline variant: of rows with equal times only those not later in ``order`` count.
 
     Rows without source or time are left out, as in the offline tables.
     """
     rows = df.where(F.col(source).isNotNull() & F.col(us).isNotNull())
-    return _aggregated(rows, F.col(source), F.col(us), F.col(host), F.col(port), F.col(order), seconds)
+    return _aggregated(rows, F.col(source), F.col(us), F.col(host), F.col(port), F.col(order), seconds, most)
 
 
 def range_self_join(df: DataFrame, key: str, source: str, us: str, host: str, port: str, *, seconds: float = 60.0) -> DataFrame:

@@ -77,9 +77,9 @@ def w1_causal_window(spark, sf_dir):
 
 @query(f"WITH {_EVENTS}, h AS (SELECT event_id, event_type, k, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS source, CASE WHEN event_id % 3 = 0 THEN us % {DAY * 1_000_000} ELSE us END AS us FROM e) " + _window_sql("h", "event_id", "source", "us", "event_type", "k", DAY * 1_000_000))
 def w1_skew_bucketed(spark, sf_dir):
-    """A third of all events from one source within one day."""
+    """A third of all events from one source within one day, in ranges of 2000."""
     hot = F.col("event_id") % 3 == 0
-    return _window(_events(spark, sf_dir), ["event_id"], F.when(hot, -1).otherwise(F.col("user_id")), F.when(hot, F.col("us") % (DAY * 1_000_000)).otherwise(F.col("us")), "event_type", "k", DAY)
+    return _window(_events(spark, sf_dir), ["event_id"], F.when(hot, -1).otherwise(F.col("user_id")), F.when(hot, F.col("us") % (DAY * 1_000_000)).otherwise(F.col("us")), "event_type", "k", DAY, most=2000)
 
 
 @query(
@@ -112,6 +112,32 @@ def w2_tie_ordered(spark, sf_dir):
     return causal.tie_ordered_window(rows, "user_id", "us", "event_id", "event_type", "k", seconds=5 * DAY).select("event_id", *causal.AGGREGATES)
 
 
+_FLOOD = f"WITH {_EVENTS}, h AS (SELECT event_id, event_type, k, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS source, us // 86400000000 * 86400000000 AS us FROM e)"
+
+
+@query(
+    f"""{_FLOOD}
+SELECT event_id, count(DISTINCT k) OVER w AS agg_distinct_dst_ports, count(DISTINCT event_type) OVER w AS agg_distinct_dst_hosts, count(*) OVER w AS agg_events_in_window
+FROM h WINDOW w AS (PARTITION BY source, us ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+)
+def w2_flooded_ties(spark, sf_dir):
+    """A third of all events from one source, in times of whole days, a second's window: ties alone count, in order, in ranges of 200."""
+    hot = F.col("event_id") % 3 == 0
+    rows = _events(spark, sf_dir).withColumns({"source": F.when(hot, -1).otherwise(F.col("user_id")), "us": F.floor(F.col("us") / (DAY * 1_000_000)) * (DAY * 1_000_000)})
+    return causal.tie_ordered_window(rows, "source", "us", "event_id", "event_type", "k", seconds=1, most=200).select("event_id", *causal.AGGREGATES[:3])
+
+
+@query(
+    f"""WITH {_EVENTS}, h AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS source, us FROM e),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY source ORDER BY event_id) > 60000000 THEN 1 ELSE 0 END AS new FROM h)
+SELECT event_id, source, CAST(sum(new) OVER (PARTITION BY source ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS flow_no FROM g"""
+)
+def w3_hot_sessions(spark, sf_dir):
+    """Sessions of a source with a third of all events, in ranges of 2000, beside those of all others."""
+    rows = _events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 3 == 0, -1).otherwise(F.col("user_id")).alias("source"), "us")
+    return flows.gap_sessions(rows, ["source"], "us", "event_id", gap_seconds=60, most=2000).select("event_id", "source", "flow_no")
+
+
 @query(
     f"""WITH {_EVENTS}
 SELECT a.event_id, count(DISTINCT b.k) AS agg_distinct_dst_ports, count(DISTINCT b.event_type) AS agg_distinct_dst_hosts, count(*) AS agg_events_in_window
