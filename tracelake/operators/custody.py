@@ -12,6 +12,8 @@ from datetime import datetime, timezone
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tracelake.operators import merkle
+from tracelake.operators.merkle import row_hash
 from tracelake.sources.streams import listed
 
 #: Bytes of a file that are read at a time.
@@ -116,31 +118,15 @@ def verify_chain(chain: DataFrame) -> DataFrame:
     return rows.select("case_id", "total", F.flatten(F.transform("all", lambda x: x.p)).alias("issues"))
 
 
-def row_hash(*columns: Column) -> Column:
-    """SHA-256 of a row as JSON with sorted keys."""
-    return F.sha2(F.to_json(F.parse_json(F.to_json(F.struct(*columns)))), 256)
+def table_digest(df: DataFrame, seq: str = "seq", *, block: int = merkle.BLOCK) -> tuple[str, int]:
+    """SHA-256 over a table in order of ``seq`` (of ``path`` before it, where rows have one) and its row count.
 
-
-def table_digest(df: DataFrame, seq: str = "seq", *, block: int = 4096) -> tuple[str, int]:
-    """SHA-256 over a table in order of ``seq`` and its row count, by blocks of ``seq`` and then over the blocks.
-
-    Blocks are ranges of ``seq``, of about 4096 rows where it has few gaps; they are folded level by level until
-    at most 4096 are left for the driver. No task gathers more than the rows of one range.
+    It is the hash of the root of a Merkle tree of two levels or more over blocks of 4096 rows by count, so
+    captures with the same numbers do not meet in one block.
     """
-    rows = df.select(F.col(seq).cast("long").alias("seq"), row_hash(*[F.col(f"`{c}`") for c in df.columns]).alias("h"), F.lit(1).cast("long").alias("n"))
-
-    def folded(x: DataFrame) -> DataFrame:
-        inside = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "h"))), lambda r: r.h), "")
-        return x.groupBy(F.floor(F.col("seq") / block).alias("b")).agg(F.sha2(inside, 256).alias("h"), F.sum("n").alias("n")).select(F.col("b").alias("seq"), "h", "n")
-
-    # the widest range of seq tells how many levels leave at most one block of blocks
-    levels, width = 2, (df.agg(F.max(F.col(seq).cast("long"))).first()[0] or 0) // block**2
-    while width >= block:
-        levels, width = levels + 1, width // block
-    for _ in range(levels):
-        rows = folded(rows)
-    top = rows.orderBy("seq").collect()
-    return hashlib.sha256("".join(r.h for r in top).encode()).hexdigest(), sum(r.n for r in top)
+    order = [c for c in ("path",) if c in df.columns and c != seq] + [seq]
+    found = merkle.tree(df, order, block=block, least=2)
+    return hashlib.sha256(found.root.encode() if found.n else b"").hexdigest(), found.n
 
 
 def file_digest(spark: SparkSession, path: str) -> str:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracelake.functions.scalars import cef_severity, day_first_seconds, event_time, eve_severity, finite, in_order, syslog_time
-from tracelake.operators import causal, clean, custody, flows, matrix, normalize, profile, report, sample
+from tracelake.operators import causal, clean, custody, flows, matrix, merkle, normalize, profile, report, sample
 from tracelake.operators.normalize import parse_cef, taxonomy
 from tracelake.operators.quantiles import quantiles
 from tracelake.plans import jobs
+from tracelake.storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,14 +36,6 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; on one machine (local mode) a folder of its own where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (named or tempfile.mkdtemp(prefix="tracelake-")).rstrip("/")
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with time in microseconds and the port that their properties hold."""
     rows = _t(spark, sf_dir, "events")
@@ -456,11 +448,30 @@ def c3_digest(spark, sf_dir):
 FROM (SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || '}') AS h FROM nation))"""
 )
 def c3_table_digest(spark, sf_dir):
-    """The digest of a whole table: its rows are one block, folded twice and hashed for the driver."""
+    """The digest of a whole table: its rows are one block, folded twice, and the root hashed."""
     digest, n = custody.table_digest(_t(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
     return spark.createDataFrame([(digest.upper(), n)], "digest string, n long")
 
 
+_FOLD = "SELECT {level} AS level, number // 16 AS number, sha256(string_agg(h, '' ORDER BY number)) AS h, CAST(sum(n) AS BIGINT) AS n FROM l{below} GROUP BY number // 16"
+
+
+@query(
+    f"""WITH r AS (SELECT l_orderkey, l_linenumber, sha256('{{"l_linenumber":' || l_linenumber || ',"l_orderkey":' || l_orderkey || ',"l_partkey":' || l_partkey || ',"l_returnflag":"' || l_returnflag || '"}}') AS h FROM lineitem),
+l0 AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS number, h, 1 AS n FROM r),
+l1 AS ({_FOLD.format(level=1, below=0)}), l2 AS ({_FOLD.format(level=2, below=1)}), l3 AS ({_FOLD.format(level=3, below=2)})
+SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3"""
+)
+def c3_merkle_levels(spark, sf_dir):
+    """All nodes of the first three levels above the rows of a tree over line items, in blocks of 16."""
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    found = merkle.tree(rows, ["l_orderkey", "l_linenumber"], block=16)
+    one, two = found.levels[1], found.levels[2]
+    three = merkle.folded(two, 16)
+    nodes = [x.select(F.lit(level).alias("level"), "number", "h", "n") for level, x in enumerate((one, two, three), 1)]
+    return nodes[0].unionByName(nodes[1]).unionByName(nodes[2])
+
+
 _FLOW_CSV = ["protocol", "flow_duration", "total_fwd_packets", "total_backward_packets", "total_length_of_fwd_packets", "total_length_of_bwd_packets"]
 
 
@@ -689,7 +700,7 @@ def m6_m9_train_and_score(spark, sf_dir):
     components = [F.coalesce(finite(F.get("embedding", F.lit(i)).cast("double")), F.lit(0.0)).alias(n) for i, n in enumerate(names)]
     rows = vectors.select("vec_id", F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"), *components)
     trained = model.train(rows.where("category IS NOT NULL"), names, "category", "vec_id", trees=10, depth=4)
-    folder = f"{_shared(spark)}/models-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
     model.certify(spark, trained, folder, "v1")
     found = model.FrozenClassifier(spark, folder, "v1")
     scored = found.explain(found.predict(rows), 3)
