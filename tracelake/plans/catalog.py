@@ -458,7 +458,7 @@ _FOLD = "SELECT {level} AS level, number // 16 AS number, sha256(string_agg(h, '
 
 @query(
     f"""WITH r AS (SELECT l_orderkey, l_linenumber, sha256('{{"l_linenumber":' || l_linenumber || ',"l_orderkey":' || l_orderkey || ',"l_partkey":' || l_partkey || ',"l_returnflag":"' || l_returnflag || '"}}') AS h FROM lineitem),
-l0 AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS number, h, 1 AS n FROM r),
+l0 AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, h) - 1 AS number, h, 1 AS n FROM r),
 l1 AS ({_FOLD.format(level=1, below=0)}), l2 AS ({_FOLD.format(level=2, below=1)}), l3 AS ({_FOLD.format(level=3, below=2)})
 SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3"""
 )
