@@ -12,6 +12,7 @@ from tracelake.operators import causal, clean, custody, flows, matrix, merkle, n
 from tracelake.operators.normalize import parse_cef, taxonomy
 from tracelake.operators.quantiles import quantiles
 from tracelake.plans import jobs
+from tracelake.sources import pcap
 from tracelake.storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -583,6 +584,24 @@ def a1_packet_flows(spark, sf_dir):
     return found.select("seq.path", "src_ip", "protocol", "seq.flow_no", "packets_out", "packets_in", "bytes_out", "bytes_in", "duration")
 
 
+@query(
+    f"""WITH {_EVENTS} SELECT 'c' || event_id % 4 AS capture, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1 AS ordinal, us, '10.0.' || user_id // 256 % 256 || '.' || user_id % 256 AS src_ip, '9.9.9.' || user_id % 5 AS dst_ip,
+  CAST(user_id % 60000 + 1000 AS INTEGER) AS src_port, 53 AS dst_port, CASE WHEN event_type = 'click' THEN 'UDP' ELSE 'TCP' END AS protocol, CAST(event_id % 1400 + 60 AS INTEGER) AS length FROM e"""
+)
+def s5_s6_capture_ranges(spark, sf_dir):
+    """Events written as the packets of four captures, which are read by ranges of 64 KB."""
+    rows = _events(spark, sf_dir)
+    host = F.concat(F.lit("10.0."), (F.floor(F.col("user_id") / 256) % 256).cast("string"), F.lit("."), (F.col("user_id") % 256).cast("string"))
+    packets = rows.select(
+        F.concat(F.lit("c"), (F.col("event_id") % 4).cast("string")).alias("capture"), F.col("event_id").alias("ordinal"), "us", host.alias("src_ip"), F.concat(F.lit("9.9.9."), (F.col("user_id") % 5).cast("string")).alias("dst_ip"),
+        (F.col("user_id") % 60000 + 1000).cast("int").alias("src_port"), F.lit(53).alias("dst_port"), F.when(F.col("event_type") == "click", "UDP").otherwise("TCP").alias("protocol"), (F.col("event_id") % 1400 + 60).cast("int").alias("length"),
+    )
+    folder = f"{shared_dir(spark)}/captures-{uuid.uuid4().hex}"
+    pcap.write_captures(packets, folder)
+    found = pcap.read_packets(spark, folder, range_bytes=1 << 16)
+    return found.select(F.regexp_extract("path", r"(c\d)\.pcap$", 1).alias("capture"), "ordinal", F.round(F.col("ts") * 1_000_000).cast("long").alias("us"), "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "length")
+
+
 @query(
     f"""WITH {_EVENTS}, u AS (SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN 'a.pcap' ELSE 'b.pcap' END AS path, user_id, CASE WHEN event_type = 'click' THEN 'UDP' ELSE 'TCP' END AS protocol FROM e)
 SELECT protocol, count(*) AS n, 4001 AS class_uid FROM u GROUP BY 1"""
