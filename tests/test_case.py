@@ -140,23 +140,6 @@ def test_quotas_and_synthesis(spark):
     assert synth.sample(spark, copula, 2500).agg(F.corr("x", "y")).first()[0] > 0.9
 
 
-def test_stream_gives_the_batch_result(spark, tmp_path):
-    from tracelake.streaming.causal import causal_window_stream
-
-    schema = "source string, event_id long, ts timestamp, host string, port string"
-    base = "2026-01-05 10:{:02d}:{:02d}"
-    rows = [("a", i, base.format(i // 3, i * 20 % 60), "h", str(i % 4)) for i in range(12)] + [("zz", 99, "2026-01-05 12:00:00", "h", "1"), ("zz", 100, "2026-01-05 14:00:00", "h", "1")]
-    df = spark.createDataFrame(rows, "source string, event_id long, ts string, host string, port string").withColumn("ts", F.to_timestamp("ts"))
-    for n, part in enumerate((df.where("event_id < 6"), df.where("event_id BETWEEN 6 AND 20"), df.where("event_id = 99"), df.where("event_id = 100"))):
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = causal_window_stream(stream, late="1 minute").writeStream.format("memory").queryName("w1").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    found = {r.event_id: r.agg_events_in_window for r in spark.sql("SELECT * FROM w1 WHERE source = 'a'").collect()}
-    assert found == {i: min(i + 1, 4) for i in range(12)}
-
-
 def test_every_vector_and_component_is_trained_on_and_scored(spark, tmp_path, monkeypatch):
     from tracelake.plans.catalog import QUERIES
 
