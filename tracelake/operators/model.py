@@ -1,4 +1,4 @@
-"""Training, freezing, scoring and explaining a forest of decision trees."""
+"""Training, freezing, scoring and explaining forests and boosted trees."""
 
 from __future__ import annotations
 
@@ -15,10 +15,12 @@ from pyspark.errors import AnalysisException
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tracelake.operators import boosting
 from tracelake.operators.profile import classification_metrics
 from tracelake.operators.sample import stratified_split
+from tracelake.operators.trees import Tree, shapley
 
 
 class ModelIntegrityError(Exception):
@@ -27,7 +29,7 @@ class ModelIntegrityError(Exception):
 
 @dataclass(frozen=True)
 class Trained:
-    model: RandomForestClassificationModel
+    model: RandomForestClassificationModel | boosting.Boosted
     features: list[str]
     classes: list[str]
     metrics: dict[str, float]
@@ -37,13 +39,19 @@ def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="error").transform(df)
 
 
-def train(df: DataFrame, features: list[str], category: str, key: str, *, trees: int = 60, depth: int = 6, test: float = 0.2, seed: int = 42) -> Trained:
-    """Fits on four fifths of each class and measures on the rest; classes are numbered in order of their names."""
+def _split(df: DataFrame, category: str, key: str, test: float, seed: int) -> tuple[DataFrame, list[str]]:
+    """The rows with ``is_test`` and ``__y``, the number of their class in order of names."""
     classes = sorted(r[0] for r in df.select(category).distinct().collect())
     if len(classes) < 2:
         raise ValueError("two classes are needed to train")
     number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(category)) - 1
-    rows = _vectors(stratified_split(df, category, key, test=test, seed=seed).withColumn("__y", number.cast("double")), features)
+    return stratified_split(df, category, key, test=test, seed=seed).withColumn("__y", number.cast("double")), classes
+
+
+def train(df: DataFrame, features: list[str], category: str, key: str, *, trees: int = 60, depth: int = 6, test: float = 0.2, seed: int = 42) -> Trained:
+    """Fits a forest on four fifths of each class and measures on the rest; classes are numbered in order of their names."""
+    split, classes = _split(df, category, key, test, seed)
+    rows = _vectors(split, features)
     forest = RandomForestClassifier(featuresCol="__x", labelCol="__y", numTrees=trees, maxDepth=depth, seed=seed)
     model = forest.fit(rows.where(~F.col("is_test")))
     tested = model.transform(rows.where("is_test"))
@@ -51,6 +59,26 @@ def train(df: DataFrame, features: list[str], category: str, key: str, *, trees:
     return Trained(model, features, classes, metrics)
 
 
+def train_boosted(df: DataFrame, features: list[str], category: str, key: str, *, rounds: int = 50, depth: int = 4, test: float = 0.2, seed: int = 42, **options) -> Trained:
+    """The same with boosted trees, on as many classes as there are; ``options`` are those of ``boosting.fit``."""
+    rows, classes = _split(df, category, key, test, seed)
+    model = boosting.fit(rows.where(~F.col("is_test")), features, "__y", classes, rounds=rounds, depth=depth, **options)
+    best = F.array_position(_probabilities(model, features), F.array_max(_probabilities(model, features))) - 1
+    metrics = classification_metrics(rows.where("is_test").withColumn("__best", best.cast("double")), F.col("__y"), F.col("__best")).first().asDict()
+    return Trained(model, features, classes, metrics)
+
+
+def _probabilities(model: boosting.Boosted, features: list[str]) -> Column:
+    """Class probabilities of boosted trees, an Arrow batch at a time. The model's size is bounded by its parameters."""
+
+    @F.pandas_udf("array<double>")
+    def scored(x: pd.Series) -> pd.Series:
+        rows = np.array([[np.nan if v is None else v for v in r] for r in x], float).reshape(-1, len(features))
+        return pd.Series(list(model.probabilities(rows)))
+
+    return scored(F.array(*[F.col(f"`{f}`").cast("double") for f in features]))
+
+
 def _saved_hash(spark: SparkSession, path: str) -> str:
     """SHA-256 over the sorted relative names and digests of a saved model's data files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
@@ -62,7 +90,11 @@ def _saved_hash(spark: SparkSession, path: str) -> str:
 def certify(spark: SparkSession, trained: Trained, folder: str, version: str) -> dict:
     """Saves the model and a manifest with its hash, features, classes and metrics."""
     path = f"{folder}/model_{version}"
-    trained.model.write().overwrite().save(path)
+    boosted = isinstance(trained.model, boosting.Boosted)
+    if boosted:
+        spark.createDataFrame(trained.model.table(), boosting.NODES).coalesce(1).write.mode("overwrite").parquet(path)
+    else:
+        trained.model.write().overwrite().save(path)
     manifest = {
         "version": version,
         "model_hash": _saved_hash(spark, path),
@@ -71,7 +103,10 @@ def certify(spark: SparkSession, trained: Trained, folder: str, version: str) ->
         "metrics": trained.metrics,
         "trained_at": datetime.now(timezone.utc).isoformat(),
         "library_version": f"spark {pyspark.__version__}",
+        "kind": "boosted" if boosted else "forest",
     }
+    if boosted:
+        manifest["start"] = trained.model.start.tolist()
     text = json.dumps(manifest, ensure_ascii=False, indent=1)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/model_{version}.manifest.json")
     return manifest
@@ -100,12 +135,22 @@ class FrozenClassifier:
         if _saved_hash(spark, path) != self.manifest["model_hash"]:
             raise ModelIntegrityError(f"model {version} differs from its manifest")
         self.version, self.features, self.classes = version, self.manifest["feature_names"], self.manifest["class_names"]
-        self.model = RandomForestClassificationModel.load(path)
+        if self.manifest.get("kind") == "boosted":
+            self.model = boosting.from_table(spark.read.schema(boosting.NODES).parquet(path).collect(), self.features, self.classes, self.manifest["start"])
+        else:
+            self.model = RandomForestClassificationModel.load(path)
+
+    def _scored(self, df: DataFrame) -> DataFrame:
+        """Adds ``__p``, the class probabilities, and ``__label``, the number of the likeliest class, the first of equal ones."""
+        if isinstance(self.model, boosting.Boosted):
+            scored = df.withColumn("__p", _probabilities(self.model, self.features))
+            return scored.withColumn("__label", F.array_position("__p", F.array_max("__p")) - 1)
+        scored = self.model.setFeaturesCol("__x").setPredictionCol("__label").transform(_vectors(df, self.features))
+        return scored.withColumn("__p", vector_to_array("probability")).drop("__x", "rawPrediction", "probability")
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction``: label, probability, model version, category and all class probabilities."""
-        scored = self.model.setFeaturesCol("__x").setPredictionCol("__label").transform(_vectors(df, self.features))
-        p = vector_to_array("probability")
+        scored, p = self._scored(df), F.col("__p")
         names = F.array(*[F.lit(c) for c in self.classes])
         best = F.col("__label").cast("int")
         prediction = F.struct(
@@ -115,14 +160,15 @@ class FrozenClassifier:
             F.get(names, best).alias("attack_cat"),
             F.map_from_arrays(names, p).alias("class_probabilities"),
         )
-        return scored.withColumn("prediction", prediction).drop("__x", "rawPrediction", "probability", "__label")
+        return scored.withColumn("prediction", prediction).drop("__p", "__label")
 
     def explain(self, df: DataFrame, n: int = 10) -> DataFrame:
-        """Adds ``top_features``: the n largest contributions to the predicted class's probability, by absolute value.
+        """Adds ``top_features``: the n largest contributions to the predicted class, by absolute value.
 
-        df must have ``prediction``. The forest is broadcast: its trees have at most 2**(depth + 1) nodes each.
+        They are contributions to its probability for a forest, and to its margin for boosted trees. df must have ``prediction``.
+        The model is broadcast: its trees have at most 2**(depth + 1) nodes each.
         """
-        forest = df.sparkSession.sparkContext.broadcast(Forest.of(self.model))
+        forest = df.sparkSession.sparkContext.broadcast(self.model if isinstance(self.model, boosting.Boosted) else Forest.of(self.model))
         features = self.features
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,9 +187,9 @@ class FrozenClassifier:
 
 @dataclass(frozen=True)
 class Forest:
-    """Trees as arrays: feature (-1 at leaves), threshold, children, share of rows, and class probabilities."""
+    """Trees whose values are class probabilities."""
 
-    trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    trees: list[Tree]
 
     @staticmethod
     def of(model: RandomForestClassificationModel) -> Forest:
@@ -162,61 +208,16 @@ class Forest:
                 return at
 
             walk(tree._call_java("rootNode"))
-            trees.append(tuple(np.array(c) for c in zip(*rows)))
+            trees.append(Tree(*[np.array(c) for c in zip(*rows)]))
         return Forest(trees)
 
     def base(self) -> np.ndarray:
         """Mean class probabilities over the training rows."""
-        return np.mean([_expected(*t) for t in self.trees], axis=0)
+        return np.mean([t.expected() for t in self.trees], axis=0)
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
-        """Shapley values by row, feature and class; with ``base`` they add up to the forest's probabilities.
-
-        For each leaf, only the features on its path matter: the share of a missing feature's rows that
-        go the path's way against whether the row does (Lundberg et al., arXiv:1802.03888).
-        """
-        out = np.zeros((len(x), x.shape[1], len(self.trees[0][5][0])))
+        """Shapley values by row, feature and class; with ``base`` they add up to the forest's probabilities."""
+        out = np.zeros((*x.shape, self.trees[0].value.shape[1]))
         for tree in self.trees:
-            _add_tree(tree, x, out)
+            out += shapley(tree, x)
         return out / len(self.trees)
-
-
-def _leaves(tree: tuple) -> Iterator[tuple[dict, np.ndarray]]:
-    """Each leaf's path, as feature: [low, high, share], and its value."""
-    feature, threshold, left, right, size, value = tree
-    stack = [(0, {})]
-    while stack:
-        at, path = stack.pop()
-        if feature[at] < 0:
-            yield path, value[at]
-            continue
-        f = int(feature[at])
-        low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-        for child, bounds in ((left[at], (low, min(high, threshold[at]))), (right[at], (max(low, threshold[at]), high))):
-            stack.append((int(child), {**path, f: (*bounds, share * size[child] / size[at])}))
-
-
-def _expected(*tree: np.ndarray) -> np.ndarray:
-    return sum(np.prod([s for _, _, s in path.values()]) * value for path, value in _leaves(tree))
-
-
-def _add_tree(tree: tuple, x: np.ndarray, out: np.ndarray) -> None:
-    from math import factorial
-
-    for path, value in _leaves(tree):
-        m = len(path)
-        if not m:
-            continue
-        own = list(path)
-        one = np.stack([(x[:, f] > path[f][0]) & (x[:, f] <= path[f][1]) for f in own]).astype(float)
-        zero = np.array([path[f][2] for f in own])
-        for i, f in enumerate(own):
-            # weights of subsets of the other features by size, as a polynomial
-            poly = np.zeros((m, len(x)))
-            poly[0] = 1
-            for j in range(m):
-                if j != i:
-                    poly[1:] = poly[1:] * zero[j] + poly[:-1] * one[j]
-                    poly[0] *= zero[j]
-            weight = np.array([factorial(s) * factorial(m - s - 1) / factorial(m) for s in range(m)])
-            out[:, f] += ((weight @ poly) * (one[i] - zero[i]))[:, None] * value
