@@ -1,6 +1,8 @@
 """BPE against the tokenizers library: equal ids and texts."""
 
 import hashlib
+import random
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -37,6 +39,26 @@ def test_any_latin_text(both, text):
     assert ids(both[0], text) == both[1].encode(text, add_special_tokens=False).ids
 
 
+def test_every_code_point_between_letters(both):
+    """All planes; of the long runs of ideographs, syllables and beyond every 97th."""
+    runs = lambda c: 0x3400 <= c < 0xA000 or 0xAC00 <= c < 0xD7A0 or c >= 0x20000
+    texts = [f"a{chr(c)}b!" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (not runs(c) or c % 97 == 0)]
+    want = both[1].encode_batch(texts, add_special_tokens=False)
+    got = both[0].encode(texts)
+    assert [t for t, w, g in zip(texts, want, got) if w.ids != np.frombuffer(g, "<u4").tolist()] == []
+
+
+def test_marks_in_any_order(both):
+    rng = random.Random(11)
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in every if unicodedata.category(chr(c))[0] == "M"]
+    kinds = (marks, every, range(32, 127), range(0xC0, 0x250))
+    texts = ["".join(chr(rng.choice(rng.choice(kinds))) for _ in range(rng.randrange(1, 14))) for _ in range(20_000)]
+    texts += ["a\u1ab1\u08d2", "a\u0331\u0d3b", "\U00011935\U00011930", "\u0558\u088f\u1c89\ua7cb\U00010940"]
+    want = both[1].encode_batch(texts, add_special_tokens=False)
+    assert [t for t, w, g in zip(texts, want, both[0].encode(texts)) if w.ids != np.frombuffer(g, "<u4").tolist()] == []
+
+
 def test_memo_limit_changes_nothing(both, monkeypatch):
     from tracelake.llm import bpe as module
 

@@ -76,3 +76,29 @@ def test_headers_are_copied_and_cut_streams_refused(spark):
             assert gzip.decompress(file.read(r.length)) == record
     with pytest.raises(Exception, match="ValueError.*ends"):
         warc.normalise_archives(spark.createDataFrame([("cut.warc.gz",)], "archive string"), folder).collect()
+
+
+def test_very_many_equal_payloads_are_split_over_tasks(spark):
+    """Most pages have one payload: without a broadcast the join still deals them out."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "12",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(0, 4000, numPartitions=16).selectExpr("id AS page_id", "concat('u', id) AS url", "CASE WHEN id % 10 > 0 THEN repeat('same ', 400) ELSE sha2(cast(id AS string), 256) END AS html")
+        folder = f"{shared_dir(spark)}/warc-skew-test"
+        archives = warc.write_archives(df, folder).collect()
+        assert sum(a.records for a in archives) == 4000 and max(a.records for a in archives) < 1000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_every_record_has_an_id_of_its_own(spark):
+    folder = f"{shared_dir(spark)}/warc-ids-test"
+    df = spark.createDataFrame([(1, "u", "same", None)] * 5, SCHEMA)
+    index = warc.normalise_archives(warc.write_archives(df, folder), folder).collect()
+    assert len({r.record_id for r in index}) == 5

@@ -34,7 +34,47 @@ ROWS = 512
 _NONE = 1 << 30
 _BREAKS = re.compile("[ \t-\r]+")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_WORDS = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+# White space, and marks and one composition that are newer than the tables of the tokenizer's normal form, which
+# leaves them where they are.
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_NEWER_MARKS = (
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B "
+    "1145E 11839-1183A 11930 11938 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE "
+    "1E2EC-1E2EF 1E4EC-1E4EF"
+)
+# Letters that only newer tables give a lower case, which the tokenizer's have: first, last, lower case of the first, step.
+_NEWER_LOWER = (
+    (0x1C89, 0x1C89, 0x1C8A, 1), (0xA7CB, 0xA7CB, 0x0264, 1), (0xA7CC, 0xA7CE, 0xA7CD, 2), (0xA7D2, 0xA7D4, 0xA7D3, 2), (0xA7DA, 0xA7DA, 0xA7DB, 1),
+    (0xA7DC, 0xA7DC, 0x019B, 1), (0x10D50, 0x10D65, 0x10D70, 1), (0x16EA0, 0x16EB8, 0x16EBB, 1),
+)
+
+
+# Letters and numbers of the installed regex that are newer than the tokenizer's classes.
+_NEWER_LETTERS = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A "
+    "11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 "
+    "1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF "
+    "2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+_NEWER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+
+
+def _set(ranges: str) -> str:
+    """Ranges of hexadecimal code points as a set of a pattern."""
+    return "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in ranges.split())
+
+
+def _class(kind: str, newer: str, every: str = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))) -> str:
+    """The code points of a category but for newer ones, as a set of a pattern."""
+    runs = regex.findall(rf"(?:(?![{_set(newer)}])\p{{{kind}}})+", every)
+    return "".join(f"{r[0]}-{r[-1]}" for r in runs)
+
+
+_LETTERS, _NUMBERS = _class("L", _NEWER_LETTERS), _class("N", _NEWER_NUMBERS)
+_WORDS = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+_INERT = re.compile(f"([{_set(_NEWER_MARKS)}]+)")
+_MORE_LOWER = {code: low + code - first for first, last, low, step in _NEWER_LOWER for code in range(first, last + 1, step)}
+_LOWERED = re.compile("[" + "".join(map(chr, _MORE_LOWER)) + "]")
 
 
 def _byte_letters() -> list[str]:
@@ -97,7 +137,12 @@ class WordBpe(dict):
         """NFC, then each code point's own lower case (a final sigma stays an ordinary one)."""
         if text.isascii():
             return text.lower()
-        text = unicodedata.normalize("NFC", text)
+        if _INERT.search(text):  # what these part does not meet
+            text = "".join([x if k % 2 else unicodedata.normalize("NFC", x) for k, x in enumerate(_INERT.split(text))])
+        else:
+            text = unicodedata.normalize("NFC", text)
+        if _LOWERED.search(text):
+            text = text.translate(_MORE_LOWER)
         return "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
 
     def merged(self, words: list[str]) -> dict[str, bytes]:

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, functions as F
 
+from tracelake.llm.components import apart
 from tracelake.llm.tables import shared_dir, stored
 
 CHUNK = 1 << 20
@@ -44,12 +45,13 @@ def _header(value: object) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", str(value))
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, place: str) -> bytes:
+    """A record; ``place``, its archive and number there, makes its id its own."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if refers_to is None else http
     lines = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>",
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>",
         "WARC-Date": date,
         "WARC-Target-URI": url,
         "WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(),
@@ -87,7 +89,7 @@ def write_archives(
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     again = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    told = rows.join(again, "digest", "left").withColumn("refers_to", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.lit(True)), F.col("first")))
+    told = rows.join(apart(again), "digest", "left").withColumn("refers_to", F.when(F.coalesce(F.col("page_id") != F.col("first"), F.lit(True)), F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _files(folder)
@@ -100,7 +102,7 @@ def write_archives(
                     name, held, count = f"{uuid.uuid4().hex}.whole.warc.gz", 0, 0
                     raw = files.open_output_stream(f"{base}/{name}", compression=None)
                     out = gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=6, mtime=0)
-                record = _record(*row, date)
+                record = _record(*row, date, f"{name} {count}")
                 out.write(record)
                 held, count = held + len(record), count + 1
                 if held >= archive_bytes:
@@ -202,6 +204,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             out = []
             for archive, at, length in zip(*[c.to_pylist() for c in batch.columns]):
                 if archive != name:
+                    if source is not None:
+                        source.close()
                     name, source = archive, files.open_input_file(f"{base}/{archive}")
                 source.seek(at)
                 head, _, block = zlib.decompress(source.read(length), wbits=31).partition(b"\r\n\r\n")
