@@ -8,14 +8,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracelake.operators import normalize
 from tracelake.operators.custody import CustodyChain, file_digest, table_digest
-from tracelake.operators.flows import packet_flows
 from tracelake.operators.matrix import aggregate_events, feature_matrix
 from tracelake.operators.model import FrozenClassifier
 from tracelake.operators.report import finding_category
-from tracelake.sources import files
-from tracelake.sources.pcap import read_packets
+from tracelake.plans.registry import REGISTRY, Registry
 
 
 @dataclass(frozen=True)
@@ -26,29 +23,14 @@ class Evidence:
     events: DataFrame
     kind: str
     labeled: bool
+    component: str
 
 
-def normalize_any(spark: SparkSession, path: str, hint: str | None = None, **options) -> Evidence:
-    """Reads any evidence: the kind is ``hint`` (csv, jsonl, cef_text, pcap) or told from the file."""
-    kind = hint or files.sniff_type(spark, path)
-    if kind == "csv":
-        raw = files.read_flow_csv(spark, path, **options)
-        labeled = "attack_cat" in raw.columns and "label" in raw.columns
-        dialect = files.sniff_dialect(raw.columns)
-        return Evidence(raw, normalize.flow_events(raw, dialect, require_label=labeled), "csv_labeled" if labeled else f"csv_unlabeled:{dialect}", labeled)
-    if kind == "jsonl":
-        raw = files.read_jsonl(spark, path, **options)
-        return Evidence(raw, normalize.eve_events(raw), "suricata_eve", False)
-    if kind == "cef_text":
-        raw = files.read_text_lines(spark, path)
-        return Evidence(raw, normalize.cef_events(raw, **options), "firewall_cef", False)
-    if kind == "pcap":
-        raw = read_packets(spark, path, **options)
-        return Evidence(raw.withColumnRenamed("ordinal", "seq"), normalize.packet_flow_events(packet_flows(raw)), "pcap", False)
-    raise ValueError(f"unknown kind of evidence {kind!r}")
-
-
-SOURCES = {"suricata_eve": "jsonl", "firewall_cef": "cef_text", "pcap": "pcap", "flow_csv": "csv", "auto": None}
+def normalize_any(spark: SparkSession, path: str, hint: str | None = None, *, registry: Registry = REGISTRY, **options) -> Evidence:
+    """Reads any evidence: the kind is ``hint`` (that of a registered handler) or told from the file."""
+    handler = registry.handler(hint or registry.sniff(spark, path))
+    raw = handler.read(spark, path, **options)
+    return Evidence(raw, handler.events(raw), handler.detail(raw) if handler.detail else handler.kind, handler.labeled(raw), handler.component)
 
 
 @dataclass(frozen=True)
@@ -68,6 +50,7 @@ def run_case(
     chain: CustodyChain,
     *,
     seconds: float = 60.0,
+    registry: Registry = REGISTRY,
     on_step: Callable[[str, dict], None] = lambda step, info: None,
 ) -> CaseReport:
     """Ingests, normalises, aggregates, scores and explains; every step's table is written, and hashed as written.
@@ -79,9 +62,7 @@ def run_case(
     on_step hears of ingest, ocsf_normalize, aggregate, feature_extract, classify and verify, or of
     done where the evidence has no event. ValueError for an unknown source.
     """
-    if source not in SOURCES:
-        raise ValueError(f"unknown source {source!r}; known: {', '.join(sorted(SOURCES))}")
-    evidence = normalize_any(spark, path, SOURCES[source])
+    evidence = normalize_any(spark, path, registry.kind_of(source), registry=registry)
     raw = evidence.raw.withColumn("raw", F.to_json("raw")) if "raw" in evidence.raw.columns else evidence.raw
     folder = f"{chain.path.rstrip('/')}-steps/{uuid.uuid4().hex}"
 
@@ -90,12 +71,12 @@ def run_case(
         return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
     held, n = table_digest(written(raw, "ingest"))
-    chain.append(case_id, "ingest", f"ingest:{evidence.kind}", file_digest(spark, path), held, f"{n} records as {evidence.kind}")
+    chain.append(case_id, "ingest", f"ingest:{evidence.kind}:{evidence.component}", file_digest(spark, path), held, f"{n} records as {evidence.kind}")
     on_step("ingest", {"label": "Ingest", "detail": f"{n} records"})
 
     rows = written(evidence.events, "ocsf_normalize")
     before, (held, n) = held, table_digest(rows)
-    chain.append(case_id, "ocsf_normalize", f"normalize:{evidence.kind}", before, held, f"{n} events")
+    chain.append(case_id, "ocsf_normalize", f"normalize:{evidence.kind}:{evidence.component}", before, held, f"{n} events")
     on_step("ocsf_normalize", {"label": "Normalise", "detail": f"{n} events"})
     if not n:
         report = CaseReport(case_id, source, None, chain.verify(case_id))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -117,7 +117,7 @@ EXTENSIONS = {"pcap": "pcap", "pcapng": "pcap", "cap": "pcap", "csv": "csv", "js
 MAGIC = (b"\xd4\xc3\xb2\xa1", b"\xa1\xb2\xc3\xd4", b"\x0a\x0d\x0d\x0a", b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d")
 
 
-def _beginning(spark: SparkSession, path: str) -> tuple[bytes, list[str]]:
+def beginning(spark: SparkSession, path: str) -> tuple[bytes, list[str]]:
     """The first four bytes of the evidence and its first five lines, of 16 MB at most; read by one task."""
     files, opened = listed(spark, path)
 
@@ -140,7 +140,7 @@ def sniff_type(spark: SparkSession, path: str) -> str:
     kind = EXTENSIONS.get(path.rsplit("/", 1)[-1].rpartition(".")[2].lower())
     if kind:
         return kind
-    head, lines = _beginning(spark, path)
+    head, lines = beginning(spark, path)
     if head in MAGIC:
         return "pcap"
     for line in lines:
@@ -185,6 +185,11 @@ READERS = {
 }
 
 
+def register_reader(name: str, reader: Callable[..., DataFrame]) -> None:
+    """Adds a reader (spark, path, **options), in the place of one of that name."""
+    READERS[name] = reader
+
+
 def read_source(spark: SparkSession, name: str, path: str, **options) -> DataFrame:
     """The reader registered under a name; ValueError lists the names otherwise."""
     if name not in READERS:
