@@ -128,7 +128,7 @@ def generate(spark: SparkSession, source: str, real: DataFrame, columns: list[st
     picked = sample.stratified_quota(real, "attack_cat", key, quotas)
     trained = {r.attack_cat: r.n for r in picked.groupBy("attack_cat").agg(F.count(F.lit(1)).alias("n")).collect()}
     if by_class:
-        copulas = {c: synth.fit(picked.where(F.trim("attack_cat") == c), columns) for c in sorted({x.strip() for x in trained})}
+        copulas = synth.fit_by(picked, columns, F.trim("attack_cat"))
     else:
         copulas = {"": synth.fit(picked, columns)}
     wanted = {c: quotas.synth_attack for c in attacks if not by_class or c in copulas}
