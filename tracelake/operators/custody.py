@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
@@ -18,6 +20,8 @@ from tracelake.sources.streams import listed
 
 #: Bytes of a file that are read at a time.
 PIECE = 1 << 20
+#: Seconds that a writer waits for the marks of others.
+PATIENCE = 30.0
 GENESIS = "0" * 64
 CHAIN = "case_id string, idx int, ts string, operation string, component string, input_hash string, output_hash string, prev_hash string, record_hash string, notes string"
 _HASHED = ("case_id", "idx", "ts", "operation", "component", "input_hash", "output_hash", "prev_hash", "notes")
@@ -54,21 +58,47 @@ class CustodyConflict(Exception):
 class CustodyChain:
     """An append-only table of links; a case has a handful of them.
 
-    (case, number) is a key: a link is written only by the writer whose claim, a file that the store creates
-    for one of them alone, succeeded.
+    (case, number) is a key. A store need not create a file for one writer alone, only show what was written: whoever wants a link
+    first leaves a mark, withdraws if a claim is there, otherwise leaves a claim and takes the mark away; when no other
+    mark is left, everybody who could still claim has, and the least of the claims has the link.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        spark.createDataFrame([], CHAIN).write.mode("append").parquet(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
 
     def _all(self) -> DataFrame:
-        return self.spark.read.schema(CHAIN).parquet(self.path)
+        return self.spark.read.schema(CHAIN).option("recursiveFileLookup", True).parquet(self.path)
 
     def _claimed(self, case_id: str, idx: int) -> bool:
-        """Whether this writer may write a link; Spark's readers pass over names that begin with an underscore."""
-        claim = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims/{hashlib.sha256(case_id.encode()).hexdigest()}-{idx}")
-        return claim.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(claim)
+        """Whether this writer has a link; Spark's readers pass over names that begin with an underscore."""
+        hadoop, me = self.spark._jvm.org.apache.hadoop.fs, uuid.uuid4().hex
+        folder = hadoop.Path(f"{self.path}/_claims/{hashlib.sha256(case_id.encode()).hexdigest()}-{idx}")
+        store = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+        def leave(kind: str) -> None:
+            store.create(hadoop.Path(folder, f"{me}.{kind}"), True).close()
+
+        def take(kind: str) -> None:
+            store.delete(hadoop.Path(folder, f"{me}.{kind}"), False)
+
+        def those(kind: str) -> list[str]:
+            return sorted(name.removesuffix(f".{kind}") for name in (f.getPath().getName() for f in store.listStatus(folder)) if name.endswith(f".{kind}"))
+
+        leave("mark")
+        if those("claim"):
+            take("mark")
+            return False
+        leave("claim")
+        take("mark")
+        until = time.monotonic() + PATIENCE
+        while those("mark"):
+            if time.monotonic() > until:  # a writer may have died amid this: nobody gets the link by guessing
+                take("claim")
+                return False
+            time.sleep(0.02)
+        return those("claim")[:1] == [me]
 
     def append(self, case_id: str, operation: str, component: str, input_hash: str | None, output_hash: str | None, notes: str | None = None) -> Link:
         """Adds a link after the case's last one; CustodyConflict where another writer is adding it."""
@@ -77,7 +107,7 @@ class CustodyChain:
         if not self._claimed(case_id, link.idx):
             raise CustodyConflict(f"link {link.idx} of case {case_id} was taken by another writer")
         row = {**asdict(link), "record_hash": link.record_hash}
-        self.spark.createDataFrame([tuple(row[f.split()[0]] for f in CHAIN.split(", "))], CHAIN).coalesce(1).write.mode("append").parquet(self.path)
+        self.spark.createDataFrame([tuple(row[f.split()[0]] for f in CHAIN.split(", "))], CHAIN).coalesce(1).write.parquet(f"{self.path}/{uuid.uuid4().hex}")
         return link
 
     def chain(self, case_id: str) -> DataFrame:

@@ -12,7 +12,7 @@ from tracelake.operators import causal, clean, custody, flows, matrix, merkle, n
 from tracelake.operators.normalize import parse_cef, taxonomy
 from tracelake.operators.quantiles import quantiles
 from tracelake.plans import jobs
-from tracelake.sources import pcap
+from tracelake.sources import files, pcap
 from tracelake.storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -502,6 +502,22 @@ def p1_flow_events(spark, sf_dir):
     )
 
 
+@query(
+    """WITH d AS (SELECT p_partkey AS no, lower('Col_' || p_partkey || '_' || p_brand) AS name FROM part WHERE p_partkey <= 3)
+SELECT name, count(v) AS n, round(sum(v), 2) AS total FROM d JOIN (SELECT unnest([1, 2, 3]) AS no, unnest([CAST(l_orderkey % 1000 AS DOUBLE), CASE WHEN l_orderkey % 7 <> 0 THEN round(l_extendedprice, 2) END, NULL]) AS v FROM lineitem) USING (no) GROUP BY name"""
+)
+def s16_j4_dictionary(spark, sf_dir):
+    """Line items as a file without a header, bound to names and types that a dictionary made from parts gives; the third column holds no numbers."""
+    folder = f"{shared_dir(spark)}/headerless-{uuid.uuid4().hex}"
+    values = F.when(F.col("l_orderkey") % 7 != 0, F.col("l_extendedprice").cast("decimal(18,2)").cast("string")).otherwise("-")
+    _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).cast("string").alias("a"), values.alias("b"), F.lit("none").alias("c")).write.csv(folder)
+    kind = F.when(F.col("p_partkey") == 1, "Integer").when(F.col("p_partkey") == 2, "Float").otherwise("binary")
+    dictionary = _t(spark, sf_dir, "part").where("p_partkey <= 3").select(F.col("p_partkey").alias("no"), F.concat(F.lit("Col "), F.col("p_partkey").cast("string"), F.lit(" "), "p_brand").alias("name"), kind.alias("type"))
+    bound = files.bind_dictionary(spark, folder, dictionary)
+    held = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("v")) for c in bound.columns[1:]]))
+    return bound.select(held.alias("e")).groupBy("e.name").agg(F.count("e.v").alias("n"), F.round(F.sum("e.v"), 2).alias("total"))
+
+
 _MATRIX = ("bytes_in", "bytes_out", "duration", "packets_in", "packets_out", "protocol_raw", "tax", "absent")
 
 

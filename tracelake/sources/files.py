@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Callable, Iterator
 
@@ -65,18 +66,101 @@ def read_headerless_csv(spark: SparkSession, path: str, names: list[str]) -> Dat
     return _numbered(df.toDF(*[snake_case(n) for n in names]))
 
 
+# What the types in dictionaries of features are called.
+DICTIONARY_TYPES = {"nominal": "string", "integer": "bigint", "float": "double", "binary": "int", "timestamp": "bigint"}
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """A dictionary of features (a CSV with columns like No., Name and Type) as no, name and type."""
+    rows = read_csv_any_encoding(spark, path)
+    given = {c.strip(" ._"): c for c in rows.columns}
+    lacking = [c for c in ("no", "name", "type") if c not in given]
+    if lacking:
+        raise ValueError(f"{path} lacks the columns {', '.join(lacking)}")
+    return rows.select(F.col(f"`{given['no']}`").try_cast("int").alias("no"), F.trim(f"`{given['name']}`").alias("name"), F.trim(f"`{given['type']}`").alias("type"))
+
+
+def bind_dictionary(spark: SparkSession, path: str, dictionary: DataFrame) -> DataFrame:
+    """Files without a header, with the names and types that a dictionary (no, name, type) gives their columns in order.
+
+    Names become snake case; values that are not of their column's type become null. A file that begins with the
+    dictionary's own names is read without that line. ValueError names the columns that the dictionary has too few or too many, for
+    types it does not know, and for names given twice.
+    """
+    entries = dictionary.orderBy("no").collect()
+    names, kinds = [snake_case(e.name) for e in entries], [DICTIONARY_TYPES.get((e.type or "").strip().lower()) for e in entries]
+    unknown = [f"{n} ({e.type})" for n, e, k in zip(names, entries, kinds) if k is None]
+    if unknown:
+        raise ValueError(f"the dictionary has unknown types: {', '.join(unknown)}")
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"the dictionary names {', '.join(twice)} twice")
+    raw = spark.read.csv(path, header=False)
+    if len(raw.columns) > len(names):
+        sample = raw.first()
+        surplus = [f"column {i + 1} ({sample[i]!r})" for i in range(len(names), len(raw.columns))]
+        raise ValueError(f"{path} has more columns than the dictionary: {', '.join(surplus)}")
+    if len(raw.columns) < len(names):
+        raise ValueError(f"{path} has no columns for {', '.join(names[len(raw.columns) :])}")
+    rows = _numbered(raw.toDF(*[f"c{i}" for i in range(len(names))]))
+    header = F.lit(True)
+    for i, e in enumerate(entries):
+        header = header & (F.lower(F.trim(f"c{i}")) == e.name.strip().lower())
+    typed = [F.col(f"c{i}").try_cast(k).alias(n) for i, (n, k) in enumerate(zip(names, kinds))]
+    return rows.where(~F.coalesce(header, F.lit(False))).select("seq", *typed)
+
+
+def _safe(names: list[str]) -> list[str]:
+    """Names of a header as Spark's reader gives them: empty ones by their place, equal ones with it."""
+    low = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if low.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
+def headers(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[tuple[list[str], list[str]]]:
+    """The distinct headers among the files below a folder, and the files of each; tasks read the headers."""
+    files, opened = listed(spark, folder, pattern=pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with opened(name, content) as source:
+                    text = b""
+                    while b"\n" not in text and len(text) < MOST and (piece := source.read(1 << 16)):
+                        text += piece
+                line = text.partition(b"\n")[0].decode("utf-8", "replace").removeprefix("\ufeff").rstrip("\r")
+                found.append(json.dumps(_safe(next(csv.reader([line]), []))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "header"])
+
+    told = files.mapInArrow(run, "path string, header string")
+    rows = told.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect()
+    return [(json.loads(r.header), list(r.paths)) for r in rows]
+
+
 def read_many_csv(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """All files below a folder by column name, with ``source_path``; each file keeps its own header's order."""
-    files = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path").orderBy("path").collect()]
-    if not files:
+    """All files below a folder by column name, with ``source_path``; each file keeps its own header's order.
+
+    One job reads the headers; the plan has one scan for each distinct header, however many files there are.
+    """
+    found = headers(spark, folder, pattern)
+    if not found:
         raise FileNotFoundError(f"no {pattern} below {folder}")
-    frames = [read_flow_csv(spark, f).drop("seq").withColumn("source_path", F.lit(f)) for f in files]
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.unionByName(more, allowMissingColumns=True)
+    out = None
+    for names, paths in found:
+        kinds = ", ".join(f"c{i} string" for i in range(len(names)))
+        rows = spark.read.schema(kinds).csv([_escaped(p) for p in paths], header=True).select("*", F.col("_metadata.file_path").alias("source_path")) if names else None
+        if rows is not None:
+            rows = rows.toDF(*[snake_case(n) for n in names], "source_path")
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no {pattern} below {folder} has a header")
     return _numbered(out)
 
 
+def _escaped(path: str) -> str:
+    """A path whose characters stand for themselves where Spark expects a pattern."""
+    return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(spark.read.text(path)).select("seq", F.regexp_replace("value", "^﻿", "").alias("line"))
 

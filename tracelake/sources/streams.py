@@ -63,13 +63,16 @@ def _opens(path: str) -> bool:
         return False
 
 
-def listed(spark: SparkSession, path: str) -> tuple[DataFrame, Callable[[str, bytes | None], BinaryIO]]:
+def listed(spark: SparkSession, path: str, *, pattern: str | None = None) -> tuple[DataFrame, Callable[[str, bytes | None], BinaryIO]]:
     """``path``, ``content`` and ``length`` of every file that Spark's readers find, and what opens such a row, at any place.
 
     The content is null where tasks can open the path themselves, so that no row holds a file. In other
     stores a file is a row, and one over 2 GB an error.
     """
-    found = spark.read.format("binaryFile").load(path)
+    reader = spark.read.format("binaryFile")
+    if pattern is not None:  # files of such names below a folder
+        reader = reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    found = reader.load(path)
     first = found.select("path").first()
     if first is None or _opens(first.path):
         return found.select("path", F.lit(None).cast("binary").alias("content"), "length"), lambda name, _: open_file(name)
