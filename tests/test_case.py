@@ -113,7 +113,7 @@ def test_report_aggregates(spark):
     f = "array<struct<feature: string, shap_value: double>>"
     rows = [(0, "PortScan", "b", "x", 0.9, [("p", -5.0), ("q", 1.0)]), (1, "Normal", "", "x", 0.5, []), (2, "PortScan", "a", None, 0.95, [("p", 3.0)])]
     df = spark.createDataFrame(rows, f"seq long, category string, src_ip string, dst_ip string, probability double, top_features {f}")
-    summary = {r.category: r for r in report.category_summary(df).collect()}
+    summary = {r.category: r for r in report.category_overview(df).collect()}
     assert summary["PortScan"].src_ips == ["a", "b"] and abs(summary["PortScan"].mean_probability - 0.925) < 1e-12
     assert [(r.feature, r.total) for r in report.feature_rank(df).orderBy("rank").collect()] == [("p", 8.0), ("q", 1.0)]
     assert report.filter_categories(df, ["Normal"]).count() == 1 and report.filter_categories(df, None).count() == 3

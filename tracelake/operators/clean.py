@@ -10,7 +10,7 @@ from tracelake import schema
 from tracelake.functions.scalars import clip, snake_case, title
 from tracelake.operators.quantiles import quantiles
 
-# Spellings of labels, by the category that they mean.
+# Spellings of labels, by the category that they mean. Those of _COMMON are of all three data sets.
 _COMMON = {
     "Normal": ("Benign", "BENIGN", "normal", "benign", "", "None", "nan", "NaN"),
     "PortScan": ("Port Scan", "Portscan", "portscan", "PortScan"),
@@ -60,9 +60,6 @@ def _exact(c: Column, table: dict[str, tuple[str, ...]]) -> Column:
     return F.when(F.lower(name) == "normal", "Normal").otherwise(name)
 
 
-# Marks in labels and file names, in the order in which they are tried.
-
-
 def label_cicids(c: Column) -> Column:
     """Known spellings, then patterns in order (normal, brute force, port scan, DDoS, DoS); others in title case."""
     name = F.trim(F.coalesce(c, F.lit("")))
@@ -114,10 +111,6 @@ def scenario_category(category: Column) -> Column:
     return F.when(category.isin(*schema.SCENARIO_CATEGORIES), category).otherwise("Generic")
 
 
-# Names of label columns, in the order in which they are looked for.
-LABEL_COLUMNS = ("attack_cat", "category", "label", "attack", "class", "target")
-
-
 def find_label_column(columns: list[str]) -> str | None:
     """``label``, else the first column whose name has class, attack or target in it."""
     names = [snake_case(c) for c in columns]
@@ -181,5 +174,10 @@ def drop_containing(df: DataFrame, mark: str = "Infinity") -> DataFrame:
 
 
 def inject_missing(df: DataFrame, columns: list[str], fraction: float, key: str, *, seed: int = 42) -> DataFrame:
-    """Nulls in a share of the values, picked by a hash of the key: the same rows in every run."""
-    return df.withColumns({c: F.when(F.pmod(F.xxhash64(F.lit(f"{seed} {c}"), key), F.lit(1_000_000)) >= int(fraction * 1_000_000), F.col(c)) for c in columns})
+    """Nulls in a share of the values, picked by a hash of column and key: the same rows in every run, others in every column."""
+
+    def share(c: str) -> Column:
+        """The first 32 bits of an MD5, as a number below 1."""
+        return F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:{c}:"), F.col(key).cast("string"))), F.lit(8)), 16, 10).cast("double") / (1 << 32)
+
+    return df.withColumns({c: F.when(F.coalesce(share(c), F.lit(1.0)) >= fraction, F.col(c)) for c in columns})

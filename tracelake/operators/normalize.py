@@ -39,14 +39,16 @@ def flow_events(df: DataFrame, dialect: str, *, require_label: bool = True, seq:
 
     Known columns of the dialect go to connection and traffic; the others that are numbers to
     ``raw_flow_features`` and the rest to ``raw_text_fields``. A category must be in the taxonomy. An
-    attack has severity 3, anything else 1. Raises KeyError without a label where one is required.
+    attack has severity 3, anything else 1. Raises KeyError without category or label where these are required.
     """
     if dialect not in schema.DIALECTS:
         raise ValueError(f"unknown dialect {dialect!r}; known: {', '.join(sorted(schema.DIALECTS))}")
     known = schema.DIALECTS[dialect]
     labeled = "attack_cat" in df.columns
-    if require_label and not labeled:
-        raise KeyError("attack_cat")
+    if require_label:
+        for column in ("attack_cat", "label"):
+            if column not in df.columns:
+                raise KeyError(column)
     own = {*known.values(), "attack_cat", "label", seq}
     others = [c for c in df.columns if c not in own]
 
@@ -82,7 +84,7 @@ def flow_events(df: DataFrame, dialect: str, *, require_label: bool = True, seq:
 
 
 def eve_events(df: DataFrame, *, raw: str = "raw", seq: str = "seq") -> DataFrame:
-    """Alerts among IDS records (a VARIANT column) as detection findings; other records are left out."""
+    """Alerts among IDS records (a VARIANT column) as detection findings; other records are left out. The whole record stays as JSON text."""
 
     def get(path: str, kind: str = "string") -> Column:
         return F.try_variant_get(F.col(raw), f"$.{path}", kind)
@@ -103,7 +105,9 @@ def eve_events(df: DataFrame, *, raw: str = "raw", seq: str = "seq") -> DataFram
             traffic=F.struct(*[get(f"flow.{p}", "double").alias(f) for f, p in zip(schema.TRAFFIC, ("pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient"))]),
             finding_info=F.struct(get("alert.signature").alias("title"), get("alert.signature_id").alias("uid"), F.when(category.isNull(), F.array().cast("array<string>")).otherwise(F.array(category)).alias("types")),
             metadata=_product(F.lit("Suricata"), F.lit("OISF")),
-            unmapped=_struct("unmapped", source_dataset=F.lit("suricata_eve")),
+            unmapped=_struct(
+                "unmapped", source_dataset=F.lit("suricata_eve"), raw_event=F.to_json(F.col(raw)), flow_id=get("flow_id"), action=get("alert.action"), gid=get("alert.gid"), rev=get("alert.rev")
+            ),
         )
     )
 
@@ -159,7 +163,9 @@ def cef_events(df: DataFrame, *, line: str = "raw_line", seq: str = "seq", refer
             connection_info=F.struct(ext("proto").alias("protocol_raw"), F.lit(None).cast("double").alias("duration")),
             finding_info=F.struct(F.col("c.name").alias("title"), F.col("c.signature_id").alias("uid"), F.when(ext("cat").isNull(), F.array().cast("array<string>")).otherwise(F.array(ext("cat"))).alias("types")),
             metadata=_product(F.col("c.device_product"), F.col("c.device_vendor")),
-            unmapped=_struct("unmapped", source_dataset=F.lit("firewall_cef"), raw_text_fields=F.col("c.extension")),
+            unmapped=_struct(
+                "unmapped", source_dataset=F.lit("firewall_cef"), raw_text_fields=F.col("c.extension"), syslog_prefix=F.col("c.syslog_prefix"), cef_version=F.col("c.cef_version"), device_version=F.col("c.device_version")
+            ),
         )
     )
 

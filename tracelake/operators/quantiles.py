@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tracelake.storage import stored
+
 #: The sketch's values are within this share of the rows of their ranks.
 ACCURACY = 20_000
 #: Values between the two that enclose a quantile, at most, before they are enclosed more closely.
 INSIDE = 500_000
+#: Parts into which the values between two ends are cut to draw these closer.
+GRID = 256
 
 
 def _enclosing(value: Column, q: float) -> Column:
@@ -37,22 +41,51 @@ def _picked(n: Column, q: float, low: Column, high: Column, below: Column, at_lo
 def group_quantiles(df: DataFrame, by: str, values: dict[str, tuple[Column, float]]) -> DataFrame:
     """Per group an exact, interpolated quantile of each value (name: value and share); nulls do not count.
 
-    Of a group of N rows about N / 5000 values are gathered at most, or 200,000, and they are doubles.
+    Two values that enclose the wanted ranks come from a sketch per group, and are drawn closer as long as more than INSIDE
+    values of any group lie between them: so no task gathers more, however large a group is.
     """
-    shares = [(c, q) for c, (_, q) in values.items()]
+    shares = [q for _, q in values.values()]
     rows = df.select(F.col(by).alias("by"), *[v.cast("double").alias(f"v{i}") for i, (v, _) in enumerate(values.values())])
-    ends = rows.groupBy(F.col("by").alias("of")).agg(*[_enclosing(F.col(f"v{i}"), q).alias(f"e{i}") for i, (_, q) in enumerate(shares)])
-    joined = rows.join(ends, F.col("by").eqNullSafe(F.col("of")))
-    aggregates = []
-    for i in range(len(shares)):
-        v, low, high = F.col(f"v{i}"), F.get(f"e{i}", F.lit(0)), F.get(f"e{i}", F.lit(1))
-        aggregates += [
-            F.count(v).alias(f"n{i}"), F.min(low).alias(f"low{i}"), F.max(high).alias(f"high{i}"),
-            F.count_if(v < low).alias(f"below{i}"), F.count_if(v == low).alias(f"at{i}"),
-            F.sort_array(F.collect_list(F.when((v > low) & (v < high), v))).alias(f"inside{i}"),
-        ]
-    found = joined.groupBy("by").agg(*aggregates)
-    picked = [_picked(F.col(f"n{i}"), q, *[F.col(f"{k}{i}") for k in ("low", "high", "below", "at", "inside")]).alias(c) for i, (c, q) in enumerate(shares)]
+    enclosing = [F.struct(F.get(e, F.lit(0)).alias("low"), F.get(e, F.lit(1)).alias("high")) for e in (_enclosing(F.col(f"v{i}"), q) for i, q in enumerate(shares))]
+    ends = stored(rows.groupBy(F.col("by").alias("of")).agg(*[e.alias(f"e{i}") for i, e in enumerate(enclosing)]), "group-ends")
+    many = range(len(shares))
+
+    def inside(i: int) -> Column:
+        return F.when((F.col(f"v{i}") > F.col(f"e{i}.low")) & (F.col(f"v{i}") < F.col(f"e{i}.high")), F.col(f"v{i}"))
+
+    def met(ends: DataFrame) -> DataFrame:
+        # one row per group, dealt out by the join so that a group with very many rows can be split
+        return rows.join(ends.coalesce(1 << 20), F.col("by").eqNullSafe(F.col("of")))
+
+    def counted(ends: DataFrame, *more: Column) -> DataFrame:
+        counts = [x for i in many for x in (F.count(f"v{i}").alias(f"n{i}"), F.first(f"e{i}").alias(f"e{i}"), F.count_if(F.col(f"v{i}") < F.col(f"e{i}.low")).alias(f"below{i}"), F.count_if(F.col(f"v{i}") == F.col(f"e{i}.low")).alias(f"at{i}"), F.count(inside(i)).alias(f"within{i}"))]
+        return met(ends).groupBy("by").agg(*counts, *more)
+
+    while True:
+        counts = stored(counted(ends), "group-counts")
+        if (counts.agg(F.max(F.greatest(*[F.col(f"within{i}") for i in many], F.lit(0)))).first()[0] or 0) <= INSIDE:
+            break
+        # GRID values of what lies between, of which those beside the wanted rank's share of it are the next ends
+        grid = [k / GRID for k in range(GRID + 1)]
+        grids = met(ends).groupBy("by").agg(*[F.percentile_approx(inside(i), grid, ACCURACY).alias(f"g{i}") for i in many]).withColumnRenamed("by", "of")
+        both = counts.join(grids, F.col("by").eqNullSafe(F.col("of")))
+        closer = []
+        for i, q in enumerate(shares):
+            at = (F.col(f"n{i}") - 1) * F.lit(q) - F.col(f"below{i}") - F.col(f"at{i}")
+            # the rank after the wanted one is needed too
+            low = F.floor(at / F.col(f"within{i}") * GRID).cast("int") - 1
+            high = F.ceil((at + 1) / F.col(f"within{i}") * GRID).cast("int") + 1
+            # a wanted rank beyond what lies between is one of the ends themselves
+            new_low = F.when(low > 0, F.get(f"g{i}", F.least(low, F.lit(GRID)))).otherwise(F.col(f"e{i}.low"))
+            new_high = F.when(high < GRID, F.get(f"g{i}", F.greatest(high, F.lit(0)))).otherwise(F.col(f"e{i}.high"))
+            narrow = F.col(f"within{i}") > INSIDE
+            closer.append(F.when(narrow, F.struct(new_low.alias("low"), new_high.alias("high"))).otherwise(F.col(f"e{i}")).alias(f"e{i}"))
+        fresh = stored(both.select("of", *closer), "group-ends")
+        if fresh.exceptAll(ends).isEmpty():
+            raise ValueError("values cannot be enclosed more closely")
+        ends = fresh
+    found = counted(ends, *[F.sort_array(F.collect_list(inside(i))).alias(f"inside{i}") for i in many])
+    picked = [_picked(F.col(f"n{i}"), q, F.col(f"e{i}.low"), F.col(f"e{i}.high"), F.col(f"below{i}"), F.col(f"at{i}"), F.col(f"inside{i}")).alias(c) for i, (c, q) in enumerate(zip(values, shares))]
     return found.select(F.col("by").alias(by), *picked)
 
 

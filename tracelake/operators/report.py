@@ -24,13 +24,11 @@ def malicious(findings: DataFrame, category: str = "category") -> DataFrame:
     return findings.where(~F.col(category).isin(*NORMAL))
 
 
-def category_summary(findings: DataFrame, *, category: str = "category", src: str = "src_ip", dst: str = "dst_ip", probability: str = "probability", seq: str = "seq") -> DataFrame:
-    """Per category: count, sorted distinct addresses, mean probability and first appearance."""
-
-    def ips(c: str) -> Column:
-        return F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit(""))))
-
-    return findings.groupBy(F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("n"), ips(src).alias("src_ips"), ips(dst).alias("dst_ips"), F.avg(probability).alias("mean_probability"), F.min(seq).alias("first_seq"))
+def category_addresses(findings: DataFrame, *, category: str = "category", src: str = "src_ip", dst: str = "dst_ip") -> DataFrame:
+    """Every address of every category, once: category, side (src or dst), ip, and how many findings name it. Empty ones are none."""
+    side = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.nullif(F.col(c), F.lit("")).alias("ip")) for n, c in (("src", src), ("dst", dst))]))
+    rows = findings.select(F.col(category).alias("category"), side.alias("a")).select("category", "a.*").where("ip IS NOT NULL")
+    return rows.groupBy("category", "side", "ip").agg(F.count(F.lit(1)).alias("n"))
 
 
 def feature_rank(findings: DataFrame, n: int = 5, *, category: str = "category", features: str = "top_features", seq: str = "seq") -> DataFrame:
@@ -41,11 +39,6 @@ def feature_rank(findings: DataFrame, n: int = 5, *, category: str = "category",
     return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("category", "feature", "total", "rank")
 
 
-def some_ips(ips: Column, n: int = 5) -> Column:
-    """The first n addresses, with dots if there are more."""
-    return F.concat(F.array_join(F.slice(ips, 1, n), ", "), F.when(F.size(ips) > n, "...").otherwise(""))
-
-
 def ranked(probabilities: Column) -> Column:
     """A map's entries by value, largest first."""
     return F.array_sort(F.map_entries(probabilities), lambda a, b: F.when(a.value > b.value, -1).when(a.value < b.value, 1).otherwise(F.when(a.key < b.key, -1).otherwise(1)))

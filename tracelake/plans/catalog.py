@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tracelake.functions.scalars import cef_severity, day_first_seconds, event_time, eve_severity, finite, in_order, syslog_time
-from tracelake.operators import causal, clean, custody, flows, matrix, merkle, normalize, profile, report, sample
+from tracelake.functions.scalars import cef_severity, day_first_seconds, event_time, eve_severity, finite, in_order, snake_case, syslog_time
+from tracelake.operators import causal, clean, custody, flows, matrix, merkle, normalize, profile, report, sample, scan
 from tracelake.operators.normalize import parse_cef, taxonomy
 from tracelake.operators.quantiles import quantiles
 from tracelake.plans import jobs
@@ -194,15 +194,24 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_type AS category, count(*) AS n, string_agg(DISTINCT CAST(user_id AS VARCHAR), ',' ORDER BY CAST(user_id AS VARCHAR)) AS src_ips,
-  string_agg(DISTINCT CAST(user_id % 17 AS VARCHAR), ',' ORDER BY CAST(user_id % 17 AS VARCHAR)) AS dst_ips,
-  round(avg(event_id % 100 / 100), 6) AS mean_probability, min(event_id) AS first_seq FROM events GROUP BY 1"""
+    """WITH f AS (SELECT *, CAST(user_id AS VARCHAR) AS src, CAST(user_id % 17 AS VARCHAR) AS dst FROM events),
+a AS (SELECT event_type AS category, array_to_string((list_sort(list(DISTINCT src)))[1:5], ',') AS src_ips, array_to_string((list_sort(list(DISTINCT dst)))[1:5], ',') AS dst_ips FROM f GROUP BY 1)
+SELECT event_type AS category, count(*) AS n, count(DISTINCT src) AS n_src_ips, count(DISTINCT dst) AS n_dst_ips, any_value(src_ips) AS src_ips, any_value(dst_ips) AS dst_ips,
+  round(avg(event_id % 100 / 100), 6) AS mean_probability, min(event_id) AS first_seq FROM f JOIN a ON category = event_type GROUP BY 1"""
 )
 def a4_a5_category_summary(spark, sf_dir):
-    found = report.category_summary(_findings(spark, sf_dir))
+    found = report.category_overview(_findings(spark, sf_dir))
     return found.withColumns({"src_ips": F.array_join("src_ips", ","), "dst_ips": F.array_join("dst_ips", ","), "mean_probability": F.round("mean_probability", 6)})
 
 
+@query(
+    """SELECT event_type AS category, side, ip, count(*) AS n
+FROM (SELECT event_type, unnest(['src', 'dst']) AS side, unnest([CAST(user_id AS VARCHAR), CAST(user_id % 17 AS VARCHAR)]) AS ip FROM events) GROUP BY ALL"""
+)
+def a5_category_addresses(spark, sf_dir):
+    return report.category_addresses(_findings(spark, sf_dir))
+
+
 @query("SELECT event_id AS seq, event_type AS category, CAST(user_id AS VARCHAR) AS src_ip, CAST(user_id % 17 AS VARCHAR) AS dst_ip, event_id % 100 / 100 AS probability FROM events WHERE event_type IN ('click', 'view', 'purchase')")
 def p20_filter(spark, sf_dir):
     return report.filter_categories(_findings(spark, sf_dir), ["click", "view", "purchase"])
@@ -503,7 +512,7 @@ def p1_flow_events(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT p_partkey AS no, lower('Col_' || p_partkey || '_' || p_brand) AS name FROM part WHERE p_partkey <= 3)
+    """WITH d AS (SELECT p_partkey AS no, lower('Col_' || p_partkey || '_' || p_brand) AS name FROM part WHERE p_partkey BETWEEN 1 AND 3)
 SELECT name, count(v) AS n, round(sum(v), 2) AS total FROM d JOIN (SELECT unnest([1, 2, 3]) AS no, unnest([CAST(l_orderkey % 1000 AS DOUBLE), CASE WHEN l_orderkey % 7 <> 0 THEN round(l_extendedprice, 2) END, NULL]) AS v FROM lineitem) USING (no) GROUP BY name"""
 )
 def s16_j4_dictionary(spark, sf_dir):
@@ -512,7 +521,7 @@ def s16_j4_dictionary(spark, sf_dir):
     values = F.when(F.col("l_orderkey") % 7 != 0, F.col("l_extendedprice").cast("decimal(18,2)").cast("string")).otherwise("-")
     _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).cast("string").alias("a"), values.alias("b"), F.lit("none").alias("c")).write.csv(folder)
     kind = F.when(F.col("p_partkey") == 1, "Integer").when(F.col("p_partkey") == 2, "Float").otherwise("binary")
-    dictionary = _t(spark, sf_dir, "part").where("p_partkey <= 3").select(F.col("p_partkey").alias("no"), F.concat(F.lit("Col "), F.col("p_partkey").cast("string"), F.lit(" "), "p_brand").alias("name"), kind.alias("type"))
+    dictionary = _t(spark, sf_dir, "part").where("p_partkey BETWEEN 1 AND 3").select(F.col("p_partkey").alias("no"), F.concat(F.lit("Col "), F.col("p_partkey").cast("string"), F.lit(" "), "p_brand").alias("name"), kind.alias("type"))
     bound = files.bind_dictionary(spark, folder, dictionary)
     held = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("v")) for c in bound.columns[1:]]))
     return bound.select(held.alias("e")).groupBy("e.name").agg(F.count("e.v").alias("n"), F.round(F.sum("e.v"), 2).alias("total"))
@@ -527,7 +536,10 @@ def p14_p15_operator_matrix(spark, sf_dir):
     return matrix.feature_matrix(events, list(_MATRIX)).select("seq", *_MATRIX)
 
 
-@query("SELECT unnest(['bytes_in', 'bytes_out', 'duration', 'packets_in', 'packets_out', 'protocol_raw', 'tax']) AS feature, unnest(range(7)) AS at")
+@query(
+    f"WITH {_FLOW_SQL}, n AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature FROM f WHERE {n} IS NOT NULL" for n in _MATRIX[:-1])
+    + ") SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS at FROM (SELECT DISTINCT feature FROM n)"
+)
 def o2_feature_names(spark, sf_dir):
     names = matrix.feature_names(normalize.flow_events(_flow_csv(spark, sf_dir), "cicids2017"))
     return spark.createDataFrame(list(zip(names, range(len(names)))), "feature string, at long")
@@ -541,28 +553,32 @@ def p16_label_of(spark, sf_dir):
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON records of a detection system; purchases are flows, which are no alerts."""
     rows = _t(spark, sf_dir, "events")
-    alert = F.struct(F.col("event_type").alias("signature"), F.col("event_id").alias("signature_id"), F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("cat "), "event_type")).otherwise("").alias("category"), (F.col("event_id") % 5).alias("severity"))
+    alert = F.struct(F.col("event_type").alias("signature"), F.col("event_id").alias("signature_id"), F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("cat "), "event_type")).otherwise("").alias("category"), (F.col("event_id") % 5).alias("severity"), F.lit("blocked").alias("action"), (F.col("event_id") % 3).alias("gid"), (F.col("event_id") % 7).alias("rev"))
     flow = F.struct((F.col("event_id") % 9).alias("pkts_toserver"), (F.col("event_id") % 1000).alias("bytes_toserver"))
     record = F.struct(
         F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+0000'").alias("timestamp"), F.when(F.col("event_type") == "purchase", "flow").otherwise("alert").alias("event_type"),
-        F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("src_ip"), (F.col("event_id") % 65536).alias("src_port"), F.lit("10.1.1.1").alias("dest_ip"), F.lit(443).alias("dest_port"), F.lit("TCP").alias("proto"), alert.alias("alert"), flow.alias("flow"),
+        F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("src_ip"), (F.col("event_id") % 65536).alias("src_port"), F.lit("10.1.1.1").alias("dest_ip"), F.lit(443).alias("dest_port"), F.lit("TCP").alias("proto"), (F.col("event_id") * 1000).alias("flow_id"), alert.alias("alert"), flow.alias("flow"),
     )
     return rows.select(F.col("event_id").alias("seq"), F.try_parse_json(F.to_json(record)).alias("raw"))
 
 
 @query(
     """SELECT event_id AS seq, CASE event_id % 5 WHEN 1 THEN 5 WHEN 2 THEN 4 WHEN 3 THEN 3 ELSE 1 END AS severity_id, epoch_us(ts) AS event_us, '10.0.0.' || user_id AS src_ip, CAST(event_id % 65536 AS VARCHAR) AS src_port,
-  '443' AS dst_port, event_type AS title, CAST(event_id AS VARCHAR) AS uid, CASE WHEN event_id % 4 <> 0 THEN 'cat ' || event_type ELSE '' END AS types, CAST(event_id % 9 AS DOUBLE) AS packets_out, CAST(NULL AS DOUBLE) AS packets_in
+  '443' AS dst_port, event_type AS title, CAST(event_id AS VARCHAR) AS uid, CASE WHEN event_id % 4 <> 0 THEN 'cat ' || event_type ELSE '' END AS types, CAST(event_id % 9 AS DOUBLE) AS packets_out, CAST(NULL AS DOUBLE) AS packets_in,
+  CAST(event_id * 1000 AS VARCHAR) AS flow_id, 'blocked' AS action, CAST(event_id % 3 AS VARCHAR) AS gid, CAST(event_id % 7 AS VARCHAR) AS rev,
+  '{"alert":{"action":"blocked","category":"' || CASE WHEN event_id % 4 <> 0 THEN 'cat ' || event_type ELSE '' END || '","gid":' || event_id % 3 || ',"rev":' || event_id % 7 || ',"severity":' || event_id % 5 || ',"signature":"' || event_type || '","signature_id":' || event_id
+  || '},"dest_ip":"10.1.1.1","dest_port":443,"event_type":"alert","flow":{"bytes_toserver":' || event_id % 1000 || ',"pkts_toserver":' || event_id % 9 || '},"flow_id":' || event_id * 1000 || ',"proto":"TCP","src_ip":"10.0.0.' || user_id || '","src_port":' || event_id % 65536
+  || ',"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+0000"}' AS raw_event
 FROM events WHERE event_type <> 'purchase'"""
 )
 def p5_p6_eve_events(spark, sf_dir):
     events = normalize.eve_events(_alerts(spark, sf_dir))
-    return events.select("seq", "severity_id", "event_us", F.col("src_endpoint.ip").alias("src_ip"), F.col("src_endpoint.port").alias("src_port"), F.col("dst_endpoint.port").alias("dst_port"), "finding_info.title", "finding_info.uid", F.array_join("finding_info.types", ",").alias("types"), "traffic.packets_out", "traffic.packets_in")
+    return events.select("seq", "severity_id", "event_us", F.col("src_endpoint.ip").alias("src_ip"), F.col("src_endpoint.port").alias("src_port"), F.col("dst_endpoint.port").alias("dst_port"), "finding_info.title", "finding_info.uid", F.array_join("finding_info.types", ",").alias("types"), "traffic.packets_out", "traffic.packets_in", *[f"unmapped.{c}" for c in ("flow_id", "action", "gid", "rev", "raw_event")])
 
 
 @query(
     """SELECT event_id AS seq, CASE event_id % 11 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 3 WHEN 5 THEN 3 WHEN 6 THEN 4 WHEN 7 THEN 4 WHEN 8 THEN 5 ELSE 6 END AS severity_id,
-  CAST(user_id AS VARCHAR) AS src_ip, CAST(event_id % 100 AS VARCHAR) AS src_port, event_type AS types, epoch_us(date_trunc('second', ts)) AS event_us FROM events WHERE event_id % 6 <> 0"""
+  CAST(user_id AS VARCHAR) AS src_ip, CAST(event_id % 100 AS VARCHAR) AS src_port, event_type AS types, epoch_us(date_trunc('second', ts)) AS event_us, '0' AS cef_version, '1' AS device_version, '<134>' || strftime(ts, '%b %d %Y %H:%M:%S') || ' fw' AS syslog_prefix FROM events WHERE event_id % 6 <> 0"""
 )
 def p11_p12_cef_events(spark, sf_dir):
     """Lines that do not parse are left out."""
@@ -570,7 +586,7 @@ def p11_p12_cef_events(spark, sf_dir):
     line = F.concat(F.lit("<134>"), F.date_format(ts, "MMM dd yyyy HH:mm:ss"), F.lit(" fw CEF:0|v|p|1|7|name|"), (F.col("event_id") % 11).cast("string"), F.lit("|src="), F.col("user_id").cast("string"), F.lit(" spt="), (F.col("event_id") % 100).cast("string"), F.lit(" cat="), "event_type")
     rows = _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 6 != 0, line).otherwise("no such line").alias("raw_line"))
     events = normalize.cef_events(rows)
-    return events.select("seq", "severity_id", F.col("src_endpoint.ip").alias("src_ip"), F.col("src_endpoint.port").alias("src_port"), F.array_join("finding_info.types", ",").alias("types"), "event_us")
+    return events.select("seq", "severity_id", F.col("src_endpoint.ip").alias("src_ip"), F.col("src_endpoint.port").alias("src_port"), F.array_join("finding_info.types", ",").alias("types"), "event_us", "unmapped.cef_version", "unmapped.device_version", "unmapped.syslog_prefix")
 
 
 def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -619,13 +635,17 @@ def s5_s6_capture_ranges(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_EVENTS}, u AS (SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN 'a.pcap' ELSE 'b.pcap' END AS path, user_id, CASE WHEN event_type = 'click' THEN 'UDP' ELSE 'TCP' END AS protocol FROM e)
-SELECT protocol, count(*) AS n, 4001 AS class_uid FROM u GROUP BY 1"""
+    f"""WITH {_EVENTS}, p AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'a.pcap' ELSE 'b.pcap' END AS path, event_id, us, user_id, event_id % 3 <> 0 AS away, CASE WHEN event_type = 'click' THEN 'UDP' ELSE 'TCP' END AS protocol FROM e),
+s AS (SELECT path, user_id, protocol, min(event_id) AS first, arg_min(away, event_id) AS leads, arg_min(us, event_id) AS us, count(*) AS n, count(*) FILTER (away) AS n_away FROM p GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY path, first) - 1 AS at, CASE WHEN leads THEN '10.0.0.' || user_id ELSE '9.9.9.' || (user_id % 5) END AS src_ip, CASE WHEN leads THEN CAST(user_id + 1000 AS VARCHAR) ELSE '53' END AS src_port,
+  CASE WHEN leads THEN '9.9.9.' || (user_id % 5) ELSE '10.0.0.' || user_id END AS dst_ip, CAST(NULL AS VARCHAR) AS dst_port, protocol, us AS event_us, CAST(CASE WHEN leads THEN n_away ELSE n - n_away END AS DOUBLE) AS packets_out, 4001 AS class_uid FROM s"""
 )
 def p13_packet_flow_events(spark, sf_dir):
-    """With a timeout beyond all silences every key of a capture is one flow."""
+    """With a timeout beyond all silences every key of a capture is one flow; events are numbered in order of capture and first packet."""
     events = normalize.packet_flow_events(flows.packet_flows(_packets(spark, sf_dir), flow_timeout=1e9))
-    return events.groupBy(F.col("connection_info.protocol_raw").alias("protocol")).agg(F.count_distinct("seq").alias("n"), F.max("class_uid").alias("class_uid"))
+    told = events.select("seq", "src_endpoint.ip", "src_endpoint.port", F.col("dst_endpoint.ip").alias("dst_ip"), F.col("dst_endpoint.port").alias("dst_port"), F.col("connection_info.protocol_raw").alias("protocol"), "event_us", "traffic.packets_out", "class_uid")
+    placed = scan.numbered(scan.ranges(told, [], ["seq"]), ["seq"], "at")
+    return placed.select("at", F.col("ip").alias("src_ip"), F.col("port").alias("src_port"), "dst_ip", "dst_port", "protocol", "event_us", "packets_out", "class_uid")
 
 
 @query("SELECT event_id, epoch_us(ts) AS iso, epoch_us(date_trunc('second', ts)) AS epoch, epoch_us(date_trunc('minute', ts)) // 1000000 AS day_first FROM events")
@@ -643,9 +663,18 @@ def p19_finding_category(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", report.finding_category(named, F.when(kind == 1, 0).when(kind == 2, 1).otherwise(F.when(kind == 0, 7))).alias("category"))
 
 
-@query(f"WITH {_NOISY_SQL} SELECT event_id, CASE WHEN trim(raw) IN ('Benign', '', 'normal') THEN 'Normal' WHEN trim(raw) = 'Port Scan' THEN 'PortScan' ELSE trim(raw) END AS category FROM n")
+_CAPTURED = ["unknown", "port scan", " worm", "Backdoor", "Bruteforce", "reconnaissance", "BENIGN", "Mirai"]
+
+
+@query(
+    f"""SELECT event_id, CASE trim({_CAPTURED}[event_id % {len(_CAPTURED)} + 1]) WHEN 'unknown' THEN 'Generic' WHEN 'port scan' THEN 'PortScan' WHEN 'worm' THEN 'Worms' WHEN 'Bruteforce' THEN 'BruteForce'
+  WHEN 'reconnaissance' THEN 'Reconnaissance' WHEN 'BENIGN' THEN 'Normal' ELSE trim({_CAPTURED}[event_id % {len(_CAPTURED)} + 1]) END AS category,
+  CASE trim({_CAPTURED}[event_id % {len(_CAPTURED)} + 1]) WHEN 'worm' THEN 'Worms' WHEN 'Backdoor' THEN 'Backdoors' WHEN 'reconnaissance' THEN 'Reconnaissance' WHEN 'BENIGN' THEN 'Normal' ELSE trim({_CAPTURED}[event_id % {len(_CAPTURED)} + 1]) END AS other FROM events"""
+)
 def n2_label_normalize(spark, sf_dir):
-    return _noisy(spark, sf_dir).select("event_id", clean.label_kitsune(F.col("raw")).alias("category"))
+    """Spellings that this data set and the other one read differently."""
+    raw = F.element_at(F.array(*[F.lit(x) for x in _CAPTURED]), (F.col("event_id") % len(_CAPTURED) + 1).cast("int"))
+    return _t(spark, sf_dir, "events").select("event_id", clean.label_kitsune(raw).alias("category"), clean.label_unsw(raw).alias("other"))
 
 
 @query("SELECT doc_id, CASE WHEN toxic = 0 THEN 'Normal' ELSE 'Generic' END AS category FROM labels")
@@ -653,23 +682,29 @@ def n11_fallback_category(spark, sf_dir):
     return _t(spark, sf_dir, "labels").select("doc_id", clean.fallback_category(F.col("toxic")).alias("category"))
 
 
-@query("SELECT 'c_mktsegment' AS label_column, CAST(count(*) AS BIGINT) AS n, count(DISTINCT c_mktsegment) AS kept FROM customer")
+@query(
+    """WITH c AS (SELECT *, CASE WHEN c_custkey % 9 = 0 THEN 'Infinity' ELSE '1.5' END AS rate, 0 AS zero, c_custkey % 2 AS half FROM customer)
+SELECT 'attack_class' AS name, TRUE AS kept, TRUE AS is_label, count(DISTINCT c_mktsegment) AS n FROM c UNION ALL SELECT 'rate', NOT bool_or(contains(rate, 'Infinity')), FALSE, count(DISTINCT rate) FROM c
+UNION ALL SELECT 'zero', count(DISTINCT zero) > 1, FALSE, count(DISTINCT zero) FROM c UNION ALL SELECT 'half', count(DISTINCT half) > 1, FALSE, count(DISTINCT half) FROM c UNION ALL SELECT 'none', FALSE, FALSE, 0"""
+)
 def n8_n9_n10_columns(spark, sf_dir):
-    """A column that holds Infinity and two constant ones are dropped; the label is found by its name."""
-    rows = _t(spark, sf_dir, "customer").withColumns({"rate": F.when(F.col("c_custkey") % 9 == 0, "Infinity").otherwise("1.5"), "zero": F.lit(0), "none": F.lit(None).cast("double")})
-    left = clean.drop_constant(clean.drop_containing(rows)).withColumnRenamed("c_mktsegment", "Attack Class")
-    found = {"attack_class": "c_mktsegment"}[clean.find_label_column(left.columns)]
-    gone = {"rate", "zero", "none"} - {*left.columns}
-    return left.agg(F.lit(found).alias("label_column"), (F.count(F.lit(1)) + len(gone) - 3).alias("n"), F.count_distinct("Attack Class").alias("kept"))
+    """Per column whether it is kept (not if it holds Infinity or one value) and is the label, and its distinct values."""
+    key = F.col("c_custkey")
+    rows = _t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("Attack Class"), F.when(key % 9 == 0, "Infinity").otherwise("1.5").alias("rate"), F.lit(0).alias("zero"), (key % 2).alias("half"), F.lit(None).cast("double").alias("none"))
+    kept = clean.drop_constant(clean.drop_containing(rows)).columns
+    label = clean.find_label_column(kept)
+    counts = rows.agg(*[F.count_distinct(f"`{c}`").alias(c) for c in rows.columns])
+    told = [F.struct(F.lit(snake_case(c)).alias("name"), F.lit(c in kept).alias("kept"), F.lit(snake_case(c) == label).alias("is_label"), F.col(f"`{c}`").alias("n")) for c in rows.columns]
+    return counts.select(F.explode(F.array(*told)).alias("e")).select("e.*")
 
 
-@query("SELECT count(*) AS n, TRUE AS about_a_fifth, TRUE AS all_or_none FROM orders")
+@query(
+    """SELECT o_orderkey, CASE WHEN CAST('0x' || md5('42:o_totalprice:' || o_orderkey)[1:8] AS UBIGINT) / 4294967296 >= 0.2 THEN o_totalprice END AS o_totalprice,
+  CASE WHEN CAST('0x' || md5('42:o_custkey:' || o_orderkey)[1:8] AS UBIGINT) / 4294967296 >= 0.2 THEN o_custkey END AS o_custkey FROM orders"""
+)
 def n12_inject_missing(spark, sf_dir):
-    """A fifth of the values goes; with a share of 0 or 1 none or all do."""
-    rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    some, none, every = (clean.inject_missing(rows, ["o_totalprice"], f, "o_orderkey").withColumn("f", F.lit(f)) for f in (0.2, 0.0, 1.0))
-    shares = some.unionByName(none).unionByName(every).groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("o_totalprice").isNull().cast("int")).alias("share"))
-    return shares.agg(F.min("n").alias("n"), F.max((F.col("f") == 0.2) & F.col("share").between(0.15, 0.25)).alias("about_a_fifth"), F.min((F.col("f") == 0.2) | (F.col("share") == F.col("f"))).alias("all_or_none"))
+    """A fifth of the values of two columns goes, row by row as the hash of column and key says."""
+    return clean.inject_missing(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey"), ["o_totalprice", "o_custkey"], 0.2, "o_orderkey")
 
 
 @query("SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS at FROM supplier")

@@ -79,6 +79,14 @@ EVENT_TYPE = _struct(
         first_seen=_S,
         raw_flow_features=T.MapType(_S, _D),
         raw_text_fields=T.MapType(_S, _S),
+        raw_event=_S,
+        flow_id=_S,
+        action=_S,
+        gid=_S,
+        rev=_S,
+        syslog_prefix=_S,
+        cef_version=_S,
+        device_version=_S,
     ),
 )
 EVENT_VERSION = "1.4.0"
