@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tracelake.llm import line_dedup, near_dedup
 from tracelake.llm.components import connected
 
@@ -220,3 +222,30 @@ def test_line_sets():
     lines = ["a", "abcabcabc", "xy", "the the the", "=" * 40]
     for size in (3, 5):
         assert line_dedup.line_sets(lines, size)[1].tolist() == [len(line_dedup.shingles(x, size)) for x in lines]
+
+
+def test_pairs_of_a_unit_are_tried_once_each(monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRS", 30)
+    for size in (2, 5, 8, 9, 23):
+        starts = np.array([0, 100, 200])
+        tried = [(int(i), int(j)) for first, one, two in near_dedup._tried(starts, size) for i, j in zip((first + one).ravel(), (first + two).ravel())]
+        assert sorted(tried) == sorted((int(s) + a, int(s) + b) for s in starts for a in range(size) for b in range(a + 1, size))
+
+
+def test_a_long_list_makes_few_copies_of_its_members(spark, monkeypatch):
+    """50,000 members of one list in as many components: at most four rows for each."""
+    n = 50_000
+    left = spark.range(n).selectExpr("id", "id AS node", "id AS component", "100L AS n", *[f"xxhash64(id, {k}) AS {s}" for k, s in enumerate(near_dedup.SKETCH)], f"array(named_struct('key', 1L, 'members', {n}L, 'bulk', named_struct('members', 1L, 'component', 0L))) AS lists")
+    seen = []
+
+    def units(rows, merge, percent, columns, kinds):
+        seen.append(rows)
+        return rows
+
+    monkeypatch.setattr(near_dedup, "_units", units)
+    near_dedup._across(left, 80)
+    assert n < seen[0].count() <= 4 * n
+    # every two members meet in a unit
+    some = seen[0].where("id < 40").select("id", "sides", "x", "y", "bulky").collect()
+    met = {(a.id, b.id) for a in some for b in some if a.id < b.id and (a.sides, a.x, a.y) == (b.sides, b.x, b.y) and (a.sides == 1 or a.bulky != b.bulky)}
+    assert met == {(a, b) for a in range(40) for b in range(a + 1, 40)}

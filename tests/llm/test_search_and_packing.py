@@ -108,3 +108,42 @@ def test_relief_empties_a_bin_by_exchanges():
     assert sorted(map(sorted, found)) in ([[0, 1, 4], [2, 3]], [[0, 1], [2, 3, 4]])
     tight = packing.relieve([[0, 1], [2, 3], [4]], np.array([50, 45, 60, 35, 10]), 100, np.random.default_rng(0))
     assert sum(map(len, tight)) == 5
+
+
+def test_repeated_ids_and_lots(spark):
+    """Repeated rows are candidates each, a repeated query has one list; queries in several lots meet all groups."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(300, 6))
+    ids = [i % 250 for i in range(300)]
+    df = spark.createDataFrame(list(zip(ids, map(list, vectors.tolist()))), "vec_id long, embedding array<double>")
+    found = ann.nearest(df, F.col("vec_id") % 5 == 0, 4, query_rows=8, block_rows=16, group_blocks=3, lot_blocks=2).collect()
+    first = {}
+    for q in range(0, 250, 5):
+        own = [(r.rank, r.vec_id, r.score) for r in found if r.query_id == q]
+        asked = [v for i, v in zip(ids, vectors) if i == q]
+        lists = []
+        for v in asked:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in zip(ids, vectors) if i != q)[:4]
+            lists.append([(k + 1, i, -s) for k, (s, i) in enumerate(scored)])
+        assert len(own) == 4 and any([(k, i) for k, i, _ in sorted(own)] == [(k, i) for k, i, _ in want] for want in lists)
+        first[q] = own
+    assert len(first) == 50
+
+
+def test_candidates_are_dealt_once(spark):
+    """Rows into the search: every block of candidates once a lot, every block of queries once a group."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 4)))], "vec_id long, embedding array<double>").repartition(4)
+    found = ann.nearest(df, F.col("vec_id") % 20 == 0, 3, query_rows=10, block_rows=50, group_blocks=5)
+    plan = found._jdf.queryExecution()
+    found.collect()
+    shuffled = [int(x) for x in _rows_shuffled(plan)]
+    assert 0 < max(shuffled) <= 45 + 15 * 10 + 3 * 100 * 10
+
+
+def _rows_shuffled(execution):
+    """Numbers of records that the plan's exchanges wrote."""
+    import re
+
+    text = execution.executedPlan().toString()
+    return re.findall(r"rowCount=(\d+)", text) or [0]

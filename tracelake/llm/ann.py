@@ -101,6 +101,25 @@ def _tile(queries: Block, some: Block, k: int, floor: np.ndarray) -> tuple[np.nd
     return row, column, exact
 
 
+def _merged(queries: Block, held: list[Block], k: int) -> Iterator[pa.RecordBatch]:
+    """The k nearest of each query among the blocks that are held, from a heap for each query."""
+    heaps, floor = [[] for _ in queries.ids], np.full(len(queries.ids), -np.inf)
+    for block in held:
+        r, c, s = _tile(queries, block, k, floor)
+        order = np.lexsort((block.ids[c], -s, r))
+        r, c, s = r[order], c[order], s[order]
+        first = np.searchsorted(r, r)
+        best = np.arange(len(r)) - first < k
+        for q, i, x in zip(r[best].tolist(), block.ids[c[best]].tolist(), s[best].tolist()):
+            if len(heaps[q]) < k:
+                heapq.heappush(heaps[q], (x, -i))
+            elif (x, -i) > heaps[q][0]:
+                heapq.heapreplace(heaps[q], (x, -i))
+    flat = [(int(q), -i, s) for q, heap in zip(queries.ids, heaps) for s, i in heap]
+    if flat:
+        yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in flat], t) for n, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -110,7 +129,8 @@ def nearest(
     vector_col: str = "embedding",
     query_rows: int = 1024,
     block_rows: int = 2048,
-    group_blocks: int = 8,
+    group_blocks: int = 32,
+    lot_blocks: int = 256,
 ) -> DataFrame:
     """Each query's k rows with the largest inner product, in double precision.
 
@@ -122,50 +142,39 @@ def nearest(
     take no part; a query meets only candidates of its own dimension. Repeated rows stay repeated
     candidates; a repeated query has its list once. Other columns are not read.
 
-    Every block of queries is sent to every group of candidate blocks: the work of a search is
-    queries times candidates. Tasks hold one block of queries and one of candidates.
+    The work of a search is queries times candidates. Candidates are dealt out once, in groups of about ``group_blocks``
+    blocks, for each lot of ``lot_blocks`` blocks of queries; the queries, which are far fewer, are sent to every group. A task holds a
+    group of candidates, and one block of queries at a time.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("asks"))
     numbers = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("id").isNotNull() & numbers & F.exists("vector", lambda x: x != 0))
     blocks = stored(_packed(rows.select("id", "vector"), block_rows), "ann-blocks")
     asked = _packed(rows.where("asks").select("id", "vector").dropDuplicates(["id"]), query_rows)
-    groups = max(1, -(-blocks.count() // group_blocks))
     asked = stored(asked, "ann-queries")
-    # the work list: ids and dimensions of the query blocks, one short row for each `query_rows` queries
-    lanes = asked.select(F.col("block").alias("lane"), "dim")
-    some = blocks.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).join(lanes, "dim").select("lane", "part", F.lit(1).alias("kind"), *[f.split()[0] for f in _BLOCK.split(", ")])
-    copies = asked.withColumn("lane", F.col("block")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("lane", "part", F.lit(0).alias("kind"), *[f.split()[0] for f in _BLOCK.split(", ")])
-    tiles = copies.unionByName(some).repartition("lane", "part").sortWithinPartitions("lane", "part", "kind")
+    groups, lots = max(1, -(-blocks.count() // group_blocks)), max(1, -(-asked.count() // lot_blocks))
+    columns = [f.split()[0] for f in _BLOCK.split(", ")]
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, queries, heaps, floor = None, None, [], np.zeros(0)
+    def dealt(rows: DataFrame, own: str, n: int, other: str, copies: int, kind: int) -> DataFrame:
+        """Blocks with one of n numbers of their own, sent to all of the other side's."""
+        placed = rows.withColumns({own: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))})
+        return placed.select("lot", "part", F.lit(kind).alias("kind"), *columns)
 
-        def found() -> Iterator[pa.RecordBatch]:
-            flat = [(int(q), -i, s) for q, heap in zip(queries.ids if queries else [], heaps) for s, i in heap]
-            if flat:
-                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in flat], t) for n, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+    both = dealt(blocks, "part", groups, "lot", lots, 0).unionByName(dealt(asked, "lot", lots, "part", groups, 1))
+    tiles = both.repartition("lot", "part").sortWithinPartitions("lot", "part", "kind")
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
         for batch in batches:
-            for row in batch.to_pylist():
-                if key != (row["lane"], row["part"]):
-                    yield from found()
-                    key, queries, heaps = (row["lane"], row["part"]), None, []
+            for at in range(batch.num_rows):
+                (row,) = batch.slice(at, 1).to_pylist()
+                if key != (row["lot"], row["part"]):
+                    key, held = (row["lot"], row["part"]), {}
                 block = Block(row["dim"], row["ids"], row["vectors"])
                 if row["kind"] == 0:
-                    queries, heaps, floor = block, [[] for _ in block.ids], np.full(len(block.ids), -np.inf)
-                    continue
-                r, c, s = _tile(queries, block, k, floor)
-                order = np.lexsort((block.ids[c], -s, r))
-                r, c, s = r[order], c[order], s[order]
-                first = np.searchsorted(r, r)
-                best = np.arange(len(r)) - first < k
-                for q, i, x in zip(r[best].tolist(), block.ids[c[best]].tolist(), s[best].tolist()):
-                    if len(heaps[q]) < k:
-                        heapq.heappush(heaps[q], (x, -i))
-                    elif (x, -i) > heaps[q][0]:
-                        heapq.heapreplace(heaps[q], (x, -i))
-        yield from found()
+                    held.setdefault(row["dim"], []).append(block)
+                elif row["dim"] in held:
+                    yield from _merged(block, held[row["dim"]], k)
 
     partial = tiles.mapInArrow(search, "query_id long, vec_id long, score double")
     nearest_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -12,8 +12,9 @@ one, then those of lists that lie in several components with the list's medoid;
 components, and pairs within a component are skipped from then on. The lists that
 still lie in several components are merged member by member, in blocks of bounded size; members with a
 pair of different components that reaches the match threshold get their whole sets, and similar
-pairs become links until what is similar hangs together. So no link between different components is lost, and
-no step makes more rows than the lists have members.
+pairs become links until what is similar hangs together. So no link between different components is lost. Members of
+a long list are copied to the units of its blocks: up to four times, and beyond 98,304 members once for each 32,768
+of them. Within a unit pairs are compared in pieces, by 32 bytes each.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ COORDINATES = 64
 SKETCHED = 128
 BITS = 2
 SKETCH = ("s0", "s1", "s2", "s3")
-#: Members of a block of a posting list, about, and pairs that are compared at a time.
-BLOCK_SETS = 1000
+#: Members of a block of a posting list, about, and pairs that are compared at a time. Longer lists are dealt into blocks
+#: of a third of their members, up to LARGEST, so that no member of a list of up to three times LARGEST has more than four copies.
+BLOCK_SETS, LARGEST = 1000, 1 << 15
 PAIRS = 1 << 19
 #: Lists with more members are first compared with their medoids.
 FEW = 8
@@ -279,11 +281,13 @@ def _across(left: DataFrame, percent: int) -> DataFrame:
     """Those members of each unit of a list whose sketches agree with one of another component there: no more rows than members.
 
     A list of more than BLOCK_SETS members is dealt into blocks, a unit has one or two. Members of its largest
-    component are not compared with each other, so their blocks meet those of the other members only.
+    component are not compared with each other, so their blocks meet those of the other members only. Blocks
+    grow with the list: a task walks through a unit's pairs in pieces and holds its members once.
     """
     bulk = F.col("component") == F.col("bulk.component")
-    large = F.ceil(F.col("bulk.members") / BLOCK_SETS).cast("int")
-    rest = F.ceil((F.col("members") - F.col("bulk.members")) / BLOCK_SETS).cast("int")
+    block = F.least(F.greatest(F.col("members") / 3, F.lit(BLOCK_SETS)), F.lit(LARGEST))
+    large = F.ceil(F.col("bulk.members") / block).cast("int")
+    rest = F.ceil((F.col("members") - F.col("bulk.members")) / block).cast("int")
     h = F.pmod(F.xxhash64("id", F.lit("block")), F.when(bulk, large).otherwise(rest)).cast("int")
 
     def unit(sides: int, x: Column, y: Column) -> Column:
@@ -362,6 +366,24 @@ def _medoids(table: pa.Table, starts: np.ndarray, percent: int) -> Iterator[pa.R
                 yield pa.RecordBatch.from_arrays([nodes.take(pa.array(i[near])), nodes.take(pa.array(j[near]))], names=["a", "b"])
 
 
+def _tried(starts: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs within units of one size, about PAIRS at a time: where units start, and the two members of each pair there."""
+    if size * (size - 1) // 2 <= PAIRS:
+        one, two = (x.astype(np.int32) for x in np.triu_indices(size, 1))
+        step = max(1, PAIRS // len(one))
+        for at in range(0, len(starts), step):
+            yield starts[at : at + step, None], one, two
+        return
+    side = int(PAIRS**0.5)
+    for start in starts.tolist():
+        for a in range(0, size, side):
+            for b in range(a, size, side):
+                one, two = (x.ravel() for x in np.meshgrid(np.arange(a, min(a + side, size), dtype=np.int32), np.arange(b, min(b + side, size), dtype=np.int32), indexing="ij"))
+                if a == b:
+                    one, two = one[one < two], two[one < two]
+                yield np.array([[start]], np.int32), one, two
+
+
 def _near(table: pa.Table, starts: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows and agreements of the pairs within units whose components differ and whose sketches agree; units of one size together.
 
@@ -377,10 +399,8 @@ def _near(table: pa.Table, starts: np.ndarray, percent: int) -> Iterator[tuple[n
     bulky, both = table["bulky"].to_numpy(zero_copy_only=False), table["sides"].to_numpy() == 2
     sizes = np.diff(np.append(starts, table.num_rows))
     for size in np.unique(sizes[sizes > 1]).tolist():
-        one, two = (x.astype(np.int32) for x in np.triu_indices(size, 1))
-        some, step = starts[sizes == size], max(1, PAIRS // len(one))
-        for at in range(0, len(some), step):
-            first = some[at : at + step, None]
+        some = starts[sizes == size]
+        for first, one, two in _tried(some, size):
             i, j = (first + one).ravel(), (first + two).ravel()
             live = (component[i] != component[j]) & ((bulky[i] != bulky[j]) | ~both[i])
             live &= np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent
