@@ -113,3 +113,12 @@ def test_a_flood_is_spread_evenly(spark):
     sizes = sorted(r["count"] for r in parts.groupBy("part").count().collect())
     assert len(sizes) == 15 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
     assert parts.where("src = 'hot'").select("part").distinct().count() >= 5
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("aaab"), st.integers(0, 200), st.sampled_from(["x", "y", None]), st.integers(0, 3)), min_size=5, max_size=40), st.integers(2, 12))
+def test_self_join_leaves_floods_to_the_scan(spark, events, most):
+    rows = [(i, s, at(t), h, str(p)) for i, (s, t, h, p) in enumerate(events)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    one, two = ({tuple(r) for r in range_self_join(df, "id", "src", "us", "host", "port", most=m).collect()} for m in (10**6, most))
+    assert one == two and len(one) == len(rows)

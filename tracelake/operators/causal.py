@@ -159,18 +159,27 @@ def tie_ordered_window(df: DataFrame, source: str, us: str, order: str, host: st
     return _aggregated(rows, F.col(source), F.col(us), F.col(host), F.col(port), F.col(order), seconds, most)
 
 
-def range_self_join(df: DataFrame, key: str, source: str, us: str, host: str, port: str, *, seconds: float = 60.0) -> DataFrame:
-    """The window as a join of each event with those of its source's last seconds: exact distinct counts.
+def range_self_join(df: DataFrame, key: str, source: str, us: str, host: str, port: str, *, seconds: float = 60.0, most: int = 50_000) -> DataFrame:
+    """The window as a join of each event (known by ``key``) with those of its source's last seconds: exact distinct counts.
 
-    Buckets one window long make the range an equality: a row meets only its own and the bucket before.
+    Buckets one window long make the range an equality: a row meets only its own and the bucket before. A
+    join makes all pairs, so sources and buckets where more than ``most`` rows may meet are left to the prefix scan, which makes none.
     """
     width = int(seconds * 1_000_000)
     rows = df.where(F.col(source).isNotNull() & F.col(us).isNotNull()).withColumn("__b", F.floor(F.col(us) / width))
-    now = rows.select(F.col(key), F.col(source).alias("s"), F.col(us).alias("t"), F.explode(F.array("__b", F.col("__b") - 1)).alias("b"))
-    then = rows.select(F.col(source).alias("s2"), F.col(us).alias("t2"), F.col("__b").alias("b2"), F.col(host).alias("h"), F.col(port).alias("p"))
-    met = now.join(then, (F.col("s") == F.col("s2")) & (F.col("b") == F.col("b2")) & F.col("t2").between(F.col("t") - width, F.col("t")))
-    return met.groupBy(key).agg(
-        F.count_distinct("p").alias("agg_distinct_dst_ports"),
-        F.count_distinct("h").alias("agg_distinct_dst_hosts"),
-        F.count(F.lit(1)).alias("agg_events_in_window"),
-    )
+    counts = [F.count_distinct("p").alias("agg_distinct_dst_ports"), F.count_distinct("h").alias("agg_distinct_dst_hosts"), F.count(F.lit(1)).alias("agg_events_in_window")]
+
+    def joined(asking: DataFrame) -> DataFrame:
+        now = asking.select(F.col(key), F.col(source).alias("s"), F.col(us).alias("t"), F.explode(F.array("__b", F.col("__b") - 1)).alias("b"))
+        then = rows.select(F.col(source).alias("s2"), F.col(us).alias("t2"), F.col("__b").alias("b2"), F.col(host).alias("h"), F.col(port).alias("p"))
+        met = now.join(then, (F.col("s") == F.col("s2")) & (F.col("b") == F.col("b2")) & F.col("t2").between(F.col("t") - width, F.col("t")))
+        return met.groupBy(key).agg(*counts)
+
+    large = _large_groups(rows, F.col(source), F.col(us), width, most)
+    if large is None:
+        return joined(rows)
+    marked, own = large.alias("g").hint("merge"), rows.alias("r")
+    there = (F.col(f"r.{source}") == F.col("g.source")) & (F.col("r.__b") == F.col("g.bucket"))
+    sources = large.select("source").distinct().alias("g").hint("merge")
+    scanned = causal_window(own.join(sources, F.col(f"r.{source}") == F.col("g.source"), "left_semi"), F.col(source), F.col(us), F.col(host), F.col(port), seconds=seconds, most=most)
+    return joined(own.join(marked, there, "left_anti")).unionByName(scanned.alias("r").join(marked, there, "left_semi").select(key, *AGGREGATES[:3]))

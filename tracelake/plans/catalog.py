@@ -140,6 +140,17 @@ def j1_range_self_join(spark, sf_dir):
     return causal.range_self_join(_events(spark, sf_dir), "event_id", "user_id", "us", "event_type", "k", seconds=DAY)
 
 
+@query(
+    f"""WITH {_EVENTS}, h AS (SELECT event_id, event_type, k, us, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS source FROM e)
+SELECT event_id, count(DISTINCT k) OVER w AS agg_distinct_dst_ports, count(DISTINCT event_type) OVER w AS agg_distinct_dst_hosts, count(*) OVER w AS agg_events_in_window
+FROM h WINDOW w AS (PARTITION BY source ORDER BY us RANGE BETWEEN {DAY * 1_000_000} PRECEDING AND CURRENT ROW)"""
+)
+def j1_flooded_self_join(spark, sf_dir):
+    """The range join where a third of all events have one source: that source's days are scanned, not joined."""
+    rows = _events(spark, sf_dir).withColumn("source", F.when(F.col("event_id") % 3 == 0, -1).otherwise(F.col("user_id")))
+    return causal.range_self_join(rows, "event_id", "source", "us", "event_type", "k", seconds=DAY, most=100)
+
+
 @query(
     f"""WITH {_EVENTS}, g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) > {21_600 * 1_000_000} THEN 1 ELSE 0 END AS new FROM e),
 f AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS flow_no FROM g),
@@ -709,11 +720,10 @@ def n12_inject_missing(spark, sf_dir):
 
 @query("SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS at FROM supplier")
 def o1_sorted(spark, sf_dir):
-    """A stable sort: equal values keep the order of their keys. Places count on within and between the tasks of the sort."""
-    rows = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal").orderBy("s_acctbal", "s_suppkey").withColumn("i", F.monotonically_increasing_id())
-    sizes = rows.groupBy(F.shiftright("i", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    return rows.withColumn("part", F.shiftright("i", 33)).join(F.broadcast(before), "part").select("s_suppkey", "s_acctbal", (F.col("before") + F.col("i").bitwiseAND(F.lit((1 << 33) - 1))).alias("at"))
+    """A stable sort: equal values keep the order of their keys. Places count on within and between the ranges of the sort."""
+    rows = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    order = ["s_acctbal", "s_suppkey"]
+    return scan.numbered(scan.ranges(rows, [], order), order, "at").select("s_suppkey", "s_acctbal", "at")
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > l_discount THEN 'tax' WHEN l_tax < l_discount THEN 'discount' ELSE 'discount' END AS top FROM lineitem")
@@ -777,6 +787,27 @@ def m6_m9_train_and_score(spark, sf_dir):
     return scored.select("vec_id", "prediction.attack_cat", F.round("prediction.probability", 4).alias("probability"), F.size("top_features").alias("n_features"))
 
 
+#: What a language's spelling looks like: counts of these in a text, per 100 characters.
+_MARKS = ("th", "ch", "qu", "en", "os", "é", "ñ", "ß", "ung", "ing")
+
+
+@query()
+def m6_m10_boosted_languages(spark, sf_dir):
+    """Boosted trees over ten spelling features tell the languages of all documents; those that have one are learned from, all are scored and explained."""
+    from tracelake.operators import model
+
+    text = F.lower(F.coalesce("text", F.lit("")))
+    features = [f"x{i}" for i in range(len(_MARKS))]
+    counts = [(F.regexp_count(text, F.lit(m)) * 100 / F.greatest(F.length(text), F.lit(1))).alias(n) for n, m in zip(features, _MARKS)]
+    rows = _t(spark, sf_dir, "documents").select("doc_id", "lang", *counts)
+    trained = model.train_boosted(rows.where("lang IS NOT NULL"), features, "lang", "doc_id", rounds=8, depth=3, bins=32)
+    folder = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    model.certify(spark, trained, folder, "v1")
+    found = model.FrozenClassifier(spark, folder, "v1")
+    scored = found.explain(found.predict(rows), 3)
+    return scored.select("doc_id", "prediction.attack_cat", F.round("prediction.probability", 4).alias("probability"), F.size("top_features").alias("n_features"))
+
+
 @query()
 def m3_copula_sample(spark, sf_dir):
     """As many synthetic line items as there are parts, from the copula of four columns."""
