@@ -85,3 +85,34 @@ def test_a_held_out_language_of_the_same_script_is_rejected(spark):
         assert len(own) > 100 and len(foreign) > 100
         assert sum(own) <= 0.03 * len(own)
         assert sum(foreign) >= 0.8 * len(foreign)
+
+
+def test_the_toxicity_sample_is_bounded_in_characters(spark):
+    """Of either class the first rows by hash whose texts have so many characters together; a smaller bound than the first text leaves none."""
+    rows = [(i, "x" * (i % 5 + 1) if i != 7 else None, i % 2, i * 37 % 11) for i in range(40)]
+    picked = spark.createDataFrame(rows, "id long, body string, label int, at long")
+    for most in (0, 10, 33, 10**6):
+        found = {r.id for r in toxicity._within(picked, most).collect()}
+        want = set()
+        for c in (0, 1):
+            total = 0
+            for i, body, _, _ in sorted((r for r in rows if r[2] == c), key=lambda r: (r[3], r[0])):
+                total += len(body or "")
+                if total > most:
+                    break
+                want.add(i)
+        assert found == want
+    docs = spark.createDataFrame([(i, f"plain words of document {i}" if i % 2 else f"vile words of document {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(60)], "doc_id long, toxic int")
+    small, whole = (toxicity.fit(docs, labels, max_characters=n) for n in (300, 1 << 20))
+    assert len(small.codes) < len(whole.codes)
+    assert toxicity.score(docs, toxicity.fit(docs, labels, max_characters=1)).count() == 60
+    assert toxicity.score(docs, toxicity.fit(docs, labels, max_characters=1)).count() == 60
+
+
+def test_equal_cosines_go_to_the_first_language(spark):
+    """Two languages learned from the same texts: every text is as near to both."""
+    texts = [f"the same words of text number {i} stand here twice" for i in range(30)]
+    df = spark.createDataFrame([(i, t, lang) for i, t in enumerate(texts) for lang in ("bb", "aa")], "doc_id long, text string, lang string")
+    found = language_id.predict(df, language_id.fit(df)).collect()
+    assert len(found) == 60 and {r.lang_pred for r in found if not r.rejected} == {"aa"}

@@ -249,3 +249,12 @@ def test_a_long_list_makes_few_copies_of_its_members(spark, monkeypatch):
     some = seen[0].where("id < 40").select("id", "sides", "x", "y", "bulky").collect()
     met = {(a.id, b.id) for a in some for b in some if a.id < b.id and (a.sides, a.x, a.y) == (b.sides, b.x, b.y) and (a.sides == 1 or a.bulky != b.bulky)}
     assert met == {(a, b) for a in range(40) for b in range(a + 1, 40)}
+
+
+def test_very_long_texts(spark):
+    """A text of a megabyte, its near copy, and one that shares half of it."""
+    words = [f"w{k * 7919 % 100_003}" for k in range(150_000)]
+    near, half = [*words], [*words[:75_000], *(f"v{k}" for k in range(75_000))]
+    near[1000:1010] = ["other"] * 10
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((words, half, near))], "doc_id long, text string")
+    assert [r.component_id for r in sorted(near_dedup.near_duplicates(df).collect())] == [0, 1, 0]

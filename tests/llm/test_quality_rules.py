@@ -50,3 +50,10 @@ def test_rules_are_put_by_rejection_per_cost(spark):
     docs = spark.createDataFrame([(i, good) for i in range(50)], "doc_id long, text string")
     never, always = q.Rule("never", F.lit(False)), q.Rule("always", F.col("n_words") > 0)
     assert [r.name for r in q.order_rules(docs, [never, always])] == ["always", "never"]
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    df = spark.createDataFrame([(None, good, "k", 1), (None, None, "k", 1), (1, good, "k", 1), (1, good, "k", 1)], "doc_id long, text string, key string, n_words int")
+    found = sorted((str(r.doc_id), r.n_words, r.kept) for r in q.apply_rules(df).collect())
+    assert found == [("1", 40, True), ("1", 40, True), ("None", 0, False), ("None", 40, True)]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -37,13 +39,41 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
+#: Paths that were written since each scratch area that is open began.
+_AREAS: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """An area whose tables are deleted when it ends; a path that is taken off the list it gives stays.
+
+    What is to outlive it must be written and taken off: a frame that still reads a deleted table fails.
+    """
+    area: list[str] = []
+    _AREAS.append(area)
+    try:
+        yield area
+    finally:
+        _AREAS.remove(area)
+        for path in area:
+            drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: the lineage ends there.
 
-    Unlike a cached block, the files outlive the executors that wrote them.
+    Unlike a cached block, the files outlive the executors that wrote them. Within a ``scratch`` area they are deleted when it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    for area in _AREAS[-1:]:
+        area.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
