@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tracelake.llm import language_id, line_dedup, near_dedup, packing, quality_classifier
 from tracelake.llm.queries import VOCABULARY, fold
-from tracelake.llm.tables import stored, table
+from tracelake.llm.tables import drop, scratch, stored, table
 
 #: No SQL: the trained stages and the packing cannot be expressed in it.
 ORACLE_SQL = None
@@ -73,8 +73,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn over ``documents``.
+
+    A stage's scratch tables go when its result is written, and that goes when the next stage's is: the
+    shared folder holds two results at a time, and the last one in the end.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as area:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+            result = area.pop()
+        if before is not None:
+            drop(spark, before)
+        before = result
     return docs
