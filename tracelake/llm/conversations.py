@@ -273,8 +273,9 @@ def _numbered(rows: DataFrame) -> DataFrame:
     """Turns of long conversations with their position and first fault; rows that were dropped have no position."""
     own = Window.partitionBy("conv_id", "dropped")
     position = F.row_number().over(own.orderBy(F.asc_nulls_first("turn"), "role", "text")) - 1
-    again = F.row_number().over(Window.partitionBy("conv_id", "dropped", "role", "text").orderBy(F.asc_nulls_first("turn"))) > 1
-    told = rows.withColumns({"position": position.cast("long"), "again": again})
+    # equal rows follow each other in any order, and the first of them by position is the one said before
+    again = F.row_number().over(Window.partitionBy("conv_id", "dropped", "role", "text").orderBy("position")) > 1
+    told = rows.withColumn("position", position.cast("long")).withColumn("again", again)
     fault = F.when((F.col("fault") != BLANK) & F.col("again"), F.lit(DUPLICATE).cast("int")).otherwise(F.col("fault"))
     return told.withColumn("fault", fault).drop("again")
 

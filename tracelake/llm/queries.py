@@ -175,6 +175,65 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(damaged, dropped="dropped")
 
 
+OP11_SQL = r"""
+WITH RECURSIVE r AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS mark
+  FROM conversations
+), codes AS (
+  SELECT mark, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(mark, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda x, y:
+    list_reduce(list_prepend(xor(x, y), [CAST(0 AS BIGINT) for k in range(8)]), lambda z, w: CASE WHEN z % 2 = 1 THEN xor(z // 2, 3988292384) ELSE z // 2 END)), 4294967295) % 20 AS kind
+  FROM (SELECT DISTINCT mark FROM r)
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE kind WHEN 3 THEN [1, 2] WHEN 0 THEN [] ELSE [1] END) AS copy
+  FROM r JOIN codes USING (mark)
+), placed AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), '') AS k, left(role, 1) AS ini, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS before,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), g AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault
+  FROM placed
+), counts AS (
+  SELECT k, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || '/' || ini NOT IN ('s/u', 'u/a', 'a/u')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+  FROM g GROUP BY k
+), v AS (
+  SELECT k, max(i) + 1 AS i, {'c': CAST(0 AS BIGINT), 'a': ''} AS v0, {'c': CAST(4 AS BIGINT), 'a': 'II'} AS v1, {'c': CAST(2 AS BIGINT), 'a': 'I'} AS v2, {'c': CAST(0 AS BIGINT), 'a': ''} AS v3 FROM g GROUP BY k
+  UNION ALL
+  SELECT k, i, list_min([w0, {'c': x2.c + 2, 'a': 'I' || x2.a}]), list_min([w1, {'c': x2.c + 2, 'a': 'I' || x2.a}]), x2, x3
+  FROM (
+    SELECT *, list_min([w2, {'c': w3.c + 2, 'a': 'I' || w3.a}]) AS x2, list_min([w3, {'c': w2.c + 2, 'a': 'I' || w2.a}]) AS x3
+    FROM (
+      SELECT k, i,
+        list_min([{'c': v0.c + 3, 'a': 'D' || v0.a}, CASE WHEN NOT gone THEN CASE ini WHEN 's' THEN {'c': v1.c + x, 'a': 'K' || v1.a} WHEN 'u' THEN {'c': v2.c + x, 'a': 'K' || v2.a} END END, CASE WHEN NOT gone THEN {'c': v2.c + x + 2, 'a': 'R' || v2.a} END]) AS w0,
+        list_min([{'c': v1.c + 3, 'a': 'D' || v1.a}, CASE WHEN NOT gone AND ini = 'u' THEN {'c': v2.c + x, 'a': 'K' || v2.a} END, CASE WHEN NOT gone THEN {'c': v2.c + x + 2, 'a': 'R' || v2.a} END]) AS w1,
+        list_min([{'c': v2.c + 3, 'a': 'D' || v2.a}, CASE WHEN NOT gone AND ini = 'a' THEN {'c': v3.c + x, 'a': 'K' || v3.a} END, CASE WHEN NOT gone THEN {'c': v3.c + x + 2, 'a': 'R' || v3.a} END]) AS w2,
+        list_min([{'c': v3.c + 3, 'a': 'D' || v3.a}, CASE WHEN NOT gone AND ini = 'u' THEN {'c': v2.c + x, 'a': 'K' || v2.a} END, CASE WHEN NOT gone THEN {'c': v2.c + x + 2, 'a': 'R' || v2.a} END]) AS w3
+      FROM (SELECT v.k, g.i, v0, v1, v2, v3, ini, fault IN ('b', 'd') AS gone, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS x FROM v JOIN g ON g.k = v.k AND g.i = v.i - 1)
+    )
+  )
+), best AS (
+  SELECT k, v0.c AS cost, v0.a AS audit FROM v WHERE i = 1
+), t AS (
+  SELECT k, audit, 0 AS step, CAST(1 AS BIGINT) AS i, 0 AS s, CAST(NULL AS VARCHAR) AS line FROM best
+  UNION ALL
+  SELECT t.k, audit, step + 1, CASE WHEN letter = 'I' THEN t.i ELSE t.i + 1 END,
+    CASE letter WHEN 'D' THEN s WHEN 'K' THEN CASE ini WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE s WHEN 2 THEN 3 ELSE 2 END END,
+    CASE letter WHEN 'D' THEN NULL WHEN 'K' THEN role || ':' || text ELSE CASE s WHEN 2 THEN 'assistant:' ELSE 'user:' END || CASE letter WHEN 'R' THEN text ELSE '' END END
+  FROM (SELECT *, audit[step + 1] AS letter FROM t WHERE step < length(audit)) t LEFT JOIN g ON g.k = t.k AND g.i = t.i
+), told AS (
+  SELECT k, string_agg(line, chr(10) ORDER BY step) AS repaired FROM t GROUP BY k
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS k FROM conversations) c
+  LEFT JOIN counts USING (k) LEFT JOIN best USING (k) LEFT JOIN told USING (k)
+"""
+
+
 #: Host and start of path, as the contract gives them.
 SITES = (
     url_filters.Rule("org/", "allow", True),
@@ -237,7 +296,10 @@ OP13_SQL = r"""
 WITH texts AS (
   SELECT doc_id, coalesce(text, '') AS body, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
 ), cut AS (
-  SELECT *, regexp_extract_all(body, '[ 	-]*[^ 	-]+|[ 	-]+') AS units,
+  SELECT *, regexp_extract_all(body, '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS units,
     CAST('0x' || h[1:8] AS UBIGINT) AS h1, CAST('0x' || h[9:16] AS UBIGINT) AS h2, CAST('0x' || h[17:24] AS UBIGINT) AS h3, CAST('0x' || h[25:32] AS UBIGINT) AS h4
   FROM texts
 ), placed AS (
@@ -275,6 +337,7 @@ SQL: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
     "op5_nearest_neighbours": OP5_SQL,
     "op6_minhash_near_dedup": OP6_SQL,
+    "op11_conversation_repair": OP11_SQL,
     "op12_url_filters": OP12_SQL,
     "op13_fill_in_middle": OP13_SQL,
 }
