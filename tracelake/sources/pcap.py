@@ -341,7 +341,7 @@ def index(spark: SparkSession, path: str, *, range_bytes: int = RANGE) -> DataFr
                         after, before = found[3] if found[3] is not None else after, before + found[5]
                         yield batch([found])
 
-    guessed = stored(ranges.repartition(max(n, 1), "path", "range").mapInArrow(look, _INDEX), "capture-ranges")
+    guessed = stored(ranges.repartitionByRange(max(n, 1), "path", "range").mapInArrow(look, _INDEX), "capture-ranges")
     order = Window.partitionBy("path").orderBy("range")
     before = F.last("next", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     sizes = ranges.select("path", "range", "size")
@@ -385,7 +385,7 @@ def read_packets(spark: SparkSession, path: str, *, max_packets: int | None = No
                     held = _Bytes(source, r["first"], end - r["first"] + (1 << 16))
                     yield from _batches(layout, held, r["before"], end, r["first"], r["path"], r["start"])
 
-    found = rows.repartition(max(rows.count(), 1), "path", "range").mapInArrow(run, PACKET)
+    found = rows.repartitionByRange(max(rows.count(), 1), "path", "range").mapInArrow(run, PACKET)
     return found.where(F.col("ordinal") < max_packets) if max_packets is not None else found
 
 
