@@ -70,9 +70,9 @@ def w1_causal_window(spark, sf_dir):
 
 @query(f"WITH {_EVENTS}, h AS (SELECT event_id, event_type, k, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS source, CASE WHEN event_id % 3 = 0 THEN us % {DAY * 1_000_000} ELSE us END AS us FROM e) " + _window_sql("h", "event_id", "source", "us", "event_type", "k", DAY * 1_000_000))
 def w1_skew_bucketed(spark, sf_dir):
-    """A third of all events from one source within one day, in ranges of 2000."""
+    """A third of all events from one source within one day, in ranges of 6000."""
     hot = F.col("event_id") % 3 == 0
-    return _window(_events(spark, sf_dir), ["event_id"], F.when(hot, -1).otherwise(F.col("user_id")), F.when(hot, F.col("us") % (DAY * 1_000_000)).otherwise(F.col("us")), "event_type", "k", DAY, most=2000)
+    return _window(_events(spark, sf_dir), ["event_id"], F.when(hot, -1).otherwise(F.col("user_id")), F.when(hot, F.col("us") % (DAY * 1_000_000)).otherwise(F.col("us")), "event_type", "k", DAY, most=6000)
 
 
 @query(
