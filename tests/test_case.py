@@ -241,3 +241,12 @@ def test_overview_of_addresses(spark):
     assert found["Normal"].n_src_ips == 0 and found["Normal"].n_dst_ips == 1
     blocks = report.case_blocks(df).collect()
     assert [b.category for b in blocks] == ["DoS"] and blocks[0].meaning == report.MEANINGS["DoS"] and blocks[0].advice is None
+
+
+def test_overview_of_all_addresses(spark):
+    """Without a number every address of a category is there, once and in order."""
+    rows = [(k, "DoS", f"10.0.0.{k * 7 % 12:02d}", "" if k % 2 else f"d{k % 8}", 0.5) for k in range(40)] + [(99, "Normal", None, "x", 1.0)]
+    df = spark.createDataFrame(rows, "seq long, category string, src_ip string, dst_ip string, probability double")
+    found = {r.category: r for r in report.category_overview(df, None).collect()}
+    assert found["DoS"].src_ips == [f"10.0.0.{k:02d}" for k in range(12)] and found["DoS"].dst_ips == ["d0", "d2", "d4", "d6"]
+    assert found["Normal"].src_ips == [] and found["Normal"].dst_ips == ["x"]
