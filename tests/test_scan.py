@@ -51,3 +51,21 @@ def test_flows_of_one_large_talk(spark):
     )
     plain, cut = (sorted(map(str, flows.packet_flows(rows, flow_timeout=60, most=m).collect())) for m in (10**6, 100))
     assert plain == cut and len(plain) > 3
+
+
+def test_ranges_do_not_multiply_with_the_table(spark):
+    """Very small ranges are asked for: beyond a number they grow instead, in the same order."""
+    parts = scan.ranges(spark.range(20_000).withColumn("k", F.col("id") % 3), ["k"], ["id"], most=10)
+    found = parts.groupBy("part").agg(F.count("id").alias("n"), F.min(F.struct("k", "id")).alias("low"), F.max(F.struct("k", "id")).alias("high")).orderBy("part").collect()
+    assert len(found) <= scan.RANGES and sum(r.n for r in found) == 20_000
+    assert all(a.high < b.low for a, b in zip(found, found[1:]))
+
+
+def test_large_keys_meet_their_rows(spark, monkeypatch):
+    """The same rows, whether the keys are broadcast or too many for it."""
+    rows = spark.range(8_000).selectExpr("CASE WHEN id % 2 = 0 THEN NULL ELSE id % 5 END AS k", "id")
+    large = scan.large_keys(rows, ["k"], 2000)
+    few = [{r.id for r in part.collect()} for part in scan.split(rows, ["k"], large)]
+    monkeypatch.setattr(scan, "FEW", 0)
+    many = [{r.id for r in part.collect()} for part in scan.split(rows, ["k"], large)]
+    assert few == many and few[1] == {*range(0, 8_000, 2)} and few[0] == {*range(1, 8_000, 2)}

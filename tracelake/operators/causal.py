@@ -41,11 +41,11 @@ def _placed(df: DataFrame, source: Column, us: Column, host: Column, port: Colum
     return placed.select(F.when(F.col("place.own"), F.col("row")).alias("row"), "place.*", "source", "us", "host", "port", "tie", "known")
 
 
-def _large_groups(df: DataFrame, source: Column, us: Column, width: int, most: int) -> DataFrame | None:
-    """Sources and buckets in which more than ``most`` rows and copies can meet; None where there is none."""
+def _large_groups(df: DataFrame, source: Column, us: Column, width: int, most: int) -> tuple[int, DataFrame | None]:
+    """How many rows count, and the sources and buckets in which more than ``most`` rows and copies can meet; None where there is none."""
     known = df.where(source.isNotNull() & us.isNotNull()).select(source.alias("source"), F.floor(us.cast("long") / width).alias("bucket"))
-    large = scan.large_keys(known, _GROUP, most // 2)
-    return None if large is None else large.select("source", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket")).distinct()
+    rows, large = scan.counted_keys(known, _GROUP, most // 2)
+    return rows, None if large is None else large.select("source", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket")).distinct()
 
 
 def _seen(group: list[str], c: str, order: list[str], width: int) -> dict[str, Column]:
@@ -82,10 +82,11 @@ def _counted(out: DataFrame, n: Column, hosts: Column, ports: Column, rest: Colu
     return out.withColumns(values).where("own").select("row.*", *AGGREGATES)
 
 
-def _by_group(placed: DataFrame, width: int, ties: bool) -> DataFrame:
-    """Groups that fit a task: all sorts are within the partitions of one shuffle by source and bucket."""
+def _by_group(placed: DataFrame, width: int, ties: bool, rows: int) -> DataFrame:
+    """Groups that fit a task: all sorts are within the partitions of one shuffle by source and bucket, as many as the ``rows`` that count ask for."""
     following = F.lead("us").over(Window.partitionBy(*_GROUP).orderBy("us", "tie"))
-    told = placed.repartition(*_GROUP).withColumns(_seen(_GROUP, "host", ["us", "tie"], width)).withColumns(_seen(_GROUP, "port", ["us", "tie"], width)).withColumn("following", following)
+    # a row and its copy; a number of its own keeps partitions from growing with the table
+    told = placed.repartition(scan.tasks(placed.sparkSession, 2 * rows), *_GROUP).withColumns(_seen(_GROUP, "host", ["us", "tie"], width)).withColumns(_seen(_GROUP, "port", ["us", "tie"], width)).withColumn("following", following)
     within = Window.partitionBy(*_GROUP)
     frame = within.orderBy("at", "phase", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow) if ties else within.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     sums = [F.sum(c).over(frame) for c in ("n", "hosts", "ports")]
@@ -113,7 +114,7 @@ def _by_range(placed: DataFrame, width: int, ties: bool, most: int) -> DataFrame
     # a neighbour's word about a host is in no port's order, nor in that of time
     group, order = [*_GROUP, "part"], ["side", "us", "tie"]
     about = {c: F.when(F.col("about") == c, F.col(c)).when(F.col("side") == _ROW, F.col(c)) for c in ("host", "port")}
-    told = both.repartition(*group).withColumns(about)
+    told = both.repartition(scan.tasks(parts.sparkSession, 2 * parts.count()), *group).withColumns(about)
     told = told.withColumns(_seen(group, "host", order, width)).withColumns(_seen(group, "port", order, width))
     in_time = Window.partitionBy(*group, F.col("about") == "time").orderBy(*order)
     told = told.withColumn("following", F.lead("us").over(in_time)).where(F.col("side") == _ROW)
@@ -133,11 +134,11 @@ def _aggregated(df: DataFrame, source: Column, us: Column, host: Column, port: C
     """All columns of df and the four aggregates. tie: of equal times only rows up to a row's own ``tie`` count; all do without."""
     width = int(seconds * 1_000_000)
     placed = _placed(df, source, us, host, port, tie, width)
-    large = _large_groups(df, source, us, width, most)
+    rows, large = _large_groups(df, source, us, width, most)
     if large is None:
-        return _by_group(placed, width, tie is not None)
+        return _by_group(placed, width, tie is not None, rows)
     rest, flooded = scan.split(placed, _GROUP, large)
-    return _by_group(rest, width, tie is not None).unionByName(_by_range(flooded, width, tie is not None, most))
+    return _by_group(rest, width, tie is not None, rows).unionByName(_by_range(flooded, width, tie is not None, most))
 
 
 def causal_window(df: DataFrame, source: Column, us: Column, host: Column, port: Column, *, seconds: float = 60.0, most: int = scan.MOST) -> DataFrame:
@@ -175,11 +176,9 @@ def range_self_join(df: DataFrame, key: str, source: str, us: str, host: str, po
         met = now.join(then, (F.col("s") == F.col("s2")) & (F.col("b") == F.col("b2")) & F.col("t2").between(F.col("t") - width, F.col("t")))
         return met.groupBy(key).agg(*counts)
 
-    large = _large_groups(rows, F.col(source), F.col(us), width, most)
+    _, large = _large_groups(rows, F.col(source), F.col(us), width, most)
     if large is None:
         return joined(rows)
-    marked, own = large.alias("g").hint("merge"), rows.alias("r")
-    there = (F.col(f"r.{source}") == F.col("g.source")) & (F.col("r.__b") == F.col("g.bucket"))
-    sources = large.select("source").distinct().alias("g").hint("merge")
-    scanned = causal_window(own.join(sources, F.col(f"r.{source}") == F.col("g.source"), "left_semi"), F.col(source), F.col(us), F.col(host), F.col(port), seconds=seconds, most=most)
-    return joined(own.join(marked, there, "left_anti")).unionByName(scanned.alias("r").join(marked, there, "left_semi").select(key, *AGGREGATES[:3]))
+    large, there = scan.stored(large, "large-groups"), {source: "source", "__b": "bucket"}
+    scanned = causal_window(scan.met(rows, {source: "source"}, large.select("source").distinct(), "left_semi"), F.col(source), F.col(us), F.col(host), F.col(port), seconds=seconds, most=most)
+    return joined(scan.met(rows, there, large, "left_anti")).unionByName(scan.met(scanned, there, large, "left_semi").select(key, *AGGREGATES[:3]))

@@ -6,44 +6,74 @@ within a range; a key's ranges, a handful of rows, are scanned for what each of
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracelake.storage import stored
 
 #: Rows of a key beyond which it is cut into ranges, and rows of a range.
 MOST = 500_000
+#: Ranges that a table is cut into before they grow beyond what is asked for, up to ``MOST`` rows.
+RANGES = 64
+#: Rows, or about so many, of one partition of a table whose size is known.
+TASK = 100_000
+#: Large keys that are broadcast at most, and copies of each that meet its rows where there are more.
+FEW, COPIES = 10_000, 32
 
 
-def same(keys: list[str], left: str, right: str) -> Column:
-    """The condition that two aliased tables agree in all keys, nulls included."""
-    out = F.lit(True)
-    for k in keys:
-        out = out & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
-    return out
+def tasks(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: the session's own number, and more where a task would have more than ``TASK``."""
+    return max(ceil(rows / TASK), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
+def counted_keys(df: DataFrame, keys: list[str], most: int = MOST) -> tuple[int, DataFrame | None]:
+    """How many rows there are, and the keys with more than ``most`` of them and their counts, as a written table; None where there is none."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    rows, largest = counts.agg(F.sum("rows"), F.max("rows")).first()
+    return rows or 0, None if (largest or 0) <= most else stored(counts.where(F.col("rows") > most), "large-keys")
 
 
 def large_keys(df: DataFrame, keys: list[str], most: int = MOST) -> DataFrame | None:
     """The keys with more than ``most`` rows and their counts, as a written table; None where there is none."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > most)
-    return None if counts.isEmpty() else stored(counts, "large-keys")
+    return counted_keys(df, keys, most)[1]
+
+
+def met(df: DataFrame, keys: dict[str, str], large: DataFrame, how: str) -> DataFrame:
+    """A semi or anti join of rows with ``large`` keys (columns of df: of large). No task gets all rows of a key.
+
+    Up to ``FEW`` keys are broadcast and no row moves. Beyond that a key's rows are dealt to ``COPIES`` tasks, each with a copy of the key.
+    """
+    table = large.select(F.struct(*_named(keys.values())).alias("__key"))
+    left = df.withColumn("__key", F.struct(*_named(keys)))
+    if large.limit(FEW + 1).count() <= FEW:
+        return left.join(F.broadcast(table), "__key", how).drop("__key")
+    left = left.withColumn("__copy", F.pmod(F.monotonically_increasing_id(), F.lit(COPIES)).cast("int"))
+    right = table.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    return left.join(right.hint("merge"), ["__key", "__copy"], how).drop("__key", "__copy")
+
+
+def _named(columns: Iterable[str]) -> list[Column]:
+    """Key columns under common names; structs with null fields are equal where their fields are, as null keys are one key."""
+    return [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)]
 
 
 def split(df: DataFrame, keys: list[str], large: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of other keys, and those of ``large`` ones; the few large keys meet both sides in joins that can be split."""
-    on = same(keys, "rows", "large")
-    left, right = df.alias("rows"), large.alias("large").hint("merge")
-    return left.join(right, on, "left_anti"), left.join(right, on, "left_semi")
+    """The rows of other keys, and those of ``large`` ones."""
+    both = dict(zip(keys, keys))
+    return met(df, both, large, "left_anti"), met(df, both, large, "left_semi")
 
 
 def ranges(df: DataFrame, keys: list[str], order: list[str], *, most: int = MOST) -> DataFrame:
     """The rows with ``part``: numbers of ranges that rise in order of keys and place, each of about ``most`` rows or fewer.
 
-    The table is written, as Spark draws the ranges from a sample: later steps must see the same ones.
+    Beyond ``RANGES`` ranges they have more rows than that, up to ``MOST``: every range costs a task, a file and a
+    sample that the driver reads. The table is written, as Spark draws the ranges from a sample: later steps must see the same ones.
     """
     rows = df.count()
-    parts = max(ceil(rows / most), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    least = max(ceil(rows / MOST), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(min(ceil(rows / most), max(RANGES, ceil(rows / TASK))), least)
     dealt = df.repartitionByRange(parts, *keys, *order).withColumn("part", F.spark_partition_id())
     return stored(dealt, "ranges")
 
