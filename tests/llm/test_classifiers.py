@@ -116,3 +116,14 @@ def test_equal_cosines_go_to_the_first_language(spark):
     df = spark.createDataFrame([(i, t, lang) for i, t in enumerate(texts) for lang in ("bb", "aa")], "doc_id long, text string, lang string")
     found = language_id.predict(df, language_id.fit(df)).collect()
     assert len(found) == 60 and {r.lang_pred for r in found if not r.rejected} == {"aa"}
+
+
+def test_every_row_of_a_language_shapes_its_centroids(spark):
+    """Of 2300 texts a few are unlike the others, wherever they are: they are a cluster of their own, which sampled centroids lack."""
+    rows = [(i, "one two three four five", "en") for i in range(2300)]
+    for odd in (0, 777, 2299):
+        changed = [(i, "zyx wvu zyx wvu", lang) if i == odd else (i, text, lang) for i, text, lang in rows]
+        df = spark.createDataFrame(changed, "doc_id long, text string, lang string")
+        model = language_id.fit(df)
+        found = language_id.predict(df.where("doc_id IN (0, 777, 2299)"), model).collect()
+        assert all(r.score > 0.9999 for r in found)

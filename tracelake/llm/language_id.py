@@ -17,6 +17,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tracelake.llm.tables import stored
+
 #: Dimensions of the hashed n-gram vectors.
 DIMS = 8192
 #: Texts whose vectors are held at a time.
@@ -28,6 +30,10 @@ LENGTHS = DIMS.bit_length() + 1
 WITHIN = 0.998
 #: Members of a length class from which its reach is learned, if there are so many.
 MEMBERS = 100
+#: Steps that a distance of 1 is counted in.
+STEPS = 50_000
+#: Dimensions of a sum that travel as one row.
+SLICE = 2048
 
 _PRIMES = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 _LETTERS: list[np.ndarray] = []
@@ -110,18 +116,127 @@ class Centroids:
     reach: np.ndarray
 
 
-def _cluster(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Centroids by spherical k-means from a farthest-first start."""
-    chosen = [x.mean(0)]
-    for _ in range(k - 1):
-        chosen.append(x[np.argmin(np.max(x @ np.array(chosen).T, axis=1))])
-    centre = np.array(chosen)
+def _counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different dimensions in order, and how often each occurs."""
+    counts = np.bincount(grams, minlength=DIMS)
+    dims = np.flatnonzero(counts)
+    return dims, counts[dims]
+
+
+def _weighted(dims: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse normalised TF-IDF rows one after another: dimensions, values, and where each row starts. No row is empty."""
+    size = np.array([len(d) for d in dims])
+    start, at = np.concatenate([[0], size[:-1].cumsum()]), np.concatenate(dims)
+    value = np.log1p(np.concatenate(counts)) * idf[at]
+    value /= np.repeat(np.sqrt(np.add.reduceat(value * value, start)), size)
+    return at, value, start
+
+
+def _pack(dims: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    return dims.astype("<u2").tobytes(), counts.astype("<u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def _unpack(dims: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(dims, "<u2").astype(np.int64), np.frombuffer(counts, "<u1" if 2 * len(counts) == len(dims) else "<u4")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+
+
+def _near(idf: np.ndarray, place: dict[str, int], centres: np.ndarray, kept: np.ndarray):
+    """An iterator's body for one pass: of every batch of rows their languages' places, sparse values, starts and cosines with their own language's centres.
+
+    centres: language, centre, dimension; kept: which of them exist.
+    """
+    across = np.ascontiguousarray(centres.transpose(0, 2, 1))
+
+    def read(batches: Iterator[pa.RecordBatch]):
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(low, ROWS)
+                packed = list(zip(batch.column("dims").to_pylist(), batch.column("counts").to_pylist()))
+                rows = [_unpack(*p) for p in packed]
+                lang = np.array([place[x] for x in batch.column("lang").to_pylist()])
+                at, value, start = _weighted([d for d, _ in rows], [c for _, c in rows], idf)
+                near = np.add.reduceat(value[:, None] * across[np.repeat(lang, np.diff([*start, len(at)])), at], start)
+                yield packed, lang, at, value, start, np.where(kept[lang], near, -np.inf)
+
+    return read
+
+
+def _means(table: DataFrame, idf: np.ndarray, names: list[str], centres: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of all rows by language and nearest centre, and how many rows each has: every task adds up its own, Spark those of all tasks."""
+    place, (langs, k) = {x: i for i, x in enumerate(names)}, kept.shape
+    read = _near(idf, place, centres, kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros((langs * k, DIMS)), np.zeros(langs * k, np.int64)
+        for _, lang, at, value, start, near in read(batches):
+            own = lang * k + near.argmax(1)
+            n += np.bincount(own, minlength=langs * k)
+            sums += np.bincount(np.repeat(own, np.diff([*start, len(at)])) * DIMS + at, value, langs * k * DIMS).reshape(-1, DIMS)
+        told = [(c, s) for c in np.flatnonzero(n).tolist() for s in range(0, DIMS, SLICE)]
+        if told:
+            columns = [pa.array([c for c, _ in told]), pa.array([s for _, s in told]), pa.array([n[c] for c, _ in told], pa.int64()), pa.array([sums[c, s : s + SLICE].tobytes() for c, s in told], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["c", "s", "n", "v"])
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c": group["c"].iloc[:1], "s": group["s"].iloc[:1], "n": [group["n"].sum()], "v": [np.sum([np.frombuffer(v) for v in group["v"]], axis=0).tobytes()]})
+
+    kinds = "c long, s long, n long, v binary"
+    sums, n = np.zeros((langs * k, DIMS)), np.zeros(langs * k, np.int64)
+    for r in table.mapInArrow(run, kinds).groupBy("c", "s").applyInPandas(added, kinds).collect():
+        sums[r.c, r.s : r.s + SLICE], n[r.c] = np.frombuffer(r.v), r.n
+    return sums.reshape(langs, k, DIMS), n.reshape(langs, k)
+
+
+def _farthest(table: DataFrame, idf: np.ndarray, names: list[str], centres: np.ndarray, kept: np.ndarray) -> dict[int, np.ndarray]:
+    """Of each language the row that is farthest from all its centres, of equal ones the first by content."""
+    read = _near(idf, {x: i for i, x in enumerate(names)}, centres, kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
+        for packed, lang, _, _, _, near in read(batches):
+            far = near.max(1)
+            for x in np.unique(lang).tolist():
+                least = far[lang == x].min()
+                row = (float(least), *min(packed[i] for i in np.flatnonzero((lang == x) & (far == least))))
+                best[x] = min(best.get(x, row), row)
+        if best:
+            columns = [pa.array([*best], pa.int64()), *[pa.array([b[i] for b in best.values()], kind) for i, kind in enumerate((pa.float64(), pa.binary(), pa.binary()))]]
+            yield pa.RecordBatch.from_arrays(columns, names=["x", "near", "dims", "counts"])
+
+    told = table.mapInArrow(run, "x long, near double, dims binary, counts binary")
+    out = {}
+    for r in told.groupBy("x").agg(F.min(F.struct("near", "dims", "counts")).alias("b")).collect():
+        dims, counts = _unpack(bytes(r.b.dims), bytes(r.b.counts))
+        at, value, _ = _weighted([dims], [counts], idf)
+        out[r.x] = np.zeros(DIMS)
+        out[r.x][at] = value
+    return out
+
+
+def _clusters(table: DataFrame, idf: np.ndarray, names: list[str], k: int, rounds: int) -> list[np.ndarray]:
+    """Each language's centroids over all its rows: spherical k-means from a farthest-first start, all languages in each pass."""
+    first = np.arange(k) == 0
+    kept = np.tile(first, (len(names), 1))
+    sums, n = _means(table, idf, names, np.zeros((len(names), k, DIMS)), kept)
+    rows, centres = n[:, 0], sums / np.maximum(n, 1)[:, :, None]
+    for c in range(1, k):
+        for x, row in _farthest(table, idf, names, centres, kept).items():
+            if rows[x] > c:
+                centres[x, c], kept[x, c] = row, True
     for _ in range(rounds):
-        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-        own = np.argmax(x @ centre.T, axis=1)
-        centre = np.array([x[own == c].mean(0) if (own == c).any() else centre[c] for c in range(k)])
-    centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-    return centre
+        centres = _unit(centres)
+        sums, n = _means(table, idf, names, centres, kept)
+        new = np.where(n[:, :, None] > 0, sums / np.maximum(n, 1)[:, :, None], centres)
+        # rows that stay where they are leave the centroids where they are
+        done = np.abs(_unit(new) - centres).max() < 1e-9
+        centres = new
+        if done:
+            break
+    return [_unit(c[k_]) for c, k_ in zip(centres, kept)]
 
 
 def fit(
@@ -129,72 +244,80 @@ def fit(
     *,
     text_col: str = "text",
     lang_col: str = "lang",
-    id_col: str = "doc_id",
     clusters: int = 4,
-    max_per_language: int = 2000,
     rounds: int = 12,
 ) -> Centroids:
     """Learns from rows with a language and at least one letter.
 
-    Document frequencies are counted over all rows. Centroids are clustered over about
-    ``max_per_language`` rows of each language, picked by a hash of the id; a language is one task, so
-    that bound is also the memory bound. How far a text of some length may lie from its language is a
-    quantile over these rows and pieces cut out of them, without those nearest to another language, so
-    few odd or mislabelled rows do not widen it. Where no row has both, nothing is learned, and every text
-    will be rejected.
+    All of it comes from all rows. Their n-grams are counted once and written; document frequencies, and every pass of
+    the clustering, read that table, and tasks send sums by centroid. How far a text of some length may lie from its
+    language is a quantile over all rows and pieces cut out of them, without those nearest to another language, so
+    few odd or mislabelled rows do not widen it; distances are rounded up to ``STEPS`` steps and counted. Where no row has both, nothing
+    is learned, and every text will be rejected.
     """
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("body"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND body IS NOT NULL")
+    rows = docs.select(F.col(text_col).cast("string").alias("body"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND body IS NOT NULL")
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(low, ROWS)
+                out = [(lang, *_pack(*_counted(grams))) for text, lang in zip(*[c.to_pylist() for c in batch.columns]) if (grams := _grams(text)) is not None]
+                columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "dims", "counts"])
+
+    table = stored(rows.mapInArrow(coded, "lang string, dims binary, counts binary"), "language-grams")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(DIMS + 1, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                grams = _grams(text)
-                if grams is not None:
-                    seen[:DIMS] += np.bincount(grams, minlength=DIMS) > 0
-                    seen[DIMS] += 1
+            for dims in batch.column(0).to_pylist():
+                seen[np.frombuffer(dims, "<u2")] += 1
+            seen[DIMS] += batch.num_rows
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["dim", "n"])
 
-    counted = rows.select("body").mapInArrow(frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+    counted = table.select("dims").mapInArrow(frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(DIMS + 1)
     for dim, n in counted:
         df[dim] = n
     if not df[DIMS]:
         return Centroids(np.ones(DIMS), [], np.zeros((0, DIMS), np.float32), np.zeros((0, LENGTHS)))
     idf = np.log((1 + df[DIMS]) / (1 + df[:DIMS])) + 1
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    spread = 1 << 20
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(spread, -(-spread * max_per_language // n)))])
-    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(spread)) < F.element_at(share, F.col("lang")))
-
-    def centroids(group: pd.DataFrame) -> pd.DataFrame:
-        x, length = _vectors(group["body"].tolist(), idf)
-        x = x[length > 0]
-        if not len(x):
-            return pd.DataFrame({"lang": [], "weights": []})
-        centre = _cluster(x, min(clusters, len(x)), rounds)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "weights": [c.astype("<f4").tobytes() for c in centre]})
-
-    found = sorted(sample.groupBy("lang").applyInPandas(centroids, "lang string, weights binary").collect(), key=lambda r: (r.lang, bytes(r.weights)))
-    languages = [r.lang for r in found]
-    weights = np.array([np.frombuffer(r.weights, "<f4") for r in found])
+    names = sorted(r.lang for r in table.select("lang").distinct().collect())
+    found = [(lang, bytes(c.astype("<f4"))) for lang, own in zip(names, _clusters(table, idf, names, clusters, rounds)) for c in own]
+    found.sort()
+    languages = [lang for lang, _ in found]
+    weights = np.array([np.frombuffer(w, "<f4") for _, w in found])
+    across, place = np.ascontiguousarray(weights.T.astype(float)), {x: i for i, x in enumerate(names)}
+    lang_of = np.array([place[x] for x in languages])
 
     def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, many = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, length = _vectors(_extracts(text), idf)
-                near = np.clip((x @ weights.T).astype(float), 0, 1)
+            for low in range(0, batch.num_rows, ROWS // 16):
+                part = batch.slice(low, ROWS // 16)
+                pieces = [(place[lang], *_counted(grams)) for text, lang in zip(*[c.to_pylist() for c in part.columns]) for x in _extracts(text) if (grams := _grams(x)) is not None]
+                if not pieces:
+                    continue
+                at, value, start = _weighted([p[1] for p in pieces], [p[2] for p in pieces], idf)
+                near = np.clip(np.add.reduceat(value[:, None] * across[at], start), 0, 1)
                 best = near.argmax(1)
-                own = (length > 0) & np.array([languages[k] == lang for k in best])
-                far = 1 - near[np.arange(len(best)), best][own]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(far), pa.string()), pa.array(length[own].astype(np.int32)), pa.array(far)], names=["lang", "length", "far"])
-
-    far = sample.select("lang", "body").mapInArrow(distances, "lang string, length int, far double")
+                own = lang_of[best] == [p[0] for p in pieces]
+                length = np.array([len(p[1]).bit_length() for p in pieces])
+                far = np.ceil((1 - near.max(1)) * STEPS).astype(np.int64)
+                code = ((lang_of[best] * LENGTHS + length) * (STEPS + 1) + far)[own]
+                codes, back = np.unique(np.concatenate([codes, code]), return_inverse=True)
+                many = np.bincount(back, np.concatenate([many, np.ones(len(code), np.int64)]), len(codes)).astype(np.int64)
+        if len(codes):
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(many)], names=["code", "n"])
+
+    told = rows.mapInArrow(distances, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    kind = F.floor(F.col("code") / (STEPS + 1))
+    by_kind = told.groupBy(kind.alias("kind")).agg(F.percentile(F.col("code") % (STEPS + 1) / STEPS, F.lit(WITHIN), F.col("n")).alias("far"), F.sum("n").alias("n"))
     by_lang: dict[str, dict[int, tuple[float, int]]] = {}
-    for r in far.groupBy("lang", "length").agg(F.percentile("far", F.lit(WITHIN)).alias("far"), F.count(F.lit(1)).alias("n")).collect():
-        by_lang.setdefault(r.lang, {})[r.length] = (r.far, r.n)
-    reach = {lang: _reach(by_lang.get(lang, {})) for lang in {*languages}}
+    for r in by_kind.collect():
+        by_lang.setdefault(names[r.kind // LENGTHS], {})[r.kind % LENGTHS] = (r.far, r.n)
+    reach = {lang: _reach(by_lang.get(lang, {})) for lang in names}
     return Centroids(idf, languages, weights, np.array([reach[lang] for lang in languages]))
 
 
