@@ -22,6 +22,9 @@ from tracelake.operators.profile import classification_metrics
 from tracelake.operators.sample import stratified_split
 from tracelake.operators.trees import Tree, shapley
 
+#: Rows that are explained at a time: contributions by row, feature and class, and products along paths, are held for these alone.
+EXPLAINED = 500
+
 
 class ModelIntegrityError(Exception):
     """The saved model is not the one that its manifest names."""
@@ -172,12 +175,14 @@ class FrozenClassifier:
         features = self.features
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                x, label = batch[features].to_numpy(float), batch["__label"].to_numpy(int)
-                phi = forest.value.contributions(x)[np.arange(len(x)), :, label] if len(x) else np.zeros((0, len(features)))
-                order = np.argsort(-np.abs(phi), axis=1, kind="stable")[:, :n]
-                batch["top_features"] = [[{"feature": features[j], "shap_value": float(row[j])} for j in o] for row, o in zip(phi, order)]
-                yield batch.drop(columns="__label")
+            for whole in batches:
+                for low in range(0, len(whole), EXPLAINED):
+                    batch = whole.iloc[low : low + EXPLAINED].copy()
+                    x, label = batch[features].to_numpy(float), batch["__label"].to_numpy(int)
+                    phi = forest.value.contributions(x)[np.arange(len(x)), :, label]
+                    order = np.argsort(-np.abs(phi), axis=1, kind="stable")[:, :n]
+                    batch["top_features"] = [[{"feature": features[j], "shap_value": float(row[j])} for j in o] for row, o in zip(phi, order)]
+                    yield batch.drop(columns="__label")
 
         kinds = df.drop("prediction").schema.simpleString()[7:-1]
         flat = df.select(*[F.col(f"`{c}`") for c in df.columns if c != "prediction"], F.col("prediction.label").alias("__label"), F.to_json("prediction").alias("__p"))
