@@ -69,3 +69,11 @@ def test_large_keys_meet_their_rows(spark, monkeypatch):
     monkeypatch.setattr(scan, "FEW", 0)
     many = [{r.id for r in part.collect()} for part in scan.split(rows, ["k"], large)]
     assert few == many and few[1] == {*range(0, 8_000, 2)} and few[0] == {*range(1, 8_000, 2)}
+
+
+def test_places_in_one_shuffle(spark):
+    """Rows are numbered in their order without gaps; only the deal itself moves rows."""
+    rows = spark.range(5_000).selectExpr("id * 7919 % 5000 AS o", "id")
+    found = scan.placed(rows, ["o"])
+    assert all(r.o == r.number for r in found.collect())
+    assert "Window" not in found._jdf.queryExecution().toString() and "SortMergeJoin" not in found._jdf.queryExecution().toString()

@@ -25,7 +25,8 @@ def row_hash(*columns: Column) -> Column:
 
 def folded(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """The next level of (number, h, n): the SHA-256 of each block's joined hashes, in order, and the rows below it."""
-    inside = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "h"))), lambda r: r.h), "")
+    # hashes move as bytes, half as long as their digits
+    inside = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", F.unhex("h").alias("h")))), lambda r: F.lower(F.hex(r.h))), "")
     level = nodes.groupBy(F.floor(F.col("number") / block).cast("long").alias("block")).agg(F.sha2(inside, 256).alias("h"), F.sum("n").alias("n"))
     return level.select(F.col("block").alias("number"), "h", "n")
 
@@ -82,9 +83,8 @@ def tree(df: DataFrame, order: list[str], *, block: int = BLOCK, least: int = 1)
     empty table's root is the hash of nothing. Only the order's columns and the rows' hashes are dealt out.
     """
     names = [f"o{i}" for i in range(len(order))]
-    hashed = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(order, names)], row_hash(*[F.col(f"`{c}`") for c in df.columns]).alias("h"))
-    parts = scan.ranges(hashed, names, ["h"])
-    level = scan.stored(scan.numbered(parts, [*names, "h"]).select("number", "h", F.lit(1).cast("long").alias("n")), "tree-rows")
+    hashed = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(order, names)], F.unhex(row_hash(*[F.col(f"`{c}`") for c in df.columns])).alias("h"))
+    level = scan.placed(hashed, [*names, "h"]).select("number", F.lower(F.hex("h")).alias("h"), F.lit(1).cast("long").alias("n"))
     n = level.count()
     if not n:
         return Tree((level,), hashlib.sha256(b"").hexdigest(), 0, block)

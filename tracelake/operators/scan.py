@@ -71,11 +71,28 @@ def ranges(df: DataFrame, keys: list[str], order: list[str], *, most: int = MOST
     Beyond ``RANGES`` ranges they have more rows than that, up to ``MOST``: every range costs a task, a file and a
     sample that the driver reads. The table is written, as Spark draws the ranges from a sample: later steps must see the same ones.
     """
+    dealt = df.repartitionByRange(_parts(df, most), *keys, *order).withColumn("part", F.spark_partition_id())
+    return stored(dealt, "ranges")
+
+
+def _parts(df: DataFrame, most: int) -> int:
     rows = df.count()
     least = max(ceil(rows / MOST), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    parts = max(min(ceil(rows / most), max(RANGES, ceil(rows / TASK))), least)
-    dealt = df.repartitionByRange(parts, *keys, *order).withColumn("part", F.spark_partition_id())
-    return stored(dealt, "ranges")
+    return max(min(ceil(rows / most), max(RANGES, ceil(rows / TASK))), least)
+
+
+def placed(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """The rows with each one's place in the whole table, from 0 and without gaps, in one shuffle: they are sorted and
+    counted within the ranges that are written, and where a range starts, one row for each, is broadcast.
+    """
+    dealt = df.repartitionByRange(_parts(df, MOST), *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    # the upper bits tell the task, the lower 33 the row within it
+    rows = stored(dealt, "placed").withColumn("__part", F.shiftright("__id", 33))
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start")), "starts")
+    number = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__start")
+    return rows.join(F.broadcast(starts), "__part").select(*df.columns, number.alias(name))
 
 
 def _keyed(parts: DataFrame, keys: list[str]) -> DataFrame:
