@@ -75,3 +75,12 @@ def test_operator_keeps_rows_nulls_and_clashing_names(spark):
     assert sorted((r.doc_id or 0, r.n_tokens, r.decoded) for r in found) == [(0, 0, ""), (1, 2, "hi</w> there</w>"), (1, 2, "hi</w> there</w>"), (3, 0, "")]
     assert encode_documents(df.limit(0), PATH).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_marks_after_words_are_pieces_of_their_own(both):
+    """A word is learned once, whatever mark follows it."""
+    from tracelake.llm.bpe import _pieces
+
+    text = "Été, été. été! Été it's, a... b.' c., d.\x0be. <|endoftext|>, x.\t1. ́. ŉ, ..\n"
+    assert set(_pieces("been, been. been: been")) == {"been", ",", ".", ":"}
+    assert ids(WordBpe(PATH), text) == both[1].encode(text, add_special_tokens=False).ids

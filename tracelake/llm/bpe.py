@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame, functions as F
 SHORT = 64
 #: Words that are merged together.
 BATCH = 20_000
-#: Pieces and words that the memos of one Python worker hold at most (about 40 MB), and their longest.
-MEMO = 100_000
+#: Pieces and words that the memos of one Python worker hold at most (about 80 MB), and their longest.
+MEMO = 200_000
 LONGEST = 200
 #: Rows that leave a task in one Arrow batch.
 ROWS = 512
 
 _NONE = 1 << 30
 _BREAKS = re.compile("[ \t-\r]+")
+# A mark that ends a word before white space is a word of its own: cut off, so that fewer different pieces are left.
+_PAUSE = re.compile("[.,;:!?](?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff].)(?=[ \n])")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # White space, and marks and one composition that are newer than the tables of the tokenizer's normal form, which
 # leaves them where they are.
@@ -71,12 +73,16 @@ def _class(kind: str, newer: str, every: str = "".join(map(chr, (*range(0xD800),
 
 
 _LETTERS, _NUMBERS = _class("L", _NEWER_LETTERS), _class("N", _NEWER_NUMBERS)
-_WORDS = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+_WORDS = re.compile(rf"[{_LETTERS}]+|\n|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 _INERT = re.compile(f"([{_set(_NEWER_MARKS)}]+)")
 _MORE_LOWER = {code: low + code - first for first, last, low, step in _NEWER_LOWER for code in range(first, last + 1, step)}
 _LOWERED = re.compile("[" + "".join(map(chr, _MORE_LOWER)) + "]")
 
 
+#: Stands for the end of a piece among ids, which are below 2**20: no ids hold it, at any byte.
+_CUT = b"\xff" * 4
+
+
 def _byte_letters() -> list[str]:
     """The printable letter for each byte: bytes that print stand for themselves, others follow from 256."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -94,16 +100,14 @@ class WordBpe(dict):
         self.end = model["end_of_word_suffix"]
         self.ids = model["vocab"]
         pairs = np.array([self.ids[a] << 20 | self.ids[b] for a, b in model["merges"]])
-        self.pair_ranks = np.argsort(pairs)
+        self.pair_ranks = np.argsort(pairs).astype(np.int32)
         self.pairs = pairs[self.pair_ranks]
-        self.made = np.array([self.ids[a + b] for a, b in model["merges"]])
+        self.made = np.array([self.ids[a + b] for a, b in model["merges"]], np.int32)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in (self.ids | self.special).items()}
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.letters = _byte_letters()
-        self.letter_ids, self.last_ids = np.zeros(512, np.int64), np.zeros(512, np.int64)
-        for letter in self.letters:
-            self.letter_ids[ord(letter)], self.last_ids[ord(letter)] = self.ids[letter], self.ids[letter + self.end]
+        self.letter_ids, self.last_ids = (np.array([self.ids[x + end] for x in self.letters], np.int32) for end in ("", self.end))
         self.words: dict[str, bytes] = {}
         self.ranks: dict[int, int] = {}
         self.forget()
@@ -111,87 +115,92 @@ class WordBpe(dict):
     def forget(self) -> None:
         """Empties the memos, so that an idle worker holds the vocabulary alone."""
         self.clear()
-        self.words = {t: array("I", [i]).tobytes() for t, i in self.special.items()}
+        self.words = {"\n": _CUT} | {t: array("I", [i]).tobytes() for t, i in self.special.items()}
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces that the memo lacks; their new words are merged together."""
         odd = [p for p in pieces if "<|" in p]
         plain = [*pieces.difference(odd)]
-        found = _WORDS.findall(self.normal("\n".join([*plain, ""])))
+        text = self.normal("\n".join([*plain, ""]))
+        # letters alone are a word; what newer tables call letters lies beyond Latin
+        latin = max(set(text), default="") < "\u0300"
+        alone, mixed, single, others = [], [], [], []
+        for piece, x in zip(plain, text.split("\n")):
+            if x.isalpha() and (latin or x.isascii()):
+                alone.append(piece)
+                single.append(x)
+            else:
+                mixed.append(piece)
+                others.append(x)
+        found = _WORDS.findall("\n".join([*others, ""])) if others else []
         apart = [[w for x in self.specials.split(p) for w in ([x] if x in self.special else _WORDS.findall(self.normal(x)))] for p in odd]
-        new = self.merged([*set(found).union(*apart) - self.words.keys()])
+        new = self.merged([*set(found).union(single, *apart) - self.words.keys()])
         self.words.update(new)
-        out, ids, words = [], [], self.words
-        for word in found:
-            if word == "\n":
-                out.append(b"".join(ids))
-                ids = []
-            else:
-                ids.append(words[word])
-        out += [b"".join([words[w] for w in some]) for some in apart]
-        _forget(words, new)
-        return dict(zip(plain + odd, out))
+        word = self.words.__getitem__
+        out = [*map(word, single), *b"".join(map(word, found)).split(_CUT)[:-1], *[b"".join(map(word, some)) for some in apart]]
+        _forget(self.words, new)
+        return dict(zip(alone + mixed + odd, out))
 
     @staticmethod
     def normal(text: str) -> str:
         """NFC, then each code point's own lower case (a final sigma stays an ordinary one)."""
         if text.isascii():
             return text.lower()
-        if _INERT.search(text):  # what these part does not meet
+        used = "".join(set(text))
+        if _INERT.search(used):  # what these part does not meet
             text = "".join([x if k % 2 else unicodedata.normalize("NFC", x) for k, x in enumerate(_INERT.split(text))])
         else:
             text = unicodedata.normalize("NFC", text)
-        if _LOWERED.search(text):
+        if _LOWERED.search(used):
             text = text.translate(_MORE_LOWER)
         return "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
 
     def merged(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words: short ones in batches of about equal length, others one by one."""
         out: dict[str, bytes] = {}
-        sized: dict[int, list[tuple[str, str]]] = {}
-        for word in words:
-            letters = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
-            width = 4 << max(0, (len(letters) - 1).bit_length() - 2)
-            sized.setdefault(width, []).append((word, letters))
-        for width, some in sized.items():
-            if width > SHORT:
-                out |= {w: array("I", self.merge_long(letters)).tobytes() for w, letters in some}
-            else:
-                for at in range(0, len(some), BATCH):
-                    part = some[at : at + BATCH]
-                    out.update(zip([w for w, _ in part], self.merge_short([x for _, x in part], width)))
+        codes = np.frombuffer("\n".join([*words, ""]).encode(), np.uint8)
+        after = np.flatnonzero(codes == 10)
+        start = np.append(0, after[:-1] + 1)[: len(words)]
+        size = after - start
+        first, last = self.letter_ids[codes], self.last_ids[codes[after - 1]]
+        for wide in (4 << k for k in range((SHORT // 4).bit_length())):
+            own = np.flatnonzero((size <= wide) & ((size > wide // 2) | (wide == 4)))
+            for at in range(0, len(own), BATCH):
+                some = own[at : at + BATCH]
+                out.update(zip(map(words.__getitem__, some.tolist()), self.merge_short(first, start[some], size[some], last[some], wide)))
+        for k in np.flatnonzero(size > SHORT).tolist():
+            out[words[k]] = array("I", self.merge_long("".join([self.letters[b] for b in words[k].encode()]))).tobytes()
         return out
 
-    def merge_short(self, words: list[str], width: int) -> list[bytes]:
-        """A row for each word: ``parts`` has the id of what lies between two boundaries, ``near`` the rank of
-        each adjacent pair. In every round each row that still has a rank finds its lowest (the leftmost of
-        equal ones), deletes that boundary and refreshes the two ranks beside it.
+    def merge_short(self, ids: np.ndarray, start: np.ndarray, size: np.ndarray, last: np.ndarray, width: int) -> list[bytes]:
+        """A row for each word, whose letters' ids start somewhere and end with a last one: ``parts`` has the id of what
+        lies between two boundaries, ``near`` the rank of each adjacent pair. In every round each row that still has a
+        rank finds its lowest (the leftmost of equal ones), deletes that boundary and refreshes the two ranks beside it.
         """
-        codes = np.zeros((len(words), width), "<u4")
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        inside = np.arange(width) < length[:, None]
-        codes[inside] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
-        parts = np.where(inside, self.letter_ids[codes], -1)
-        rows = np.arange(len(words))
-        parts[rows, length - 1] = self.last_ids[codes[rows, length - 1]]
-        done, row = np.full_like(parts, -1), rows
-        near = np.full(parts.shape, _NONE)
+        inside = np.arange(width) < size[:, None]
+        parts = np.where(inside, ids[np.minimum(start[:, None] + np.arange(width), len(ids) - 1)], np.int32(-1))
+        rows = np.arange(len(start))
+        parts[rows, size - 1] = last
+        done, row, here = np.full(parts.shape, -1, np.int32), rows, rows
+        near = np.full(parts.shape, _NONE, np.int32)
         near[:, :-1] = self.rank(parts[:, :-1], parts[:, 1:])
         columns = np.arange(width)
         while len(row):
             at = near.argmin(1)
-            live = near[np.arange(len(row)), at] < _NONE
+            least = near[here[: len(row)], at]
+            live = least < _NONE
             if not live.all():
                 done[row[~live]] = parts[~live]
-                row, parts, near, at = row[live], parts[live], near[live], at[live]
+                row, parts, near, at, least = row[live], parts[live], near[live], at[live], least[live]
                 if not len(row):
                     break
-            here = np.arange(len(row))
-            parts[here, at] = self.made[near[here, at]]
+            here = here[: len(row)]
+            parts[here, at] = self.made[least]
             moved = np.minimum(columns + (columns > at[:, None]), width - 1)
             parts = np.take_along_axis(parts, moved, 1)
             parts[:, -1] = -1
-            near = np.take_along_axis(near, np.minimum(columns + (columns >= at[:, None]), width - 1), 1)
+            moved[here, at] = np.minimum(at + 1, width - 1)
+            near = np.take_along_axis(near, moved, 1)
             near[:, -1] = _NONE
             near[here, at] = self.rank(parts[here, at], parts[here, np.minimum(at + 1, width - 1)])
             left = at > 0
@@ -200,9 +209,9 @@ class WordBpe(dict):
         return [flat[k * width * 4 : (k * width + n) * 4] for k, n in enumerate((done >= 0).sum(1).tolist())]
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 20 | b
+        key = a.astype(np.int64) << 20 | b
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where((self.pairs[at] == key) & (b >= 0), self.pair_ranks[at], _NONE)
+        return np.where((self.pairs[at] == key) & (b >= 0), self.pair_ranks[at], np.int32(_NONE))
 
     def merge_long(self, letters: str) -> list[int]:
         """The same merges by a heap of pairs over linked parts."""
@@ -240,17 +249,17 @@ class WordBpe(dict):
 
 
 def _pieces(text: str) -> list[str]:
-    """The text cut at ASCII white space; str.split() does it where there is no other."""
+    """The text cut at ASCII white space and before marks at words' ends; str.split() does it where there is no other space."""
+    text = _PAUSE.sub(r" \g<0>", text)
     return [p for p in _BREAKS.split(text) if p] if _OTHER_SPACE.search(text) else text.split()
 
 
 def _forget(memo: dict, new: dict) -> None:
     """Takes very long entries, and the newest while the memo has too many, out again."""
-    more = len(memo) - MEMO
-    for key in list(new):
-        if more > 0 or len(key) > LONGEST:
-            del memo[key]
-            more -= 1
+    for _ in range(len(memo) - MEMO):
+        memo.popitem()
+    for key in [k for k in new if len(k) > LONGEST]:
+        memo.pop(key, None)
 
 
 _LOADED: dict[str, WordBpe] = {}
