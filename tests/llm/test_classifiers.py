@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,15 @@ def test_every_row_of_a_language_shapes_its_centroids(spark):
         model = language_id.fit(df)
         found = language_id.predict(df.where("doc_id IN (0, 777, 2299)"), model).collect()
         assert all(r.score > 0.9999 for r in found)
+
+
+def test_ngrams_of_many_texts_at_once():
+    """The same as one text after another: odd cases, no n-grams across texts, none for texts without a letter."""
+    from tracelake.llm import language_id as module
+
+    texts = ["", "...", "ΑΣ", "Σ", "İ a", " ab", "ab ", "x", "a퟿b", "1a2  b", "日本 x", "the the the", "ΑΣ."]
+    found, start, dims, counts = module._sparse(texts)
+    want = [(i, *map(np.ndarray.tolist, module._counted(grams))) for i, x in enumerate(texts) if (grams := module._grams(x)) is not None]
+    parts = [x.tolist() for some in (dims, counts) for x in np.split(some, start[1:])]
+    assert [*zip(found.tolist(), parts[: len(found)], parts[len(found) :])] == want
+    assert [len(x) for x in module._sparse(["", "."])] == [0, 0, 0, 0]

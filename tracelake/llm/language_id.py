@@ -37,6 +37,7 @@ SLICE = 2048
 
 _PRIMES = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 _LETTERS: list[np.ndarray] = []
+_LOGS = np.log1p(np.arange(256))
 
 
 def _letters() -> np.ndarray:
@@ -66,20 +67,68 @@ def _grams(text: str | None) -> np.ndarray | None:
     return mixed >> np.uint32(32 - DIMS.bit_length() + 1)
 
 
+def _logs(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of counts plus one, the usual ones from a table."""
+    return _LOGS[counts] if counts.max() < len(_LOGS) else np.log1p(counts)
+
+
+def _sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_grams`` finds in many texts (up to 2**31 / ``DIMS``) at once: which of them have a letter, where each one's row starts, its different dimensions in order, and how often each occurs."""
+    # a lone surrogate on either side of every text: no letter, in no text, and no letter's case looks past it
+    codes = np.frombuffer(("\ud800" + "\ud800\ud800".join(texts) + "\ud800").lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    letter, edge = _letters()[codes], codes == 0xD800
+    keep = letter | edge
+    keep[1:] |= letter[:-1] | edge[:-1]
+    text = (np.cumsum(edge, dtype=np.int32) - 1) >> 1
+    some = np.zeros(len(texts), bool)
+    some[text[letter]] = True
+    keep &= some[text]
+    if not keep.any():
+        return np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 3
+    codes, text = np.where(letter, codes, np.uint32(32))[keep].astype(np.uint32), text[keep]
+    one = (codes + np.uint32(1)) * _PRIMES[0]
+    two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * _PRIMES[1] + one[1:]
+    three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * _PRIMES[2] + one[2:]
+    # n-grams of one text only
+    second, third = text[1:] == text[:-1], text[2:] == text[:-2]
+    mixed = np.concatenate((one, two[second], three[third]))
+    mixed ^= mixed >> np.uint32(16)
+    mixed *= np.uint32(2146121005)
+    key = np.concatenate((text, text[1:][second], text[2:][third])) * np.int32(DIMS)
+    key |= (mixed >> np.uint32(32 - DIMS.bit_length() + 1)).view(np.int32)
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    counts, key = np.diff(first, append=len(key)), key[first]
+    found = np.flatnonzero(some)
+    return found, np.searchsorted(key, (found * DIMS).astype(np.int32)), (key & np.int32(DIMS - 1)).astype(np.int64), counts
+
+
+def _cosines(dims: np.ndarray, counts: np.ndarray, start: np.ndarray, idf: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """Cosines of sparse TF-IDF rows with centroids, clipped to 0 to 1."""
+    value = _logs(counts) * idf[dims]
+    norm = np.sqrt(np.add.reduceat(value * value, start))
+    return np.clip(np.stack([np.add.reduceat(value * column[dims], start) for column in across], 1) / norm[:, None], 0, 1)
+
+
 def _vectors(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Normalised TF-IDF rows, and the texts' length classes: 0 without a letter."""
     out, length = np.zeros((len(texts), DIMS), np.float32), np.zeros(len(texts), np.int64)
     for row, text in enumerate(texts):
         grams = _grams(text)
         if grams is not None:
-            counts = np.bincount(grams, minlength=DIMS)
-            length[row] = int(np.count_nonzero(counts)).bit_length()
-            out[row] = np.log1p(counts) * idf
+            dims, counts = _counted(grams)
+            length[row] = len(dims).bit_length()
+            out[row, dims] = _logs(counts) * idf[dims]
     has = length > 0
     out[has] /= np.linalg.norm(out[has], axis=1, keepdims=True)
     return out, length
 
 
+def _bits(n: np.ndarray) -> np.ndarray:
+    """Bit lengths of positive numbers."""
+    return np.frexp(n)[1].astype(np.int64)
+
+
 def _extracts(text: str) -> list[str]:
     """The text, and pieces of it of 1, 2 to 3, 4 to 7 characters and so on, from places that its checksum picks."""
     pick = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
@@ -127,7 +176,7 @@ def _weighted(dims: list[np.ndarray], counts: list[np.ndarray], idf: np.ndarray)
     """Sparse normalised TF-IDF rows one after another: dimensions, values, and where each row starts. No row is empty."""
     size = np.array([len(d) for d in dims])
     start, at = np.concatenate([[0], size[:-1].cumsum()]), np.concatenate(dims)
-    value = np.log1p(np.concatenate(counts)) * idf[at]
+    value = _logs(np.concatenate(counts)) * idf[at]
     value /= np.repeat(np.sqrt(np.add.reduceat(value * value, start)), size)
     return at, value, start
 
@@ -149,7 +198,7 @@ def _near(idf: np.ndarray, place: dict[str, int], centres: np.ndarray, kept: np.
 
     centres: language, centre, dimension; kept: which of them exist.
     """
-    across = np.ascontiguousarray(centres.transpose(0, 2, 1))
+    across = np.ascontiguousarray(centres.transpose(1, 0, 2)).reshape(centres.shape[1], -1)
 
     def read(batches: Iterator[pa.RecordBatch]):
         for whole in batches:
@@ -159,7 +208,8 @@ def _near(idf: np.ndarray, place: dict[str, int], centres: np.ndarray, kept: np.
                 rows = [_unpack(*p) for p in packed]
                 lang = np.array([place[x] for x in batch.column("lang").to_pylist()])
                 at, value, start = _weighted([d for d, _ in rows], [c for _, c in rows], idf)
-                near = np.add.reduceat(value[:, None] * across[np.repeat(lang, np.diff([*start, len(at)])), at], start)
+                place_of = np.repeat(lang * DIMS, np.diff(start, append=len(at))) + at
+                near = np.stack([np.add.reduceat(value * column[place_of], start) for column in across], 1)
                 yield packed, lang, at, value, start, np.where(kept[lang], near, -np.inf)
 
     return read
@@ -288,7 +338,7 @@ def fit(
     found.sort()
     languages = [lang for lang, _ in found]
     weights = np.array([np.frombuffer(w, "<f4") for _, w in found])
-    across, place = np.ascontiguousarray(weights.T.astype(float)), {x: i for i, x in enumerate(names)}
+    across, place = weights.astype(float), {x: i for i, x in enumerate(names)}
     lang_of = np.array([place[x] for x in languages])
 
     def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,14 +346,14 @@ def fit(
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS // 16):
                 part = batch.slice(low, ROWS // 16)
-                pieces = [(place[lang], *_counted(grams)) for text, lang in zip(*[c.to_pylist() for c in part.columns]) for x in _extracts(text) if (grams := _grams(x)) is not None]
-                if not pieces:
+                pieces = [(place[lang], x) for text, lang in zip(*[c.to_pylist() for c in part.columns]) for x in _extracts(text)]
+                found, start, dims, counts = _sparse([x for _, x in pieces])
+                if not len(found):
                     continue
-                at, value, start = _weighted([p[1] for p in pieces], [p[2] for p in pieces], idf)
-                near = np.clip(np.add.reduceat(value[:, None] * across[at], start), 0, 1)
+                near = _cosines(dims, counts, start, idf, across)
                 best = near.argmax(1)
-                own = lang_of[best] == [p[0] for p in pieces]
-                length = np.array([len(p[1]).bit_length() for p in pieces])
+                own = lang_of[best] == np.array([x for x, _ in pieces])[found]
+                length = _bits(np.diff(start, append=len(dims)))
                 far = np.ceil((1 - near.max(1)) * STEPS).astype(np.int64)
                 code = ((lang_of[best] * LENGTHS + length) * (STEPS + 1) + far)[own]
                 codes, back = np.unique(np.concatenate([codes, code]), return_inverse=True)
