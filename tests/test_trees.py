@@ -154,3 +154,11 @@ def test_forest_contributions_are_those_of_all_subsets(spark):
     x = np.array([r[2:] for r in spirals(spark, 3).collect()])
     want = [sum(by_enumeration(t, r) for t in forest.trees) / 4 for r in x]
     assert np.abs(forest.contributions(x) - np.array(want)).max() < 1e-9
+
+
+def test_boosted_languages_read_the_texts_once(spark):
+    """What is scored and explained comes from the stored features, not from the texts again."""
+    from tracelake.plans import catalog
+
+    plan = catalog.m6_m10_boosted_languages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in plan

@@ -13,7 +13,7 @@ from tracelake.operators.normalize import parse_cef, taxonomy
 from tracelake.operators.quantiles import quantiles
 from tracelake.plans import jobs
 from tracelake.sources import files, pcap
-from tracelake.storage import shared_dir
+from tracelake.storage import shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -799,7 +799,8 @@ def m6_m10_boosted_languages(spark, sf_dir):
     text = F.lower(F.coalesce("text", F.lit("")))
     features = [f"x{i}" for i in range(len(_MARKS))]
     counts = [(F.regexp_count(text, F.lit(m)) * 100 / F.greatest(F.length(text), F.lit(1))).alias(n) for n, m in zip(features, _MARKS)]
-    rows = _t(spark, sf_dir, "documents").select("doc_id", "lang", *counts)
+    # bins, classes, training and scores read the features, not the texts again
+    rows = stored(_t(spark, sf_dir, "documents").select("doc_id", "lang", *counts), "spelling")
     trained = model.train_boosted(rows.where("lang IS NOT NULL"), features, "lang", "doc_id", rounds=8, depth=3, bins=32)
     folder = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
     model.certify(spark, trained, folder, "v1")
