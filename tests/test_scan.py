@@ -3,7 +3,7 @@
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tracelake.operators import flows, scan
+from tracelake.operators import causal, flows, scan
 
 ROWS = st.lists(st.tuples(st.sampled_from(["a", "a", "b", None]), st.integers(0, 50), st.integers(-5, 5) | st.none()), min_size=1, max_size=40)
 
@@ -77,3 +77,19 @@ def test_places_in_one_shuffle(spark):
     found = scan.placed(rows, ["o"])
     assert all(r.o == r.number for r in found.collect())
     assert "Window" not in found._jdf.queryExecution().toString() and "SortMergeJoin" not in found._jdf.queryExecution().toString()
+
+
+def test_rows_of_many_partitions_are_dealt_out_first(spark, monkeypatch):
+    """Beyond a number of partitions no task deals out a whole split of the input; the rows stay the same."""
+    rows = spark.range(0, 3_000, 1, 1).selectExpr("id", "IF(id % 7 = 0, NULL, id % 3) AS source", "id * 1000000 AS us", "id % 5 AS host", "id % 11 AS port")
+
+    def found(most):
+        return causal.causal_window(rows, *map(F.col, ("source", "us", "host", "port")), most=most)
+
+    plain = sorted(found(10**6).collect())
+    monkeypatch.setattr(scan, "TASK", 20)
+    for most in (10**6, 500):
+        assert sorted(found(most).collect()) == plain
+    # a task of the deal by groups reads its share of the rows, not all of them
+    many = found(10**6)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(salt#" in many and f", {scan.DIRECT}), REPARTITION_BY_NUM" in many

@@ -22,13 +22,15 @@ _GROUP = ["source", "bucket"]
 _BEFORE, _ROW, _AFTER = -1, 0, 1
 
 
-def _placed(df: DataFrame, source: Column, us: Column, host: Column, port: Column, tie: Column | None, width: int) -> DataFrame:
-    """Every row in its own bucket, one window long, and as a copy without its columns in the next one."""
+def _placed(df: DataFrame, source: Column, us: Column, host: Column, port: Column, tie: Column | None, width: int, count: int) -> DataFrame:
+    """Every row of the ``count`` that count in its own bucket, one window long, and as a copy without its columns in the next one; ``salt`` numbers the rows."""
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
         F.when(us.isNotNull(), source).alias("source"), us.cast("long").alias("us"), host.alias("host"), port.alias("port"),
         (F.lit(0) if tie is None else tie).alias("tie"),
         (source.isNotNull() & us.isNotNull()).alias("known"),
+        # numbers of rows as they are read, which stay the same if a task runs again
+        F.monotonically_increasing_id().alias("salt"),
     )
     bucket = F.floor(F.col("us") / width)
 
@@ -36,9 +38,9 @@ def _placed(df: DataFrame, source: Column, us: Column, host: Column, port: Colum
         return F.struct(at.cast("long").alias("bucket"), F.lit(own).alias("own"))
 
     # rows that count nothing are spread out instead of meeting in one partition
-    nowhere = F.array(place(F.pmod(F.monotonically_increasing_id(), F.lit(1024)), True))
-    placed = rows.withColumn("place", F.explode(F.when(F.col("known"), F.array(place(bucket, True), place(bucket + 1, False))).otherwise(nowhere)))
-    return placed.select(F.when(F.col("place.own"), F.col("row")).alias("row"), "place.*", "source", "us", "host", "port", "tie", "known")
+    nowhere = F.array(place(F.pmod("salt", F.lit(1024)), True))
+    placed = scan.spread(rows, "salt", 2 * count).withColumn("place", F.explode(F.when(F.col("known"), F.array(place(bucket, True), place(bucket + 1, False))).otherwise(nowhere)))
+    return placed.select(F.when(F.col("place.own"), F.col("row")).alias("row"), "place.*", "source", "us", "host", "port", "tie", "known", "salt")
 
 
 def _large_groups(df: DataFrame, source: Column, us: Column, width: int, most: int) -> tuple[int, DataFrame | None]:
@@ -86,7 +88,7 @@ def _by_group(placed: DataFrame, width: int, ties: bool, rows: int) -> DataFrame
     """Groups that fit a task: all sorts are within the partitions of one shuffle by source and bucket, as many as the ``rows`` that count ask for."""
     following = F.lead("us").over(Window.partitionBy(*_GROUP).orderBy("us", "tie"))
     # a row and its copy; a number of its own keeps partitions from growing with the table
-    told = placed.repartition(scan.tasks(placed.sparkSession, 2 * rows), *_GROUP).withColumns(_seen(_GROUP, "host", ["us", "tie"], width)).withColumns(_seen(_GROUP, "port", ["us", "tie"], width)).withColumn("following", following)
+    told = placed.drop("salt").repartition(scan.tasks(placed.sparkSession, 2 * rows), *_GROUP).withColumns(_seen(_GROUP, "host", ["us", "tie"], width)).withColumns(_seen(_GROUP, "port", ["us", "tie"], width)).withColumn("following", following)
     within = Window.partitionBy(*_GROUP)
     frame = within.orderBy("at", "phase", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow) if ties else within.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     sums = [F.sum(c).over(frame) for c in ("n", "hosts", "ports")]
@@ -107,7 +109,7 @@ def _neighbours(parts: DataFrame, c: str | None) -> DataFrame:
 def _by_range(placed: DataFrame, width: int, ties: bool, most: int) -> DataFrame:
     """Groups of any size, by ranges of about ``most`` rows."""
     # the salt lets a range end amid very many rows of one time
-    parts = scan.ranges(placed.withColumn("salt", F.monotonically_increasing_id()), _GROUP, ["us", "tie", "salt"], most=most).drop("salt")
+    parts = scan.ranges(placed, _GROUP, ["us", "tie", "salt"], most=most).drop("salt")
     both = parts.withColumns({"side": F.lit(_ROW), "about": F.lit("time")})
     for c in ("host", "port", None):
         both = both.unionByName(_neighbours(parts, c), allowMissingColumns=True)
@@ -133,8 +135,8 @@ def _by_range(placed: DataFrame, width: int, ties: bool, most: int) -> DataFrame
 def _aggregated(df: DataFrame, source: Column, us: Column, host: Column, port: Column, tie: Column | None, seconds: float, most: int) -> DataFrame:
     """All columns of df and the four aggregates. tie: of equal times only rows up to a row's own ``tie`` count; all do without."""
     width = int(seconds * 1_000_000)
-    placed = _placed(df, source, us, host, port, tie, width)
     rows, large = _large_groups(df, source, us, width, most)
+    placed = _placed(df, source, us, host, port, tie, width, rows)
     if large is None:
         return _by_group(placed, width, tie is not None, rows)
     rest, flooded = scan.split(placed, _GROUP, large)

@@ -19,6 +19,8 @@ MOST = 500_000
 RANGES = 64
 #: Rows, or about so many, of one partition of a table whose size is known.
 TASK = 100_000
+#: Partitions that Spark writes to as rows come; for more of them a task first gathers all rows that it deals out.
+DIRECT = 200
 #: Large keys that are broadcast at most, and copies of each that meet its rows where there are more.
 FEW, COPIES = 10_000, 32
 
@@ -28,6 +30,16 @@ def tasks(spark: SparkSession, rows: int) -> int:
     return max(ceil(rows / TASK), int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+def spread(df: DataFrame, number: str, rows: int) -> DataFrame:
+    """The rows, dealt out evenly by their ``number`` where so many ``rows`` are made of them that a shuffle has more than ``DIRECT`` partitions.
+
+    A task of that shuffle gathers what it deals out: without this a whole split of the input, times the rows that are made of each.
+    """
+    if rows <= TASK or tasks(df.sparkSession, rows) <= DIRECT:
+        return df
+    return df.repartition(DIRECT, number)
+
+
 def counted_keys(df: DataFrame, keys: list[str], most: int = MOST) -> tuple[int, DataFrame | None]:
     """How many rows there are, and the keys with more than ``most`` of them and their counts, as a written table; None where there is none."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
