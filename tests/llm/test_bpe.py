@@ -84,3 +84,13 @@ def test_marks_after_words_are_pieces_of_their_own(both):
     text = "Été, été. été! Été it's, a... b.' c., d.\x0be. <|endoftext|>, x.\t1. ́. ŉ, ..\n"
     assert set(_pieces("been, been. been: been")) == {"been", ",", ".", ":"}
     assert ids(WordBpe(PATH), text) == both[1].encode(text, add_special_tokens=False).ids
+
+
+def test_marks_at_words_ends_are_pieces_of_their_own(both):
+    """A word is learned once, whatever run of marks follows it; the ids stay those of the whole text."""
+    from tracelake.llm.bpe import _pieces
+
+    text = "Erer,### éle$$$ don't!! a$b x###y z%%% \n<|end.&& <|endoftext|>.** 12*** q,,"
+    assert _pieces(text) == ["Erer", ",###", "éle", "$$$", "don't", "!!", "a$b", "x###y", "z", "%%%", "<|end", ".&&", "<|endoftext|>.**", "12***", "q,,"]
+    for some in (text, text + " ", text.replace("<|", "")):
+        assert ids(both[0], some) == both[1].encode(some, add_special_tokens=False).ids

@@ -15,6 +15,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ ROWS = 512
 
 _NONE = 1 << 30
 _BREAKS = re.compile("[ \t-\r]+")
-# A mark that ends a word before white space is a word of its own: cut off, so that fewer different pieces are left.
-_PAUSE = re.compile("[.,;:!?](?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff].)(?=[ \n])")
+# Marks that end a word before white space are a word of their own: cut off, so that fewer different pieces are left.
+_PAUSE = re.compile("[.,;:!?#$%&*](?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff].)[.,;:!?#$%&*]*+(?=[ \n])")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # White space, and marks and one composition that are newer than the tables of the tokenizer's normal form, which
 # leaves them where they are.
@@ -108,6 +109,9 @@ class WordBpe(dict):
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.letters = _byte_letters()
         self.letter_ids, self.last_ids = (np.array([self.ids[x + end] for x in self.letters], np.int32) for end in ("", self.end))
+        # ranks of two letters, the last of which may end a word; behind them what stands for no letter
+        letters = np.arange(-1, max(self.letter_ids.max(), self.last_ids.max()) + 1, dtype=np.int32)
+        self.letter_ranks = np.roll(self.rank(letters[:, None], letters), -1, (0, 1))
         self.words: dict[str, bytes] = {}
         self.ranks: dict[int, int] = {}
         self.forget()
@@ -124,17 +128,13 @@ class WordBpe(dict):
         text = self.normal("\n".join([*plain, ""]))
         # letters alone are a word; what newer tables call letters lies beyond Latin
         latin = max(set(text), default="") < "\u0300"
-        alone, mixed, single, others = [], [], [], []
-        for piece, x in zip(plain, text.split("\n")):
-            if x.isalpha() and (latin or x.isascii()):
-                alone.append(piece)
-                single.append(x)
-            else:
-                mixed.append(piece)
-                others.append(x)
+        parts = text.split("\n")[:-1]
+        letters = [x.isalpha() and (latin or x.isascii()) for x in parts]
+        marked = [not x for x in letters]
+        alone, single, mixed, others = [[*compress(some, kind)] for kind in (letters, marked) for some in (plain, parts)]
         found = _WORDS.findall("\n".join([*others, ""])) if others else []
         apart = [[w for x in self.specials.split(p) for w in ([x] if x in self.special else _WORDS.findall(self.normal(x)))] for p in odd]
-        new = self.merged([*set(found).union(single, *apart) - self.words.keys()])
+        new = self.merged([*set(found).union(single, *apart).difference(self.words)])
         self.words.update(new)
         word = self.words.__getitem__
         out = [*map(word, single), *b"".join(map(word, found)).split(_CUT)[:-1], *[b"".join(map(word, some)) for some in apart]]
@@ -183,7 +183,7 @@ class WordBpe(dict):
         parts[rows, size - 1] = last
         done, row, here = np.full(parts.shape, -1, np.int32), rows, rows
         near = np.full(parts.shape, _NONE, np.int32)
-        near[:, :-1] = self.rank(parts[:, :-1], parts[:, 1:])
+        near[:, :-1] = self.letter_ranks[parts[:, :-1], parts[:, 1:]]
         columns = np.arange(width)
         while len(row):
             at = near.argmin(1)
@@ -238,11 +238,16 @@ class WordBpe(dict):
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts, some texts at a time."""
         pieces = [_pieces(t) if t else [] for t in texts]
-        new = self.learn(set().union(*pieces) - self.keys())
+        # every piece is looked up once; the places of those that the memo lacks are filled in
+        coded = [[*map(self.get, some)] for some in pieces]
+        holes = [[k for k, x in enumerate(some) if x is None] for some in coded]
+        new = self.learn({some[k] for some, own in zip(pieces, holes) for k in own})
+        for some, own, out in zip(pieces, holes, coded):
+            for k in own:
+                out[k] = new[some[k]]
         self.update(new)
-        out = [b"".join(map(self.__getitem__, some)) for some in pieces]
         _forget(self, new)
-        return out
+        return [*map(b"".join, coded)]
 
     def decode(self, coded: bytes) -> str:
         return " ".join(map(self.names.__getitem__, memoryview(coded).cast("I")))
