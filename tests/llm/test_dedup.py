@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tracelake.llm import line_dedup, near_dedup
 from tracelake.llm.components import connected
@@ -258,3 +259,47 @@ def test_very_long_texts(spark):
     near[1000:1010] = ["other"] * 10
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((words, half, near))], "doc_id long, text string")
     assert [r.component_id for r in sorted(near_dedup.near_duplicates(df).collect())] == [0, 1, 0]
+
+
+def test_postings_are_dealt_out_in_blocks_of_keys():
+    """Few rows for many postings; a key's first lines meet, a common key's other lines are spread over all blocks."""
+    rng = np.random.default_rng(3)
+    keys = rng.integers(-(1 << 63), (1 << 63) - 1, 60_000)
+    keys[:5000], keys[5000:8000] = keys[0], keys[8000:11_000]
+    ids = np.arange(60_000) << 3
+    halves = [line_dedup._pieces(keys[at], ids[at], 48) for at in (slice(0, 30_000), slice(30_000, None))]
+    rows = pa.Table.from_batches(halves).sort_by("block")
+    assert rows.num_rows < 60_000 / 100 and max(map(len, rows["keys"].to_pylist())) <= 8 * line_dedup.PIECE
+    sent = [(b, k, i) for b, ks, js in zip(*(rows[c].to_pylist() for c in rows.column_names)) for k, i in zip(np.frombuffer(ks, np.int64), np.frombuffer(js, np.int64))]
+    assert sorted((k, i & ~6) for _, k, i in sent) == sorted(zip(keys, ids))
+    size = np.bincount([b for b, _, _ in sent], minlength=48)
+    assert len(size) == 48 and size.min() > 1000 and size.max() < 1500
+    hot = [b for b, k, i in sent if k == keys[0] and i & 4]
+    assert len(set(hot)) == 48 and len(hot) == 4999
+    # a key that each half has once, and one of one half alone
+    keys[59_999] = keys[20_000]
+    rows = pa.Table.from_batches([line_dedup._pieces(keys[at], ids[at], 48) for at in (slice(0, 30_000), slice(30_000, None))]).sort_by("block")
+    found = [r for b in line_dedup._opened(rows) for r in b.to_pylist()]
+    _, which, often = np.unique(keys, return_inverse=True, return_counts=True)
+    several = often[which] > 1
+    several[[20_000, 59_999]] = False
+    assert sorted((r["key"], r["id"]) for r in found if r["key"] is not None) == sorted(zip(keys[several], ids[several]))
+    assert [{r["id"], r["other"]} for r in found if r["key"] is None] == [{ids[20_000], ids[59_999]}]
+
+
+def test_parities_drop_no_similar_sets():
+    """No pair at 0.8 or more is dropped; most at 0.6 to 0.7, which agreements of 128 coordinates let pass, are."""
+    rng = np.random.default_rng(5)
+    near = {True: [0, 0], False: [0, 0]}
+    for _ in range(400):
+        size, share = int(rng.integers(40, 600)), rng.choice([0.62, 0.7, 0.8, 0.82, 0.9])
+        inside = int(np.ceil(2 * size * share / (1 + share)))
+        both = rng.integers(0, 1 << 44, 2 * size - inside).astype(np.uint64)
+        x, y = np.sort(both[:size]), np.sort(both[size - inside :])
+        words = near_dedup.parity_words(np.concatenate((x, y)), np.array([0, size])).view(np.uint64)
+        differ = int(np.bitwise_count(words[0] ^ words[1]).sum())
+        assert differ <= 2 * (size - inside)
+        kind = near[100 * inside >= 80 * (2 * size - inside)]
+        kind[0] += 1
+        kind[1] += bool(near_dedup._within(differ, size, size, 80))
+    assert near[True][0] == near[True][1] > 200 and near[False][1] < 0.1 * near[False][0]

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelake.llm.components import apart
-from tracelake.llm.near_dedup import SKETCH, SKETCHED, grouped, least_values, sketch_words
+from tracelake.llm.near_dedup import PARITY, SKETCH, SKETCHED, grouped, least_values, parity_words, sketch_words
 from tracelake.llm.tables import Bits, stored
 
 SHINGLE = 3
@@ -30,6 +30,9 @@ LONG = 80
 #: Characters of the distinct lines that are posted together, and of those whose sets are made at a time: a longer line comes alone.
 CHUNK = 1 << 21
 CHARACTERS = 1 << 18
+#: Postings that a task sorts and deals out together, about, blocks of keys for each shuffle partition, and postings of a block
+#: that travel as one row, at most.
+POSTED, BLOCKS, PIECE = 1 << 20, 16, 256
 BLANKS = " \t\n\x0b\x0c\r"
 
 #: Bits of a code that name its line, or pair of lines, among those at a time.
@@ -99,7 +102,8 @@ def line_sets(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     codes |= np.repeat(np.arange(len(lines), dtype=np.uint64) << _BODY, counts)
     codes.sort()
     codes = codes[np.append(True, codes[1:] != codes[:-1])]
-    return codes, np.bincount((codes >> _BODY).astype(np.int64), minlength=len(lines))
+    starts = np.searchsorted(codes, np.arange(len(lines), dtype=np.uint64) << _BODY)
+    return codes, np.diff(np.append(starts, len(codes)))
 
 
 def _binned(codes: np.ndarray, lines: int) -> np.ndarray:
@@ -108,8 +112,8 @@ def _binned(codes: np.ndarray, lines: int) -> np.ndarray:
     An empty range takes the value of another one, chosen alike for all lines.
     """
     # the upper bits of a code are the line's number, then its range
-    at = (codes >> (_BODY - np.uint64(SKETCHED.bit_length() - 1))).astype(np.int64)
-    first = np.append(True, at[1:] != at[:-1])
+    at = (codes >> (_BODY - np.uint64(SKETCHED.bit_length() - 1))).view(np.int64)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     own = np.zeros(lines * SKETCHED, np.uint64)
     own[at[first]] = (codes[first] & _INSIDE) + np.uint64(1)
     own = own.reshape(lines, SKETCHED)
@@ -133,10 +137,13 @@ def band_keys(codes: np.ndarray, sizes: np.ndarray, tier: int) -> np.ndarray:
     """A row of band keys for each line; the lowest bit of a key tells the tier."""
     _, bands, band = TIERS[tier]
     least = least_codes(codes, sizes, tier, bands * band)
-    keys = np.zeros((len(sizes), bands), np.uint64)
-    for c in range(bands * band):
-        b = c // band
-        keys[:, b] = (keys[:, b] ^ (keys[:, b] >> np.uint64(29))) * _MIX + least[:, c] + np.uint64(b + 1)
+    least = least[:, : bands * band].reshape(-1, bands, band)
+    keys, number = np.zeros((len(sizes), bands), np.uint64), np.arange(1, bands + 1, dtype=np.uint64)
+    for c in range(band):
+        keys ^= keys >> np.uint64(29)
+        keys *= _MIX
+        keys += least[:, :, c]
+        keys += number
     return (keys & ~np.uint64(1) | np.uint64(tier)).view(np.int64)
 
 
@@ -175,9 +182,8 @@ def _tiers(lines: list[str]) -> Iterator[tuple[int, np.ndarray, list[str], np.nd
                 short[own[sizes < SHORT]] = True
                 keep = sizes >= LONG
                 if not keep.all():
-                    codes = codes[keep[(codes >> _BODY).astype(np.int64)]]
-                    number = np.cumsum(keep) - 1
-                    codes = (codes & _INSIDE) | (number[(codes >> _BODY).astype(np.int64)].astype(np.uint64) << _BODY)
+                    codes = codes[np.repeat(keep, sizes)] & _INSIDE
+                    codes |= np.repeat(np.arange(keep.sum(), dtype=np.uint64) << _BODY, sizes[keep])
                     own, some, sizes = own[keep], [some[k] for k in np.flatnonzero(keep)], sizes[keep]
             if len(own):
                 yield tier, own, some, codes, sizes
@@ -206,51 +212,91 @@ def _postings(texts: DataFrame, least: int) -> DataFrame:
     """``key`` and ``id`` of the lines under every band key that more than two lines have; ``id`` and ``other`` of two that have one alone.
 
     Lines that share a key within a chunk are known to do so at once: only the first of them is dealt out by
-    its key, the others by their ids. So no task gets a very common key's lines, only one of each chunk.
+    its key, the others by their ids. So no task gets a very common key's lines, only one of each chunk. A chunk
+    here has about POSTED postings. They are dealt out by ranges of keys, in rows of up to PIECE; a task sorts a
+    range or a few at a time.
     """
 
+    blocks = BLOCKS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size, seen = [], 0, set()
         for chunk in _chunks(batches, least):
-            found = []
-            for at in _parts(chunk):
-                for tier, _, some, codes, sizes in _tiers([chunk[k] for k in at]):
+            names, ids = _named(chunk)
+            fresh = np.array([k for k, x in enumerate(names) if x not in seen], np.int64)
+            seen.update(names)
+            lines = [chunk[k] for k in fresh]
+            for at in _parts(lines):
+                for tier, own, _, codes, sizes in _tiers([lines[k] for k in at]):
                     keys = band_keys(codes, sizes, tier)
-                    found.append((keys.ravel(), np.repeat(_named(some)[1] | tier, keys.shape[1])))
-            keys, ids = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(keys)
-            keys, ids = keys[order], ids[order]
-            first = np.append(True, keys[1:] != keys[:-1])
-            # 0: alone in its chunk, 2: the first of several, 4: another
-            kind = np.where(first, np.append(~first[1:], False) * 2, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids | kind)], names=["key", "id"])
+                    found.append((keys.ravel(), np.repeat(ids[fresh[at[own]]] | tier, keys.shape[1])))
+                    size += keys.size
+            if size >= POSTED:
+                yield _pieces(*(np.concatenate(x) for x in zip(*found)), blocks)
+                found, size, seen = [], 0, set()
+        if size:
+            yield _pieces(*(np.concatenate(x) for x in zip(*found)), blocks)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            table = (table if waiting is None else pa.concat_tables([waiting, table])).combine_chunks()
-            keys = table["key"].to_numpy()
-            # the last key may go on in the next batch
-            others = np.flatnonzero(keys != keys[-1:])
-            last = int(others[-1]) + 1 if len(others) else 0
-            yield from _shared(table.slice(0, last))
+            table = table if waiting is None else pa.concat_tables([waiting, table])
+            # the last block may go on in the next batch
+            block = table["block"].to_numpy()
+            last = int(np.searchsorted(block, block[-1])) if len(block) else 0
+            yield from _opened(table.slice(0, last))
             waiting = table.slice(last)
         if waiting is not None:
-            yield from _shared(waiting)
+            yield from _opened(waiting)
+
+    made = texts.select("body").mapInArrow(run, "block int, keys binary, ids binary")
+    return made.repartition("block").sortWithinPartitions("block").mapInArrow(shared, "key long, id long, other long")
 
-    made = texts.select("body").mapInArrow(run, "key long, id long")
-    dealt = made.repartition(F.when(F.col("id").bitwiseAND(F.lit(4)) > 0, F.xxhash64("key", "id")).otherwise(F.col("key")))
-    return dealt.sortWithinPartitions("key").mapInArrow(shared, "key long, id long, other long")
 
+def _pieces(keys: np.ndarray, ids: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """Postings of distinct lines as ``block``, ``keys`` and ``ids`` (64-bit integers), sorted by key in a row; the third bit of an id tells the way of its posting.
 
-def _shared(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """``key`` and ``id`` of rows, sorted by key, whose key has several ids or is known to have some elsewhere.
+    A block is a range of keys, of ids and keys for all but the first line of a key.
+    """
+    order = np.argsort(keys)
+    keys, ids = keys[order], ids[order]
+    first = np.append(True, keys[1:] != keys[:-1])
+    # 0: alone in its chunk, 2: the first of several, 4: another
+    kind = np.where(first, np.append(~first[1:], False) * 2, 4)
+    place = np.where(first, keys.view(np.uint64), (keys ^ ids).view(np.uint64) * _MIX)
+    block = ((place >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(block, kind="stable")
+    keys, ids, block = keys[order], (ids | kind)[order], block[order]
+    new = np.append(True, block[1:] != block[:-1])
+    new[::PIECE] = True
+    starts = np.flatnonzero(new)
+    ends = pa.py_buffer((np.append(starts, len(keys)) * 8).astype(np.int32))
+    cut = [pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer(x)]) for x in (keys, ids)]
+    return pa.RecordBatch.from_arrays([pa.array(block[starts]), *cut], names=["block", "keys", "ids"])
+
+
+def _opened(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """``_shared`` of whole blocks, as many at a time as have about POSTED / 4 postings, one at least."""
+    block = table["block"].to_numpy()
+    at = 0
+    while at < len(block):
+        end = min(at + POSTED // 4 // PIECE, len(block))
+        if end < len(block):
+            # where the block of row end begins, or else where the first one here ends
+            begins = int(np.searchsorted(block, block[end]))
+            end = begins if begins > at else int(np.searchsorted(block, block[at], "right"))
+        keys, ids = (np.frombuffer(b"".join(table[c].slice(at, end - at).to_pylist()), np.int64) for c in ("keys", "ids"))
+        order = np.argsort(keys)
+        yield from _shared(keys[order], ids[order])
+        at = end
+
+
+def _shared(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``key`` and ``id`` of postings, sorted by key, whose key has several ids or is known to have some elsewhere.
 
     Two ids that have a key for themselves are a row without key, ``id`` and ``other``.
     """
-    if not table.num_rows:
-        return
-    keys, ids = (table[c].to_numpy() for c in ("key", "id"))
     new = np.append(True, keys[1:] != keys[:-1])
     starts, run = np.flatnonzero(new), np.cumsum(new) - 1
     plain = ids & ~6
@@ -282,7 +328,8 @@ def _texts(texts: DataFrame, ids: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([codes[k] for k in found], pa.binary()), pa.array(own[found]), pa.array([chunk[k] for k in found], pa.string())], names=["code", "id", "line"])
 
     made = texts.select("body").mapInArrow(run, "code binary, id long, line string")
-    return made.join(wanted.hint("merge"), "id", "left_semi").groupBy("code").agg(F.first("line").alias("line"))
+    # by id as well, as the join has dealt them out
+    return made.join(wanted.hint("merge"), "id", "left_semi").groupBy("id", "code").agg(F.first("line").alias("line")).drop("id")
 
 
 def _parts(lines: list[str]) -> Iterator[np.ndarray]:
@@ -303,10 +350,10 @@ def _sets(lines: DataFrame) -> DataFrame:
                 nodes = batch.column(1).take(pa.array(at))
                 ids = np.frombuffer(b"".join(batch.column(0).take(pa.array(at)).to_pylist()), "<i8")[::2] & ~7
                 for tier, own, _, sets, sizes in _tiers([found[k] for k in at]):
-                    sketch = sketch_words(least_codes(sets, sizes, tier, SKETCHED))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[own] | tier), nodes.take(pa.array(own)), pa.array(sizes), *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(len(SKETCH))]], names=["id", "node", "n", *SKETCH])
+                    sketch = np.hstack((sketch_words(least_codes(sets, sizes, tier, SKETCHED)), parity_words(sets, np.cumsum(sizes) - sizes))).T
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[own] | tier), nodes.take(pa.array(own)), pa.array(sizes), *[pa.array(np.ascontiguousarray(word)) for word in sketch]], names=["id", "node", "n", *SKETCH, *PARITY])
 
-    return lines.select("code", "node", "line").mapInArrow(run, "id long, node long, n long, " + ", ".join(f"{s} long" for s in SKETCH))
+    return lines.select("code", "node", "line").mapInArrow(run, "id long, node long, n long, " + ", ".join(f"{s} long" for s in (*SKETCH, *PARITY)))
 
 
 def _codes(wanted: DataFrame, lines: DataFrame) -> DataFrame:
@@ -395,7 +442,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shared = stored(_postings(texts, least), "line-postings")
     postings, pairs = shared.where("key IS NOT NULL").select("key", "id"), shared.where("key IS NULL")
     pairs = pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
-    named = postings.select("id").unionByName(pairs.select(F.col("a").alias("id"))).unionByName(pairs.select(F.col("b").alias("id")))
+    named = shared.select(F.explode(F.array("id", "other")).alias("id")).where("id IS NOT NULL")
     found = stored(_texts(texts, named, least).withColumn("node", F.monotonically_increasing_id()), "line-texts")
     sets = stored(_sets(found), "line-sets")
     groups = grouped(postings, sets, lambda pairs: _confirmed(pairs, found, percent), lambda wanted: _codes(wanted, found), percent, pairs)

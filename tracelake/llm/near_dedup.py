@@ -5,7 +5,8 @@ Two signatures that agree in at least ``matches`` of K coordinates share one of
 K - matches + 1 keys of either, in any common order of keys. With rare keys first, only that prefix
 is posted: keys that nobody else has use up most of it, and frequent keys are skipped. Pairs that
 meet in a list have the collisions of their sketches counted (two bits of each of 128 coordinates); pairs above
-the match threshold are kept and confirmed on the texts themselves.
+the match threshold are kept and confirmed on the texts themselves. Where sketches have parities, pairs that
+differ in more of them than similar sets can are dropped as well; that loses none.
 
 A posting list is never expanded to all its pairs. First every member is merged with the smallest
 one, then those of lists that lie in several components with the list's medoid; confirmed pairs give
@@ -35,6 +36,8 @@ COORDINATES = 64
 SKETCHED = 128
 BITS = 2
 SKETCH = ("s0", "s1", "s2", "s3")
+#: Columns that the sketches of some callers have besides: for each of so many bits whether an odd number of the set's codes falls on it.
+PARITY = tuple(f"p{k}" for k in range(8))
 #: Members of a block of a posting list, about, and pairs that are compared at a time. Longer lists are dealt into blocks
 #: of a third of their members, up to LARGEST, so that no member of a list of up to three times LARGEST has more than four copies.
 BLOCK_SETS, LARGEST = 1000, 1 << 15
@@ -100,6 +103,22 @@ def threshold(coordinates: int, percent: int, bits: int = 32) -> int:
     return max(1, int(coordinates * share - 4.6 * (coordinates * share * (1 - share)) ** 0.5))
 
 
+def parity_words(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The parities of each set, as 64-bit integers a row; the sets' distinct codes lie one after the other.
+
+    Two sets differ in no more parities than there are codes that only one of them has.
+    """
+    bits = 64 * len(PARITY)
+    ends, out = np.append(starts[1:], len(codes)), np.empty((len(starts), len(PARITY)), np.int64)
+    for at in range(0, len(starts), ROWS):
+        some = slice(at, at + ROWS)
+        n, own = len(starts[some]), codes[starts[at] : ends[some][-1]]
+        row = np.repeat(np.arange(0, n * bits, bits), ends[some] - starts[some])
+        odd = np.bincount(row + ((own >> np.uint64(20)) & np.uint64(bits - 1)).view(np.int64), minlength=n * bits).astype(np.uint8) & 1
+        out[some] = np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
+    return out
+
+
 def signatures(docs: DataFrame, size: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``n`` (set size), ``same`` (a 128-bit code of the set), ``signature`` and the sketch of every row; no shuffle.
 
@@ -152,11 +171,24 @@ def _agreements(x: str, y: str) -> Column:
     return F.lit(SKETCHED) - sum(missed[1:], missed[0])
 
 
+def _within(differ, n, m, percent: int):  # noqa: ANN001, ANN202 - arrays or columns
+    """Whether sets of sizes n and m that differ in so many codes, or more, can reach the similarity."""
+    return differ * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def _sketch_of(columns: list[str]) -> list[str]:
+    """The columns of sketches among these."""
+    return [c for c in columns if c in SKETCH or c in PARITY]
+
+
 def _agreeing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The nodes (a, b) of those pairs of ids whose sketches agree often enough."""
-    x, y = (sets.select(F.col("id").alias(e), F.struct("node", "n", *SKETCH).alias(f"{e}_set")) for e in ("a", "b"))
+    x, y = (sets.select(F.col("id").alias(e), F.struct("node", "n", *_sketch_of(sets.columns)).alias(f"{e}_set")) for e in ("a", "b"))
     both = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b")
     close = (_agreements("a_set", "b_set") >= threshold(SKETCHED, percent, BITS)) & _alike(F.col("a_set.n"), F.col("b_set.n"), percent)
+    if PARITY[0] in sets.columns:
+        differ = [F.bit_count(F.col(f"a_set.{p}").bitwiseXOR(F.col(f"b_set.{p}"))) for p in PARITY]
+        close = close & _within(sum(differ[1:], differ[0]), F.col("a_set.n"), F.col("b_set.n"), percent)
     found = both.where(close).select(F.col("a_set.node").alias("a"), F.col("b_set.node").alias("b")).where("a != b")
     return stored(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "candidate-pairs")
 
@@ -195,8 +227,8 @@ def grouped(
 ) -> DataFrame:
     """Components (``node``, ``component``) of the similar pairs among those that share a key.
 
-    postings: ``key`` and ``id``. sets: ``id``, its ``node`` in the graph, ``n`` (set size) and the sketch, for all
-    ids of the postings. confirmed: gives those of pairs (``a``, ``b``) of nodes that are links. codes: gives
+    postings: ``key`` and ``id``. sets: ``id``, its ``node`` in the graph, ``n`` (set size) and the sketch, with
+    parities or without, for all ids of the postings. confirmed: gives those of pairs (``a``, ``b``) of nodes that are links. codes: gives
     ``id`` and ``codes`` (sorted 64-bit codes of the set, binary) of rows with ``id`` and ``node``. pairs: pairs
     (``a``, ``b``) of ids that share keys of which the postings have none.
     """
@@ -237,7 +269,7 @@ def _split(postings: DataFrame, sets: DataFrame, groups: DataFrame, least: int)
 
 def _listed(left: DataFrame) -> DataFrame:
     """A row for each id and list."""
-    return left.withColumn("list", F.explode("lists")).select("id", "node", "component", "n", *SKETCH, "list.*")
+    return left.withColumn("list", F.explode("lists")).select("id", "node", "component", "n", *_sketch_of(left.columns), "list.*")
 
 
 _UNIT = ("key", "sides", "x", "y")
@@ -274,7 +306,7 @@ def _to_medoids(left: DataFrame, percent: int) -> DataFrame:
     block = F.pmod(F.xxhash64("id", F.lit("block")), F.ceil(F.col("members") / BLOCK_SETS)).cast("int")
     rows = _listed(left).where(F.col("members") > FEW).withColumns({"sides": zero, "x": block, "y": zero})
     kind = left.schema["node"].dataType.simpleString()
-    return _pairs(_units(rows, _medoids, percent, ("node", "component", *SKETCH), f"a {kind}, b {kind}"))
+    return _pairs(_units(rows, _medoids, percent, ("node", "component", "n", *_sketch_of(left.columns)), f"a {kind}, b {kind}"))
 
 
 def _across(left: DataFrame, percent: int) -> DataFrame:
@@ -300,28 +332,29 @@ def _across(left: DataFrame, percent: int) -> DataFrame:
     )
     units = F.when(F.col("members") <= BLOCK_SETS, F.array(unit(1, F.lit(0), F.lit(0)))).when(bulk, own).otherwise(other)
     rows = _listed(left).withColumn("h", h).withColumn("bulky", bulk).withColumn("unit", F.explode(units))
-    return _units(rows.select("*", "unit.*"), _meetings, percent, _MEMBER, _member_kinds(left))
+    return _units(rows.select("*", "unit.*"), _meetings, percent, _member(left), _member_kinds(left))
 
 
-_MEMBER = ("bulky", "id", "node", "component", "n", *SKETCH)
+def _member(rows: DataFrame) -> tuple[str, ...]:
+    return ("bulky", "id", "node", "component", "n", *_sketch_of(rows.columns))
 
 
 def _member_kinds(rows: DataFrame) -> str:
     own, node = rows.schema["id"].dataType.simpleString(), rows.schema["node"].dataType.simpleString()
-    return f"key long, sides int, x int, y int, bulky boolean, id {own}, node {node}, component {node}, n long, " + ", ".join(f"{k} long" for k in SKETCH)
+    return f"key long, sides int, x int, y int, bulky boolean, id {own}, node {node}, component {node}, n long, " + ", ".join(f"{k} long" for k in _sketch_of(rows.columns))
 
 
 def _once(met: DataFrame, percent: int) -> DataFrame:
     """Those members, with their ``mates`` (sorted keys of all their lists here), that are in a pair which meets in no earlier list."""
     mates = met.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("mates"))
-    return _units(met.join(mates.hint("merge"), "id"), _meetings, percent, (*_MEMBER, "mates"), _member_kinds(met) + ", mates array<bigint>")
+    return _units(met.join(mates.hint("merge"), "id"), _meetings, percent, (*_member(met), "mates"), _member_kinds(met) + ", mates array<bigint>")
 
 
 def _links(met: DataFrame, codes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of similar nodes of different components within the units, as many as join what hangs together there."""
     kind = met.schema["node"].dataType.simpleString()
     rows = met.join(codes.hint("merge"), "id")
-    return _pairs(_units(rows, _forest, percent, (*_MEMBER, "mates", "codes"), f"a {kind}, b {kind}"))
+    return _pairs(_units(rows, _forest, percent, (*_member(met), "mates", "codes"), f"a {kind}, b {kind}"))
 
 
 def _starts(table: pa.Table) -> np.ndarray:
@@ -340,6 +373,14 @@ def _missed(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return sum(np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(_EVEN)).astype(np.int64) for d in differ)
 
 
+def _differing(table: pa.Table) -> Callable[[np.ndarray, np.ndarray], np.ndarray] | None:
+    """In how many parities sketches of these rows differ, where the table has them."""
+    if PARITY[0] not in table.column_names:
+        return None
+    words = [table[p].to_numpy().view(np.uint64) for p in PARITY]
+    return lambda i, j: sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
+
+
 def _medoids(table: pa.Table, starts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     """Of each unit the pairs of its medoid with members of other components whose sketches agree; units of one size together."""
     if not len(starts):
@@ -347,7 +388,7 @@ def _medoids(table: pa.Table, starts: np.ndarray, percent: int) -> Iterator[pa.R
     table = table.combine_chunks()
     component = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
     nodes = table["node"].combine_chunks()
-    sketch = np.stack([table[s].to_numpy().view(np.uint64) for s in SKETCH], axis=1)
+    sketch, n, differing = np.stack([table[s].to_numpy().view(np.uint64) for s in SKETCH], axis=1), table["n"].to_numpy(), _differing(table)
     sizes = np.diff(np.append(starts, table.num_rows))
     for size in np.unique(sizes[sizes > 1]).tolist():
         some, step = starts[sizes == size], max(1, (1 << 14) // size)
@@ -362,6 +403,8 @@ def _medoids(table: pa.Table, starts: np.ndarray, percent: int) -> Iterator[pa.R
             live = component[i] != component[j]
             i, j = i[live], j[live]
             near = SKETCHED - _missed(list(sketch[i].T), list(sketch[j].T)) >= threshold(SKETCHED, percent, BITS)
+            if differing:
+                near &= _within(differing(i, j), n[i], n[j], percent)
             if near.any():
                 yield pa.RecordBatch.from_arrays([nodes.take(pa.array(i[near])), nodes.take(pa.array(j[near]))], names=["a", "b"])
 
@@ -396,6 +439,7 @@ def _near(table: pa.Table, starts: np.ndarray, percent: int) -> Iterator[tuple[n
         mates = lru_cache(None)(lambda row: frozenset(flat[ends[row] : ends[row + 1]].tolist()))
     component = table["component"].combine_chunks().dictionary_encode().indices.to_numpy()
     n, sketch = table["n"].to_numpy(), [table[s].to_numpy().view(np.uint64) for s in SKETCH]
+    differing = _differing(table)
     bulky, both = table["bulky"].to_numpy(zero_copy_only=False), table["sides"].to_numpy() == 2
     sizes = np.diff(np.append(starts, table.num_rows))
     for size in np.unique(sizes[sizes > 1]).tolist():
@@ -407,6 +451,8 @@ def _near(table: pa.Table, starts: np.ndarray, percent: int) -> Iterator[tuple[n
             i, j = i[live], j[live]
             agreed = SKETCHED - _missed([s[i] for s in sketch], [s[j] for s in sketch])
             near = np.flatnonzero(agreed >= threshold(SKETCHED, percent, BITS))
+            if differing:
+                near = near[_within(differing(i[near], j[near]), n[i[near]], n[j[near]], percent)]
             if mates is not None:
                 near = near[[min(mates(p) & mates(q)) == keys[p] for p, q in zip(i[near].tolist(), j[near].tolist())]] if len(near) else near
             if len(near):
