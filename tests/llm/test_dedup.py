@@ -303,3 +303,12 @@ def test_parities_drop_no_similar_sets():
         kind[0] += 1
         kind[1] += bool(near_dedup._within(differ, size, size, 80))
     assert near[True][0] == near[True][1] > 200 and near[False][1] < 0.1 * near[False][0]
+
+
+def test_keys_of_long_lines_without_their_sets():
+    """Keys made from ranges alone are those of the sets, for long lines, repetitive ones and ones about the borders."""
+    rng = random.Random(7)
+    lines = ["".join(rng.choices(letters, k=size)) for letters in ("abcdefghijklmnop ", "ab") for size in (1, 60, 90, 130, 249, 252, 300, 2000)] + ["=" * 900]
+    want = {(tier, int(k)): keys.tolist() for tier, own, _, codes, sizes in line_dedup._tiers(lines) for k, keys in zip(own, line_dedup.band_keys(codes, sizes, tier))}
+    found = [((tier, int(k)), own.tolist()) for tier, at, keys in line_dedup._keyed(lines) for k, own in zip(at, keys)]
+    assert dict(found) == want and len(found) == len(want)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracelake.llm.components import apart
-from tracelake.llm.near_dedup import PARITY, SKETCH, SKETCHED, grouped, least_values, parity_words, sketch_words
+from tracelake.llm.near_dedup import PARITY, ROWS, SKETCH, SKETCHED, grouped, least_values, parity_words, sketch_words
 from tracelake.llm.tables import Bits, stored
 
 SHINGLE = 3
@@ -106,17 +106,16 @@ def line_sets(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.diff(np.append(starts, len(codes)))
 
 
-def _binned(codes: np.ndarray, lines: int) -> np.ndarray:
-    """A row of 128 MinHash values for each long line: the least code in each of 128 ranges of codes.
-
-    An empty range takes the value of another one, chosen alike for all lines.
-    """
+def _bins(codes: np.ndarray, lines: int) -> np.ndarray:
+    """A row of 128 values for each line: one more than the least code in each of 128 ranges of codes, in any order; 0 where there is none."""
     # the upper bits of a code are the line's number, then its range
-    at = (codes >> (_BODY - np.uint64(SKETCHED.bit_length() - 1))).view(np.int64)
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    own = np.zeros(lines * SKETCHED, np.uint64)
-    own[at[first]] = (codes[first] & _INSIDE) + np.uint64(1)
-    own = own.reshape(lines, SKETCHED)
+    own = np.full(lines * SKETCHED, ~np.uint64(0))
+    np.minimum.at(own, (codes >> (_BODY - np.uint64(SKETCHED.bit_length() - 1))).view(np.int64), codes & _INSIDE)
+    return (own + np.uint64(1)).reshape(lines, SKETCHED)
+
+
+def _filled(own: np.ndarray) -> np.ndarray:
+    """A row of 128 MinHash values for each long line, from its ``_bins``; an empty range takes the value of another one, chosen alike for all lines."""
     out = own.copy()
     row, column = np.nonzero(own == 0)
     for donor in _DONORS:
@@ -130,15 +129,19 @@ def _binned(codes: np.ndarray, lines: int) -> np.ndarray:
 
 def least_codes(codes: np.ndarray, sizes: np.ndarray, tier: int, values: int) -> np.ndarray:
     """At least so many MinHash values of each line of a tier; of long lines 128."""
-    return _binned(codes, len(sizes)) if tier else least_values(codes << _LINE, np.cumsum(sizes) - sizes, values)
+    return _filled(_bins(codes, len(sizes))) if tier else least_values(codes << _LINE, np.cumsum(sizes) - sizes, values)
 
 
 def band_keys(codes: np.ndarray, sizes: np.ndarray, tier: int) -> np.ndarray:
     """A row of band keys for each line; the lowest bit of a key tells the tier."""
+    return _banded(least_codes(codes, sizes, tier, TIERS[tier][1] * TIERS[tier][2]), tier)
+
+
+def _banded(least: np.ndarray, tier: int) -> np.ndarray:
+    """The band keys from a row of MinHash values for each line."""
     _, bands, band = TIERS[tier]
-    least = least_codes(codes, sizes, tier, bands * band)
     least = least[:, : bands * band].reshape(-1, bands, band)
-    keys, number = np.zeros((len(sizes), bands), np.uint64), np.arange(1, bands + 1, dtype=np.uint64)
+    keys, number = np.zeros((len(least), bands), np.uint64), np.arange(1, bands + 1, dtype=np.uint64)
     for c in range(band):
         keys ^= keys >> np.uint64(29)
         keys *= _MIX
@@ -189,11 +192,37 @@ def _tiers(lines: list[str]) -> Iterator[tuple[int, np.ndarray, list[str], np.nd
                 yield tier, own, some, codes, sizes
 
 
-def _lines(texts: DataFrame, least: int) -> DataFrame:
-    """``doc``, ``mark``, ``at`` and ``code`` (128 bits of the trimmed line) of every line of ``doc``, ``mark`` and ``body``."""
+def _keyed(lines: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each tier its number, which lines are in it, and their band keys.
+
+    A line with codes in SHORT ranges or more has that many shingles, so it is long without its set being made.
+    """
+    rest = np.ones(len(lines), bool)
+    long = np.fromiter((k for k, x in enumerate(lines) if len(x) > 5 * SHORT // 2), np.int64)
+    if len(long):
+        codes, counts = _shingle_codes([lines[k] for k in long], TIERS[1][0])
+        codes >>= _LINE
+        codes |= np.repeat(np.arange(len(long), dtype=np.uint64) << _BODY, counts)
+        own = _bins(codes, len(long))
+        sure = (own > 0).sum(axis=1) >= SHORT
+        rest[long[sure]] = False
+        if sure.any():
+            yield 1, long[sure], _banded(_filled(own[sure]), 1)
+    rest = np.flatnonzero(rest)
+    for tier, own, _, codes, sizes in _tiers([lines[k] for k in rest]) if len(rest) else ():
+        yield tier, rest[own], band_keys(codes, sizes, tier)
+
+
+def _lines(texts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """``doc``, ``mark``, ``at`` and ``code`` (128 bits of the trimmed line) of every line of ``doc``, ``mark`` and ``body``.
+
+    Of lines whose 61-bit codes are among ``wanted`` (and of some others) the ``id``, this code, and the ``line`` too,
+    once in ROWS texts.
+    """
+    bits = Bits(wanted.select(F.shiftright("id", 3).alias("hash")), "hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             rows, places, found = [], [], []
             for row, text in enumerate(batch.column(2).to_pylist()):
                 for at, line in enumerate((text or "").split("\n")):
@@ -201,11 +230,18 @@ def _lines(texts: DataFrame, least: int) -> DataFrame:
                     if len(line) >= least:
                         rows.append(row)
                         places.append(at)
-                        found.append(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")))
-            rows = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places, pa.int32()), pa.array(found, pa.binary())], names=["doc", "mark", "at", "code"])
+                        found.append(line)
+            codes, own = _named(found)
+            asked, seen = np.zeros(len(found), bool), set()
+            for k in np.flatnonzero(bits.has(own >> 3)).tolist():
+                if codes[k] not in seen:
+                    asked[k] = True
+                    seen.add(codes[k])
+            rows, held = pa.array(rows, pa.int32()), pa.array([x if a else None for x, a in zip(found, asked.tolist())], pa.string())
+            columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places, pa.int32()), pa.array(codes, pa.binary()), pa.array(own, mask=~asked), held]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "mark", "at", "code", "id", "line"])
 
-    return texts.mapInArrow(run, f"doc {texts.schema['doc'].dataType.simpleString()}, mark long, at int, code binary")
+    return texts.mapInArrow(run, f"doc {texts.schema['doc'].dataType.simpleString()}, mark long, at int, code binary, id long, line string")
 
 
 def _postings(texts: DataFrame, least: int) -> DataFrame:
@@ -227,8 +263,7 @@ def _postings(texts: DataFrame, least: int) -> DataFrame:
             seen.update(names)
             lines = [chunk[k] for k in fresh]
             for at in _parts(lines):
-                for tier, own, _, codes, sizes in _tiers([lines[k] for k in at]):
-                    keys = band_keys(codes, sizes, tier)
+                for tier, own, keys in _keyed([lines[k] for k in at]):
                     found.append((keys.ravel(), np.repeat(ids[fresh[at[own]]] | tier, keys.shape[1])))
                     size += keys.size
             if size >= POSTED:
@@ -316,18 +351,9 @@ def _shared(keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _texts(texts: DataFrame, ids: DataFrame, least: int) -> DataFrame:
-    """``code`` and ``line``, once, of the lines whose 61-bit codes are among those of ``ids``."""
-    wanted = stored(ids.select(F.col("id").bitwiseAND(F.lit(-8)).alias("id")).distinct(), "line-ids")
-    bits = Bits(wanted.select(F.shiftright("id", 3).alias("hash")), "hash")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, least):
-            codes, own = _named(chunk)
-            found = np.flatnonzero(bits.has(own >> 3))
-            yield pa.RecordBatch.from_arrays([pa.array([codes[k] for k in found], pa.binary()), pa.array(own[found]), pa.array([chunk[k] for k in found], pa.string())], names=["code", "id", "line"])
-
-    made = texts.select("body").mapInArrow(run, "code binary, id long, line string")
+def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``code`` and ``line``, once, of the lines whose 61-bit codes are ``wanted``."""
+    made = lines.where("line IS NOT NULL").select("code", "id", "line")
     # by id as well, as the join has dealt them out
     return made.join(wanted.hint("merge"), "id", "left_semi").groupBy("id", "code").agg(F.first("line").alias("line")).drop("id")
 
@@ -438,13 +464,15 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     take no part; null and empty texts have no line. Of equal lines the first by document and position stays.
     """
     texts, least = _marked(docs, id_col, text_col), max(least_chars, 1)
-    lines = stored(_lines(texts, least), "lines")
     shared = stored(_postings(texts, least), "line-postings")
     postings, pairs = shared.where("key IS NOT NULL").select("key", "id"), shared.where("key IS NULL")
     pairs = pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
     named = shared.select(F.explode(F.array("id", "other")).alias("id")).where("id IS NOT NULL")
-    found = stored(_texts(texts, named, least).withColumn("node", F.monotonically_increasing_id()), "line-texts")
-    sets = stored(_sets(found), "line-sets")
+    wanted = stored(named.select(F.col("id").bitwiseAND(F.lit(-8)).alias("id")).distinct(), "line-ids", ("id",))
+    lines = stored(_lines(texts, wanted, least), "lines", ("code", "id", "line"))
+    found = stored(_texts(lines, wanted).withColumn("node", F.monotonically_increasing_id()), "line-texts", ("code", "line", "node"))
+    lines = lines.drop("id", "line")
+    sets = stored(_sets(found), "line-sets", ("id", "node", *SKETCH, *PARITY))
     groups = grouped(postings, sets, lambda pairs: _confirmed(pairs, found, percent), lambda wanted: _codes(wanted, found), percent, pairs)
     # lines that occur once and are like no other are left behind
     alike_ones = found.select("code", "node").join(groups.hint("merge"), "node").select("code", "component")

@@ -44,6 +44,8 @@ BLOCK_SETS, LARGEST = 1000, 1 << 15
 PAIRS = 1 << 19
 #: Lists with more members are first compared with their medoids.
 FEW = 8
+#: Lists are split anew after links that are more than one for so many members.
+FEW_LINKS = 50
 #: Pairs whose whole sets are compared before those that hang together meanwhile are left out.
 CHECKED = 1024
 #: Codes of the pairs whose sets are merged at a time, about.
@@ -246,8 +248,11 @@ def grouped(
     left = _split(postings, sets, groups, 3)
     near = stored(_to_medoids(left, percent), "candidate-pairs")
     if not near.isEmpty():
-        groups = joined(stored(confirmed(near), "links"))
-        left = _split(left.select(F.explode("lists.key").alias("key"), "id"), sets, groups, 3)
+        links = stored(confirmed(near), "links")
+        groups = joined(links)
+        # few links leave nearly all lists as they are; members that they join are only compared once more
+        if links.count() * FEW_LINKS > left.count():
+            left = _split(left.select(F.explode("lists.key").alias("key"), "id"), sets, groups, 3)
     met = stored(_across(left, percent), "merged-lists")
     if met.isEmpty():
         return groups
